@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, langid, toxicity
+from . import bytebpe, decontam, langid, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +25,23 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_language_id": op3_language_id,
         "op6_byte_bpe": op6_byte_bpe,
+        "op8_url_filter": op8_url_filter,
+        "op9_decontamination": op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": urlfilter.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL}
