@@ -1,28 +1,66 @@
-"""The corpus pipeline: toxicity, language, near duplicates, benchmark leaks, tokens."""
+"""The corpus pipeline: toxicity, language, near duplicates, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``.  Models are fitted on the documents that reach the stage.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquery.llm import bytebpe
+from spanquery.llm import bytebpe, decontam, jaccard, langid, toxicity
+from spanquery.llm.storage import shared_folder
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose toxicity score is below 0.5."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, learn=toxicity.remainder("k", 5) != 0)
+    return toxicity.score(docs, model, out="__toxic").where("__toxic < 0.5").select(docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents of a language that the decoder settles on: neither ``und`` nor ambiguous."""
+    model = langid.fit(docs, learn=langid.remainder("k", 4) != 2)
+    renamed = docs.select(*[docs[c].alias(f"in_{c}") for c in docs.columns])
+    told = langid.predict(renamed, model, text="in_text").where("lang_pred <> 'und' and not ambiguous")
+    return told.select(*[told[f"in_{c}"].alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group linked by a 5-gram Jaccard similarity of 0.8."""
+    return jaccard.first_of_each(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that contain less than 0.8 of the 5-grams of every benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE digests of what is left."""
+    """Byte-level BPE token counts and digests."""
     return bytebpe.token_digests(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
     ("tokens", encode_tokens),
 ]
 
-#: No SQL expresses the fitted models of the first stages.
+#: No SQL expresses the fitted models and the encoder; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages one after another to ``documents``."""
+    """Apply the stages to ``documents``; each result is written and read again."""
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return docs
