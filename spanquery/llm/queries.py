@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bytebpe, decontam, jaccard, langid, toxicity, urlfilter
+from . import bytebpe, decontam, jaccard, langid, neighbours, sharding, toxicity, unigram, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.document_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(table(spark, sf_dir, "pages"))
 
@@ -41,7 +54,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_language_id": op3_language_id,
+        "op4_sharding": op4_sharding,
+        "op5_token_counts": op5_token_counts,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_cross_polytope": op7_cross_polytope,
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_jaccard": op10_ngram_jaccard,
