@@ -1,13 +1,69 @@
-"""Connected components of a link table by alternating large-star and small-star steps."""
+"""Connected components of a link table.
+
+Each task first replaces its links by the stars of their components (a union-find over links
+that arrive as arrays).  Up to ``LOCAL_LINKS`` links, which is counted, one task's stars are the
+answer; beyond that, alternating large-star and small-star steps join the tasks' stars.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import drop, stored
 
 
+LOCAL_LINKS = 1_000_000  # 16 MB of node ids
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links with the least node of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        high = np.maximum(root[x], root[y])
+        apart = low < high
+        if not apart.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, high[apart], low[apart])
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+
+
+def _local_stars(edges: DataFrame) -> DataFrame:
+    """Links with a > b, as stars within each task; long tasks do so in several pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def star(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            node, root = stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            return node[node != root], root[node != root]
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > 4 * LOCAL_LINKS:
+                held = [star(held)]
+                if len(held[0][0]) > 2 * LOCAL_LINKS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                    held = []
+                size = sum(len(p[0]) for p in held)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in star(held)], names=["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
     return int(row[0]), int(row[1])
@@ -29,13 +85,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the least node of its component) of every node that has a link.
 
-    Ends after O(log^2 n) rounds for n nodes; each round is a stored table.
+    The rounds beyond one task's stars are O(log^2 n) for n nodes; each is a stored table.
     """
     spark = links.sparkSession
-    edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
-    edges, path = stored(edges, "edges")
+    edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b")
+    edges, path = stored(_local_stars(edges), "edges")
     mark = _mark(edges)
-    while mark[0]:
+    if mark[0] <= LOCAL_LINKS:
+        edges = _local_stars(edges.coalesce(1))
+    while mark[0] > LOCAL_LINKS:
         turned, new_path = stored(_star(_star(edges, True), False), "edges")
         new_mark = _mark(turned)
         drop(spark, path)
