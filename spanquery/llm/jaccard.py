@@ -22,7 +22,7 @@ Shingles are 64-bit hashes; sets are told apart by 128 bits.
 
 Defined cases: a document of one to four words has its whole sequence as its one shingle; null,
 empty and wordless texts have the empty set, link with nothing and are their own component; a
-null doc_id gets a null component unless it links; rows that share a doc_id are rows of their
+null doc_id gets a null component, unless its set equals that of a row with one; rows that share a doc_id are rows of their
 own; the component is named by the smallest non-null doc_id in it.
 """
 
@@ -138,7 +138,7 @@ def _order(scan: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, order: np.ndarray, width: int, percent: int, salt: int) -> DataFrame:
-    """Index entries: token, node, n, pos (place of the token in the set's order) and how central the set is."""
+    """Index entries: token, node and pos, the place of the token in the set's order."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,6 @@ def _prefixes(docs: DataFrame, order: np.ndarray, width: int, percent: int, salt
                 weight = rank[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)]
                 turn = np.lexsort((found, weight, rows))
                 found, weight = found[turn], weight[turn]
-                central = per_row_sum(weight.astype(np.int64), bounds) // np.maximum(n, 1)
                 if len(seen) > 100_000:
                     seen.clear()
                 new = np.array([x not in seen and not seen.add(x) for x in node.tolist()])
@@ -163,18 +162,9 @@ def _prefixes(docs: DataFrame, order: np.ndarray, width: int, percent: int, salt
                 length = n - (percent * n + 99) // 100 + 1
                 keep = (pos < length[rows]) & new[rows]
                 rows = rows[keep]
-                info = n[rows].astype(np.int64) << 36 | pos[keep] << 10 | np.minimum(central, 1023)[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(node[rows]), pa.array(info)], names=["token", "node", "info"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(node[rows]), pa.array(pos[keep].astype(np.int32))], names=["token", "node", "pos"])
 
-    return docs.mapInArrow(run, "token long, node long, info long")
-
-
-def _size(info: str) -> Column:
-    return F.shiftrightunsigned(info, 36)
-
-
-def _pos(info: str) -> Column:
-    return F.shiftrightunsigned(info, 10).bitwiseAND(F.lit((1 << 26) - 1))
+    return docs.mapInArrow(run, "token long, node long, pos int")
 
 
 def _possible(na: Column, nb: Column, left_a: Column, left_b: Column, percent: int) -> Column:
@@ -190,8 +180,8 @@ def _bounded(df: DataFrame) -> DataFrame:
 class Verifier:
     """Counts common shingles of pairs of nodes; keeps the sets it has fetched."""
 
-    def __init__(self, docs: DataFrame, where: DataFrame, width: int, salt: int):
-        self.docs, self.where, self.width, self.salt = docs, where, width, salt
+    def __init__(self, docs: DataFrame, where: DataFrame, width: int, salt: int, repeated: bool):
+        self.docs, self.where, self.width, self.salt, self.repeated = docs, where, width, salt, repeated
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node and its sorted shingle hashes."""
@@ -209,14 +199,16 @@ class Verifier:
                     raw = [found[bounds[i] : bounds[i + 1]].tobytes() for i in right]
                     yield pa.RecordBatch.from_arrays([pa.array(node[right]), pa.array(raw, type=pa.binary())], names=["node", "hashes"])
 
-        return texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+        sets = texts.mapInArrow(run, "node long, hashes binary")
+        return sets.dropDuplicates(["node"]) if self.repeated else sets
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """Append o, the number of common shingles, to pairs (a, b, na, nb)."""
+        """Append o, the number of common shingles, to stored pairs (a, b, na, nb)."""
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets, _ = stored(self.sets(nodes), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-        both = both.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+        both = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")).join(_bounded(pairs), "b")
+        first = sets.join(_bounded(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
+        both = both.join(first.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -235,20 +227,20 @@ def _linked(percent: int) -> Column:
 
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Each list's sets with its pivot, where size and position allow a link."""
-    n, p = _size("info"), _size("pivot_info")
-    near = lists.where("node <> pivot").where(_possible(n, p, n - _pos("info"), p - _pos("pivot_info"), percent))
-    return near.select(F.col("pivot").alias("a"), F.col("node").alias("b"), p.alias("na"), n.alias("nb")).distinct()
+    n, p = F.col("n"), F.col("pivot.n")
+    near = lists.where(F.col("node") != F.col("pivot.node")).where(_possible(n, p, n - F.col("pos"), p - F.col("pivot.pos"), percent))
+    return near.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), p.cast("long").alias("na"), n.cast("long").alias("nb")).distinct()
 
 
 def _blocks(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Blocks of the lists that hold sets of more than one component."""
-    entries = lists.select("token", "node", "info").distinct().join(roots, "node", "left")
-    entries = entries.select("token", "node", "info", F.coalesce("root", "node").alias("root"))
+    entries = lists.select("token", "node", "n", "pos").distinct().join(roots, "node", "left")
+    entries = entries.select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     w = Window.partitionBy("token")
     entries = entries.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w), "rows": F.count(F.lit(1)).over(w)}).where("lo <> hi")
-    n, pos = _size("info"), _pos("info")
+    n, pos = F.col("n"), F.col("pos")
     entries = entries.select(
-        "token", "node", "root", n.alias("n"), pos.alias("pos"),
+        "token", "node", "root", n.cast("long").alias("n"), pos.cast("long").alias("pos"),
         F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("size_band"),
         F.floor(pos * 16 / n).cast("int").alias("pos_band"),
         F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK))).alias("part"),
@@ -327,22 +319,23 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     else:
         raise RuntimeError("set signatures keep clashing")
     where = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    repeated = not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     order = _order(scan)
     w = Window.partitionBy("token")
-    lists = _prefixes(source, order, width, percent, salt).withColumns(
-        {
-            "lo": F.min("node").over(w),
-            "hi": F.max("node").over(w),
-            "top": F.max(F.struct(F.col("info").bitwiseAND(F.lit(1023)).alias("c"), "node", "info")).over(w),
-        }
-    )
-    lists = lists.where("lo <> hi").select("token", "node", "info", F.col("top.node").alias("pivot"), F.col("top.info").alias("pivot_info"))
-    lists = keep(lists, "lists")
-    verifier = Verifier(source, where, width, salt)
+    lists = _prefixes(source, order, width, percent, salt).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)})
+    # what is left are tokens that different sets share
+    shared = keep(lists.where("lo <> hi").select("token", "node", "pos"), "shared")
+    # the most central set of a list is the one that shares most of its prefix
+    nodes = rows.where("node is not null").select("node", "n").distinct()
+    held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("held")).join(nodes, "node")
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    facts = keep(held.select("node", "n", F.floor(F.col("held") * 1000 / length).cast("int").alias("central")), "facts")
+    lists = shared.join(facts, "node").withColumn("pivot", F.max(F.struct("central", "node", "n", "pos")).over(w))
+    verifier = Verifier(source, where.select("node", "doc_id"), width, salt, repeated)
     checked = keep(verifier.overlaps(keep(_pivot_pairs(lists, percent), "pivots")), "checked")
     links = checked.where(_linked(percent)).select("a", "b")
     roots = keep(components(links), "roots")
-    left = _block_pairs(_blocks(lists, roots, percent), percent)
+    left = _block_pairs(_blocks(shared.join(facts.select("node", "n"), "node"), roots, percent), percent)
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = keep(_derived(left.join(done, ["a", "b"], "left_anti"), checked, percent), "left")
     need = (F.col("na") + F.col("nb")) * percent
