@@ -98,8 +98,9 @@ def search(
     pairs = probes.join(_bounded(sketch.select("h", "item_id", "part")), "h").select("doc_id", "item_id", "part").distinct()
     found, _ = stored(pairs, "found")
     checked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).join(_bounded(found), "doc_id")
-    checked = checked.join(_bounded(index), ["item_id", "part"])
-    shared = F.size(F.array_intersect("shingles", shingle_texts(words(F.col("t")), F.col("width"))))
+    # the words are a column of their own, so that they are split once a row
+    checked = checked.withColumn("w", words(F.col("t"))).drop("t").join(_bounded(index), ["item_id", "part"])
+    shared = F.size(F.array_intersect("shingles", shingle_texts(F.col("w"), F.col("width"))))
     checked = checked.select("doc_id", "item_id", F.col("n").alias("n_shingles"), shared.alias("n_shared"))
     checked = checked.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
     best = F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared"))
