@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.staging import aggregate_5m
-from ..schema import SPAN_JSON
+from ..schema import SPAN, SPAN_JSON
 
 WATERMARK = "30 seconds"
 CONFLUENT_HEADER = 5  # magic byte and schema id before the Avro body
@@ -41,7 +41,7 @@ def decode(messages: DataFrame) -> DataFrame:
     schema = T.StructType([*SPAN_JSON.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     out = messages.withColumn("s", F.from_json("value", schema, options))
-    required = [f.name for f in SPAN_JSON if not f.nullable]
+    required = [f.name for f in SPAN if not f.nullable]
     missing = F.array_compact(F.array(*[F.when(F.col(f"s.{c}").isNull(), F.lit(c)) for c in required]))
     error = (
         F.when(F.col("value").isNull(), "empty message")
