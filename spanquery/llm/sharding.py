@@ -2,7 +2,9 @@
 
 Documents with equal texts are linked.  A group's members start on shards by hash; in each
 round every member moves towards the shard that holds most of its group among the shards with
-room, under a quota on linked documents (capacity less load), until groups sit together.
+room, under a quota on linked documents (capacity less load), until groups sit together;
+a group that fits a shard but is still apart then is placed with the unlinked documents, in one
+run, so that at most one such group is cut at each border between shards.
 Members of a group are interchangeable, so the state that the rounds join and update is the
 count of members by group and shard, never documents or pairs.  Unlinked documents then fill
 all shards up to the law ``rows``: document counts differ by one at most.
@@ -89,9 +91,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     sizes = cells.groupBy("g").agg(F.sum("n").alias("members")).where("members > 1")
     cells, _ = stored(cells.join(sizes, "g").select("g", "label", "n"), "cells")
     cells = propagate(cells, shards, capacity)
-    # what a label has beyond its capacity is set free again
+    # set free again: small groups that are still apart, and what a label has beyond its capacity
+    state = cells.groupBy("g").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("whole"))
+    cells = cells.join(state, "g").where((F.col("labels") == 1) | (F.col("whole") > capacity))
     kept = running(cells, ["label"], F.pmod(F.xxhash64("g"), F.lit(64)), ["g"], F.col("n"), "ahead")
-    kept = kept.withColumn("n", F.least(F.col("n"), F.greatest(F.lit(0), F.lit(capacity) - F.col("ahead")))).where("n > 0")
+    room = F.greatest(F.lit(0), F.lit(capacity) - F.col("ahead"))
+    fits = F.when(F.col("whole") > capacity, F.least("n", room)).when(F.col("n") <= room, F.col("n")).otherwise(0)
+    kept = kept.withColumn("n", fits).where("n > 0")
     kept, _ = stored(kept.select("g", "label", "n"), "kept")
     loads = {r.label: r.n for r in kept.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row a shard
     upto = Window.partitionBy("g").orderBy("label").rowsBetween(Window.unboundedPreceding, 0)
