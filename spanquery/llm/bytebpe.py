@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .mapping import gather, list_array, map_text
 from .textkit import _byte_values, span_hashes
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -358,16 +358,37 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", rank_file:
                 bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
                 flat = column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].astype(np.int64)
                 data, ends = bpe.decode_flat(flat)
-                cuts = np.concatenate([[0], ends])[bounds - bounds[0]].astype(np.int32)
-                out = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(width)] + [out], names=[*names, decoded])
+                cuts = np.concatenate([[0], ends])[bounds - bounds[0]]
+                yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(width)] + [_binary(data, cuts)], names=[*names, decoded])
 
     return source.mapInArrow(run, T.StructType([*kept, T.StructField(decoded, T.BinaryType(), False)]))
 
 
+def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", rank_file: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Append the text's ids and the bytes that they decode to, in one pass of one worker a task."""
+    path = rank_file or default_rank_file()
+
+    def start():
+        encoder = _encoder(path)
+
+        def chunk(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+            (encoded,) = encoder(data, offsets)
+            back, ends = encoder.bpe.decode_flat(encoded.values.to_numpy())
+            return [encoded, _binary(back, np.concatenate([[0], ends])[encoded.offsets.to_numpy()])]
+
+        return chunk
+
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.BinaryType(), False)]
+    return map_text(df, text, start, new, keep)
+
+
 def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", rank_file: str | None = None) -> DataFrame:
     """One row a document: n_tokens and SHA-256 digests of its ids and of what they decode to."""
-    both = decode(encode(docs.select(key, text), text, "ids", rank_file).select(key, "ids"), "ids", "decoded", rank_file)
+    both = round_trip(docs.select(key, text), text, rank_file=rank_file, keep=[key])
     return both.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
