@@ -30,7 +30,7 @@ from .mapping import list_array, map_text
 from .textkit import _WORD_VALUES, distinct_per_row, lowered, span_hashes, word_spans
 
 PREFIXES = (4, 5, 6)
-MAX_FIT_ROWS = 20_000
+MAX_FIT_ROWS = 12_000
 
 
 def terms(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
