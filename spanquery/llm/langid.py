@@ -167,8 +167,12 @@ def fit(
 
     def start():
         def chunk(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-            counts = np.minimum(gram_counts(data, offsets), 65535).astype(np.uint16)
-            return [pa.array([row.tobytes() for row in counts], type=pa.binary())]
+            out = []
+            for at in range(0, len(offsets) - 1, 64):
+                part = offsets[at : at + 65]
+                counts = np.minimum(gram_counts(data[part[0] : part[-1]], part - part[0]), 65535).astype(np.uint16)
+                out += [row.tobytes() for row in counts]
+            return [pa.array(out, type=pa.binary())]
 
         return chunk
 
