@@ -185,23 +185,27 @@ def model_blocks(packed: DataFrame) -> DataFrame:
 class Segment:
     """Vocabulary and filter of the parts first <= part < last."""
 
-    def __init__(self, rows: list, first: int, last: int, subs: int, n: int, v: int, texts: int):
+    def __init__(self, rows: Iterator, sizes: dict[int, tuple[int, int]], first: int, last: int, subs: int, n: int, v: int, texts: int):
+        """``rows`` come one at a time in any order; ``sizes`` has the words and bytes of each part."""
         self.first, self.last, self.subs, self.n, self.v, self.texts = first, last, subs, n, v, texts
-        words = sorted((r for r in rows if r["sub"] < 0), key=lambda r: r["part"])
-        raw = [bytes(r["raw"]) for r in words]
-        self.words = np.concatenate([np.zeros(0, dtype=_U), *(np.frombuffer(x, dtype=_U, count=len(x) // 16) for x in raw)])
-        self.counts = np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(x, dtype=np.int64, offset=len(x) // 2) for x in raw)])
-        del raw
+        words = [sizes.get(p, (0, 0))[0] for p in range(first, last)]
+        ends = np.cumsum(words)
+        self.words, self.counts = np.zeros(ends[-1], dtype=_U), np.zeros(ends[-1], dtype=np.int64)
         self.bits = np.zeros((last - first) * subs, dtype=_U)
         self.starts = np.zeros((last - first) * subs, dtype=np.int64)
-        kept, at = [], 0
+        self.filter = np.zeros(sum(sizes.get(p, (0, 0))[1] for p in range(first, last)) - 16 * int(ends[-1]), dtype=np.uint8)
+        at = 0
         for r in rows:
-            if r["sub"] >= 0:
-                block = (r["part"] - first) * subs + r["sub"]
-                self.bits[block], self.starts[block] = r["size"], at * 8
-                kept.append(np.frombuffer(bytes(r["raw"]), dtype=np.uint8))
-                at += len(kept[-1])
-        self.filter = np.concatenate([np.zeros(0, dtype=np.uint8), *kept])
+            raw = r.raw
+            if r.sub < 0:
+                here = slice(ends[r.part - first] - r.size, ends[r.part - first])
+                self.words[here] = np.frombuffer(raw, dtype=_U, count=r.size)
+                self.counts[here] = np.frombuffer(raw, dtype=np.int64, offset=8 * r.size)
+            else:
+                block = (r.part - first) * subs + r.sub
+                self.bits[block], self.starts[block] = r.size, at * 8
+                self.filter[at : at + len(raw)] = np.frombuffer(raw, dtype=np.uint8)
+                at += len(raw)
 
     def count(self, tokens: np.ndarray) -> np.ndarray:
         """Training count of each token of these parts; 0 where unseen."""
@@ -258,19 +262,20 @@ def scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "tex
     subs = max(1, -(-int(facts.bytes) // (PARTS * SUB_BYTES)))
     blocks, _ = stored(model_blocks(counted(train, subs)), "lm")
     totals = blocks.where("sub = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("v")).first()
-    sizes = {r.part: r.b for r in blocks.groupBy("part").agg(F.sum(F.octet_length("raw")).alias("b")).collect()}  # PARTS rows
+    by_part = blocks.groupBy("part").agg(F.sum(F.when(F.col("sub") < 0, F.col("size")).otherwise(0)).alias("w"), F.sum(F.octet_length("raw")).alias("b"))
+    sizes = {r.part: (r.w, r.b) for r in by_part.collect()}  # PARTS rows
     cuts, held = [0], 0
     for part in range(PARTS):
-        if held and held + sizes.get(part, 0) > broadcast_bytes:
+        if held and held + sizes.get(part, (0, 0))[1] > broadcast_bytes:
             cuts.append(part)
             held = 0
-        held += sizes.get(part, 0)
+        held += sizes.get(part, (0, 0))[1]
     cuts.append(PARTS)
     out = None
     for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-        got = blocks.where(F.col("part").between(first, last - 1)).toArrow()
-        segment = Segment(got.to_pylist(), first, last, subs, totals.n, totals.v, facts.texts)
-        del got
+        # at most broadcast_bytes, or one part, fetched piece by piece
+        own = blocks.where(F.col("part").between(first, last - 1)).select("part", "sub", "size", "raw")
+        segment = Segment(own.toLocalIterator(), sizes, first, last, subs, totals.n, totals.v, facts.texts)
         shared = spark.sparkContext.broadcast(segment)
         del segment
         one = _scored(rows, key, shared)
