@@ -16,6 +16,11 @@ def exact_sum(c: Column | str) -> Column:
     return F.sum(_col(c).cast("decimal(18,6)")).cast("double")
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded half up as a decimal, so that its last bits don't decide a tie."""
+    return F.round(c.cast("decimal(28,9)"), digits).cast("double")
+
+
 def exact_mean(c: Column | str) -> Column:
     """Mean of the non-NULL values from their exact sum."""
     return exact_sum(c) / F.nullif(F.count(_col(c)), F.lit(0))

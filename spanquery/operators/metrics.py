@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import distinct_if, exact_sum, interpolated, percent_of
+from ..functions.stats import distinct_if, exact_sum, interpolated, percent_of, rounded
 
 WINDOWS = {"5m": 300, "15m": 900, "1h": 3600, "24h": 86400}
 GROUPS = {"none": None, "model": "model", "event_type": "event_type", "status": "status"}
@@ -29,11 +29,11 @@ def _errors() -> Column:
 
 
 def _error_percent() -> Column:
-    return F.round(percent_of(_errors(), _spans()), 3)
+    return rounded(percent_of(_errors(), _spans()), 3)
 
 
 def _quantiles(*qs: tuple[str, float]) -> list[Column]:
-    return [F.round(interpolated("latency_ms", q), 3).alias(name) for name, q in qs]
+    return [rounded(interpolated("latency_ms", q), 3).alias(name) for name, q in qs]
 
 
 def _token_sum() -> Column:
@@ -133,7 +133,7 @@ def _percent() -> Column:
 
 
 def _rounded(*qs: tuple[str, float]) -> list[Column]:
-    return [F.round(interpolated("latency_ms", q), 6).alias(name) for name, q in qs]
+    return [rounded(interpolated("latency_ms", q), 6).alias(name) for name, q in qs]
 
 
 def _per_turn(total: Column) -> Column:

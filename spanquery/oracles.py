@@ -96,24 +96,24 @@ ALL_MARTS = (CHANGES, VERSIONS, SESSIONS, MODEL_COSTS, TOOLS, PROMPTS)
 
 _SPAN_COUNT = "count(distinct span_id)"
 _BAD = "count(distinct case when status <> 'ok' then span_id end)"
-_PCT = f"100.0 * {_BAD} / greatest({_SPAN_COUNT}, 1)"
+_PCT = f"cast(100 as double) * {_BAD} / greatest({_SPAN_COUNT}, 1)"
 
 
 def _q(name: str, q: float, digits: int) -> str:
-    return f"round(quantile_cont(latency_ms, {q}), {digits}) as {name}"
+    return f"cast(round(cast(quantile_cont(latency_ms, {q}) as decimal(28,9)), {digits}) as double) as {name}"
 
 
 _TOKEN_SUM = "cast(sum(prompt_tokens) + sum(completion_tokens) as bigint)"
 METRIC_BODIES = {
     "request_rate": (f"{_SPAN_COUNT} as spans, cast({_SPAN_COUNT} as double) / {{seconds}} * 60 as spans_per_min", "true", None),
     "p95_latency": (", ".join([_q("p50_ms", 0.5, 3), _q("p95_ms", 0.95, 3), _q("p99_ms", 0.99, 3), f"{_SPAN_COUNT} as spans"]), "true", None),
-    "error_rate": (f"{_SPAN_COUNT} as spans, {_BAD} as errors, round({_PCT}, 3) as error_rate_pct", "true", None),
+    "error_rate": (f"{_SPAN_COUNT} as spans, {_BAD} as errors, cast(round(cast({_PCT} as decimal(28,9)), 3) as double) as error_rate_pct", "true", None),
     "cost_by_model": (f"round({total('cost_usd')}, 6) as cost_usd, {_SPAN_COUNT} as spans, count(distinct trace_id) as turns", "model is not null", "model"),
     "tokens_by_model": (
         f"cast(sum(prompt_tokens) as bigint) as prompt_tokens_sum, cast(sum(completion_tokens) as bigint) as completion_tokens_sum, {_TOKEN_SUM} as total_tokens, {_SPAN_COUNT} as spans",
         "model is not null", "model",
     ),
-    "tool_error_rate": (f"{_SPAN_COUNT} as tool_calls, {_BAD} as errors, round({_PCT}, 3) as error_rate_pct", "event_type = 'TOOL_CALL'", None),
+    "tool_error_rate": (f"{_SPAN_COUNT} as tool_calls, {_BAD} as errors, cast(round(cast({_PCT} as decimal(28,9)), 3) as double) as error_rate_pct", "event_type = 'TOOL_CALL'", None),
 }
 
 
@@ -151,7 +151,7 @@ PANEL_BODIES = {
 def panel(name: str) -> str:
     body, where, keys, tail = PANEL_BODIES[name]
     shown = [("time_bucket(interval '3600 seconds', ts) as time" if k == "time" else k) for k in keys]
-    cast = body.replace("100.0 *", "cast(100 as double) *").replace("* 60.0 / 3600", "* cast(60 as double) / 3600")
+    cast = body.replace("* 60.0 / 3600", "* cast(60 as double) / 3600")
     group = " group by all" if keys else ""
     period = "ts between timestamp '2024-01-01 00:00:00' and timestamp '2024-01-31 00:00:00'"
     return spans(f"select {', '.join([*shown, cast])} from spans where {period} and {where}{group}{tail}")
