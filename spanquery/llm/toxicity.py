@@ -30,7 +30,7 @@ from .mapping import list_array, map_text
 from .textkit import _WORD_VALUES, distinct_per_row, lowered, span_hashes, word_spans
 
 PREFIXES = (4, 5, 6)
-MAX_FIT_ROWS = 12_000
+MAX_FIT_ROWS = 20_000
 
 
 def terms(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +91,10 @@ def fit_rows(
     share = float(labels.mean()) if n else 0.0
     if not 0 < share < 1:
         return FactorizationMachine(bits, 40.0 if share else -40.0, none, np.zeros(0), np.zeros((0, rank)))
-    flat = np.concatenate(rows).astype(np.int32)
+    flat = np.concatenate(rows).astype(np.int32, copy=False)
     owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=1 << bits).astype(np.float64)
-    positive = np.bincount(flat[labels[owner] > 0], minlength=1 << bits)
+    positive = np.bincount(flat[(labels > 0)[owner]], minlength=1 << bits)
     expected = seen * share
     z = np.abs(positive - expected) / np.sqrt(expected * (1 - share) + 0.5)
     z[seen < 3] = 0
