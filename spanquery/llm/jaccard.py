@@ -37,13 +37,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .mapping import small_batches
 from .storage import drop, stored
 from .textkit import chunks, distinct_per_row, mix64, per_row_sum, shingles, word_hashes, word_spans
 
 WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 20
-BLOCK = 256
+BLOCK = 128
 BROADCAST_ROWS = 200_000
 _SKETCH_ROWS = 1 << 14  # counters a row of the sketch table
 
@@ -302,6 +303,7 @@ def _derived(pairs: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = _text_column(docs, key, text)
     paths: list[str] = []
 

@@ -6,11 +6,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .textkit import chunks
 
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows: texts and sets are long, and the
+    default of ten thousand holds tens of megabytes in every task, once on each side of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 ChunkFunction = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
 
 
@@ -27,6 +38,7 @@ def map_text(
     ``keep`` names the input columns to carry over (all by default); one that has the name of a
     new column is replaced by it.  A null text is read as the empty one.
     """
+    small_batches(df.sparkSession)
     names = {f.name.lower() for f in new}
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in names]
     kept_names = [f.name for f in kept]

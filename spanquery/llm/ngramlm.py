@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .mapping import small_batches
 from .storage import stored
 from .textkit import chunks, mix64, per_row_sum, word_hashes, word_spans
 
@@ -256,6 +257,7 @@ class Segment:
 def scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     train = rows.where(F.coalesce(learn, F.lit(False)))
     facts = train.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
