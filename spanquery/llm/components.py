@@ -2,7 +2,8 @@
 
 Each task first replaces its links by the stars of their components (a union-find over links
 that arrive as arrays).  Up to ``LOCAL_LINKS`` links, which is counted, one task's stars are the
-answer; beyond that, alternating large-star and small-star steps join the tasks' stars.
+answer; beyond that, alternating large-star and small-star steps join the tasks' stars until
+nothing changes or so few are left.
 """
 
 from __future__ import annotations
@@ -91,8 +92,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b")
     edges, path = stored(_local_stars(edges), "edges")
     mark = _mark(edges)
-    if mark[0] <= LOCAL_LINKS:
-        edges = _local_stars(edges.coalesce(1))
     while mark[0] > LOCAL_LINKS:
         turned, new_path = stored(_star(_star(edges, True), False), "edges")
         new_mark = _mark(turned)
@@ -101,5 +100,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if new_mark == mark:
             break
         mark = new_mark
+    else:  # few enough, whether at once or after rounds that have not settled
+        edges = _local_stars(edges.coalesce(1))
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

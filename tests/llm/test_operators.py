@@ -350,3 +350,14 @@ def test_components(spark, monkeypatch):
         monkeypatch.setattr(components, "LOCAL_LINKS", limit)
         assert {r.node: r.root for r in components.components(frame).collect()} == {i: find(i) for i in root}
     assert components.components(frame.where("false")).isEmpty()
+
+
+@pytest.mark.parametrize("limit", [450, 700, 1000])
+def test_components_when_rounds_fall_below_the_limit(spark, monkeypatch, limit):
+    rng = random.Random(6)
+    name = rng.sample(range(10**6), 400)
+    # ten tasks that each hold most of one long path, so that their stars repeat each other
+    links = [(name[i], name[i + 1]) for _ in range(10) for i in range(399) if rng.random() < 0.7]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(links, 10), "a long, b long")
+    monkeypatch.setattr(components, "LOCAL_LINKS", limit)
+    assert {(r.node, r.root) for r in components.components(frame).collect()} == {(i, min(name)) for i in name}
