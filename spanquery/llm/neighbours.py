@@ -7,13 +7,15 @@ it meets is ranked by the exact inner product in double precision on the origina
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that can reach a top k
 under the tie rule.  Buckets are dealt out in parts of about ``PART`` entries and ``PART`` queries,
-by counts taken first, so that a full bucket is many tasks.  Where lengths differ the vectors
-are lifted onto a sphere by one more coordinate for hashing, which keeps the order of inner
-products.
+by counts taken first, so that a full bucket is many tasks.
+
+Directions are hashed, whatever the lengths.  As a long vector can be near by inner product and
+far by direction, every query is also compared with the longest entries, at most ``HEAD`` and whole
+bands of equal length only.  A query that has found fewer than there are is compared with all entries.
 
 Defined cases: null, empty and zero vectors, vectors with null or non-finite components, rows
 with a null id, and vectors shorter than the longest take no part, neither as queries; a query
-with fewer than k neighbours gets all that its probes meet; rows that share an id never find
+gets k neighbours or, if there are fewer other ids, all; rows that share an id never find
 each other.
 """
 
@@ -32,6 +34,9 @@ from .storage import stored
 TABLES = 16
 PROBES = 8
 PART = 4096
+HEAD = 4096
+HEAD_BYTES = 32 << 20  # of the vectors that all queries are compared with
+BANDS = 32  # of length, for each doubling of its square
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -55,21 +60,15 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def lift(x: np.ndarray, longest: float, even: bool) -> np.ndarray:
-    """Unit vectors padded to a power of two; with lengths that differ, one more coordinate."""
-    x = x / longest
-    if not even:
-        x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))])
-    width = 1 << max(1, int(np.ceil(np.log2(x.shape[1]))))
-    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+def directions(x: np.ndarray) -> np.ndarray:
+    """Unit vectors padded to a power of two."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.pad(x, ((0, 0), (0, _width(x.shape[1]) - x.shape[1])))
 
 
-def lift_query(x: np.ndarray, even: bool) -> np.ndarray:
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    if not even:
-        x = np.hstack([x, np.zeros((len(x), 1))])
-    width = 1 << max(1, int(np.ceil(np.log2(x.shape[1]))))
-    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+def _width(dims: int) -> int:
+    return 1 << max(1, int(np.ceil(np.log2(dims))))
 
 
 def axes(y: np.ndarray, probes: int) -> np.ndarray:
@@ -80,25 +79,38 @@ def axes(y: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(-np.take_along_axis(both, near, 1), axis=1, kind="stable"), 1)
 
 
+def compared(qid: np.ndarray, q: np.ndarray, eid: np.ndarray, e: np.ndarray, k: int) -> list[np.ndarray]:
+    """query, entry and score of the entries that can be among the k + 1 nearest of each query."""
+    out: list[tuple[np.ndarray, ...]] = []
+    # a few more than k + 1, as matrix products round differently from plain sums
+    m = min(k + 9, len(e))
+    for at in range(0, len(q), 256):
+        part = q[at : at + 256]
+        pick = np.argpartition(-(part @ e.T), m - 1, axis=1)[:, :m]
+        rows = np.repeat(np.arange(len(part)), m)
+        out.append((qid[at : at + 256][rows], eid[pick.ravel()], (part[rows] * e[pick.ravel()]).sum(axis=1)))
+    return [np.concatenate([o[i] for o in out]) for i in range(3)]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each row that ``is_query`` picks."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(sound)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    facts = rows.agg(F.max(F.struct(F.size("v").alias("d"))).alias("d")).first()
-    if facts.d is None:
-        return empty
-    dims = facts.d.d
-    rows = rows.where(F.size("v") == dims)
     # -0.0 and 0.0 are equal components
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
-    lengths = rows.agg(F.min(square).alias("a"), F.max(square).alias("b")).first()
-    longest = float(np.sqrt(lengths.b)) * (1 + 1e-12)
-    even = lengths.a >= lengths.b * (1 - 1e-4)
+    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count_distinct("id").alias("n"), F.max("q").alias("q")).orderBy(F.desc("dims")).limit(1).collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in sizes:
+        if r.q and r.n > 1:
+            out = out.unionByName(_search(rows.where(F.size("v") == r.dims), r.dims, r.n - 1, k, tables, probes))
+    return out
 
+
+def _search(rows: DataFrame, dims: int, others: int, k: int, tables: int, probes: int) -> DataFrame:
+    """The same for rows of id, v and q with ``dims`` components, where a query has so many other ids."""
+    spark = rows.sparkSession
     # equal vectors are one entry; of its ids, the k + 1 smallest can be in an answer
     part = F.pmod(F.xxhash64("id"), F.lit(32))
     least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
@@ -106,60 +118,97 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     ids = ids.select("v", "part", least("ids").alias("ids")).groupBy("v").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     entries, _ = stored(ids.select(F.array_min("ids").alias("entry"), "v", least("ids").alias("ids")), "entries")
     queries, _ = stored(rows.where("q").select("id", "v").distinct(), "queries")
-    signs = rotations(1 << max(1, int(np.ceil(np.log2(dims + (not even))))), tables)
+    signs = rotations(_width(dims), tables)
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+    def raw(x: np.ndarray) -> pa.Array:
+        return pa.array([r.tobytes() for r in x], type=pa.binary())
 
-    def hashed(column: str, width: int, turn) -> callable:
+    def hashed(column: str, width: int) -> callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     piece = batch.slice(at, 1024)
-                    x = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                    raw = pa.array([r.tobytes() for r in x], type=pa.binary())
-                    y = turn(x)
+                    x = matrix(piece.column(1))
+                    vectors, y = raw(x), directions(x)
                     for t in range(tables):
                         near = axes(rotate(y, signs[t]), width)
                         for p in range(near.shape[1]):
                             buckets = (t * 2 * y.shape[1] + near[:, p]).astype(np.int32)
-                            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(buckets), raw], names=[column, "bucket", "raw"])
+                            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(buckets), vectors], names=[column, "bucket", "raw"])
+
+        return run
+
+    def whole(column: str) -> callable:
+        """All in bucket 0."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(batch.num_rows, dtype=np.int32)), raw(matrix(batch.column(1)))], names=[column, "bucket", "raw"])
 
         return run
 
-    index = entries.select("entry", "v").mapInArrow(hashed("entry", 1, lambda x: lift(x, longest, even)), "entry long, bucket int, raw binary")
-    probe = queries.mapInArrow(hashed("query", probes, lambda x: lift_query(x, even)), "query long, bucket int, raw binary")
+    def rank(entry_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(entry_rows) or not len(query_rows):
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        e, q = (np.frombuffer(b"".join(map(bytes, x["raw"])), dtype=np.float64).reshape(-1, dims) for x in (entry_rows, query_rows))
+        return pd.DataFrame(dict(zip(("query", "entry", "score"), compared(query_rows["query"].to_numpy(), q, entry_rows["entry"].to_numpy(), e, k), strict=True)))
+
+    def meet(index: DataFrame, probe: DataFrame, parts: int, turns: int) -> DataFrame:
+        """Compare what is in the same bucket, in so many parts of the entries and turns of the queries."""
+        index = index.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(parts))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        probe = probe.withColumn("turn", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        keys = ["bucket", "part", "turn"]
+        return index.groupBy(*keys).cogroup(probe.groupBy(*keys)).applyInPandas(rank, "query long, entry long, score double")
+
+    def answers(met: DataFrame) -> DataFrame:
+        met = met.groupBy("query", "entry").agg(F.max("score").alias("score"))
+        by_score = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
+        # an entry may hold the query alone, so k + 1 entries give k other rows
+        met = met.withColumn("turn", F.row_number().over(by_score)).where(F.col("turn") <= k + 1)
+        found = met.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query")
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return found.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
+
     # entries and queries by bucket: a row for each bucket of each table
+    index = entries.select("entry", "v").mapInArrow(hashed("entry", 1), "entry long, bucket int, raw binary")
+    probe = queries.mapInArrow(hashed("query", probes), "query long, bucket int, raw binary")
     n_index, n_query = entries.count(), queries.count()
     buckets = 2 * signs.shape[2]
-    parts = max(1, -(-n_index * 2 // (buckets * PART)))
-    turns = max(1, -(-n_query * probes * 2 // (buckets * PART)))
-    index = index.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(parts))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    probe = probe.withColumn("turn", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = meet(index, probe, max(1, -(-n_index * 2 // (buckets * PART))), max(1, -(-n_query * probes * 2 // (buckets * PART))))
 
-    def rank(entry_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(entry_rows) and len(query_rows):
-            e = np.frombuffer(b"".join(map(bytes, entry_rows["raw"])), dtype=np.float64).reshape(-1, dims)
-            eid, qid = entry_rows["entry"].to_numpy(), query_rows["query"].to_numpy()
-            allq = np.frombuffer(b"".join(map(bytes, query_rows["raw"])), dtype=np.float64).reshape(-1, dims)
-            for at in range(0, len(allq), 256):
-                q = allq[at : at + 256]
-                near = q @ e.T
-                # a few more than k + 1, as matrix products round differently from plain sums
-                m = min(k + 9, len(e))
-                pick = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                rows_ = np.repeat(np.arange(len(q)), m)
-                exact = (q[rows_] * e[pick.ravel()]).sum(axis=1)
-                out.append((qid[at : at + 256][rows_], eid[pick.ravel()], exact))
-        if not out:
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return pd.DataFrame({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query", "entry", "score"))})
-
-    keys = ["bucket", "part", "turn"]
-    met = index.groupBy(*keys).cogroup(probe.groupBy(*keys)).applyInPandas(rank, "query long, entry long, score double")
-    met = met.groupBy("query", "entry").agg(F.max("score").alias("score"))
-    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
-    # an entry may hold the query alone, so k + 1 entries give k other rows
-    met = met.withColumn("turn", F.row_number().over(by_score)).where(F.col("turn") <= k + 1)
-    found = met.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return found.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
+    # the longest entries, in whole bands
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    band = F.floor(F.coalesce(F.log2(F.least(square, F.lit(1e308))), F.lit(-1100.0)) * BANDS + 0.5)
+    taken, lowest = 0, None
+    for r in entries.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("band")).collect():
+        taken += r.n
+        if taken > min(HEAD, HEAD_BYTES // (8 * dims)):
+            break
+        lowest = r.band
+    if lowest is not None:
+        long = entries.where(band >= lowest).select("entry", "v").collect()
+        head = spark.sparkContext.broadcast((np.array([r.entry for r in long]), np.array([r.v for r in long])))
+
+        def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    found = compared(batch.column(0).to_numpy(), matrix(batch.column(1)), *head.value, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query", "entry", "score"])
+
+        met = met.unionByName(queries.mapInArrow(with_head, "query long, entry long, score double"))
+
+    found, _ = stored(answers(met), "found")
+    # those whose buckets held fewer than there are
+    have = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("have"))
+    short, _ = stored(queries.join(have, "id", "left").where(F.coalesce("have", F.lit(0)) < min(k, others)).select("id", "v"), "short")
+    n_short = short.count()
+    if not n_short:
+        return found
+    index = entries.select("entry", "v").mapInArrow(whole("entry"), "entry long, bucket int, raw binary")
+    probe = short.mapInArrow(whole("query"), "query long, bucket int, raw binary")
+    rest = answers(meet(index, probe, -(-n_index // PART), -(-n_short // PART)))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(found.columns).unionByName(rest)

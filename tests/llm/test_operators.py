@@ -238,6 +238,33 @@ def test_neighbours(spark):
     assert few.count() == 6
 
 
+@pytest.mark.parametrize("case", ["lognormal", "one long", "two lengths", "tiny", "tiny, no head"])
+def test_neighbours_of_unequal_lengths(spark, monkeypatch, case):
+    """Recall with the parameters of the query, and nobody short."""
+    rng = np.random.default_rng(8)
+    n = 30 if case.startswith("tiny") else 2000
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if case == "lognormal":
+        x *= np.exp(rng.normal(size=(n, 1)))
+    if case == "one long":
+        x[7] *= 100
+    if case == "two lengths":
+        x[::2] *= 2
+    monkeypatch.setattr(neighbours, "HEAD", 0 if case == "tiny, no head" else 200, raising=False)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = collections.defaultdict(set)
+    for r in neighbours.search(vectors, F.col("vec_id") % (n // 15) == 0).collect():
+        by[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, n, n // 15):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(by[q]) == 20
+        hits += len(by[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= (1 if n == 30 and case == "tiny" else 0.9) * 20 * len(range(0, n, n // 15))
+
+
 # 8
 
 
