@@ -13,9 +13,9 @@ Directions are hashed, whatever the lengths.  As a long vector can be near by in
 far by direction, every query is also compared with the longest entries, at most ``HEAD`` and whole
 bands of equal length only.  A query that has found fewer than there are is compared with all entries.
 
-Defined cases: null, empty and zero vectors, vectors with null or non-finite components, rows
-with a null id, and vectors shorter than the longest take no part, neither as queries; a query
-gets k neighbours or, if there are fewer other ids, all; rows that share an id never find
+Defined cases: null, empty and zero vectors, vectors with null or non-finite components, and rows
+with a null id take no part, neither as queries; vectors of different size are searched apart; a
+query gets k neighbours or, if there are fewer other ids of its size, all; rows that share an id never find
 each other.
 """
 
@@ -100,7 +100,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(sound)
     # -0.0 and 0.0 are equal components
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
-    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count_distinct("id").alias("n"), F.max("q").alias("q")).orderBy(F.desc("dims")).limit(1).collect()
+    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count_distinct("id").alias("n"), F.max("q").alias("q")).collect()
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for r in sizes:
         if r.q and r.n > 1:

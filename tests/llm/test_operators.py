@@ -265,6 +265,15 @@ def test_neighbours_of_unequal_lengths(spark, monkeypatch, case):
     assert hits >= (1 if n == 30 and case == "tiny" else 0.9) * 20 * len(range(0, n, n // 15))
 
 
+def test_neighbours_of_each_size(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(5)] + [(10 + i, [1.0, 2.0, float(i)]) for i in range(3)] + [(20, [1.0] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.search(vectors, F.lit(True), k=2).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+    assert got == {0: [1, 2], 1: [4, 3], 2: [4, 3], 3: [4, 2], 4: [3, 2], 10: [11, 12], 11: [12, 10], 12: [11, 10]}
+
+
 # 8
 
 
