@@ -21,31 +21,31 @@ def capped(spans: DataFrame, cap: int = SPAN_CAP) -> DataFrame:
     return ranked.withColumn("truncated", F.max("__turn").over(w) >= cap).where(F.col("__turn") <= cap).drop("__turn")
 
 
-def placed(spans: DataFrame, cap: int = SPAN_CAP) -> DataFrame:
-    """Spans with is_root and is_orphan: an orphan names a parent that the trace lacks."""
-    kept = capped(spans, cap)
+def placed(spans: DataFrame, cap: int | None = None) -> DataFrame:
+    """Spans, all or the first ``cap`` of each trace, with is_root and is_orphan: an orphan names a parent that they lack."""
+    kept = latest_spans(spans) if cap is None else capped(spans, cap)
     present = kept.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("__found"))
     joined = kept.join(present, ["trace_id", "parent_span_id"], "left")
     missing = F.col("__found").isNull()
     return joined.select(*kept.columns, missing.alias("is_root"), (missing & F.col("parent_span_id").isNotNull()).alias("is_orphan"))
 
 
-def trace_totals(spans: DataFrame, cap: int = SPAN_CAP) -> DataFrame:
-    """One row a trace: counts of spans, roots, orphans and errors, duration, cost and tokens."""
-    return placed(spans, cap).groupBy("trace_id").agg(
+def trace_totals(spans: DataFrame) -> DataFrame:
+    """One row a trace, over all its spans: counts of spans, roots, orphans and errors, duration, cost and tokens; truncated is what get_trace says."""
+    return placed(spans).groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("span_count"), F.count_if("is_root").alias("root_count"), F.count_if("is_orphan").alias("orphan_count"),
-        F.max("truncated").alias("truncated"), F.count_if(F.col("status") != "ok").alias("error_count"),
+        (F.count(F.lit(1)) >= SPAN_CAP).alias("truncated"), F.count_if(F.col("status") != "ok").alias("error_count"),
         F.timestamp_diff("MILLISECOND", F.min("ts"), F.max("ts")).alias("duration_ms"),
         F.round(F.coalesce(exact_sum("cost_usd"), F.lit(0.0)), 6).alias("total_cost_usd"),
         (F.coalesce(F.sum("prompt_tokens"), F.lit(0)) + F.coalesce(F.sum("completion_tokens"), F.lit(0))).alias("total_tokens"),
     )
 
 
-def depths(spans: DataFrame, cap: int = SPAN_CAP) -> DataFrame:
+def depths(spans: DataFrame) -> DataFrame:
     """trace_id, span_id and depth (roots have 0) by a recursive query over parent links."""
     spark = spans.sparkSession
     name = f"placed_{abs(hash(spans)) % 10**9}"
-    placed(spans, cap).select("trace_id", "span_id", "parent_span_id", "is_root").createOrReplaceTempView(name)
+    placed(spans).select("trace_id", "span_id", "parent_span_id", "is_root").createOrReplaceTempView(name)
     return spark.sql(
         f"""
         with recursive walk (trace_id, span_id, depth) max recursion level {MAX_DEPTH} as (

@@ -115,6 +115,18 @@ def test_trace_tree(spark):
     assert trace.get_trace(df, "t", cap=2)["truncated"]
 
 
+def test_only_get_trace_is_capped(spark):
+    # the parent of the 600 others is the last by time
+    df = span(spark, *(("t", f"s{i}", "root", "ok", i, 0.5) for i in range(600)), ("t", "root", None, "ok", 700, None), ("u", "one", None, "ok", 1, 1.0))
+    totals = {r.trace_id: r for r in trace.trace_totals(df).collect()}
+    assert (totals["t"].span_count, totals["t"].root_count, totals["t"].orphan_count, totals["t"].total_cost_usd) == (601, 1, 0, 300.0)
+    assert totals["t"].truncated and not totals["u"].truncated
+    assert trace.placed(df).where("is_orphan").isEmpty()
+    depth = {r.span_id: r.depth for r in trace.depths(df).collect()}
+    assert len(depth) == 602 and sum(depth.values()) == 600
+    assert trace.get_trace(df, "t")["span_count"] == trace.SPAN_CAP
+
+
 def test_metrics_vocabulary_is_closed(spark):
     df = span(spark, ("t", "a", None, "ok", 1, 0.5), ("t", "a", None, "ok", 1, 0.5), ("t", "b", "a", "error", 2, None))
     now = T0 + dt.timedelta(seconds=60)
