@@ -117,6 +117,17 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     return docs.join(_bounded(leaked), key, "left_anti")
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose own text contains no test item, whatever their keys: null and repeated ones are told apart by text."""
+    again, _ = stored(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "again")
+    if again.isEmpty() and docs.where(F.col(key).isNull()).isEmpty():
+        return clean(docs, items, key, text).select(docs.columns)
+    alone = clean(docs.where(F.col(key).isNotNull()).join(_bounded(again), key, "left_anti"), items, key, text)
+    others = docs.where(F.col(key).isNull()).unionByName(docs.join(_bounded(again), key, "left_semi").select(docs.columns))
+    others = clean(others.withColumn("__text", F.sha2(F.col(text).cast("string").cast("binary"), 256)), items, "__text", text)
+    return alone.select(docs.columns).unionByName(others.select(docs.columns))
+
+
 ORACLE_SQL = r"""
 with w as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents

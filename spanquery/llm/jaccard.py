@@ -35,9 +35,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .mapping import small_batches
+from .mapping import ChunkFunction, map_text, small_batches
 from .storage import drop, stored
 from .textkit import chunks, distinct_per_row, mix64, per_row_sum, shingles, word_hashes, word_spans
 
@@ -300,8 +301,8 @@ def _derived(pairs: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
     return out.select("a", "b", "na", "nb", lb.alias("lb"), ub.alias("ub"))
 
 
-def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _linked_rows(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, component_id, node and root of every row; also the salt of the nodes."""
     spark = docs.sparkSession
     small_batches(spark)
     source = _text_column(docs, key, text)
@@ -364,16 +365,46 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         roots = keep(components(links), "roots")
     named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
-    out = named.join(first, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    out = named.join(first, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), "node", "root")
     result, _ = stored(out, "components")
     for path in paths:
         drop(spark, path)
-    return result
+    return result, salt
+
+
+def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return _linked_rows(docs, key, text, width, percent)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def _nodes(docs: DataFrame, text: str, out: str, salt: int) -> DataFrame:
+    """Append the node of each row's set; null for the empty set."""
+
+    def start() -> ChunkFunction:
+        def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+            found, bounds = chunk_sets(data, offsets, WIDTH)
+            return [pa.array(signatures(found, bounds, salt)[0], mask=np.diff(bounds) == 0)]
+
+        return run
+
+    return map_text(docs, text, start, [T.StructField(out, T.LongType())])
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component; rows with a null key stay."""
-    found = link_components(docs, key, text)
-    out = docs.join(_bounded(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()), key, "left_anti").select(docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.where(F.col(key).isNull()).unionByName(out.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    """One row of each component, one of the smallest key, null keys last; rows without words stay."""
+    # texts stand in for null keys; should two have one number, it is a repeated key like any other
+    instead = F.shiftrightunsigned(F.xxhash64(text), 1).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), instead))
+    found, salt = _linked_rows(keyed, "__id", text, WIDTH, PERCENT)
+    later = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    again, path = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "again")
+    if again.isEmpty():
+        drop(docs.sparkSession, path)
+        return keyed.join(_bounded(later.distinct()), "__id", "left_anti").select(docs.columns)
+    # a repeated key says nothing about a row: there the row's own set decides
+    alone = keyed.join(_bounded(later.unionByName(again).distinct()), "__id", "left_anti")
+    first = found.where("node is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("b"))
+    first = first.select(F.col("b.doc_id").alias("__id"), F.col("b.node").alias("__node"), F.lit(True).alias("__first")).join(again, "__id", "left_semi")
+    told = _nodes(keyed.join(_bounded(again), "__id", "left_semi"), text, "__node", salt).withColumn("__own", F.when(F.col("__node").isNull(), F.monotonically_increasing_id()))
+    told = told.join(_bounded(first), ["__id", "__node"], "left").where("__node is null or __first").dropDuplicates(["__id", "__node", "__own"])
+    return alone.select(docs.columns).unionByName(told.select(docs.columns))

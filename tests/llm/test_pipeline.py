@@ -49,3 +49,21 @@ def test_stages_take_awkward_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
         assert stage(spark, empty, FOLDER).isEmpty()
+
+
+def test_stages_decide_by_row(spark):
+    long = [" ".join(f"{c}{j}" for j in range(40)) for c in "abcdefg"]
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("text is not null").first().text
+    near = long[3] + " more"
+    rows = [
+        (7, long[0]), (7, long[1]), (7, long[1].upper()), (8, long[2]), (9, long[2]), (9, long[3]), (9, near), (9, long[4]), (9, long[4]), (None, long[4]), (None, long[5]), (None, long[5]),
+        (None, long[6]), (10, ""), (10, None), (None, None), (None, " "), (11, item), (12, f"{item} {long[0]}"), (12, f"{item} " + " ".join(f"z{j}" for j in range(99))), (12, "plain words " * 9), (None, item), (None, long[2] + " more"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert left.columns == docs.columns
+    kept = {r.n_chars for r in left.collect()}
+    assert len(kept) == left.count() and kept - {1, 2, 5, 6, 7, 8, 10, 11} == {0, 3, 12, 13, 14, 15, 16, 17, 18, 19, 20}
+    assert all(len(kept & pair) == 1 for pair in ({1, 2}, {5, 6}, {7, 8}, {10, 11}))
+    clean = corpus_pipeline.drop_benchmark_leaks(spark, docs, FOLDER)
+    assert clean.columns == docs.columns and sorted(r.n_chars for r in clean.collect()) == [k for k in range(len(rows)) if k not in (17, 18, 19, 21)]
