@@ -17,7 +17,9 @@ Two kinds of skipping keep large groups of similar sets from costing all their p
   position band; a pair of blocks is skipped when its bounds on size, position and component
   leave no possible link.
 
-Every pair that could link is decided by such bounds or by counting the common shingles.
+Every pair that could link is decided by such bounds or by counting the common shingles; for
+components, pairs of sets already in one component are passed over, for ``linked_pairs`` and
+``link_counts`` none is.  Their work grows with the pairs within groups of similar sets.
 Shingles are 64-bit hashes; sets are told apart by 128 bits.
 
 Defined cases: a document of one to four words has its whole sequence as its one shingle; null,
@@ -28,7 +30,7 @@ own; the component is named by the smallest non-null doc_id in it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -301,18 +303,24 @@ def _derived(pairs: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
     return out.select("a", "b", "na", "nb", lb.alias("lb"), ub.alias("ub"))
 
 
-def _linked_rows(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, int]:
-    """doc_id, n_shingles, component_id, node and root of every row; also the salt of the nodes."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    source = _text_column(docs, key, text)
-    paths: list[str] = []
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _keeper(paths: list[str]) -> Keep:
+    """stored(), with the paths noted."""
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out, path = stored(df, name)
         paths.append(path)
         return out
 
+    return keep
+
+
+def _met(docs: DataFrame, key: str, text: str, width: int, percent: int, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame, Verifier, int]:
+    """Rows with their nodes, entries of shared tokens, pairs compared with pivots, what verifies others, and the salt."""
+    small_batches(docs.sparkSession)
+    source = _text_column(docs, key, text)
     for salt in range(8):
         scan = keep(_scan(source, width, salt), "scan")
         rows = scan.where("kind = 0").select("doc_id", "n", "node", "check")
@@ -336,14 +344,29 @@ def _linked_rows(docs: DataFrame, key: str, text: str, width: int, percent: int)
     lists = shared.join(facts, "node").withColumn("pivot", F.max(F.struct("central", "node", "n", "pos")).over(w))
     verifier = Verifier(source, where.select("node", "doc_id"), width, salt, repeated)
     checked = keep(verifier.overlaps(keep(_pivot_pairs(lists, percent), "pivots")), "checked")
-    links = checked.where(_linked(percent)).select("a", "b")
-    roots = keep(components(links), "roots")
-    left = _block_pairs(_blocks(shared.join(facts.select("node", "n"), "node"), roots, percent), percent)
+    return rows, shared.join(facts.select("node", "n"), "node"), checked, verifier, salt
+
+
+def _told(entries: DataFrame, roots: DataFrame, checked: DataFrame, percent: int, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs of sets with different roots: links that follow from the pivots' overlaps, and pairs left to count."""
+    left = _block_pairs(_blocks(entries, roots, percent), percent)
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = keep(_derived(left.join(done, ["a", "b"], "left_anti"), checked, percent), "left")
     need = (F.col("na") + F.col("nb")) * percent
-    links = keep(links.unionByName(left.where(F.col("lb") * (100 + percent) >= need).select("a", "b")), "links")
     open_pairs = left.where((F.col("lb") * (100 + percent) < need) & (F.col("ub") * (100 + percent) >= need)).select("a", "b", "na", "nb")
+    return left.where(F.col("lb") * (100 + percent) >= need).select("a", "b"), open_pairs
+
+
+def _linked_rows(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, component_id, node and root of every row; also the salt of the nodes."""
+    spark = docs.sparkSession
+    paths: list[str] = []
+    keep = _keeper(paths)
+    rows, entries, checked, verifier, salt = _met(docs, key, text, width, percent, keep)
+    links = checked.where(_linked(percent)).select("a", "b")
+    roots = keep(components(links), "roots")
+    sure, open_pairs = _told(entries, roots, checked, percent, keep)
+    links = keep(links.unionByName(sure), "links")
     # one pair for each pair of components, then up to eight, then all that are left
     for most in (1, 8, None):
         roots = keep(components(links), "roots")
@@ -377,6 +400,40 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return _linked_rows(docs, key, text, width, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
+def _linked_nodes(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their nodes, and all linked pairs of nodes (a < b), those within components, too."""
+    paths: list[str] = []
+    keep = _keeper(paths)
+    rows, entries, checked, verifier, _ = _met(docs, key, text, width, percent, keep)
+    # with each set its own root no pair is passed over
+    sure, open_pairs = _told(entries, entries.select("node", F.col("node").alias("root")).distinct(), checked, percent, keep)
+    found = keep(verifier.overlaps(keep(open_pairs, "open")), "found")
+    pairs = checked.where(_linked(percent)).select("a", "b").unionByName(sure).unionByName(found.where(_linked(percent)).select("a", "b"))
+    pairs, _ = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    rows, _ = stored(rows, "rows")
+    for path in paths:
+        drop(docs.sparkSession, path)
+    return rows, pairs
+
+
+def linked_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_a and doc_b (doc_a < doc_b) of every pair of different sets that link; each set goes by its smallest doc_id."""
+    rows, pairs = _linked_nodes(docs, key, text, width, percent)
+    name = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    pairs = pairs.join(name.select(F.col("node").alias("a"), F.col("doc").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("doc").alias("y")), "b")
+    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id and n_links of every row: how many other rows it links with, copies included."""
+    rows, pairs = _linked_nodes(docs, key, text, width, percent)
+    held = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ways.join(held.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near"))
+    counts = held.join(near, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return rows.join(counts, "node", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def _nodes(docs: DataFrame, text: str, out: str, salt: int) -> DataFrame:
     """Append the node of each row's set; null for the empty set."""
 

@@ -366,6 +366,20 @@ def test_jaccard(spark, texts):
     assert jaccard.link_components(docs.where("false")).isEmpty()
 
 
+def test_jaccard_pairs_and_counts(spark, texts):
+    chain = [" ".join(f"c{j}" for j in range(i, i + 60)) for i in range(0, 40, 2)]
+    docs = make_docs(spark, [*texts, *chain, *["same old words in here again"] * 30])
+    sets = {}
+    for r in docs.collect():
+        w = words(r.text)
+        sets[r.doc_id] = frozenset({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    linked = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    first = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    got = [(r.doc_a, r.doc_b) for r in jaccard.linked_pairs(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in linked if a < b and sets[a] != sets[b] and first[sets[a]] == a and first[sets[b]] == b}
+    assert {r.doc_id: r.n_links for r in jaccard.link_counts(docs).collect()} == {i: sum(a == i for a, _ in linked) for i in sets}
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(400, 460)]
