@@ -7,7 +7,9 @@ linked list whose pair has that rank, three levels of 64-way bitmaps tell in thr
 find-first-set steps which bucket comes next, and entries whose pair has changed meanwhile are
 skipped when they come up.  A pre-token of n bytes costs O(n log n) whatever its length.
 
-Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes;
+Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; rows
+that repeat are encoded one by one and an empty table gives an empty result; an input column named
+as a new one is replaced;
 bytes that are no UTF-8 are read as U+FFFD; null ids decode to no bytes; an id outside the
 vocabulary raises ``ValueError``.
 """
@@ -25,8 +27,9 @@ from pyspark.sql import types as T
 
 from .mapping import gather, list_array, map_text
 from .textkit import _byte_values, span_hashes
+from .workers import released
 
-CACHE_PIECES = 200_000
+CACHE_BYTES = 16 << 20
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -292,11 +295,12 @@ def distinct_pieces(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class ChunkEncoder:
-    """Encodes chunks; keeps the ids of up to ``CACHE_PIECES`` pre-tokens between them."""
+    """Encodes chunks; between them it keeps the ids of pre-tokens, in about ``CACHE_BYTES``."""
 
     def __init__(self, bpe: ByteBPE):
         self.bpe = bpe
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         data, cuts, bounds = split_pieces(data, offsets)
@@ -305,8 +309,9 @@ class ChunkEncoder:
         first, which = distinct_pieces(data, cuts)
         raw = data.tobytes()
         cache = self.cache
-        if len(cache) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
         pieces = [raw[a:b] for a, b in zip(cuts[first].tolist(), cuts[first + 1].tolist(), strict=True)]
         found = [cache.get(piece) for piece in pieces]
         new = [i for i, ids in enumerate(found) if ids is None]
@@ -317,19 +322,15 @@ class ChunkEncoder:
                 found[i] = flat[a:b].tobytes()
                 if len(pieces[i]) <= 64:
                     cache[pieces[i]] = found[i]
+                    self.held += len(pieces[i]) + len(found[i]) + 180  # two objects and an entry
         table = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in found])])
         ids, ends = gather(np.frombuffer(b"".join(found), dtype=np.int32), table, which)
         return [list_array(ids, np.concatenate([[0], ends])[bounds], pa.int32())]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def _encoder(path: str, ranks: dict[bytes, int] | None = None) -> ChunkEncoder:
-    """The worker's encoder for a rank file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(ByteBPE(ranks if ranks is not None else load_ranks(path)))
-    return _encoders[path]
+def _encoder(path: str) -> ChunkEncoder:
+    """An encoder for a rank file; each task loads its own and drops it."""
+    return ChunkEncoder(ByteBPE(load_ranks(path)))
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", rank_file: str | None = None) -> DataFrame:
@@ -361,7 +362,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", rank_file:
                 cuts = np.concatenate([[0], ends])[bounds - bounds[0]]
                 yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(width)] + [_binary(data, cuts)], names=[*names, decoded])
 
-    return source.mapInArrow(run, T.StructType([*kept, T.StructField(decoded, T.BinaryType(), False)]))
+    return source.mapInArrow(released(run), T.StructType([*kept, T.StructField(decoded, T.BinaryType(), False)]))
 
 
 def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import drop, stored
+from .workers import released
 
 
 LOCAL_LINKS = 1_000_000  # 16 MB of node ids
@@ -62,7 +63,7 @@ def _local_stars(edges: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in star(held)], names=["a", "b"])
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(released(run), "a long, b long")
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:

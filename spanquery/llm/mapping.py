@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,16 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .textkit import chunks
+from .workers import released
 
 BATCH_ROWS = 1_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows: texts and sets are long, and the
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_ROWS`` rows for what runs inside: texts and sets are long, and the
     default of ten thousand holds tens of megabytes in every task, once on each side of the pipe."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 ChunkFunction = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
@@ -38,7 +46,6 @@ def map_text(
     ``keep`` names the input columns to carry over (all by default); one that has the name of a
     new column is replaced by it.  A null text is read as the empty one.
     """
-    small_batches(df.sparkSession)
     names = {f.name.lower() for f in new}
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in names]
     kept_names = [f.name for f in kept]
@@ -56,7 +63,7 @@ def map_text(
                 rows = batch.slice(at, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(width)] + fn(data, offsets), names=out_names)
 
-    return source.mapInArrow(run, T.StructType(kept + new))
+    return source.mapInArrow(released(run), T.StructType(kept + new))
 
 
 def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 WORD_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _U = np.uint64
@@ -47,10 +47,12 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _power_table(kind: str, n: int) -> np.ndarray:
+    """At least ``n`` powers; the tables kept suit a chunk, one for a longer text lives as long as its use."""
     have = _tables.get(kind)
     if have is None or len(have) < n:
         have = powers(max(n, 2 * CHUNK_BYTES), _POWER if kind == "up" else _inverse)
-        _tables[kind] = have
+        if n <= 2 * CHUNK_BYTES:
+            _tables[kind] = have
     return have
 
 

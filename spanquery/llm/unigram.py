@@ -12,7 +12,10 @@ character outside the vocabulary is spelled by its UTF-8 bytes, one token each,
 all pieces.  A text gets a leading space and spaces are written as U+2581, as the file's
 normaliser says; pre-tokens start at runs of spaces, which no piece crosses (checked on loading).
 
-Defined cases: null and empty texts have no tokens; bytes that are no UTF-8 count as U+FFFD.
+Defined cases: null and empty texts have no tokens; bytes that are no UTF-8 count as U+FFFD; rows
+that repeat are counted one by one; a pre-token of any length is counted whole, in memory that is
+bounded but for the pre-token itself; an empty table gives an empty result; an input column named
+as the new one is replaced.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ def load_scores(path: str) -> dict[str, float]:
 
 
 class PrefixTrie:
-    """Forward scores of all prefixes seen; cleared when it has ``MAX_NODES`` nodes."""
+    """Forward scores of all prefixes seen; it has ``MAX_NODES`` nodes at most and is cleared when full."""
 
     def __init__(self, scores: dict[str, float]):
         for piece in scores:
@@ -66,43 +69,43 @@ class PrefixTrie:
         self.tokens = [0]
 
     def count(self, pretoken: str) -> int:
-        """Number of tokens of the best segmentation; the fewest among equal scores."""
-        if len(self.best) > MAX_NODES:
+        """Number of tokens of the best segmentation; the fewest among equal scores.
+
+        The scores of the last prefixes, as far back as a piece reaches, are at hand in two short
+        lists; what goes beyond a full trie is computed from them and not inserted.
+        """
+        if len(self.best) >= MAX_NODES:
             self.clear()
         children, best, tokens, scores = self.children, self.best, self.tokens, self.scores
-        node, path = 0, [0]
+        node, behind = 0, 0
+        sums, numbers = [0.0], [0]
         for i, c in enumerate(pretoken):
-            child = children.get((node, c))
-            if child is None:
-                prior = path[i]
-                top, n = best[prior] + self.spelled, tokens[prior] + len(c.encode("utf-8", "replace"))
+            child = children.get((node, c), -1)
+            if child >= 0:
+                top, n = best[child], tokens[child]
+            else:
+                top, n = sums[-1] + self.spelled, numbers[-1] + len(c.encode("utf-8", "replace"))
                 for j in range(max(0, i + 1 - self.longest), i + 1):
                     score = scores.get(pretoken[j : i + 1])
                     if score is not None:
-                        at = path[j]
-                        total = best[at] + score
-                        if total > top or total == top and tokens[at] + 1 < n:
-                            top, n = total, tokens[at] + 1
-                child = len(best)
-                children[node, c] = child
-                best.append(top)
-                tokens.append(n)
+                        total = sums[j - behind] + score
+                        if total > top or total == top and numbers[j - behind] + 1 < n:
+                            top, n = total, numbers[j - behind] + 1
+                if node >= 0 and len(best) < MAX_NODES:
+                    child = len(best)
+                    children[node, c] = child
+                    best.append(top)
+                    tokens.append(n)
             node = child
-            path.append(node)
-        return tokens[node]
+            sums.append(top)
+            numbers.append(n)
+            if len(sums) > 4 * self.longest + 64:
+                behind += len(sums) - self.longest - 1
+                del sums[: -self.longest - 1], numbers[: -self.longest - 1]
+        return numbers[-1]
 
 
 _values = _byte_values(0x7E1E)
-_tries: dict[str, PrefixTrie] = {}
-
-
-def _trie(path: str) -> PrefixTrie:
-    """The worker's trie for a model file, kept between tasks."""
-    if path not in _tries:
-        _tries[path] = PrefixTrie(load_scores(path))
-    return _tries[path]
-
-
 def chunk_counts(trie: PrefixTrie, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Token count of each row."""
     if not len(data):
@@ -133,7 +136,7 @@ def token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens", mod
     path = model_file or default_model_file()
 
     def start():
-        trie = _trie(path)
+        trie = PrefixTrie(load_scores(path))
         return lambda data, offsets: [pa.array(chunk_counts(trie, data, offsets))]
 
     return map_text(docs, text, start, [T.StructField(out, T.LongType(), False)], keep)
@@ -141,5 +144,6 @@ def token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens", mod
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and bytes_per_token of every document."""
-    counted = token_counts(docs.select("doc_id", "text"), keep=["doc_id", "text"])
-    return counted.select("doc_id", "n_tokens", (F.coalesce(F.octet_length("text"), F.lit(0)) / F.nullif(F.col("n_tokens"), F.lit(0))).alias("bytes_per_token"))
+    sized = docs.select("doc_id", "text", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).alias("bytes"))
+    counted = token_counts(sized, keep=["doc_id", "bytes"])
+    return counted.select("doc_id", "n_tokens", (F.col("bytes") / F.nullif(F.col("n_tokens"), F.lit(0))).alias("bytes_per_token"))
