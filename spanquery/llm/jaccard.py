@@ -3,8 +3,11 @@
 Two documents link when the Jaccard similarity of their sets of word shingles is at least
 ``percent``.  Equal sets are one node from the start.  Nodes meet through a prefix index: with
 the shingles of a set in a global order, rare ones first, two sets that link share one of their
-first n - ceil(percent * n) + 1 shingles.  The order comes from a fixed-size counter sketch
-summed over all documents, so that frequent passages stay out of the prefixes.
+first n - ceil(percent * n) + 1 shingles.  The order comes from a counter sketch of fixed size,
+summed over all documents: a counter that holds only rare shingles is about the mean, with a spread
+of its square root, and what stands out from that by ever more is ever later in the order.  So
+frequent passages stay out of the prefixes while they are frequent against the square root of the
+shingles a counter, not against their number.
 
 Two kinds of skipping keep large groups of similar sets from costing all their pairs:
 
@@ -22,10 +25,14 @@ components, pairs of sets already in one component are passed over, for ``linked
 ``link_counts`` none is.  Their work grows with the pairs within groups of similar sets.
 Shingles are 64-bit hashes; sets are told apart by 128 bits.
 
+Hot shingles, by the sketch, are dealt out by token and node; all later joins on a token, a pivot or
+a root are of stored tables with at most one row a key on one side, which Spark can split.
+
 Defined cases: a document of one to four words has its whole sequence as its one shingle; null,
-empty and wordless texts have the empty set, link with nothing and are their own component; a
-null doc_id gets a null component, unless its set equals that of a row with one; rows that share a doc_id are rows of their
-own; the component is named by the smallest non-null doc_id in it.
+empty and wordless texts have the empty set, link with nothing and are their own component; rows
+with a null doc_id link like others, and the component is named by the smallest non-null doc_id in
+it, null if it has none; rows that share a doc_id are rows of their own; a very long text is one
+set, taken whole; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -43,13 +50,16 @@ from .components import components
 from .mapping import ChunkFunction, map_text, small_batches
 from .storage import drop, stored
 from .textkit import chunks, distinct_per_row, mix64, per_row_sum, shingles, word_hashes, word_spans
+from .workers import released
 
 WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 20
 BLOCK = 128
 BROADCAST_ROWS = 200_000
+HOT_ROWS = 4096  # documents with a shingle, by the sketch, for each group that it is dealt to
 _SKETCH_ROWS = 1 << 14  # counters a row of the sketch table
+_FLUSH = 1 << 21  # shingles counted at a time
 
 _U = np.uint64
 
@@ -69,29 +79,47 @@ def signatures(found: np.ndarray, bounds: np.ndarray, salt: int) -> tuple[np.nda
     return one.view(np.int64), two.view(np.int64)
 
 
+def _stand_in(text: str) -> Column:
+    """A number of a text for rows without a key, greater than any key below 2^62."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 1).bitwiseOR(F.lit(1 << 62))
+
+
 def _text_column(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """doc_id, at (by which a row's text is fetched again) and text."""
+    number = F.col(key).cast("long")
+    return docs.select(number.alias("doc_id"), F.coalesce(number, _stand_in(text)).alias("at"), F.col(text).cast("string").alias("text"))
 
 
 def _scan(docs: DataFrame, width: int, salt: int) -> DataFrame:
     """Rows of kind 0: a document's set size and signatures; of kind 1: counters of a task."""
-    schema = "kind int, doc_id long, n int, node long, check long, block int, counts binary"
+    schema = "kind int, doc_id long, at long, n int, node long, check long, block int, counts binary"
+    fields = [("kind", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("check", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("check", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())]
         names = pa.schema(fields)
         counters = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            if waiting:
+                at, times = np.unique(np.concatenate(waiting), return_counts=True)
+                counters[at] += times.astype(np.uint32)
+                waiting.clear()
+
         for batch in batches:
-            for at, data, offsets in chunks(batch.column(1)):
+            for at, data, offsets in chunks(batch.column(2)):
                 m = len(offsets) - 1
                 found, bounds = chunk_sets(data, offsets, width)
-                counters += np.bincount((found >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counters)).astype(np.uint32)
+                waiting.append((found >> _U(64 - SKETCH_BITS)).astype(np.int32))
+                if sum(map(len, waiting)) > _FLUSH:
+                    count()
                 one, two = signatures(found, bounds, salt)
                 empty = np.diff(bounds) == 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.zeros(m, dtype=np.int32)),
                         batch.column(0).slice(at, m),
+                        batch.column(1).slice(at, m),
                         pa.array(np.diff(bounds).astype(np.int32)),
                         pa.array(one, mask=empty),
                         pa.array(two, mask=empty),
@@ -100,24 +128,25 @@ def _scan(docs: DataFrame, width: int, salt: int) -> DataFrame:
                     ],
                     schema=names,
                 )
+        count()
         rows = counters.reshape(-1, _SKETCH_ROWS)
         used = [i for i in range(len(rows)) if rows[i].any()]
         k = len(used)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.ones(k, dtype=np.int32)),
-                *(pa.nulls(k, f[1]) for f in fields[1:5]),
+                *(pa.nulls(k, f[1]) for f in fields[1:6]),
                 pa.array(used, type=pa.int32()),
                 pa.array([rows[i].astype("<u4").tobytes() for i in used], type=pa.binary()),
             ],
             schema=names,
         )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
-def _order(scan: DataFrame) -> np.ndarray:
-    """Log-scaled counters: 2^SKETCH_BITS bytes, whatever the input."""
+def _order(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each counter, 2^SKETCH_BITS bytes whatever the input, and the groups to deal a shingle of each rank to."""
 
     def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -133,23 +162,32 @@ def _order(scan: DataFrame) -> np.ndarray:
             out += np.frombuffer(counts, dtype=np.uint64)
         return pd.DataFrame({"block": [int(a["block"].iloc[0])], "counts": [out.tobytes()]})
 
-    parts = scan.where("kind = 1").select("block", "counts").mapInPandas(add, "block int, counts binary")
-    order = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    parts = scan.where("kind = 1").select("block", "counts").mapInPandas(released(add), "block int, counts binary")
+    counts = np.zeros(1 << SKETCH_BITS)
     for row in parts.groupBy("block").applyInPandas(total, "block int, counts binary").collect():
-        counts = np.frombuffer(bytes(row.counts), dtype=np.uint64).astype(float)
-        order[row.block * _SKETCH_ROWS : (row.block + 1) * _SKETCH_ROWS] = np.minimum(255, np.round(6 * np.log2(1 + counts)))
-    return order
+        counts[row.block * _SKETCH_ROWS : (row.block + 1) * _SKETCH_ROWS] = np.frombuffer(bytes(row.counts), dtype=np.uint64)
+    return ranks(counts)
+
 
+def ranks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far each counter stands out from the usual ones, on a log scale, and the groups of each rank."""
+    usual = float(np.median(counts))
+    spread = max(1.0, usual**0.5)
+    above = np.maximum(counts - usual, 0) / spread
+    rank = np.minimum(255, np.round(8 * np.log2(1 + above))).astype(np.uint8)
+    held = spread * (2 ** (np.arange(256) / 8) - 1)
+    return rank, np.maximum(1, np.ceil(held / HOT_ROWS)).astype(np.int64)
 
-def _prefixes(docs: DataFrame, order: np.ndarray, width: int, percent: int, salt: int) -> DataFrame:
-    """Index entries: token, node and pos, the place of the token in the set's order."""
+
+def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int, percent: int, salt: int) -> DataFrame:
+    """Index entries: token, part (-1, or the group that a hot token's entry is dealt to), node and pos, the place of the token in the set's order."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
+        rank, ways = shared.value
         seen: set[int] = set()
         for batch in batches:
-            for _, data, offsets in chunks(batch.column(1)):
+            for _, data, offsets in chunks(batch.column(0)):
                 found, bounds = chunk_sets(data, offsets, width)
                 if not len(found):
                     continue
@@ -165,10 +203,12 @@ def _prefixes(docs: DataFrame, order: np.ndarray, width: int, percent: int, salt
                 pos = np.arange(len(found)) - np.repeat(bounds[:-1], n)
                 length = n - (percent * n + 99) // 100 + 1
                 keep = (pos < length[rows]) & new[rows]
-                rows = rows[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(node[rows]), pa.array(pos[keep].astype(np.int32))], names=["token", "node", "pos"])
+                rows, groups = rows[keep], ways[weight[keep]]
+                part = np.where(groups > 1, (mix64(node[rows].view(_U)) % groups.astype(_U)).astype(np.int64), -1)
+                columns = [found[keep].view(np.int64), part.astype(np.int32), node[rows], pos[keep].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "part", "node", "pos"])
 
-    return docs.mapInArrow(run, "token long, node long, pos int")
+    return docs.select("text").mapInArrow(released(run), "token long, part int, node long, pos int")
 
 
 def _possible(na: Column, nb: Column, left_a: Column, left_b: Column, percent: int) -> Column:
@@ -181,38 +221,41 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
 class Verifier:
-    """Counts common shingles of pairs of nodes; keeps the sets it has fetched."""
+    """Counts common shingles of pairs of nodes; ``where`` has a row's ``at`` for each node, ``keep`` stores a table."""
 
-    def __init__(self, docs: DataFrame, where: DataFrame, width: int, salt: int, repeated: bool):
-        self.docs, self.where, self.width, self.salt, self.repeated = docs, where, width, salt, repeated
+    def __init__(self, docs: DataFrame, where: DataFrame, width: int, salt: int, repeated: bool, keep: Keep):
+        self.docs, self.where, self.width, self.salt, self.repeated, self.keep = docs, where, width, salt, repeated, keep
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """node and its sorted shingle hashes."""
+        """node, lead and the sorted shingle hashes of stored nodes (node, lead)."""
         width, salt = self.width, self.salt
-        wanted, _ = stored(self.where.join(nodes, "node").select("doc_id", "node"), "wanted")
-        texts = self.docs.join(_bounded(wanted), "doc_id").select("node", "text")
+        wanted = self.keep(self.where.join(nodes, "node").select("at", "node", "lead"), "wanted")
+        texts = self.docs.join(_bounded(wanted), "at").select("node", "lead", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at, data, offsets in chunks(batch.column(1)):
+                for at, data, offsets in chunks(batch.column(2)):
                     found, bounds = chunk_sets(data, offsets, width)
                     one, _ = signatures(found, bounds, salt)
                     node = batch.column(0).slice(at, len(one)).to_numpy()
                     right = np.flatnonzero(one == node)
                     raw = [found[bounds[i] : bounds[i + 1]].tobytes() for i in right]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[right]), pa.array(raw, type=pa.binary())], names=["node", "hashes"])
+                    lead = batch.column(1).slice(at, len(one)).take(pa.array(right))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[right]), lead, pa.array(raw, type=pa.binary())], names=["node", "lead", "hashes"])
 
-        sets = texts.mapInArrow(run, "node long, hashes binary")
+        sets = texts.mapInArrow(released(run), "node long, lead boolean, hashes binary")
         return sets.dropDuplicates(["node"]) if self.repeated else sets
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """Append o, the number of common shingles, to stored pairs (a, b, na, nb)."""
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets, _ = stored(self.sets(nodes), "sets")
+        nodes = pairs.select(F.col("a").alias("node"), F.lit(True).alias("lead")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(False).alias("lead")))
+        sets = self.keep(self.sets(nodes.groupBy("node").agg(F.max("lead").alias("lead"))), "sets")
         both = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")).join(_bounded(pairs), "b")
-        first = sets.join(_bounded(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
-        both = both.join(first.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+        both = both.join(sets.where("lead").select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -222,7 +265,7 @@ class Verifier:
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, type=pa.int64())], names=["a", "b", "na", "nb", "o"])
 
-        return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long, na long, nb long, o long")
+        return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(released(run), "a long, b long, na long, nb long, o long")
 
 
 def _linked(percent: int) -> Column:
@@ -236,12 +279,12 @@ def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return near.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), p.cast("long").alias("na"), n.cast("long").alias("nb")).distinct()
 
 
-def _blocks(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _blocks(entries: DataFrame, roots: DataFrame, percent: int, keep: Keep) -> DataFrame:
     """Blocks of the lists that hold sets of more than one component."""
-    entries = lists.select("token", "node", "n", "pos").distinct().join(roots, "node", "left")
-    entries = entries.select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    w = Window.partitionBy("token")
-    entries = entries.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w), "rows": F.count(F.lit(1)).over(w)}).where("lo <> hi")
+    root = F.coalesce("root", "node")
+    held = entries.select("token", "node").join(roots, "node", "left").groupBy("token")
+    lists = keep(held.agg(F.min(root).alias("lo"), F.max(root).alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("token", "rows"), "lists")
+    entries = entries.select("token", "node", "n", "pos").join(_bounded(lists), "token").join(roots, "node", "left").withColumn("root", root)
     n, pos = F.col("n"), F.col("pos")
     entries = entries.select(
         "token", "node", "root", n.cast("long").alias("n"), pos.cast("long").alias("pos"),
@@ -288,13 +331,13 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                 a, b, sa, sb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, sb, sa), np.where(swap, sa, sb)
                 yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (a, b, sa, sb)], names=["a", "b", "na", "nb"])
 
-    return pairs.mapInArrow(run, "a long, b long, na long, nb long").distinct()
+    return pairs.mapInArrow(released(run), "a long, b long, na long, nb long").distinct()
 
 
-def _derived(pairs: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+def _derived(pairs: DataFrame, checked: DataFrame, percent: int, keep: Keep) -> DataFrame:
     """Append lb and ub on the overlap, from what both sets have in common with one pivot."""
     told = checked.select(F.col("b").alias("node"), F.struct("o", F.col("a").alias("x"), F.col("na").alias("nx")).alias("best"))
-    told = told.groupBy("node").agg(F.max("best").alias("best"))
+    told = keep(told.groupBy("node").agg(F.max("best").alias("best")), "told")
     out = pairs.join(told.select(F.col("node").alias("a"), F.col("best").alias("p")), "a", "left")
     out = out.join(told.select(F.col("node").alias("b"), F.col("best").alias("q")), "b", "left")
     same = F.col("p.x") == F.col("q.x")
@@ -303,9 +346,6 @@ def _derived(pairs: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
     return out.select("a", "b", "na", "nb", lb.alias("lb"), ub.alias("ub"))
 
 
-Keep = Callable[[DataFrame, str], DataFrame]
-
-
 def _keeper(paths: list[str]) -> Keep:
     """stored(), with the paths noted."""
 
@@ -319,39 +359,39 @@ def _keeper(paths: list[str]) -> Keep:
 
 def _met(docs: DataFrame, key: str, text: str, width: int, percent: int, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame, Verifier, int]:
     """Rows with their nodes, entries of shared tokens, pairs compared with pivots, what verifies others, and the salt."""
-    small_batches(docs.sparkSession)
     source = _text_column(docs, key, text)
     for salt in range(8):
         scan = keep(_scan(source, width, salt), "scan")
-        rows = scan.where("kind = 0").select("doc_id", "n", "node", "check")
+        rows = scan.where("kind = 0").select("doc_id", "at", "n", "node", "check")
         # two different sets with one 64-bit node id: practically never; then take another salt
-        if rows.where("node is not null").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").isEmpty():
+        nodes = rows.where("node is not null").groupBy("node").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("check").alias("x"), F.max("check").alias("y"))
+        nodes = keep(nodes, "nodes")
+        if nodes.where("x <> y").isEmpty():
             break
     else:
         raise RuntimeError("set signatures keep clashing")
-    where = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    repeated = not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    order = _order(scan)
-    w = Window.partitionBy("token")
-    lists = _prefixes(source, order, width, percent, salt).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)})
-    # what is left are tokens that different sets share
-    shared = keep(lists.where("lo <> hi").select("token", "node", "pos"), "shared")
+    repeated = not rows.groupBy("at").count().where("count > 1").isEmpty()
+    w = Window.partitionBy("token", "part")
+    lists = _prefixes(source, _order(scan), width, percent, salt).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)})
+    # what is left are tokens that different sets share, and hot ones; copies in several tasks go
+    shared, path = stored(lists.where("part >= 0 or lo <> hi").dropDuplicates(["token", "part", "node", "pos"]).select("token", "node", "pos"), "shared")
     # the most central set of a list is the one that shares most of its prefix
-    nodes = rows.where("node is not null").select("node", "n").distinct()
-    held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("held")).join(nodes, "node")
+    held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("held")).join(nodes.select("node", "n"), "node")
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     facts = keep(held.select("node", "n", F.floor(F.col("held") * 1000 / length).cast("int").alias("central")), "facts")
-    lists = shared.join(facts, "node").withColumn("pivot", F.max(F.struct("central", "node", "n", "pos")).over(w))
-    verifier = Verifier(source, where.select("node", "doc_id"), width, salt, repeated)
-    checked = keep(verifier.overlaps(keep(_pivot_pairs(lists, percent), "pivots")), "checked")
-    return rows, shared.join(facts.select("node", "n"), "node"), checked, verifier, salt
+    entries = keep(shared.join(facts, "node"), "entries")
+    drop(docs.sparkSession, path)
+    pivots = keep(entries.groupBy("token").agg(F.max(F.struct("central", "node", "n", "pos")).alias("pivot")), "lists")
+    verifier = Verifier(source, nodes.select("node", "at"), width, salt, repeated, keep)
+    checked = keep(verifier.overlaps(keep(_pivot_pairs(entries.join(pivots, "token"), percent), "pivots")), "checked")
+    return rows, entries.select("token", "node", "n", "pos"), checked, verifier, salt
 
 
 def _told(entries: DataFrame, roots: DataFrame, checked: DataFrame, percent: int, keep: Keep) -> tuple[DataFrame, DataFrame]:
     """Of the pairs of sets with different roots: links that follow from the pivots' overlaps, and pairs left to count."""
-    left = _block_pairs(_blocks(entries, roots, percent), percent)
+    left = _block_pairs(_blocks(entries, roots, percent, keep), percent)
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = keep(_derived(left.join(done, ["a", "b"], "left_anti"), checked, percent), "left")
+    left = keep(_derived(left.join(done, ["a", "b"], "left_anti"), checked, percent, keep), "left")
     need = (F.col("na") + F.col("nb")) * percent
     open_pairs = left.where((F.col("lb") * (100 + percent) < need) & (F.col("ub") * (100 + percent) >= need)).select("a", "b", "na", "nb")
     return left.where(F.col("lb") * (100 + percent) >= need).select("a", "b"), open_pairs
@@ -359,6 +399,11 @@ def _told(entries: DataFrame, roots: DataFrame, checked: DataFrame, percent: int
 
 def _linked_rows(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, int]:
     """doc_id, n_shingles, component_id, node and root of every row; also the salt of the nodes."""
+    with small_batches(docs.sparkSession):
+        return _decided(docs, key, text, width, percent)
+
+
+def _decided(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     paths: list[str] = []
     keep = _keeper(paths)
@@ -387,7 +432,7 @@ def _linked_rows(docs: DataFrame, key: str, text: str, width: int, percent: int)
     else:
         roots = keep(components(links), "roots")
     named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
+    first = keep(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first")), "first")
     out = named.join(first, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), "node", "root")
     result, _ = stored(out, "components")
     for path in paths:
@@ -404,13 +449,14 @@ def _linked_nodes(docs: DataFrame, key: str, text: str, width: int, percent: int
     """Rows with their nodes, and all linked pairs of nodes (a < b), those within components, too."""
     paths: list[str] = []
     keep = _keeper(paths)
-    rows, entries, checked, verifier, _ = _met(docs, key, text, width, percent, keep)
-    # with each set its own root no pair is passed over
-    sure, open_pairs = _told(entries, entries.select("node", F.col("node").alias("root")).distinct(), checked, percent, keep)
-    found = keep(verifier.overlaps(keep(open_pairs, "open")), "found")
-    pairs = checked.where(_linked(percent)).select("a", "b").unionByName(sure).unionByName(found.where(_linked(percent)).select("a", "b"))
-    pairs, _ = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    rows, _ = stored(rows, "rows")
+    with small_batches(docs.sparkSession):
+        rows, entries, checked, verifier, _ = _met(docs, key, text, width, percent, keep)
+        # with each set its own root no pair is passed over
+        sure, open_pairs = _told(entries, entries.select("node", F.col("node").alias("root")).distinct(), checked, percent, keep)
+        found = keep(verifier.overlaps(keep(open_pairs, "open")), "found")
+        pairs = checked.where(_linked(percent)).select("a", "b").unionByName(sure).unionByName(found.where(_linked(percent)).select("a", "b"))
+        pairs, _ = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        rows, _ = stored(rows, "rows")
     for path in paths:
         drop(docs.sparkSession, path)
     return rows, pairs
@@ -450,8 +496,7 @@ def _nodes(docs: DataFrame, text: str, out: str, salt: int) -> DataFrame:
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, one of the smallest key, null keys last; rows without words stay."""
     # texts stand in for null keys; should two have one number, it is a repeated key like any other
-    instead = F.shiftrightunsigned(F.xxhash64(text), 1).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), instead))
+    keyed = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), _stand_in(text)))
     found, salt = _linked_rows(keyed, "__id", text, WIDTH, PERCENT)
     later = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
     again, path = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "again")
