@@ -1,11 +1,11 @@
 """Language identification by error-correcting output codes (operator 3).
 
 Each language has a codeword of ``bits`` signs.  One linear classifier a bit, over hashed byte
-2- and 3-grams of the lower-cased text, predicts whether the text's language has that bit set;
-the codeword of least weighted loss decides, each bit weighing as much as its classifier is
-right about that language on the rows learned from.  A text whose second-best codeword is within
-``margin`` of the best is flagged as ambiguous.  Up to six languages get the exhaustive code of
-2^(k-1)-1 bits, more get pseudo-random balanced columns.
+2- and 3-grams of the lower-cased text, predicts whether the text's language has that bit set.
+Every fifth row of a language is kept out of the fit and tells how often each bit is right about
+that language; the codeword of least loss decides, each bit's loss weighted by the log odds of
+that.  A text whose second-best codeword is within ``margin`` of the best is flagged as ambiguous.
+Up to six languages get the exhaustive code of 2^(k-1)-1 bits, more get pseudo-random balanced columns.
 
 The classifiers are fitted on the driver from at most ``max_fit_rows`` rows (those of smallest
 ``xxhash64(doc_id)``), of which only n-gram counts are fetched; scoring is one pass without a
@@ -13,7 +13,9 @@ shuffle and without any other input than the text.
 
 Defined cases: null, empty and letterless texts get ``und`` with score 0; nothing learned means
 ``und`` for all; one language learned means that language with score 1; null languages are not
-learned from.
+learned from, any other value is a language, the empty string included; rows that share a doc_id
+are learned from and told one by one; a very long text is counted whole; an empty table gives an
+empty result; an input column named as a new one is replaced.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .mapping import map_text
+from .sampling import first_keys, remainder
 from .textkit import lowered
 
 BINS = 4096
 MAX_FIT_ROWS = 5_000
 MARGIN = 0.05
+KEEP_OUT = 5
 
 
 def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -115,39 +119,56 @@ class CodeModel:
         return best, 1 / share.sum(axis=1), lead
 
 
+def _classifiers(x: np.ndarray, y: np.ndarray, code: np.ndarray, epochs: int, batch: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of one logistic classifier a bit, all bits at once, by mini-batch Adam; languages count alike."""
+    k, bits = code.shape
+    w, b = np.zeros((x.shape[1], bits), dtype=np.float32), np.zeros(bits, dtype=np.float32)
+    target = code[y].astype(np.float32)
+    share = np.maximum(np.bincount(y, minlength=k), 1)
+    weight = (len(y) / (k * share))[y].astype(np.float32)
+    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
+    rng, step = np.random.default_rng(11), 0
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for at in range(0, len(y), batch):
+            pick = order[at : at + batch]
+            t = target[pick]
+            slope = -t / (1 + np.exp(np.clip((x[pick] @ w + b) * t, -40, 40))) * weight[pick, None] / len(pick)
+            step += 1
+            for p, g, m, v in ((w, x[pick].T @ slope + 1e-5 * w, *state[:2]), (b, slope.sum(axis=0), *state[2:])):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w, b
+
+
+def loss_weights(right: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Weight of each bit's loss for each language: the log odds, smoothed, that the bit's classifier is
+    right about that language, from rows it was not fitted on; no bit counts against itself."""
+    hits = np.stack([right[y == c].sum(axis=0) for c in range(k)])
+    rows = np.bincount(y, minlength=k)[:, None]
+    odds = np.maximum(np.log((hits + 1) / (rows - hits + 1)), 0.05)
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
 def fit_rows(x: np.ndarray, languages: list[str], epochs: int = 25, batch: int = 128, rate: float = 0.03) -> CodeModel | None:
-    """Fit one logistic classifier a bit, all bits at once, by mini-batch Adam."""
+    """Fit the classifiers on all rows but every ``KEEP_OUT``-th of each language, which tell how far each
+    bit is to be trusted about each language."""
     if not len(languages):
         return None
     names = sorted(set(languages))
     y = np.searchsorted(names, languages)
     code = code_matrix(len(names))
     bits = code.shape[1]
-    w, b = np.zeros((x.shape[1], bits), dtype=np.float32), np.zeros(bits, dtype=np.float32)
-    if bits:
-        target = code[y].astype(np.float32)
-        share = np.bincount(y, minlength=len(names))
-        weight = (len(y) / (len(names) * share))[y].astype(np.float32)  # languages count alike
-        state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
-        rng, step = np.random.default_rng(11), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(y), batch):
-                pick = order[at : at + batch]
-                t = target[pick]
-                slope = -t / (1 + np.exp(np.clip((x[pick] @ w + b) * t, -40, 40))) * weight[pick, None] / len(pick)
-                step += 1
-                for p, g, m, v in ((w, x[pick].T @ slope + 1e-5 * w, *state[:2]), (b, slope.sum(axis=0), *state[2:])):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        right = ((x @ w + b) * target > 0).astype(float)
-        trust = np.stack([right[y == c].mean(axis=0) for c in range(len(names))])
-        trust = np.maximum(trust, 1e-3)
-        trust /= trust.sum(axis=1, keepdims=True)
-    else:
-        trust = np.ones((1, 0))
-    return CodeModel(names, code, w, b, trust)
+    if not bits:
+        return CodeModel(names, code, np.zeros((x.shape[1], 0), dtype=np.float32), np.zeros(0, dtype=np.float32), np.ones((1, 0)))
+    turn = np.empty(len(y), dtype=np.int64)
+    for c in range(len(names)):
+        turn[y == c] = np.arange((y == c).sum())
+    kept = turn % KEEP_OUT == KEEP_OUT - 1
+    w, b = _classifiers(x[~kept], y[~kept], code, epochs, batch, rate)
+    right = ((x[kept] @ w + b) * code[y[kept]] > 0).astype(float)
+    return CodeModel(names, code, w, b, loss_weights(right, y[kept], len(names)))
 
 
 def fit(
@@ -160,17 +181,19 @@ def fit(
 ) -> CodeModel | None:
     """Fit on documents with a language for which ``learn`` (a condition on ``k``, the key) holds."""
     rows = docs.select(F.col(key).alias("k"), F.col(label).alias("lang"), F.col(text).alias("text"))
-    rows = rows.where("k is not null and lang is not null and lang <> ''").where(F.lit(True) if learn is None else learn)
-    picked = rows.select("k", "lang").orderBy(F.xxhash64("k"), "k", "lang").limit(max_fit_rows).select(F.col("k").alias("k2")).distinct()
-    # max_fit_rows bounds what is broadcast
-    sample = rows.join(F.broadcast(picked), F.col("k") == F.col("k2")).select("k", "lang", "text")
+    rows = rows.where("k is not null and lang is not null").where(F.lit(True) if learn is None else learn)
+    whole, last, taken = first_keys(rows, max_fit_rows)
+    sample = rows.join(F.broadcast(whole), "k").select("k", "lang", "text")  # at most max_fit_rows keys
+    if last is not None:
+        cut = rows.where(F.col("k") == F.lit(last)).select("k", "lang", "text")
+        sample = sample.unionByName(cut.orderBy("lang", F.xxhash64("text")).limit(taken))
 
     def start():
         def chunk(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
             out = []
             for at in range(0, len(offsets) - 1, 64):
                 part = offsets[at : at + 65]
-                counts = np.minimum(gram_counts(data[part[0] : part[-1]], part - part[0]), 65535).astype(np.uint16)
+                counts = gram_counts(data[part[0] : part[-1]], part - part[0]).astype(np.uint32)
                 out += [row.tobytes() for row in counts]
             return [pa.array(out, type=pa.binary())]
 
@@ -180,7 +203,7 @@ def fit(
     got = got.sort_values(["k", "lang", "counts"])
     if not len(got):
         return None
-    x = features(np.frombuffer(b"".join(map(bytes, got["counts"])), dtype=np.uint16).reshape(-1, BINS))
+    x = features(np.frombuffer(b"".join(map(bytes, got["counts"])), dtype=np.uint32).reshape(-1, BINS))
     return fit_rows(x, got["lang"].tolist())
 
 
@@ -210,11 +233,6 @@ def predict(docs: DataFrame, model: CodeModel | None, text: str = "text", keep:
     return map_text(docs, text, start, new, keep)
 
 
-def remainder(key: str, modulus: int) -> Column:
-    """crc32 of the key as text, modulo ``modulus``."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus))
-
-
 def predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous of all documents; fold 2 of 4 is held out."""
     model = fit(docs, learn=remainder("k", 4) != 2)

@@ -7,13 +7,17 @@ Terms are the distinct words of a text and the prefixes of their words, hashed i
 
 learns pairwise interactions next to linear weights.  It is fitted on the driver from at most
 ``max_fit_rows`` labelled rows (those of smallest ``xxhash64(doc_id)``), of which only hashed
-terms are fetched, and restricted to the ``max_terms`` terms whose class
-difference among them is most significant; everything else runs over all rows in one pass without a shuffle.
+terms are fetched, and restricted to the ``max_terms`` terms whose class difference among them is
+most significant and to those that matter in pairs (``paired_terms``); everything else runs over
+all rows in one pass without a shuffle.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias alone; labels
 other than 0 and 1, null labels and labels without document are not learned from; several
-labels of one document count as several rows; without any label of one class the score is the
-share of label 1 among the rows learned from, or 0 without rows.
+labels of one document count as several rows, as do rows that share a doc_id (each is learned
+from and scored by itself; of a key at the bound as many rows are learned from as are left); a very
+long text is one set of terms, taken whole; without any label of one class the score is the
+share of label 1 among the rows learned from, or 0 without rows; an empty table gives an empty
+result; an input column named as the new one is replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .mapping import list_array, map_text
+from .sampling import first_keys, remainder
 from .textkit import _WORD_VALUES, distinct_per_row, lowered, span_hashes, word_spans
 
 PREFIXES = (4, 5, 6)
 MAX_FIT_ROWS = 20_000
+PAIR_TERMS, PAIR_Z = 1024, 6.0  # half a million pairs are looked at
 
 
 def terms(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +78,39 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(s, -40, 40)))
 
 
+def paired_terms(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray, seen: np.ndarray, candidates: int = PAIR_TERMS, min_z: float = PAIR_Z) -> np.ndarray:
+    """Terms that tell labels apart only together with another: those of pairs, among the ``candidates`` terms
+    of most variance, whose joint rows depart from what the two terms' own shares of label 1 let expect."""
+    n, share = len(labels), float(labels.mean())
+    variance = seen * (n - seen)
+    few = np.flatnonzero((seen >= 3) & (seen <= n - 3))
+    few = np.sort(few[np.lexsort((few, -variance[few]))[:candidates]])
+    where = np.full(len(seen), -1, dtype=np.int32)
+    where[few] = np.arange(len(few))
+    term = where[flat]
+    hit = term >= 0
+    rows, term = owner[hit], term[hit]
+    m = len(few)
+    both, positive = np.zeros((m, m), dtype=np.float32), np.zeros((m, m), dtype=np.float32)
+    for at in range(0, n, 1024):
+        a, b = np.searchsorted(rows, (at, at + 1024))
+        x = np.zeros((min(1024, n - at), m), dtype=np.float32)
+        x[rows[a:b] - at, term[a:b]] = 1
+        both += x.T @ x
+        positive += x.T @ (x * labels[at : at + 1024, None].astype(np.float32))
+    alone = np.diag(positive) / np.maximum(np.diag(both), 1)
+    # log odds of two terms add up where they act apart
+    odds = np.log(np.clip(alone, 1e-3, 1 - 1e-3) / (1 - np.clip(alone, 1e-3, 1 - 1e-3)))
+    expected = 1 / (1 + np.exp(-(odds[:, None] + odds[None, :] - np.log(share / (1 - share)))))
+    z = np.abs(positive - both * expected) / np.sqrt(both * expected * (1 - expected) + 0.5)
+    # a term is no pair with itself, nor with one that nearly always comes along
+    least = np.minimum(np.diag(both)[:, None], np.diag(both)[None, :])
+    z[(both < 5) | (both > 0.9 * least)] = 0
+    best = z.max(axis=1, initial=0)
+    order = np.lexsort((few, -best))
+    return few[order[best[order] >= min_z]]
+
+
 def fit_rows(
     bits: int,
     rows: list[np.ndarray],
@@ -99,7 +138,8 @@ def fit_rows(
     z = np.abs(positive - expected) / np.sqrt(expected * (1 - share) + 0.5)
     z[seen < 3] = 0
     chosen = np.flatnonzero(z >= min_z)
-    chosen = np.sort(chosen[np.lexsort((chosen, -z[chosen]))[:max_terms]])
+    chosen = chosen[np.lexsort((chosen, -z[chosen]))[:max_terms]]
+    chosen = np.union1d(chosen, paired_terms(flat, owner, labels, seen)[:max_terms]).astype(np.int64)
     where = np.full(1 << bits, -1, dtype=np.int32)
     where[chosen] = np.arange(len(chosen))
     term = where[flat]
@@ -149,12 +189,15 @@ def fit(
 ) -> FactorizationMachine:
     """Fit on labelled documents for which ``learn`` (a condition on ``key``) holds."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).where(F.lit(True) if learn is None else learn)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).where(F.lit(True) if learn is None else learn)
     # which rows to learn from is settled on the keys alone; the texts then come by a join
-    joined = rows.select("k").join(known, "k").select("k", "y")
-    picked = joined.orderBy(F.xxhash64("k"), "k", "y").limit(max_fit_rows)
-    # max_fit_rows bounds what is broadcast
-    sample = rows.join(F.broadcast(picked.withColumnRenamed("k", "k2")), F.col("k") == F.col("k2")).select("k", "y", "text")
+    whole, last, taken = first_keys(rows.select("k").join(known, "k"), max_fit_rows)
+    # both sides of this join are bounded: max_fit_rows keys, and fewer labels than rows learned from
+    sample = rows.join(F.broadcast(known.join(F.broadcast(whole), "k")), "k").select("k", "y", "text")
+    if last is not None:
+        cut = rows.where(F.col("k") == F.lit(last)).join(known.where(F.col("k") == F.lit(last)), "k").select("k", "y", "text")
+        sample = sample.unionByName(cut.orderBy(F.xxhash64("text"), "y").limit(taken))
+    sample = sample.withColumn("print", F.xxhash64("text"))
 
     def start():
         def chunk(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -163,10 +206,10 @@ def fit(
 
         return chunk
 
-    got = map_text(sample, "text", start, [T.StructField("terms", T.ArrayType(T.IntegerType(), False), False)], keep=["k", "y"]).toArrow()
+    got = map_text(sample, "text", start, [T.StructField("terms", T.ArrayType(T.IntegerType(), False), False)], keep=["k", "y", "print"]).toArrow()
     hashed = got["terms"].to_numpy()
     y = got["y"].to_numpy().astype(float)
-    order = np.lexsort((y, got["k"].to_numpy()))
+    order = np.lexsort((got["print"].to_numpy(), y, got["k"].to_numpy()))
     return fit_rows(bits, [hashed[i] for i in order], y[order])
 
 
@@ -183,11 +226,6 @@ def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out:
     return map_text(docs, text, start, [T.StructField(out, T.DoubleType(), False)], keep)
 
 
-def remainder(key: str, modulus: int) -> Column:
-    """crc32 of the key as text, modulo ``modulus``."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus))
-
-
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of all documents; fold 0 of 5 is held out."""
     model = fit(docs, labels, learn=remainder("k", 5) != 0)
