@@ -10,16 +10,21 @@ the least count of the last level found, so that P sums to at most one but for t
 false positives (about one bigram in a hundred, each a level too high).  Unigram counts are
 exact.
 
-Everything is cut into ``PARTS`` parts by the hash of a bigram's last word.  A text's log
-probability is a sum of terms that each need one part only, so if vocabulary and filter together
-exceed ``BROADCAST_BYTES`` (which is checked), parts are broadcast in several segments of at most
-that size, the texts are scored against each, and the sums are added; otherwise there is one
-segment.  Counting ships packed, locally summed hashes, so a frequent word or bigram is one
-entry a task and no part grows with its frequency.
-
-Words are told apart by 64-bit hashes.  Defined cases: null and empty texts are one end token;
-a null key is scored but not learned from; rows that share a key are scored one by one; with
-nothing to learn from, N and V are 0 and every token gets log10(0.1 / 0.1) = 0.
+Words and bigrams are dealt out by their hashes to blocks of ``BLOCK_BYTES`` of text each, so no
+block grows with the corpus or with a frequent word, whose entry is one for each flush of a task.
+
+A model of at most ``BROADCAST_BYTES`` (its size is known before) is broadcast, and the texts are
+scored in one pass.  A larger one stays where it is: chunks of texts send their distinct words and
+bigrams to the blocks, which answer with counts and with the level that the probes find, and the
+answers meet the chunks again.  Either way a text's terms are the same, and the work is in
+proportion to the texts.  A chunk goes by a number made of its tokens; should the scan deal out
+the rows differently the second time, which is noticed, the texts are stored first.
+
+Words are told apart by 64-bit hashes, bigrams by 40 bits within a block.  Defined cases: null and
+empty texts are one end token; a null key is scored but not learned from; rows that share a key are
+scored one by one; a very long text is scored whole, as one chunk; with nothing to learn from, N
+and V are 0 and every token gets log10(0.1 / 0.1) = 0; an empty table gives an empty result;
+further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,17 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mapping import small_batches
-from .storage import stored
-from .textkit import chunks, mix64, per_row_sum, word_hashes, word_spans
+from .sampling import remainder
+from .storage import drop, stored
+from .textkit import chunks, mix64, word_hashes, word_spans
+from .workers import released
 
-PARTS = 256
-SUB_BYTES = 1 << 20  # text bytes for each block of a part's filter
+BLOCK_BYTES = 8 << 20  # text bytes for each block of words and each block of bigrams
+LEAST_BLOCKS = 64
 BROADCAST_BYTES = 160 << 20
-FLUSH = 2_000_000
+FLUSH = 1_000_000  # tokens counted, or asked for, at a time
 BITS_PER_ENTRY = 10
 HASHES = 6
 LEVELS = 40
@@ -50,6 +58,7 @@ _U = np.uint64
 _END = mix64(np.array([0xE0D], dtype=_U))[0]
 _START = mix64(np.array([0x57A], dtype=_U))[0]
 _MASK40 = _U((1 << 40) - 1)
+_MOVED = "the rows of a chunk have moved between two scans"
 
 
 def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,8 +83,20 @@ def bigrams(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix64(before * _U(0x9E3779B97F4A7C15) + tokens)
 
 
-def part_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> _U(56)).astype(np.int64)
+def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each hash; ordered hashes have ordered blocks."""
+    return ((hashes >> _U(32)) * _U(blocks) >> _U(32)).astype(np.int64)
+
+
+def _five(hashes: np.ndarray) -> np.ndarray:
+    """The low 40 bits, as rows of five bytes."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _unfive(rows: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(rows), 8), dtype=np.uint8)
+    wide[:, :5] = rows
+    return wide.view("<u8").ravel().astype(_U)
 
 
 def _pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
@@ -84,15 +105,12 @@ def _pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     hashes = np.repeat(hashes, times)
     small = np.full(len(hashes), 254, dtype=np.uint8)
     small[np.cumsum(times) - 1] = counts - 254 * (times - 1)
-    five = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return np.hstack([five, small[:, None]]).tobytes()
+    return np.hstack([_five(hashes), small[:, None]]).tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     rows = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(rows), 8), dtype=np.uint8)
-    wide[:, :5] = rows[:, :5]
-    return wide.view("<u8").ravel().astype(_U), rows[:, 5].astype(np.int64)
+    return _unfive(rows[:, :5]), rows[:, 5].astype(np.int64)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,48 +120,57 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def counted(docs: DataFrame, subs: int) -> DataFrame:
-    """Packed counts of each task: part, sub (-1: unigrams), packed."""
-
-    def flush(tokens: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
-        parts, sub, packed = [], [], []
-        words, counts = _summed(np.concatenate(tokens), np.ones(sum(map(len, tokens)), dtype=np.int64))
-        cuts = np.searchsorted(part_of(words), np.arange(PARTS + 1))
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            rows = slice(cuts[p], cuts[p + 1])
-            parts.append(p)
-            sub.append(-1)
-            packed.append(words[rows].tobytes() + counts[rows].tobytes())
-        block = part_of(np.concatenate(tokens)) * subs + (np.concatenate(pairs) >> _U(40)).astype(np.int64) % subs
-        low = np.concatenate(pairs) & _MASK40
-        order = np.lexsort((low, block))
-        block, low = block[order], low[order]
-        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (block[1:] != block[:-1])]))
-        counts = np.diff(np.append(first, len(low)))
-        block, low = block[first], low[first]
-        cuts = np.searchsorted(block, np.arange(PARTS * subs + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            rows = slice(cuts[b], cuts[b + 1])
-            parts.append(b // subs)
-            sub.append(b % subs)
-            packed.append(_pack(low[rows], counts[rows]))
-        return pa.RecordBatch.from_arrays([pa.array(parts, type=pa.int32()), pa.array(sub, type=pa.int32()), pa.array(packed, type=pa.binary())], names=["part", "sub", "packed"])
+def _cuts(hashes: np.ndarray, blocks: int) -> Iterator[tuple[int, slice]]:
+    """Each block that ordered hashes have something in, and which of them."""
+    bounds = np.searchsorted(block_of(hashes, blocks), np.arange(blocks + 1))
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        yield b, slice(bounds[b], bounds[b + 1])
+
+
+class _Chunk:
+    """Texts of one task that are handled together."""
+
+    def __init__(self, parts: list[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray, np.ndarray]]]):
+        self.rows = [rows for rows, _ in parts]
+        self.tokens = np.concatenate([t for _, (t, _, _) in parts])
+        self.pairs = bigrams(self.tokens, np.concatenate([b for _, (_, b, _) in parts]))
+        ends = np.cumsum([0] + [len(t) for _, (t, _, _) in parts])
+        self.ranges = np.concatenate([[0]] + [r[1:] + e for (_, (_, _, r)), e in zip(parts, ends, strict=False)])
+        place = np.arange(len(self.pairs), dtype=_U) * _U(0xD1342543DE82EF95)
+        self.number = int(mix64(np.array([mix64(self.pairs + place).sum()], dtype=_U)).view(np.int64)[0])
+
+
+def _text_chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[_Chunk]:
+    """The rows of a task in chunks of about ``FLUSH`` tokens; column ``text`` holds the texts."""
+    parts, have = [], 0
+    for batch in batches:
+        for at, data, offsets in chunks(batch.column(text)):
+            parts.append((batch.slice(at, len(offsets) - 1), token_stream(data, offsets)))
+            have += len(parts[-1][1][0])
+            if have >= FLUSH:
+                yield _Chunk(parts)
+                parts, have = [], 0
+    if parts:
+        yield _Chunk(parts)
+
+
+def counted(docs: DataFrame, blocks: int) -> DataFrame:
+    """Packed counts of each task: block (of bigrams; -1 - block of words) and packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, pairs, have = [], [], 0
-        for batch in batches:
-            for _, data, offsets in chunks(batch.column(0)):
-                now, before, _ = token_stream(data, offsets)
-                tokens.append(now)
-                pairs.append(bigrams(now, before))
-                have += len(now)
-                if have >= FLUSH:
-                    yield flush(tokens, pairs)
-                    tokens, pairs, have = [], [], 0
-        if have:
-            yield flush(tokens, pairs)
+        for chunk in _text_chunks(batches, 0):
+            block, packed = [], []
+            words, counts = np.unique(chunk.tokens, return_counts=True)
+            for b, some in _cuts(words, blocks):
+                block.append(-1 - b)
+                packed.append(words[some].tobytes() + counts[some].tobytes())
+            pairs, counts = np.unique(chunk.pairs, return_counts=True)
+            for b, some in _cuts(pairs, blocks):
+                block.append(b)
+                packed.append(_pack(pairs[some], counts[some]))
+            yield pa.RecordBatch.from_arrays([pa.array(block, type=pa.int32()), pa.array(packed, type=pa.binary())], names=["block", "packed"])
 
-    return docs.select("text").mapInArrow(run, "part int, sub int, packed binary")
+    return docs.select("text").mapInArrow(released(run), "block int, packed binary")
 
 
 def probe(pairs: np.ndarray, level: int, j: int, bits: np.ndarray) -> np.ndarray:
@@ -164,11 +191,11 @@ def build_block(pairs: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
 
 
 def model_blocks(packed: DataFrame) -> DataFrame:
-    """part, sub, size (words of a vocabulary block, bits of a filter block), total (tokens) and raw."""
+    """block, size (words of a vocabulary block, bits of a filter block), total (tokens) and raw."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        part, sub = int(rows["part"].iloc[0]), int(rows["sub"].iloc[0])
-        if sub < 0:
+        block = int(rows["block"].iloc[0])
+        if block < 0:
             words = np.concatenate([np.frombuffer(x, dtype=_U, count=len(x) // 16) for x in rows["packed"]])
             counts = np.concatenate([np.frombuffer(x, dtype=np.int64, offset=len(x) // 2) for x in rows["packed"]])
             words, counts = _summed(words, counts)
@@ -178,137 +205,201 @@ def model_blocks(packed: DataFrame) -> DataFrame:
             pairs, counts = _summed(np.concatenate([x for x, _ in read]), np.concatenate([x for _, x in read]))
             size, raw = build_block(pairs, counts)
             total = int(counts.sum())
-        return pd.DataFrame({"part": [part], "sub": [sub], "size": [size], "total": [total], "raw": [raw]})
+        return pd.DataFrame({"block": [block], "size": [size], "total": [total], "raw": [raw]})
+
+    return packed.groupBy("block").applyInPandas(build, "block int, size long, total long, raw binary")
+
+
+def found_levels(pairs: np.ndarray, bits: np.ndarray, starts: np.ndarray, filter_: np.ndarray) -> np.ndarray:
+    """Last level at which each bigram is found, 0 for none; each has the bits and the first bit of its block."""
+    out = np.zeros(len(pairs), dtype=np.int64)
+    alive = np.flatnonzero(bits > 0)
+    low, bits, starts = pairs[alive] & _MASK40, bits[alive], starts[alive]
+    for level in range(1, LEVELS + 1):
+        for j in range(HASHES):
+            at = starts + probe(low, level, j, bits).astype(np.int64)
+            hit = (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            alive, low, bits, starts = alive[hit], low[hit], bits[hit], starts[hit]
+            if not len(alive):
+                return out
+        out[alive] = level
+    return out
+
 
-    return packed.groupBy("part", "sub").applyInPandas(build, "part int, sub int, size long, total long, raw binary")
+def word_counts(wanted: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Training count of each wanted word among ordered words; 0 where unseen."""
+    if not len(words):
+        return np.zeros(len(wanted), dtype=np.int64)
+    at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+    return np.where(words[at] == wanted, counts[at], 0)
 
 
-class Segment:
-    """Vocabulary and filter of the parts first <= part < last."""
+class Model:
+    """Vocabulary and filter in one piece, from the rows of ``model_blocks`` one at a time in any order."""
 
-    def __init__(self, rows: Iterator, sizes: dict[int, tuple[int, int]], first: int, last: int, subs: int, n: int, v: int, texts: int):
-        """``rows`` come one at a time in any order; ``sizes`` has the words and bytes of each part."""
-        self.first, self.last, self.subs, self.n, self.v, self.texts = first, last, subs, n, v, texts
-        words = [sizes.get(p, (0, 0))[0] for p in range(first, last)]
-        ends = np.cumsum(words)
+    def __init__(self, rows: Iterator, sizes: dict[int, tuple[int, int]], blocks: int):
+        """``sizes`` has the size and the bytes of each block."""
+        ends = np.cumsum([sizes.get(-1 - b, (0, 0))[0] for b in range(blocks)])
         self.words, self.counts = np.zeros(ends[-1], dtype=_U), np.zeros(ends[-1], dtype=np.int64)
-        self.bits = np.zeros((last - first) * subs, dtype=_U)
-        self.starts = np.zeros((last - first) * subs, dtype=np.int64)
-        self.filter = np.zeros(sum(sizes.get(p, (0, 0))[1] for p in range(first, last)) - 16 * int(ends[-1]), dtype=np.uint8)
+        self.bits, self.starts = np.zeros(blocks, dtype=_U), np.zeros(blocks, dtype=np.int64)
+        self.filter = np.zeros(sum(b for block, (_, b) in sizes.items() if block >= 0), dtype=np.uint8)
         at = 0
         for r in rows:
-            raw = r.raw
-            if r.sub < 0:
-                here = slice(ends[r.part - first] - r.size, ends[r.part - first])
-                self.words[here] = np.frombuffer(raw, dtype=_U, count=r.size)
-                self.counts[here] = np.frombuffer(raw, dtype=np.int64, offset=8 * r.size)
+            if r.block < 0:
+                here = slice(ends[-1 - r.block] - r.size, ends[-1 - r.block])
+                self.words[here] = np.frombuffer(r.raw, dtype=_U, count=r.size)
+                self.counts[here] = np.frombuffer(r.raw, dtype=np.int64, offset=8 * r.size)
             else:
-                block = (r.part - first) * subs + r.sub
-                self.bits[block], self.starts[block] = r.size, at * 8
-                self.filter[at : at + len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-                at += len(raw)
-
-    def count(self, tokens: np.ndarray) -> np.ndarray:
-        """Training count of each token of these parts; 0 where unseen."""
-        if not len(self.words):
-            return np.zeros(len(tokens), dtype=np.int64)
-        distinct, which = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
-        return np.where(self.words[at] == distinct, self.counts[at], 0)[which]
-
-    def levels(self, tokens: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Last level at which each bigram is found; 0 for none."""
-        block = (part_of(tokens) - self.first) * self.subs + (pairs >> _U(40)).astype(np.int64) % self.subs
-        out = np.zeros(len(pairs), dtype=np.int64)
-        alive = np.flatnonzero(self.bits[block] > 0)
-        low, bits, starts = pairs[alive] & _MASK40, self.bits[block[alive]], self.starts[block[alive]]
-        for level in range(1, LEVELS + 1):
-            for j in range(HASHES):
-                at = starts + probe(low, level, j, bits).astype(np.int64)
-                hit = (self.filter[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                alive, low, bits, starts = alive[hit], low[hit], bits[hit], starts[hit]
-                if not len(alive):
-                    return out
-            out[alive] = level
-        return out
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """n_tokens, n_known, base_score and score of each row, as far as these parts have a say."""
-        tokens, before, ranges = token_stream(data, offsets)
-        pairs = bigrams(tokens, before)
-        known, base, score, mine = (np.zeros(len(tokens)) for _ in range(4))
-        part = part_of(tokens)
-        at = np.flatnonzero((part >= self.first) & (part < self.last))
-        c = self.count(tokens[at])
-        first = (c + ALPHA) / (self.n + ALPHA * (self.v + 1))
-        level = self.levels(tokens[at], pairs[at])
-        seen = np.where(level > 0, 2.0 ** (level - 1), 0.0)
-        mine[at], known[at], base[at] = 1, c > 0, np.log10(first)
-        score[at] = np.log10(seen + MU * first)
-        # the share of the context falls to the part of the context word; the start's to part 0
-        follows = at[tokens[at] != _END]
-        context = np.zeros(len(tokens))
-        context[follows] = np.log10(c[tokens[at] != _END] + MU)
-        if self.first == 0:
-            context[ranges[1:] - 1] = np.log10(self.texts + MU)
-        return [per_row_sum(x, ranges) for x in (mine, known, base, score - context)]
+                self.bits[r.block], self.starts[r.block] = r.size, at * 8
+                self.filter[at : at + len(r.raw)] = np.frombuffer(r.raw, dtype=np.uint8)
+                at += len(r.raw)
 
+    def look_up(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words and levels of bigrams."""
+        block = block_of(pairs, len(self.bits))
+        return word_counts(words, self.words, self.counts), found_levels(pairs, self.bits[block], self.starts[block], self.filter)
+
+
+def sums(tokens: np.ndarray, ranges: np.ndarray, c: np.ndarray, level: np.ndarray, facts: tuple[int, int, int]) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of each row; facts: N, V and texts learned from."""
+    n, v, texts = facts
+    first = (c + ALPHA) / (n + ALPHA * (v + 1))
+    seen = np.where(level > 0, 2.0 ** (level - 1), 0.0)
+    # a token counts as the context of the next, its text's start as that of the first
+    term = np.log10(seen + MU * first) - np.where(tokens != _END, np.log10(c + MU), np.log10(texts + MU))
+    at = ranges[:-1]
+    return [np.diff(ranges).astype(np.int64), np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(np.log10(first), at), np.add.reduceat(term, at)]
+
+
+_SCORES = ["n_tokens", "n_known", "base_score", "score"]
+_SCORE_TYPES = "n_tokens long, n_known long, base_score double, score double"
+
+
+def _broadcast_scores(rows: DataFrame, key: str, blocks: DataFrame, sizes: dict[int, tuple[int, int]], count: int, facts: tuple[int, int, int]) -> DataFrame:
+    """The scores of rows (key, text) by a model that every worker gets; it is fetched piece by piece."""
+    shared = rows.sparkSession.sparkContext.broadcast(Model(blocks.select("block", "size", "raw").toLocalIterator(), sizes, count))
 
-def scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    train = rows.where(F.coalesce(learn, F.lit(False)))
-    facts = train.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    subs = max(1, -(-int(facts.bytes) // (PARTS * SUB_BYTES)))
-    blocks, _ = stored(model_blocks(counted(train, subs)), "lm")
-    totals = blocks.where("sub = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("v")).first()
-    by_part = blocks.groupBy("part").agg(F.sum(F.when(F.col("sub") < 0, F.col("size")).otherwise(0)).alias("w"), F.sum(F.octet_length("raw")).alias("b"))
-    sizes = {r.part: (r.w, r.b) for r in by_part.collect()}  # PARTS rows
-    cuts, held = [0], 0
-    for part in range(PARTS):
-        if held and held + sizes.get(part, (0, 0))[1] > broadcast_bytes:
-            cuts.append(part)
-            held = 0
-        held += sizes.get(part, (0, 0))[1]
-    cuts.append(PARTS)
-    out = None
-    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-        # at most broadcast_bytes, or one part, fetched piece by piece
-        own = blocks.where(F.col("part").between(first, last - 1)).select("part", "sub", "size", "raw")
-        segment = Segment(own.toLocalIterator(), sizes, first, last, subs, totals.n, totals.v, facts.texts)
-        shared = spark.sparkContext.broadcast(segment)
-        del segment
-        one = _scored(rows, key, shared)
-        out = one if out is None else out.unionByName(one)
-    if len(cuts) > 2:
-        same = out.groupBy(key, "print").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")], (F.count(F.lit(1)) / (len(cuts) - 1)).alias("times"))
-        same = same.withColumn("__one", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-        out = same.select(key, *[(F.col(c) / F.col("times")).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return out.select(
-        key, F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"),
-        F.lit(totals.n).cast("long").alias("train_tokens"), "base_score", "score",
-    )
-
-
-def _scored(rows: DataFrame, key: str, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = shared.value
+        model = shared.value
         for batch in batches:
             for at, data, offsets in chunks(batch.column(1)):
-                rows_ = batch.slice(at, len(offsets) - 1)
-                sums = segment.score(data, offsets)
-                yield pa.RecordBatch.from_arrays([rows_.column(0), rows_.column(2), *map(pa.array, sums)], names=[key, "print", "n_tokens", "n_known", "base_score", "score"])
+                tokens, before, ranges = token_stream(data, offsets)
+                words, which = np.unique(tokens, return_inverse=True)
+                c, level = model.look_up(words, bigrams(tokens, before))
+                out = sums(tokens, ranges, c[which], level, facts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(offsets) - 1), *map(pa.array, out)], names=[key, *_SCORES])
 
     kind = rows.schema[key].dataType.simpleString()
-    source = rows.select(key, "text", F.xxhash64("text").alias("print"))
-    return source.mapInArrow(run, f"`{key}` {kind}, print long, n_tokens double, n_known double, base_score double, score double")
+    return rows.mapInArrow(released(run), f"`{key}` {kind}, {_SCORE_TYPES}")
+
+
+def _answers(rows: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
+    """chunk, block and raw: for the distinct words or bigrams of a chunk that fall in a block, in order, their counts or levels."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _text_chunks(batches, 1):
+            block, wanted = [], []
+            words, pairs = np.unique(chunk.tokens), np.unique(chunk.pairs)
+            for b, some in _cuts(words, count):
+                block.append(-1 - b)
+                wanted.append(words[some].tobytes())
+            for b, some in _cuts(pairs, count):
+                block.append(b)
+                wanted.append(_five(pairs[some]).tobytes())
+            names = ["block", "chunk", "wanted"]
+            yield pa.RecordBatch.from_arrays([pa.array(block, type=pa.int32()), pa.array(np.full(len(block), chunk.number)), pa.array(wanted, type=pa.binary())], names=names)
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        for block, wanted in zip(asked["block"].to_pylist(), asked["wanted"], strict=True):
+            raw, size = (held["raw"][0].as_buffer(), held["size"][0].as_py()) if held.num_rows else (pa.py_buffer(b""), 0)
+            if block < 0:
+                got = word_counts(np.frombuffer(wanted.as_buffer(), dtype=_U), np.frombuffer(raw, dtype=_U, count=size), np.frombuffer(raw, dtype=np.int64, offset=8 * size))
+                out.append(got.astype(np.int64).tobytes())
+            else:
+                pairs = _unfive(np.frombuffer(wanted.as_buffer(), dtype=np.uint8).reshape(-1, 5))
+                level = found_levels(pairs, np.full(len(pairs), size, dtype=_U), np.zeros(len(pairs), dtype=np.int64), np.frombuffer(raw, dtype=np.uint8))
+                out.append(level.astype(np.uint8).tobytes())
+        return pa.table([asked["chunk"], asked["block"], pa.array(out, type=pa.binary())], names=["chunk", "block", "raw"])
+
+    asked = rows.mapInArrow(released(ask), "block int, chunk long, wanted binary")
+    met = asked.groupBy("block").cogroup(blocks.select("block", "size", "raw").groupBy("block"))
+    return met.applyInArrow(answer, "chunk long, block int, raw binary")
+
+
+def _routed_scores(rows: DataFrame, key: str, blocks: DataFrame, count: int, facts: tuple[int, int, int]) -> DataFrame:
+    """The scores of rows (key, text) by a model whose blocks answer chunks of texts; stored."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng()
+        for chunk in _text_chunks(batches, 1):
+            copy, seq = int(rng.integers(1 << 62)), 0
+            for part in chunk.rows:
+                columns = [np.full(part.num_rows, chunk.number), np.full(part.num_rows, copy), np.arange(seq, seq + part.num_rows)]
+                seq += part.num_rows
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), part.column(0), part.column(1)], names=["chunk", "copy", "seq", key, "text"])
+
+    def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
+        held: dict[int, bytes] = dict(zip(told["block"].to_pylist(), told["raw"].to_pylist(), strict=True))
+        out = []
+        for copy in texts["copy"].unique().to_pylist() or [None]:
+            own = texts.filter(pa.compute.equal(texts["copy"], copy)).sort_by("seq")
+            parts = [token_stream(data, offsets) for _, data, offsets in chunks(own["text"])]
+            if not parts:
+                empty = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64, np.float64)]
+                out.append(pa.table([own[key], *map(pa.array, empty)], names=[key, *_SCORES]))
+                continue
+            chunk = _Chunk([(own, p) for p in parts])
+            words, word = np.unique(chunk.tokens, return_inverse=True)
+            pairs, pair = np.unique(chunk.pairs, return_inverse=True)
+            c = np.frombuffer(b"".join(held.get(-1 - b, b"") for b, _ in _cuts(words, count)), dtype=np.int64)
+            level = np.frombuffer(b"".join(held.get(b, b"") for b, _ in _cuts(pairs, count)), dtype=np.uint8)
+            if len(c) != len(words) or len(level) != len(pairs):
+                raise ValueError(_MOVED)
+            out.append(pa.table([own[key], *map(pa.array, sums(chunk.tokens, chunk.ranges, c[word], level[pair].astype(np.int64), facts))], names=[key, *_SCORES]))
+        return pa.concat_tables(out)
+
+    answers, path = stored(_answers(rows, blocks, count), "answers")
+    kind = rows.schema[key].dataType.simpleString()
+    texts = rows.mapInArrow(released(number), f"chunk long, copy long, seq long, `{key}` {kind}, text string")
+    try:
+        return stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"`{key}` {kind}, {_SCORE_TYPES}"), "scores")[0]
+    finally:
+        drop(rows.sparkSession, path)
 
 
-def remainder(key: str, modulus: int) -> Column:
-    """crc32 of the key as text, modulo ``modulus``."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus))
+def scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """key, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    with small_batches(docs.sparkSession):
+        return _scores(docs, learn, key, text, broadcast_bytes)
+
+
+def _scores(docs: DataFrame, learn: Column, key: str, text: str, broadcast_bytes: int) -> DataFrame:
+    rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    train = docs.where(F.coalesce(learn, F.lit(False))).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    facts = train.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    count = max(LEAST_BLOCKS, -(-int(facts.bytes) // BLOCK_BYTES))
+    blocks, path = stored(model_blocks(counted(train, count)), "lm")
+    words = F.col("block") < 0
+    total = blocks.agg(
+        F.coalesce(F.sum(F.when(words, F.col("total"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(words, F.col("size"))), F.lit(0)).alias("v"),
+        F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("bytes"),
+    ).first()
+    known = (total.n, total.v, facts.texts)
+    if total.bytes <= broadcast_bytes:
+        sizes = {r.block: (r.size, r.bytes) for r in blocks.select("block", "size", F.octet_length("raw").alias("bytes")).collect()}  # a row a block of a bounded model
+        out = _broadcast_scores(rows, key, blocks, sizes, count, known)
+    else:
+        try:
+            out = _routed_scores(rows, key, blocks, count, known)
+        except PySparkException as failure:
+            if _MOVED not in str(failure):
+                raise
+            fixed, where = stored(rows, "texts")
+            out = _routed_scores(fixed, key, blocks, count, known)
+            drop(docs.sparkSession, where)
+    drop(docs.sparkSession, path)
+    return out.select(key, "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def document_scores(docs: DataFrame) -> DataFrame:
