@@ -4,16 +4,18 @@ A test item is contained in a document if the document has at least ``percent``
 distinct word shingles.  Items are partitioned by size into classes (2^(j-1), 2^j].  In a class
 of upper bound u, the MinHash sketch of an item is its u - ceil(percent * u) + 1 smallest shingle
 hashes: a document that contains the item misses fewer of its shingles than that, so it shares
-at least one sketch value, however long it is.  The search therefore loses nothing; what it
+at least one sketch value, however long it is.  A document meets only the classes whose smallest
+item it is long enough to hold ``percent`` of.  The search therefore loses nothing; what it
 finds is verified by exact containment on the shingles themselves, not on hashes.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Sketches and found pairs are broadcast up
-to ``BROADCAST_ROWS`` rows, counted first; beyond that they are joined by shuffles.
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Sketches, found pairs and items are broadcast up
+to ``BROADCAST_BYTES``, added up first; beyond that they are joined by shuffles.
 
 Defined cases: an item of one to four words is one shingle of that many words and is searched
 for as such; an item without words is never found; a document of fewer words than a shingle
 has none; null texts have no words; rows that share a doc_id are searched one by one and their
-pairs merged, as are rows that share an item_id, keeping the largest containment.
+pairs merged, as are rows that share an item_id, keeping the largest containment; a very long text is
+searched whole; without documents or items the result is empty; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import stored
+from .storage import drop, stored
 
 WIDTH = 5
 PERCENT = 80
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,8 +52,14 @@ def shingle_texts(w: Column, width: Column) -> Column:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast a stored table if it is small enough, whatever it grows from."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast a stored table if it is small enough, whatever it grows from: rows and what their strings hold."""
+    size = F.lit(64)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + F.aggregate(f.name, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long")).alias("n")).first().n or 0) <= BROADCAST_BYTES else df
 
 
 def item_shingles(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -67,14 +75,15 @@ def _run_hash(width: int):
 
 
 def sketches(shingles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Sketch values by item: width, h, item_id, part and the size class."""
+    """Sketch values by item: h, item_id, part, and the shingles that a document has at least to hold an item of the size class."""
     size_class = F.ceil(F.log2(F.col("n").cast("double"))).cast("int")
-    upper = F.pow(F.lit(2.0), F.col("size_class")).cast("int")
+    upper = F.pow(F.lit(2.0), size_class).cast("int")
     depth = upper - F.floor((upper * percent + 99) / 100).cast("int") + 1
     words_of = F.transform("shingles", lambda s: F.split(s, " "))
     by_width = F.coalesce(*[F.when(F.col("width") == k, F.transform(words_of, _run_hash(k))) for k in range(1, WIDTH + 1)])
-    out = shingles.withColumn("size_class", size_class)
-    return out.select("item_id", "part", "width", "size_class", F.explode(F.slice(F.array_sort(F.array_distinct(by_width)), F.lit(1), depth)).alias("h"))
+    smallest = F.when(size_class == 0, 1).otherwise(F.floor(upper / 2).cast("int") + 1)
+    least = F.floor((smallest * percent + 99) / 100).cast("int")
+    return shingles.select("item_id", "part", least.alias("least"), F.explode(F.slice(F.array_sort(F.array_distinct(by_width)), F.lit(1), depth)).alias("h"))
 
 
 def search(
@@ -82,8 +91,15 @@ def search(
 ) -> DataFrame:
     """doc_id, item_id, n_shingles (of the item), n_shared and containment of all contained items."""
     spark = docs.sparkSession
-    index, _ = stored(item_shingles(items, item_key, item_text), "items")
-    sketch, _ = stored(sketches(index, percent), "sketches")
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        paths.append(path)
+        return out
+
+    index = keep(item_shingles(items, item_key, item_text), "items")
+    sketch = keep(sketches(index, percent), "sketches")
     widths = [r.width for r in index.select("width").distinct().orderBy("width").collect()]  # 1 to 5
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
     if not widths:
@@ -94,9 +110,10 @@ def search(
         )
     source = source.withColumn("w", words(F.col("t"))).where(F.size("w") > 0)
     runs = F.flatten(F.array(*[shingle_hashes(F.col("w"), k) for k in widths]))
-    probes = source.select("doc_id", F.explode(runs).alias("h"))
-    pairs = probes.join(_bounded(sketch.select("h", "item_id", "part")), "h").select("doc_id", "item_id", "part").distinct()
-    found, _ = stored(pairs, "found")
+    # a document has at most as many shingles as words
+    probes = source.select("doc_id", F.size("w").alias("most"), F.explode(runs).alias("h"))
+    pairs = probes.join(_bounded(sketch.select("h", "item_id", "part", "least")), "h").where("most >= least").select("doc_id", "item_id", "part").distinct()
+    found = keep(pairs, "found")
     checked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).join(_bounded(found), "doc_id")
     # the words are a column of their own, so that they are split once a row
     checked = checked.withColumn("w", words(F.col("t"))).drop("t").join(_bounded(index), ["item_id", "part"])
@@ -104,11 +121,11 @@ def search(
     checked = checked.select("doc_id", "item_id", F.col("n").alias("n_shingles"), shared.alias("n_shared"))
     checked = checked.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
     best = F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared"))
-    return (
-        checked.groupBy("doc_id", "item_id")
-        .agg(best.alias("b"))
-        .select("doc_id", "item_id", F.col("b.n_shingles").alias("n_shingles"), F.col("b.n_shared").alias("n_shared"), F.col("b.containment").alias("containment"))
-    )
+    pairs = checked.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    result, _ = stored(pairs.select("doc_id", "item_id", "b.n_shingles", "b.n_shared", "b.containment"), "contained")
+    for path in paths:
+        drop(spark, path)
+    return result
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import drop, stored
+from .workers import released
 
 TABLES = 16
 PROBES = 8
@@ -116,8 +117,15 @@ def _search(rows: DataFrame, dims: int, others: int, k: int, tables: int, probes
     least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
     ids = rows.groupBy("v", part.alias("part")).agg(F.collect_set("id").alias("ids"))
     ids = ids.select("v", "part", least("ids").alias("ids")).groupBy("v").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    entries, _ = stored(ids.select(F.array_min("ids").alias("entry"), "v", least("ids").alias("ids")), "entries")
-    queries, _ = stored(rows.where("q").select("id", "v").distinct(), "queries")
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        paths.append(path)
+        return out
+
+    entries = keep(ids.select(F.array_min("ids").alias("entry"), "v", least("ids").alias("ids")), "entries")
+    queries = keep(rows.where("q").select("id", "v").distinct(), "queries")
     signs = rotations(_width(dims), tables)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -174,8 +182,8 @@ def _search(rows: DataFrame, dims: int, others: int, k: int, tables: int, probes
         return found.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
     # entries and queries by bucket: a row for each bucket of each table
-    index = entries.select("entry", "v").mapInArrow(hashed("entry", 1), "entry long, bucket int, raw binary")
-    probe = queries.mapInArrow(hashed("query", probes), "query long, bucket int, raw binary")
+    index = entries.select("entry", "v").mapInArrow(released(hashed("entry", 1)), "entry long, bucket int, raw binary")
+    probe = queries.mapInArrow(released(hashed("query", probes)), "query long, bucket int, raw binary")
     n_index, n_query = entries.count(), queries.count()
     buckets = 2 * signs.shape[2]
     met = meet(index, probe, max(1, -(-n_index * 2 // (buckets * PART))), max(1, -(-n_query * probes * 2 // (buckets * PART))))
@@ -199,16 +207,19 @@ def _search(rows: DataFrame, dims: int, others: int, k: int, tables: int, probes
                     found = compared(batch.column(0).to_numpy(), matrix(batch.column(1)), *head.value, k)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query", "entry", "score"])
 
-        met = met.unionByName(queries.mapInArrow(with_head, "query long, entry long, score double"))
+        met = met.unionByName(queries.mapInArrow(released(with_head), "query long, entry long, score double"))
 
     found, _ = stored(answers(met), "found")
     # those whose buckets held fewer than there are
     have = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("have"))
-    short, _ = stored(queries.join(have, "id", "left").where(F.coalesce("have", F.lit(0)) < min(k, others)).select("id", "v"), "short")
+    short = keep(queries.join(have, "id", "left").where(F.coalesce("have", F.lit(0)) < min(k, others)).select("id", "v"), "short")
     n_short = short.count()
-    if not n_short:
-        return found
-    index = entries.select("entry", "v").mapInArrow(whole("entry"), "entry long, bucket int, raw binary")
-    probe = short.mapInArrow(whole("query"), "query long, bucket int, raw binary")
-    rest = answers(meet(index, probe, -(-n_index // PART), -(-n_short // PART)))
-    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(found.columns).unionByName(rest)
+    if n_short:
+        index = entries.select("entry", "v").mapInArrow(released(whole("entry")), "entry long, bucket int, raw binary")
+        probe = short.mapInArrow(released(whole("query")), "query long, bucket int, raw binary")
+        rest, _ = stored(answers(meet(index, probe, -(-n_index // PART), -(-n_short // PART))), "rest")
+        found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(found.columns).unionByName(rest)
+        paths = [p for p in paths if "/short-" not in p]
+    for path in paths:
+        drop(spark, path)
+    return found

@@ -7,22 +7,26 @@ without a join: level 1 encodes the listed keys, level 2 the unlisted keys of th
 level 1 lets through, level 3 the listed keys that level 2 lets through, and so on until a
 level lets nothing wrong through.  The longest listed candidate decides.
 
-The filters are literals of the plan.  Their size follows the listed keys and the few other keys
-that level 1 lets through; ``MAX_BITS`` bounds a level and more raises ``ValueError``.
+The filters are literals of the plan, one a level.  Their size follows the listed keys and the few
+other keys that level 1 lets through; ``MAX_BITS`` bounds a level, about 1.4 million listed keys, and
+more raises ``ValueError`` before any page is judged.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and fits no rule; a
 url without rule gets ``default``; a rule listed with both verdicts blocks; rule hosts are
-lower-cased; rules with a null host or path, or another verdict, are ignored.
+lower-cased; rules with a null host or path, or another verdict, are ignored; pages that repeat are
+judged one by one; a very long url is taken whole; an empty table gives an empty result; input
+columns named as the new ones are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import drop, stored
+
 FIRST_HASHES = 4
 FIRST_BITS = 48  # a listed key; lets one other key in about 25,000 through
 MAX_BITS = 1 << 26
@@ -50,12 +54,13 @@ class Level:
     salt: int
 
     def holds(self, key: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        tests = []
-        for at in positions(key, self.bits, self.hashes, self.salt):
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # one literal, whatever the hashes
+
+        def test(at: Column) -> Column:
             word = F.get(words, F.shiftright(at, 6).cast("int"))
-            tests.append(F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return reduce(lambda a, b: a & b, tests)
+            return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+        return F.forall(F.array(*positions(key, self.bits, self.hashes, self.salt)), test)
 
 
 def positions(key: Column, bits: int, hashes: int, salt: int) -> list[Column]:
@@ -127,7 +132,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     ]
     host, path, keys = candidates(pages, url, shapes)
     universe = pages.select(F.explode(F.array(*keys) if keys else F.array().cast("array<string>")).alias("key")).where("key is not null").distinct()
+    universe, folder = stored(universe, "universe")  # every level of both cascades reads it
     cascades = {v: build_cascade(rules.where(F.col("verdict") == v).select("key"), universe, salt) for salt, v in enumerate(("allow", "block"), 1)}
+    drop(pages.sparkSession, folder)
 
     def told(key: Column) -> Column:
         verdict = F.when(cascades["block"].listed(key), "block").when(cascades["allow"].listed(key), "allow")
