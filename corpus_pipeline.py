@@ -7,6 +7,7 @@ columns of ``documents``.  Models are fitted on the documents that reach the sta
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,19 +15,23 @@ from spanquery.llm import bytebpe, decontam, jaccard, langid, toxicity
 from spanquery.llm.storage import shared_folder
 
 
+def _filtered(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``decide`` leaves of the documents; their columns stand aside meanwhile, so that no name clashes."""
+    left = decide(docs.select(*[docs[c].alias(f"in_{c}") for c in docs.columns]))
+    return left.select(*[left[f"in_{c}"].alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose toxicity score is below 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, learn=toxicity.remainder("k", 5) != 0)
-    return toxicity.score(docs, model, out="__toxic").where("__toxic < 0.5").select(docs.columns)
+    return _filtered(docs, lambda renamed: toxicity.score(renamed, model, "in_text", "toxic").where("toxic < 0.5"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a language that the decoder settles on: neither ``und`` nor ambiguous."""
     model = langid.fit(docs, learn=langid.remainder("k", 4) != 2)
-    renamed = docs.select(*[docs[c].alias(f"in_{c}") for c in docs.columns])
-    told = langid.predict(renamed, model, text="in_text").where("lang_pred <> 'und' and not ambiguous")
-    return told.select(*[told[f"in_{c}"].alias(c) for c in docs.columns])
+    return _filtered(docs, lambda renamed: langid.predict(renamed, model, "in_text").where("lang_pred <> 'und' and not ambiguous"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
