@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from .mapping import map_text
 from .sampling import first_keys, remainder
 from .textkit import lowered
+from .workers import release, settle
 
 BINS = 4096
 MAX_FIT_ROWS = 5_000
@@ -199,12 +200,20 @@ def fit(
 
         return chunk
 
+    settle()
     got = map_text(sample, "text", start, [T.StructField("counts", T.BinaryType(), False)], keep=["k", "lang"]).toPandas()
     got = got.sort_values(["k", "lang", "counts"])
     if not len(got):
         return None
-    x = features(np.frombuffer(b"".join(map(bytes, got["counts"])), dtype=np.uint32).reshape(-1, BINS))
-    return fit_rows(x, got["lang"].tolist())
+    names = got["lang"].tolist()
+    x = np.empty((len(got), BINS), dtype=np.float32)
+    for i, raw in enumerate(got["counts"]):
+        x[i] = features(np.frombuffer(raw, dtype=np.uint32)[None])[0]
+    del got
+    release()
+    model = fit_rows(x, names)
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: CodeModel | None, text: str = "text", keep: list[str] | None = None, margin: float = MARGIN) -> DataFrame:

@@ -30,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .mapping import list_array, map_text
+from .mapping import gather, list_array, map_text
 from .sampling import first_keys, remainder
 from .textkit import _WORD_VALUES, distinct_per_row, lowered, span_hashes, word_spans
+from .workers import release, settle
 
 PREFIXES = (4, 5, 6)
 MAX_FIT_ROWS = 20_000
-PAIR_TERMS, PAIR_Z = 1024, 6.0  # half a million pairs are looked at
+PAIR_TERMS, PAIR_Z, MAX_PAIRED = 1024, 12.0, 256  # half a million pairs are looked at
 
 
 def terms(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,18 +79,29 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(s, -40, 40)))
 
 
-def paired_terms(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray, seen: np.ndarray, candidates: int = PAIR_TERMS, min_z: float = PAIR_Z) -> np.ndarray:
+def _occurrences(flat: np.ndarray, toxic: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms that occur in three rows or more, in how many, and in how many of label 1."""
+    seen = np.bincount(flat, minlength=1 << bits)
+    known = np.flatnonzero(seen >= 3)
+    seen = seen[known].astype(np.float64)
+    return known, seen, np.bincount(flat[toxic], minlength=1 << bits)[known]
+
+
+def paired_terms(
+    flat: np.ndarray, owner: np.ndarray, labels: np.ndarray, known: np.ndarray, seen: np.ndarray, bits: int, candidates: int = PAIR_TERMS, min_z: float = PAIR_Z
+) -> np.ndarray:
     """Terms that tell labels apart only together with another: those of pairs, among the ``candidates`` terms
     of most variance, whose joint rows depart from what the two terms' own shares of label 1 let expect."""
     n, share = len(labels), float(labels.mean())
     variance = seen * (n - seen)
-    few = np.flatnonzero((seen >= 3) & (seen <= n - 3))
-    few = np.sort(few[np.lexsort((few, -variance[few]))[:candidates]])
-    where = np.full(len(seen), -1, dtype=np.int32)
+    few = np.flatnonzero(seen <= n - 3)
+    few = np.sort(known[few[np.lexsort((few, -variance[few]))[:candidates]]])
+    where = np.full(1 << bits, -1, dtype=np.int16)
     where[few] = np.arange(len(few))
     term = where[flat]
     hit = term >= 0
     rows, term = owner[hit], term[hit]
+    del hit, where
     m = len(few)
     both, positive = np.zeros((m, m), dtype=np.float32), np.zeros((m, m), dtype=np.float32)
     for at in range(0, n, 1024):
@@ -113,7 +125,7 @@ def paired_terms(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray, seen:
 
 def fit_rows(
     bits: int,
-    rows: list[np.ndarray],
+    rows: list[np.ndarray] | tuple[np.ndarray, np.ndarray],
     labels: np.ndarray,
     max_terms: int = 8192,
     min_z: float = 3.0,
@@ -124,22 +136,22 @@ def fit_rows(
     decay: float = 1e-4,
     seed: int = 7,
 ) -> FactorizationMachine:
-    """Fit by mini-batch Adam on the log loss; deterministic for given rows in given order."""
+    """Fit by mini-batch Adam on the log loss; deterministic for given rows in given order.  ``rows``: the
+    terms of each row, or all of them with the place where each row's begin and the last end."""
     n = len(labels)
     none = np.zeros(0, dtype=np.uint64)
     share = float(labels.mean()) if n else 0.0
     if not 0 < share < 1:
         return FactorizationMachine(bits, 40.0 if share else -40.0, none, np.zeros(0), np.zeros((0, rank)))
-    flat = np.concatenate(rows).astype(np.int32, copy=False)
-    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=1 << bits).astype(np.float64)
-    positive = np.bincount(flat[(labels > 0)[owner]], minlength=1 << bits)
+    flat, bounds = rows if isinstance(rows, tuple) else (np.concatenate(rows).astype(np.int32, copy=False), np.cumsum([0, *map(len, rows)]))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+    # tables of all buckets are large: what is kept is of the terms that occur at least three times
+    known, seen, positive = _occurrences(flat, (labels > 0)[owner], bits)
     expected = seen * share
     z = np.abs(positive - expected) / np.sqrt(expected * (1 - share) + 0.5)
-    z[seen < 3] = 0
-    chosen = np.flatnonzero(z >= min_z)
-    chosen = chosen[np.lexsort((chosen, -z[chosen]))[:max_terms]]
-    chosen = np.union1d(chosen, paired_terms(flat, owner, labels, seen)[:max_terms]).astype(np.int64)
+    picked = np.flatnonzero(z >= min_z)
+    picked = picked[np.lexsort((picked, -z[picked]))[:max_terms]]
+    chosen = np.union1d(known[picked], paired_terms(flat, owner, labels, known, seen, bits)[:MAX_PAIRED]).astype(np.int64)
     where = np.full(1 << bits, -1, dtype=np.int32)
     where[chosen] = np.arange(len(chosen))
     term = where[flat]
@@ -206,11 +218,17 @@ def fit(
 
         return chunk
 
+    settle()
     got = map_text(sample, "text", start, [T.StructField("terms", T.ArrayType(T.IntegerType(), False), False)], keep=["k", "y", "print"]).toArrow()
-    hashed = got["terms"].to_numpy()
     y = got["y"].to_numpy().astype(float)
     order = np.lexsort((got["print"].to_numpy(), y, got["k"].to_numpy()))
-    return fit_rows(bits, [hashed[i] for i in order], y[order])
+    lists = got["terms"].combine_chunks()
+    flat, ends = gather(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), order)
+    del got, lists
+    release()
+    model = fit_rows(bits, (flat, np.concatenate([[0], ends]).astype(np.int64)), y[order])
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
