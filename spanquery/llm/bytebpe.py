@@ -30,6 +30,7 @@ from .textkit import _byte_values, span_hashes
 from .workers import released
 
 CACHE_BYTES = 16 << 20
+CHUNK = 1 << 20  # bytes of text whose pre-tokens are told apart at a time
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -339,7 +340,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", rank_file: str |
     The rank file is read by the workers, so it must be installed on every machine.
     """
     path = rank_file or default_rank_file()
-    return map_text(df, text, lambda: _encoder(path), [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    return map_text(df, text, lambda: _encoder(path), [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)], limit=CHUNK)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", rank_file: str | None = None) -> DataFrame:
@@ -384,7 +385,7 @@ def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str
         return chunk
 
     new = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.BinaryType(), False)]
-    return map_text(df, text, start, new, keep)
+    return map_text(df, text, start, new, keep, CHUNK)
 
 
 def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", rank_file: str | None = None) -> DataFrame:

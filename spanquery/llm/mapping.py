@@ -10,24 +10,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .textkit import chunks
+from .textkit import CHUNK_BYTES, chunks
 from .workers import released
 
 BATCH_ROWS = 1_000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lower_batches(spark: SparkSession) -> str:
+    """Arrow batches of at most ``BATCH_ROWS`` rows from here on, for a session that the caller owns; what it
+    was before.  Texts and sets are long, and the default of ten thousand rows holds tens of megabytes in
+    every task, once on each side of the pipe."""
+    before = spark.conf.get(_BATCHES)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+    return before
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most ``BATCH_ROWS`` rows for what runs inside: texts and sets are long, and the
-    default of ten thousand holds tens of megabytes in every task, once on each side of the pipe."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """The same for what runs inside; the session is then as it was."""
+    before = lower_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_BATCHES, before)
 
 
 ChunkFunction = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
@@ -39,10 +46,12 @@ def map_text(
     start: Callable[[], ChunkFunction],
     new: list[T.StructField],
     keep: list[str] | None = None,
+    limit: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Append ``new`` columns computed from column ``text`` chunk by chunk.
 
-    ``start`` is called once in each task and returns the function of (bytes, row offsets).
+    ``start`` is called once in each task and returns the function of (bytes, row offsets) of about
+    ``limit`` bytes.
     ``keep`` names the input columns to carry over (all by default); one that has the name of a
     new column is replaced by it.  A null text is read as the empty one.
     """
@@ -59,7 +68,7 @@ def map_text(
         fn = start()
         width = len(kept_names)
         for batch in batches:
-            for at, data, offsets in chunks(batch.column(width)):
+            for at, data, offsets in chunks(batch.column(width), limit):
                 rows = batch.slice(at, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(width)] + fn(data, offsets), names=out_names)
 

@@ -33,6 +33,7 @@ from .textkit import _byte_values, per_row_sum, span_hashes
 
 SPACE = "▁"
 MAX_NODES = 400_000
+CHUNK = 1 << 20  # bytes of text whose pre-tokens are told apart at a time
 
 
 def default_model_file() -> str:
@@ -139,7 +140,7 @@ def token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens", mod
         trie = PrefixTrie(load_scores(path))
         return lambda data, offsets: [pa.array(chunk_counts(trie, data, offsets))]
 
-    return map_text(docs, text, start, [T.StructField(out, T.LongType(), False)], keep)
+    return map_text(docs, text, start, [T.StructField(out, T.LongType(), False)], keep, CHUNK)
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
