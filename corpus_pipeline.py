@@ -1,7 +1,13 @@
 """The corpus pipeline: toxicity, language, near duplicates, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``documents``.  Models are fitted on the documents that reach the stage.
+columns of ``documents``.  Models are fitted on the documents that reach the stage.  As what a stage
+returns is computed when it is written, the stages that send texts to Python lower the session's Arrow
+batches; ``run`` sets them back.
+
+Defined cases, in every stage: rows are judged one by one, repeated and null doc_id included; a null text
+has no words, no language (it goes in the language stage) and no tokens; very long texts are taken whole;
+further columns are kept, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanquery.llm import bytebpe, decontam, jaccard, langid, toxicity
-from spanquery.llm.storage import shared_folder
+from spanquery.llm.mapping import lower_batches, small_batches
+from spanquery.llm.storage import drop, shared_folder
 
 
 def _filtered(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -23,6 +30,7 @@ def _filtered(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> Data
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose toxicity score is below 0.5."""
+    lower_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, learn=toxicity.remainder("k", 5) != 0)
     return _filtered(docs, lambda renamed: toxicity.score(renamed, model, "in_text", "toxic").where("toxic < 0.5"))
@@ -30,6 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a language that the decoder settles on: neither ``und`` nor ambiguous."""
+    lower_batches(spark)
     model = langid.fit(docs, learn=langid.remainder("k", 4) != 2)
     return _filtered(docs, lambda renamed: langid.predict(renamed, model, "in_text").where("lang_pred <> 'und' and not ambiguous"))
 
@@ -46,6 +55,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE token counts and digests."""
+    lower_batches(spark)
     return bytebpe.token_digests(docs)
 
 
@@ -65,7 +75,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again."""
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    with small_batches(spark):
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                drop(spark, f"{folder}/{i - 1}")  # the stage after it has been written
     return docs
