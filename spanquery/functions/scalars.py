@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 KEY_PATTERN = r"^[a-z]+-[a-z0-9]+(?:-[a-z0-9]+)*-\d{3}$"
 
@@ -48,15 +49,16 @@ def clip(text: Column, limit: int, marker: str = " [truncated]") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(marker))).otherwise(text)
 
 
-def bounded_join(items: Column, limit: int) -> tuple[Column, Column]:
-    """Distinct items in first-seen order joined by commas, at most ``limit``; and whether any were cut."""
-    distinct = F.array_distinct(items)
-    return F.array_join(F.slice(distinct, 1, limit), ","), F.size(distinct) > limit
+def bounded_join(items: Column, limit: int, length: int = 500) -> tuple[Column, Column]:
+    """Distinct items among the first ``limit``, in their order, joined by commas and cut to ``length`` characters; and whether anything was cut."""
+    joined = F.array_join(F.array_distinct(F.slice(items, 1, limit)), ",")
+    return F.left(joined, F.lit(length)), (F.size(items) > limit) | (F.length(joined) > length)
 
 
-def coerce_attributes(raw: Column) -> Column:
-    """A map of strings without NULL values."""
-    return F.map_filter(raw, lambda _, v: v.isNotNull())
+def coerce_attributes(names: list[str], values: list[Column]) -> Column:
+    """A map of strings from typed values: booleans as true and false, numbers by their digits, NULLs left out."""
+    pairs = [x for name, value in zip(names, values, strict=True) for x in (F.lit(name), value.cast("string"))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
 def attribute(attributes: Column, key: str, missing: str | None = None) -> Column:
@@ -79,59 +81,101 @@ def with_cost(spans: DataFrame, prices: DataFrame, model: str = "model") -> Data
 
 
 def merge_json(left: Column, right: Column) -> Column:
-    """Top-level merge of two JSON objects of strings; the right side wins."""
-    kind = T.MapType(T.StringType(), T.StringType())
-    a, b = (F.coalesce(F.from_json(c, kind), F.create_map().cast(kind)) for c in (left, right))
+    """Top-level merge of two JSON objects, whose values keep their types; the right side wins.  NULL is an empty object."""
+    kind = "map<string, variant>"
+    a, b = (F.coalesce(F.from_json(c, kind), F.from_json(F.lit("{}"), kind)) for c in (left, right))
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
 
 
-def canonical_json(text: str) -> str:
-    """Sorted keys, compact separators."""
-    return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def canonical_json(value: Column) -> Column:
+    """Sorted keys at every level, compact separators; NULL where it is no JSON."""
+    return F.to_json(F.try_parse_json(value))
 
 
 def parse_timestamp(value: Column) -> Column:
-    """Epoch milliseconds or ISO-8601 with a zone as a timestamp; NULL where it is neither."""
+    """Epoch milliseconds or ISO-8601 as a timestamp; NULL where it is neither, which callers are to report (``bad_timestamp``)."""
     return F.when(value.rlike(r"^-?\d+$"), F.timestamp_millis(value.try_cast("long"))).otherwise(F.try_to_timestamp(value))
 
 
-def parse_judge_reply(reply: str | None) -> tuple[int | None, int | None, str | None]:
-    """Faithfulness, quality and rationale of a judge's reply; all None unless it is well-formed.
+def bad_timestamp(value: Column) -> Column:
+    """Whether there is a value that ``parse_timestamp`` cannot read."""
+    return value.isNotNull() & parse_timestamp(value).isNull()
 
-    The last JSON object of the reply counts.  Both scores must be whole numbers from 1 to 5 and
-    the rationale must not be empty; it is cut to 400 characters.
+
+_FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)  # fixed value: how a reply marks its answer
+MAX_RATIONALE = 400
+MAX_PASSAGES, MAX_PASSAGE_CHARS = 8, 1200
+
+
+def _objects(text: str) -> list[str]:
+    """The outermost balanced braces of a text."""
+    found, level, begin = [], 0, 0
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            if not level:
+                begin = m.start()
+            level += 1
+        elif level:
+            level -= 1
+            if not level:
+                found.append(text[begin : m.end()])
+    return found
+
+
+def parse_judge_reply(reply: str | None) -> tuple[int | None, str | None]:
+    """Score and rationale of a judge's reply; both None unless it is well-formed.
+
+    The last object counts that is JSON, among fenced blocks if there are any.  The score must be a
+    whole number from 1 to 5, 3.0 included, and the rationale must not be blank.
     """
-    found = None
-    decoder = json.JSONDecoder()
-    at = 0
-    while reply and (at := reply.find("{", at)) >= 0:
+    none = None, None
+    for raw in reversed(_FENCED.findall(reply or "") or _objects(reply or "")):
         try:
-            value, end = decoder.raw_decode(reply, at)
+            found = json.loads(raw)
         except ValueError:
-            at += 1
             continue
-        if isinstance(value, dict):
-            found = value
-        at = end
-    if found is None:
-        return None, None, None
-    scores = [found.get(k) for k in ("faithfulness", "answer_quality")]
-    rationale = found.get("rationale")
-    if not all(type(s) is int and 1 <= s <= 5 for s in scores) or not isinstance(rationale, str) or not rationale.strip():
-        return None, None, None
-    return scores[0], scores[1], re.sub(r"\s+", " ", rationale.strip())[:400]
+        break
+    else:
+        return none
+    score, rationale = found.get("score"), found.get("rationale")
+    if isinstance(score, bool) or not isinstance(score, int | float) or score != score // 1 or not 1 <= score <= 5:
+        return none
+    if not isinstance(rationale, str) or not rationale.strip():
+        return none
+    return int(score), rationale.strip()[:MAX_RATIONALE]
+
+
+def judge_scores(replies: DataFrame, column: str = "reply", out: str = "judge") -> DataFrame:
+    """Append a struct of score and rationale, with NULL fields where the reply does not parse."""
+    @F.pandas_udf("score int, rationale string")
+    def parse(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_judge_reply(v) for v in values], columns=["score", "rationale"]).astype({"score": "Int32"})
 
+    return replies.withColumn(out, parse(column))
 
-def judge_scores(replies: DataFrame, column: str = "reply") -> DataFrame:
-    """Append judge: a struct of the parsed reply, with NULL fields where it does not parse."""
-    import pandas as pd
 
-    kind = "faithfulness int, answer_quality int, rationale string"
+def reference_first(seed: int, key: Column) -> Column:
+    """Whether the reference answer is shown first: a coin of the seed and the example alone."""
+    @F.pandas_udf("boolean")
+    def coin(keys: pd.Series) -> pd.Series:
+        return pd.Series([random.Random(f"{seed}:{k}").random() < 0.5 for k in keys], dtype=bool)
 
-    @F.pandas_udf(kind)
-    def parse(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_judge_reply(v) for v in values], columns=["faithfulness", "answer_quality", "rationale"]).astype(
-            {"faithfulness": "Int32", "answer_quality": "Int32"}
-        )
+    return coin(key)
+
+
+def render_passages(chunks: Column) -> Column:
+    """An array of (source_path, section_path, text) as numbered passages, the first ``MAX_PASSAGES`` of them."""
+
+    def one(c: Column, i: Column) -> Column:
+        body = F.regexp_replace(F.coalesce(c["text"], F.lit("")), r"^\s+|\s+$", "")
+        cut = F.concat(F.regexp_replace(F.left(body, F.lit(MAX_PASSAGE_CHARS)), r"\s+$", ""), F.lit("\n[passage truncated]"))
+        section = F.coalesce(c["section_path"], F.lit(""))
+        head = F.concat(F.coalesce(c["source_path"], F.lit("?")), F.when(section != "", F.concat(F.lit(" \u2014 "), section)).otherwise(F.lit("")))
+        number = (i + 1).cast("string")
+        shown = F.when(F.length(body) > MAX_PASSAGE_CHARS, cut).otherwise(body)
+        return F.concat(F.lit("<passage "), number, F.lit(": "), head, F.lit(">\n"), shown, F.lit("\n</passage "), number, F.lit(">"))
 
-    return replies.withColumn("judge", parse(column))
+    more = F.size(chunks) - MAX_PASSAGES
+    note = F.concat(F.lit("("), more.cast("string"), F.lit(" more were retrieved and are left out; that a claim's source is not among those shown says nothing against it.)"))
+    parts = F.concat(F.transform(F.slice(chunks, 1, MAX_PASSAGES), one), F.when(more > 0, F.array(note)).otherwise(F.array().cast("array<string>")))
+    return F.when(F.coalesce(F.size(chunks), F.lit(0)) > 0, F.array_join(parts, "\n\n")).otherwise("(no passages were retrieved)")

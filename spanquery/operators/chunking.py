@@ -42,95 +42,148 @@ def markdown_sections(text: str) -> list[tuple[str, str]]:
     return [(name, body) for name, lines in found if (body := "\n".join(lines).strip())]
 
 
-class _Sections(HTMLParser):
-    """Collects text of p, li, pre, code and td under h1 to h4; nested ones are collected twice."""
-
-    BODY = {"p", "li", "pre", "code", "td"}
-    CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td"}}
+HEADINGS = ("h1", "h2", "h3", "h4")
+BODY = ("p", "li", "pre", "code", "td")
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_OPAQUE = frozenset(("script", "style"))
+_TEMPLATE = "text/x-handlebars-template"
+#: Elements that a new element ends when they are open, and where the search for them stops.
+_BLOCKS = "address article aside blockquote center dd dir div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
+_ENDS = {name: ("p",) for name in _BLOCKS} | {
+    "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr"), "tbody": ("p", "td", "th", "tr", "thead", "tbody"),
+}
+_SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "p": ("table", "td", "th", "button", "object"), "td": ("table",), "th": ("table",), "tr": ("table",), "tbody": ("table",), "thead": ("table",)}
+
+
+class _Page(HTMLParser):
+    """The headings and text elements of a page in the order they open, each with the stripped pieces of its text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.found: list[tuple[str, list[str]]] = [(INTRO, [])]
-        self.open: list[tuple[str, list[str]]] = []
-        self.skip = 0
+        self.open: list[tuple[str, list[str] | None]] = []
+        self.elements: list[tuple[str, list[str]]] = []
+        self.template: str | None = None
+        self.taken = False
+        self.waiting: list[str] = []
+
+    def _settle(self) -> None:
+        """End a run of text."""
+        raw = "".join(self.waiting)
+        self.waiting.clear()
+        if self.open and self.open[-1][0] in _OPAQUE:
+            if self.open[-1] == ("script", None) and self.taken and self.template is None and raw:
+                self.template = raw
+            return
+        piece = raw.strip()
+        if piece:
+            for _, pieces in self.open:
+                if pieces is not None:
+                    pieces.append(piece)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += tag != "script" or dict(attrs).get("type") != "text/x-handlebars-template"
-        for old in self.CLOSES.get(tag, ()):
-            if self.open and self.open[-1][0] == old:
-                self.handle_endtag(old)
-        if tag in self.BODY or re.fullmatch("h[1-4]", tag):
-            self.open.append((tag, []))
+        self._settle()
+        for old in _ENDS.get(tag, ()):
+            self._end(old, _SCOPE.get(old, ()))
+        if tag in _VOID:
+            return
+        if tag == "script":
+            self.taken = (dict(attrs).get("type") or "") == _TEMPLATE
+        pieces: list[str] | None = [] if tag in HEADINGS or tag in BODY else None
+        if pieces is not None:
+            self.elements.append((tag, pieces))
+        self.open.append((tag, pieces))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
+        self._settle()
+        self._end(tag, ())
+
+    def _end(self, tag: str, scope: tuple[str, ...]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                text = re.sub(r"\s+", " ", "".join(self.open[i][1])).strip()
-                del self.open[i]
-                if not text:
-                    return
-                if tag in self.BODY:
-                    self.found[-1][1].append(text)
-                else:
-                    del self.stack[int(tag[1]) - 1 :]
-                    self.stack.append(text)
-                    self.found.append((" > ".join(self.stack), []))
+                del self.open[i:]
+                return
+            if self.open[i][0] in scope:
                 return
 
     def handle_data(self, data):
-        if not self.skip:
-            for _, parts in self.open:
-                parts.append(data)
+        self.waiting.append(data)
 
+    def handle_comment(self, data):
+        self._settle()
 
-def html_sections(text: str) -> list[tuple[str, str]]:
-    """(section, body) of an HTML page."""
-    parser = _Sections()
-    templates = re.findall(r'<script[^>]*type="text/x-handlebars-template"[^>]*>(.*?)</script>', text, re.S | re.I)
-    parser.feed(re.sub(r'<script[^>]*type="text/x-handlebars-template"[^>]*>.*?</script>', " ", text, flags=re.S | re.I))
-    for t in templates:
-        parser.feed(t)
-    parser.close()
-    for tag, _ in list(reversed(parser.open)):
-        parser.handle_endtag(tag)
-    return [(name, "\n".join(parts)) for name, parts in parser.found if parts]
+    def handle_decl(self, decl):
+        self._settle()
 
 
-def sections(docs: DataFrame, fmt: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, position, section and body of each section; ``fmt`` is markdown or html."""
+def _parsed(text: str) -> _Page:
+    page = _Page()
+    page.feed(text)
+    page.close()
+    page._settle()
+    return page
+
+
+def html_sections(text: str) -> list[tuple[str, str]]:
+    """(section, body) of an HTML page.
+
+    A page that carries its content as a template in a script is that template, its first.  An
+    element's text is its stripped pieces put together; elements inside others count again, after
+    them; a section's elements are joined by spaces.
+    """
+    page = _parsed(text)
+    if page.template is not None:
+        page = _parsed(page.template)
+    stack: list[str] = []
+    found: list[tuple[str, list[str]]] = [(INTRO, [])]
+    for tag, pieces in page.elements:
+        words = "".join(pieces)
+        if tag in HEADINGS:
+            del stack[int(tag[1]) - 1 :]
+            stack.append(words)
+            found.append((" > ".join(stack) or INTRO, []))
+        elif words:
+            found[-1][1].append(words)
+    return [(name, body) for name, parts in found if (body := " ".join(parts).strip())]
+
+
+def _section_lists(docs: DataFrame, fmt: str, key: str, text: str) -> DataFrame:
+    """key and s, the sections of each document in order."""
     split = {"markdown": markdown_sections, "html": html_sections}[fmt]
     kind = docs.schema[key].dataType.simpleString()
+    shape = pa.list_(pa.struct([("section", pa.string()), ("body", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(k, i, *s) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, s in enumerate(split(t or ""))]
-                columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-                types = [part.column(0).type, pa.int32(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names=["key", "position", "section", "body"])
+                rows = [[{"section": n, "body": b} for n, b in split(t or "")] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, type=shape)], names=["key", "s"])
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"key {kind}, position int, section string, body string")
+    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"key {kind}, s array<struct<section: string, body: string>>")
     return out.withColumnRenamed("key", key)
 
 
+def sections(docs: DataFrame, fmt: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, position, section and body of each section; ``fmt`` is markdown or html."""
+    return _section_lists(docs, fmt, key, text).select(key, F.posexplode("s").alias("position", "x")).select(key, "position", "x.section", "x.body")
+
+
 def chunk_documents(docs: DataFrame, fmt: str, key: str = "doc_id", text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks with a running index and id within each document."""
-    cut = sections(docs, fmt, key, text).withColumn("w", windows(F.col("body"), max_chars, overlap))
-    # sections of a document stay in order: its chunks are collected once more, by document
-    parts = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "section", "w"))).alias("s"))
-    flat = F.flatten(F.transform("s", lambda x: F.transform(x["w"], lambda t: F.struct(x["section"].alias("section"), t.alias("text")))))
-    out = parts.select(key, F.posexplode(flat).alias("chunk_index", "c"))
+    """Chunks with a running index and id within each document, which stays in one piece until then."""
+    lists = _section_lists(docs, fmt, key, text)
+    cut = F.transform("s", lambda x: F.transform(windows(x["body"], max_chars, overlap), lambda t: F.struct(x["section"].alias("section"), t.alias("text"))))
+    out = lists.select(key, F.posexplode(F.flatten(cut)).alias("chunk_index", "c"))
     return out.select(key, "chunk_index", "c.section", "c.text", short_id(F.col(key).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"))
 
 
-def chunk_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of plain texts with ids."""
-    out = docs.select(key, F.posexplode(windows(F.col(text), max_chars, overlap)).alias("chunk_index", "text"))
+def chunk_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of plain texts with ids, and the columns of ``keep``."""
+    out = docs.select(key, *keep, F.posexplode(windows(F.col(text), max_chars, overlap)).alias("chunk_index", "text"))
     return out.withColumn("chunk_id", short_id(F.col(key).cast("string"), F.col("chunk_index").cast("string")))
 
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import KEY_PATTERN, approx_tokens, collapse, stem
-from ..functions.stats import index_percentile, rate
+from ..functions.scalars import KEY_PATTERN, approx_tokens, basename, collapse, stem
+from ..functions.stats import exact_mean, exact_sum, index_percentile, pearson, rate
 
-#: Words of a path that identify nothing.
-CITATION_STOP_WORDS = ("docs", "index", "readme", "html", "page", "guide", "overview", "latest")
-GATED = {"hit_at_k_rate": 0.05, "faithfulness_mean": 0.3, "answer_quality_mean": 0.3}
-PINNED = ("retriever_mode", "k", "corpus_version", "judge_model", "dataset_version")
+#: Words of a path that identify nothing; what is gated, its floors for two runs and its
+#: thresholds for one; what must be equal for runs to be compared.
+CITATION_STOP_WORDS = ("index", "docs", "doc", "overview", "intro", "common", "config", "configuration", "content", "the", "and", "with", "from", "into")
+GATED = ("faithfulness_mean", "hit_at_5_rate", "citation_ok_rate")
+FLOORS = {"faithfulness_mean": 0.20, "hit_at_5_rate": 0.08}
+DECLARED = {"faithfulness_mean": 0.30, "hit_at_5_rate": 0.10, "citation_ok_rate": 0.0}
+PINNED = ("dataset_version", "corpus_version", "prompt_version", "judge_model", "n")
+MAX_PARSE_FAILURES = 2
+CI_SUBSET = 25
 
 
 def prefix_hit(paths: Column, prefixes: Column) -> Column:
@@ -34,60 +38,76 @@ def hit_at_k(calls: DataFrame, golden: DataFrame, k: int = 5) -> DataFrame:
     return golden.select("key").join(by_key, "key", "left")
 
 
-def citation_tokens(path: Column) -> Column:
-    """Words of four letters or more of a path's stem, without the stop words."""
-    words = F.split(F.lower(stem(path)), "[-_]")
-    return F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*CITATION_STOP_WORDS))
+def citation_tokens(path: Column, section: Column | None = None) -> Column:
+    """What names a retrieved chunk: its file name, the stem of that and the stem's words, and the last
+    heading of its section; lower-cased, of four characters or more, without the stop words."""
+    base = stem(path)
+    found = F.concat(F.array(basename(path), base), F.split(F.translate(base, "-", "_"), "_"))
+    if section is not None:
+        found = F.concat(found, F.array(F.trim(F.element_at(F.split(section, " > "), -1))))
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda w: (F.length(w) >= 4) & ~w.isin(*CITATION_STOP_WORDS)))
 
 
-def citation_ok(answer: Column, paths: Column) -> Column:
-    """Whether the answer names a token of any retrieved path; NULL without paths."""
+def citation_ok(answer: Column, retrieved: Column) -> Column:
+    """Whether the answer names any of the retrieved chunks, an array of (source_path, section_path); false without any."""
     text = F.lower(collapse(answer))
-    named = F.exists(F.flatten(F.transform(paths, citation_tokens)), lambda w: F.contains(text, w))
-    return F.when(F.size(paths) > 0, F.coalesce(named, F.lit(False)))
+    named = F.flatten(F.transform(retrieved, lambda r: citation_tokens(r["source_path"], r["section_path"])))
+    return F.coalesce(F.exists(named, lambda w: F.contains(text, w)), F.lit(False))
 
 
 def run_metrics(results: DataFrame) -> DataFrame:
     """One row of metrics over graded rows; NULL where nothing was measured.
 
     Rows with an error count only as errors; rows whose hit_source is 'n/a' stay out of the hit
-    rate; an unmeasured hit counts as a miss, unmeasured scores are left out.
+    rates; a search that was not made is a miss in hit_at_5_rate and left out of hit_at_5_given_search;
+    an unmeasured citation is a miss; unmeasured scores and costs are left out.
     """
     ok = F.col("error").isNull()
     only = lambda c: F.when(ok, F.col(c))
-    hit = F.when(ok & ~F.col("hit_source").eqNullSafe("n/a"), F.coalesce("hit_at_k", F.lit(False)))
+    hit = F.when(ok & ~F.col("hit_source").eqNullSafe("n/a"), F.struct("hit_at_k"))
+    searched = hit["hit_at_k"]
+    length = F.when(ok & (F.col("answer_len_tokens") != 0), F.col("answer_len_tokens"))
     return results.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("errors"), F.count_if(ok & ~F.coalesce("judge_parse_ok", F.lit(True))).alias("parse_failures"),
-        rate(hit, None).alias("hit_at_k_rate"), rate(only("citation_ok"), None).alias("citation_rate"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("errors"), F.count_if(F.col("judge_parse_ok") == F.lit(False)).alias("parse_failures"),
         F.avg(only("faithfulness")).alias("faithfulness_mean"), F.avg(only("answer_quality")).alias("answer_quality_mean"),
-        F.avg(only("answer_len_tokens")).alias("answer_len_mean"), index_percentile(only("latency_ms"), 0.5).alias("latency_p50_ms"),
-        index_percentile(only("latency_ms"), 0.95).alias("latency_p95_ms"), F.sum(only("cost_usd").cast("decimal(18,6)")).cast("double").alias("cost_usd"),
+        rate(F.when(hit.isNotNull(), F.coalesce(searched, F.lit(False))), None).alias("hit_at_5_rate"), rate(searched, None).alias("hit_at_5_given_search"),
+        rate(F.when(ok, F.coalesce("citation_ok", F.lit(False))), None).alias("citation_ok_rate"), exact_mean(only("cost_usd")).alias("mean_cost_usd"),
+        index_percentile(only("latency_ms"), 0.5).alias("p50_latency_ms"), index_percentile(only("latency_ms"), 0.95).alias("p95_latency_ms"),
+        F.round(pearson(length, only("answer_quality")), 9).alias("length_r_quality"), F.round(pearson(length, only("faithfulness")), 9).alias("length_r_faithfulness"),
+        F.coalesce(exact_sum("cost_usd"), F.lit(0.0)).alias("total_cost_usd"),
     )
 
 
 def long_metrics(metrics: DataFrame, names: list[str] | None = None) -> DataFrame:
     """metric and value rows of one row of metrics."""
-    names = names or [c for c in metrics.columns if c not in ("rows", "errors", "parse_failures")]
+    names = names or [c for c in metrics.columns if c not in ("rows", "errors", "parse_failures", "total_cost_usd")]
     return metrics.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
 
 
-def baseline(runs: DataFrame, floors: dict[str, float] = GATED) -> DataFrame:
+def _by_metric(values: dict[str, float]) -> Column:
+    return F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in values.items()])
+
+
+def baseline(runs: DataFrame) -> DataFrame:
     """metric, mean, sigma and threshold from (run, metric, value) rows of one run or two.
 
-    Two runs give |a - b| / sqrt(2) and max(2 sigma, floor); one run has no sigma and the floor
-    is the threshold.
+    Two runs give sigma = |a - b| / sqrt(2) and max(2 sigma, floor) for metrics with a floor; one run
+    has measured no sigma and gets the declared thresholds.
     """
-    floor = F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in floors.items()])
-    out = runs.groupBy("metric").agg(F.avg("value").alias("mean"), F.when(F.count("value") > 1, F.stddev_samp("value")).alias("sigma"))
-    return out.withColumn("threshold", F.when(floor.isNotNull(), F.greatest(2 * F.coalesce("sigma", F.lit(0.0)), floor)))
+    spread = (F.max("value") - F.min("value")) / F.sqrt(F.lit(2.0))
+    out = runs.groupBy("metric").agg(F.avg("value").alias("mean"), F.when(F.count("value") == 2, spread).alias("sigma"), F.count_distinct("run").alias("__runs"))
+    two = F.when(_by_metric(FLOORS).isNotNull(), F.greatest(2 * F.coalesce("sigma", F.lit(0.0)), _by_metric(FLOORS)))
+    return out.select("metric", "mean", "sigma", F.when(F.col("__runs") > 1, two).otherwise(_by_metric(DECLARED)).alias("threshold"))
 
 
 def gate(base: DataFrame, run: DataFrame) -> DataFrame:
-    """Each gated metric with its verdict: ok, improved, regressed or missing (a regression too)."""
-    joined = base.where("threshold is not null").join(run.select("metric", F.col("value").alias("current")), "metric", "left")
-    delta = F.round(F.col("current") - F.col("mean"), 12)
-    verdict = F.when(F.col("current").isNull(), "missing").when(delta < -F.col("threshold"), "regressed").when(delta > F.col("threshold"), "improved").otherwise("ok")
-    return joined.select("metric", "mean", "threshold", "current", delta.alias("delta"), verdict.alias("verdict"))
+    """Each gated metric with its verdict: ok, regressed (below the mean by more than the threshold; an
+    improvement is ok) or missing, a regression too.  A metric without a threshold has the declared one."""
+    names = base.select(F.explode(F.array(*map(F.lit, GATED))).alias("metric")).distinct()
+    joined = names.join(base, "metric", "left").join(run.select("metric", F.col("value").alias("current")), "metric", "left")
+    joined = joined.withColumns({"threshold": F.coalesce("threshold", _by_metric(DECLARED)), "delta": F.col("current") - F.col("mean")})
+    verdict = F.when(F.col("delta").isNull(), "missing").when(F.col("delta") < -F.col("threshold"), "regressed").otherwise("ok")
+    return joined.select("metric", "mean", "threshold", "current", "delta", verdict.alias("verdict"))
 
 
 def config_drift(base: DataFrame, run: DataFrame, pinned: tuple[str, ...] = PINNED) -> DataFrame:
@@ -97,16 +117,42 @@ def config_drift(base: DataFrame, run: DataFrame, pinned: tuple[str, ...] = PINN
     return a.join(b, "name", "full").where(~F.col("baseline").eqNullSafe(F.col("current")))
 
 
-def exit_code(verdicts: DataFrame, metrics: DataFrame, drift: DataFrame | None = None, allow_drift: bool = False, max_parse_failures: int = 2) -> int:
-    """0 passed, 1 regression or drift, 2 nothing to compare with, 3 the harness failed."""
-    m = metrics.first()
-    if m is None or m.errors or m.parse_failures > max_parse_failures:
-        return 3
-    found = [r.verdict for r in verdicts.select("verdict").collect()]  # a row a gated metric
-    if not found:
+def exit_code(verdicts: DataFrame | None, metrics: DataFrame | None, drift: DataFrame | None = None, allow_drift: bool = False) -> int:
+    """0 passed, 1 a regression or drift, 2 nothing to compare, 3 the harness failed (which goes before 1)."""
+    m = None if metrics is None else metrics.first()
+    if verdicts is None or m is None or not m.rows:
         return 2
-    drifted = drift is not None and not allow_drift and not drift.isEmpty()
-    return int(drifted or any(v in ("regressed", "missing") for v in found))
+    if m.errors or m.parse_failures > MAX_PARSE_FAILURES:
+        return 3
+    if drift is not None and not allow_drift and not drift.isEmpty():
+        return 1
+    return int(not verdicts.where("verdict <> 'ok'").isEmpty())
+
+
+def latest_finished(runs: DataFrame) -> DataFrame:
+    """The finished run of the greatest id; empty if none has finished."""
+    return runs.where("finished_at is not null").orderBy(F.desc("id")).limit(1)
+
+
+def with_prompt_version(runs: DataFrame, versions: DataFrame) -> DataFrame:
+    """Runs with the version string of their prompt_version_id, NULL where that is unknown."""
+    known = versions.select(F.col("prompt_version_id").alias("__id"), F.col("version").alias("prompt_version"))
+    return runs.join(known, F.col("prompt_version_id") == F.col("__id"), "left").drop("__id")
+
+
+def stored_run(runs: DataFrame, results: DataFrame, versions: DataFrame, run: int | str = "latest") -> tuple[DataFrame, DataFrame]:
+    """(name, value) rows of a run's configuration, n its number of results, and its row of metrics;
+    ``LookupError`` where there is no such run or it has no results."""
+    row = (latest_finished(runs) if run == "latest" else runs.where(F.col("id") == int(run))).select("id").first()
+    if row is None:
+        raise LookupError("no finished run" if run == "latest" else f"no run {run}")
+    own = results.where(F.col("eval_run_id") == row.id)
+    metrics = run_metrics(own)
+    if not metrics.first().rows:
+        raise LookupError(f"run {row.id} has no results")
+    config = with_prompt_version(runs.where(F.col("id") == row.id), versions).join(F.broadcast(own.agg(F.count(F.lit(1)).alias("n"))), F.lit(True))
+    names = [c for c in config.columns if c not in ("prompt_version_id", "started_at", "finished_at")]
+    return config.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])).alias("x")).select("x.*"), metrics
 
 
 def agreement(pairs: DataFrame, judge: str = "judge", human: str = "human") -> DataFrame:
@@ -159,9 +205,10 @@ def unresolved_sources(golden: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
-    """n rows taken round-robin over the strata, each in a seeded order; the sampling is the feature."""
+    """n rows taken round-robin over the strata, each in a seeded order; the sampling is the feature.
+    No stratum gives more than n, which is said before the ranks are used, so that they stop there."""
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), key)
-    return rows.withColumn("turn", F.row_number().over(order)).orderBy("turn", stratum).limit(n)
+    return rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n).orderBy("turn", stratum).limit(n)
 
 
 def stratification(golden: DataFrame, axes: tuple[str, ...] = ("project", "type", "difficulty")) -> DataFrame:
@@ -169,11 +216,6 @@ def stratification(golden: DataFrame, axes: tuple[str, ...] = ("project", "type"
     return golden.unpivot(["ci"], list(axes), "axis", "value").groupBy("axis", "value", "ci").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sheet_digest(rows: list[tuple]) -> str:
-    """SHA-256 of a label sheet's rows; a stale sheet is told by it."""
-    return hashlib.sha256("\n".join("\x1f".join("" if v is None else str(v) for v in r) for r in sorted(rows, key=repr)).encode()).hexdigest()
-
-
 @dataclass
 class Budget:
     """Spend against a cap; the first observation is where it starts."""
@@ -197,3 +239,9 @@ def spend_ledger(entries: DataFrame, cap_usd: float) -> DataFrame:
 
 def answer_lengths(answers: DataFrame, text: str = "text") -> DataFrame:
     return answers.withColumn("answer_len_tokens", approx_tokens(F.col(text)))
+
+
+def ci_subset_problem(golden: DataFrame, size: int = CI_SUBSET) -> str | None:
+    """Why the CI subset is not what the thresholds rest on, or None."""
+    n = golden.where("ci").count()
+    return None if n == size else f"the CI subset must be exactly {size} examples, not {n}"

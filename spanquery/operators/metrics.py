@@ -14,7 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import distinct_if, exact_sum, interpolated, percent_of, rounded
+from ..functions.stats import distinct_if, exact_sum, interpolated, percent_of, quantiles, rounded, with_quantiles
+from ..sources.spans import between
 
 WINDOWS = {"5m": 300, "15m": 900, "1h": 3600, "24h": 86400}
 GROUPS = {"none": None, "model": "model", "event_type": "event_type", "status": "status"}
@@ -28,46 +29,39 @@ def _errors() -> Column:
     return distinct_if("span_id", F.col("status") != "ok")
 
 
-def _error_percent() -> Column:
-    return rounded(percent_of(_errors(), _spans()), 3)
-
-
-def _quantiles(*qs: tuple[str, float]) -> list[Column]:
-    return [rounded(interpolated("latency_ms", q), 3).alias(name) for name, q in qs]
-
-
 def _token_sum() -> Column:
     return F.sum("prompt_tokens") + F.sum("completion_tokens")
 
 
+_IDS, _BAD = "count(distinct span_id)", "count(distinct case when status <> 'ok' then span_id end)"
+_PERCENT = f"cast(round(cast(100.0D * {_BAD} / greatest({_IDS}, 1) as decimal(28,9)), 3) as double)"
+
+
 @dataclass(frozen=True)
 class Metric:
-    """Aggregates over the spans of a trailing window; ``fixed`` grouping overrides the caller's."""
+    """(SQL, name) of aggregates over the spans of a trailing window of {seconds}; ``fixed`` grouping overrides
+    the caller's; ``quantiles`` of the latency come next to them."""
 
-    aggregates: Callable[[int], list[Column]]
+    aggregates: tuple[tuple[str, str], ...]
     where: str = "true"
     fixed: str | None = None
     order: str | None = None
+    quantiles: tuple[tuple[str, float], ...] = ()
 
 
 METRICS = {
-    "request_rate": Metric(lambda s: [_spans().alias("spans"), (_spans() / F.lit(s) * 60).alias("spans_per_min")]),
-    "p95_latency": Metric(lambda s: [*_quantiles(("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)), _spans().alias("spans")]),
-    "error_rate": Metric(lambda s: [_spans().alias("spans"), _errors().alias("errors"), _error_percent().alias("error_rate_pct")]),
+    "request_rate": Metric(((_IDS, "spans"), (f"{_IDS} / {{seconds}} * 60", "spans_per_min"))),
+    "p95_latency": Metric(((_IDS, "spans"),), quantiles=(("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99))),
+    "error_rate": Metric(((_IDS, "spans"), (_BAD, "errors"), (_PERCENT, "error_rate_pct"))),
     "cost_by_model": Metric(
-        lambda s: [F.round(exact_sum("cost_usd"), 6).alias("cost_usd"), _spans().alias("spans"), F.count_distinct("trace_id").alias("turns")],
+        (("round(cast(sum(cast(cost_usd as decimal(18,6))) as double), 6)", "cost_usd"), (_IDS, "spans"), ("count(distinct trace_id)", "turns")),
         "model is not null", "model", "cost_usd",
     ),
     "tokens_by_model": Metric(
-        lambda s: [
-            F.sum("prompt_tokens").alias("prompt_tokens_sum"), F.sum("completion_tokens").alias("completion_tokens_sum"),
-            _token_sum().alias("total_tokens"), _spans().alias("spans"),
-        ],
+        (("sum(prompt_tokens)", "prompt_tokens_sum"), ("sum(completion_tokens)", "completion_tokens_sum"), ("sum(prompt_tokens) + sum(completion_tokens)", "total_tokens"), (_IDS, "spans")),
         "model is not null", "model", "total_tokens",
     ),
-    "tool_error_rate": Metric(
-        lambda s: [_spans().alias("tool_calls"), _errors().alias("errors"), _error_percent().alias("error_rate_pct")], "event_type = 'TOOL_CALL'"
-    ),
+    "tool_error_rate": Metric(((_IDS, "tool_calls"), (_BAD, "errors"), (_PERCENT, "error_rate_pct")), "event_type = 'TOOL_CALL'"),
 }
 
 
@@ -83,24 +77,28 @@ def metric_frame(spans: DataFrame, metric: str, window: str, group_by: str = "no
     if problem := _check(metric, window, group_by):
         raise ValueError(problem)
     spec, seconds = METRICS[metric], WINDOWS[window]
-    now = F.current_timestamp() if as_of is None else F.lit(as_of)
-    since = (now - F.make_dt_interval(secs=F.lit(seconds))).cast(spans.schema["ts"].dataType)
-    kept = spans.where((F.col("ts") >= since) & F.expr(spec.where))
+    since = (dt.datetime.now(dt.UTC).replace(tzinfo=None) if as_of is None else as_of) - dt.timedelta(seconds=seconds)
+    kept = between(spans, since, None).where(F.expr(spec.where))
     column = spec.fixed or GROUPS[group_by]
-    if column is None:
-        return kept.agg(*spec.aggregates(seconds))
-    return kept.groupBy(column).agg(*spec.aggregates(seconds)).orderBy(F.desc(spec.order) if spec.order else column, column)
+    keys = [column] if column else []
+    out = kept.groupBy(*keys).agg(*[F.expr(sql.format(seconds=seconds)).alias(name) for sql, name in spec.aggregates])
+    if spec.quantiles:
+        found = quantiles(kept, keys, "latency_ms", dict(spec.quantiles))
+        found = found.select(*keys, *[rounded(F.col(name), 3).alias(name) for name, _ in spec.quantiles])
+        out = with_quantiles(out, found, keys).select(*keys, *[name for name, _ in spec.quantiles], *[name for _, name in spec.aggregates])
+    return out.orderBy(F.desc(spec.order) if spec.order else column, column) if column else out
 
 
-def build_metric_sql(metric: str, window: str, group_by: str = "none") -> str:
-    """What a metric computes, as text built from the specifications alone."""
+def build_metric_sql(metric: str, window: str, group_by: str = "none", spans: str = "spans") -> str:
+    """A metric as a query that runs, with the named parameter :as_of; built from the specifications alone."""
     if problem := _check(metric, window, group_by):
         raise ValueError(problem)
-    spec = METRICS[metric]
+    spec, seconds = METRICS[metric], WINDOWS[window]
     column = spec.fixed or GROUPS[group_by]
-    chosen = ", ".join(([column] if column else []) + [c._jc.toString() for c in spec.aggregates(WINDOWS[window])])
-    tail = f" GROUP BY {column} ORDER BY {spec.order + ' DESC' if spec.order else column}" if column else ""
-    return f"SELECT {chosen} FROM spans WHERE ts >= :as_of - INTERVAL {WINDOWS[window]} SECONDS AND {spec.where}{tail}"
+    parts = [f"cast(round(cast(percentile(latency_ms, {q}) as decimal(28,9)), 3) as double) as {name}" for name, q in spec.quantiles]
+    parts += [f"{sql.format(seconds=seconds)} as {name}" for sql, name in spec.aggregates]
+    tail = f" group by {column} order by {spec.order + ' desc, ' if spec.order else ''}{column}" if column else ""
+    return f"select {', '.join(([column] if column else []) + parts)} from {spans} where ts >= :as_of - interval {seconds} seconds and {spec.where}{tail}"
 
 
 def query_metrics(spans: DataFrame, metric: str, window: str, group_by: str = "none", as_of: dt.datetime | None = None) -> dict[str, Any]:
@@ -126,6 +124,7 @@ class Panel:
     by: tuple[str, ...] = ()
     order: str | None = None
     limit: int | None = field(default=None)
+    whole: tuple[tuple[str, float], ...] = ()
 
 
 def _percent() -> Column:
@@ -147,7 +146,7 @@ PANELS = {
     "spans": Panel("Spans", lambda s: [_spans().alias("spans")]),
     "error_rate": Panel("Error rate", lambda s: [_percent().alias("error_rate_pct")]),
     "cost": Panel("Cost", _COST),
-    "p95_llm": Panel("p95 LLM latency", lambda s: _rounded(("p95_ms", 0.95)), _LLM),
+    "p95_llm": Panel("p95 LLM latency", lambda s: [], _LLM, whole=(("p95_ms", 0.95),)),
     "request_rate": Panel("Request rate by event type", lambda s: [(_spans() * 60.0 / s).alias("spans_per_min")], timed=True, by=("event_type",)),
     "llm_latency": Panel("LLM latency p50 / p95 / p99", lambda s: _rounded(("p50", 0.5), ("p95", 0.95), ("p99", 0.99)), _LLM, True),
     "error_rate_series": Panel("Error rate over time", lambda s: [_percent().alias("error_rate_pct")], timed=True),
@@ -173,8 +172,10 @@ def panel_frame(spans: DataFrame, panel: str, start: dt.datetime, end: dt.dateti
     if panel not in PANELS:
         raise ValueError(f"unknown panel {panel!r}; known: {sorted(PANELS)}")
     spec = PANELS[panel]
-    kind = spans.schema["ts"].dataType
-    kept = spans.where(F.col("ts").between(F.lit(start).cast(kind), F.lit(end).cast(kind)) & F.expr(spec.where))
+    kept = between(spans, start, end).where(F.expr(spec.where))
+    if spec.whole:  # a quantile over the whole range, not over one interval
+        found = quantiles(kept, [], "latency_ms", dict(spec.whole))
+        return found.select(*[rounded(F.col(name), 6).alias(name) for name, _ in spec.whole])
     keys = ([F.window("ts", f"{interval_s} seconds")["start"].alias("time")] if spec.timed else []) + [F.col(c) for c in spec.by]
     if not keys:
         return kept.agg(*spec.aggregates(interval_s))

@@ -1,12 +1,12 @@
 """Retrieval: BM25, cosine nearest neighbours, rank fusion, and comparisons of modes.
 
-All searches take a set of queries at once.  The queries are the stated small side: their number
-is checked before they are broadcast, and larger sets run in blocks.
+All searches take a set of queries at once.  The queries are the stated small side: their size is
+checked before they are broadcast, and larger sets run in blocks or by shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens
+from ..tables import drop, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 MODES = ("dense", "bm25", "hybrid")
-BLOCK_QUERIES = 4096
+BLOCK_BYTES = 32 << 20  # of the query vectors that one scan compares with
+BROADCAST_ROWS = 500_000  # of query terms and candidates, about 100 bytes each
+DIRECT_HITS = 50_000_000  # postings times queries that are added up without choosing candidates first
+RARE = 50  # terms in fewer than one chunk in so many decide who can be among the best
 
 
 def _decimal_sum(c: Column) -> Column:
@@ -26,35 +30,114 @@ def _decimal_sum(c: Column) -> Column:
     return F.sum(c.cast("decimal(28,9)")).cast("double")
 
 
-def term_statistics(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (term, key, tf, dl), term table (term, df, idf) and one row of corpus facts.
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Lengths count all tokens and texts without tokens are part of the average.  A negative idf
-    becomes EPSILON times the mean idf of all terms.
-    """
-    counted = chunks.select(F.col(key), tokens(F.col(text)).alias("t"))
-    lengths = counted.select(key, F.size("t").alias("dl"), "t")
-    facts = lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
-    postings = lengths.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(facts.select("n")), F.lit(True)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.agg((_decimal_sum(F.col("raw")) / F.count(F.lit(1))).alias("mean"))
-    idf = raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, idf, facts
+
+def term_postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, key, tf and dl (all tokens of the chunk), from one scan; a chunk without tokens is one row with
+    a null term.  ``lead`` is true in one row of each chunk."""
+    counted = chunks.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    rows = counted.select(key, F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term"))
+    return rows.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min(F.coalesce("pos", F.lit(0))) == 0).alias("lead"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, query_key: str = "query_id", query_text: str = "query", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """query_id, key and score of every chunk that shares a term with the query.
+class BM25Index:
+    """Postings and term table of a corpus, stored; built by one scan of the texts.
 
-    Only postings of the queries' terms are joined; repeated query terms count repeatedly.
+    Lengths count all tokens and chunks without tokens are part of the average.  A negative idf
+    becomes EPSILON times the mean idf of all terms.
     """
-    postings, idf, facts = term_statistics(chunks, key, text)
-    wanted = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term"))
-    wanted = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = wanted.join(idf.select("term", "idf"), "term")
-    hits = postings.join(wanted, "term").join(F.broadcast(facts), F.lit(True))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", key).agg(_decimal_sum(part).alias("score"))
+
+    def __init__(self, chunks: DataFrame, key: str = "doc_id", text: str = "text"):
+        self.key, self.spark = key, chunks.sparkSession
+        self.postings, path = stored(term_postings(chunks, key, text), "postings")
+        self.paths = [path]
+        facts = self.postings.agg(F.count_if("lead").alias("n"), F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))), F.lit(0)).alias("tokens")).first()
+        self.n, self.avgdl = facts.n, facts.tokens / max(facts.n, 1)
+        terms = self.postings.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        raw, path = stored(terms.withColumn("raw", F.ln(F.lit(self.n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "terms")
+        self.paths.append(path)
+        mean = raw.agg((_decimal_sum(F.col("raw")) / F.count(F.lit(1))).alias("mean")).first().mean
+        self.terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
+
+    def part(self) -> Column:
+        """What the term frequency gives, before the idf."""
+        return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.nullif(F.lit(self.avgdl), F.lit(0.0))))
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop(self.spark, path)
+
+    def wanted(self, queries: DataFrame, query_key: str = "query_id", query_text: str = "query") -> DataFrame:
+        """query_id, term, times, df and idf of the queries' known terms; repeated terms count repeatedly."""
+        asked = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term"))
+        return asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(self.terms, "term")
+
+    def scores(self, wanted: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+        """query_id, key and score by the wanted terms, of all chunks that have any, or of the given pairs alone."""
+        hits = self.postings.join(_bounded(wanted.select("query_id", "term", "times", "idf")), "term")
+        if pairs is not None:
+            hits = hits.join(_bounded(pairs.select("query_id", self.key)), ["query_id", self.key], "left_semi")
+        return hits.groupBy("query_id", self.key).agg(_decimal_sum(F.col("times") * F.col("idf") * self.part()).alias("score"))
+
+    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """The k best of each query with their rank; chunks that share no term score 0 and come by key.
+        ``allowed`` (key) filters after scoring, so that the statistics stay global."""
+        paths: list[str] = []
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            out, path = stored(df, name)
+            paths.append(path)
+            return out
+
+        def among(scores: DataFrame) -> DataFrame:
+            return scores if allowed is None else scores.join(allowed.select(self.key), self.key, "left_semi")
+
+        wanted = keep(self.wanted(queries), "wanted")
+        hits = wanted.agg(F.sum("df")).first()[0] or 0
+        scores = among(self.scores(wanted)) if hits <= DIRECT_HITS else self._candidates(wanted, k, among, keep)
+        best, path = stored(top_k(scores, k, self.key).select("query_id", self.key, "score", "rank"), "best")
+        enough = best.where("score >= 0").groupBy("query_id").count().where(F.col("count") >= k)
+        few = queries.select("query_id").distinct().join(enough, "query_id", "left_anti")
+        if not few.isEmpty():
+            paths.append(path)
+            best = self._filled(best, keep(few, "few"), wanted, k, allowed)
+        for old in paths:
+            drop(self.spark, old)
+        return best
+
+    def _candidates(self, wanted: DataFrame, k: int, among: Callable, keep: Callable) -> DataFrame:
+        """Scores of all chunks that can be among the k best, and of others at times.
+
+        Rare terms decide first: with u the most that a query's common terms can add, a chunk
+        without rare terms scores u at most, and one with them at most u more than by them alone.
+        Where the k-th best by rare terms alone is above u, only chunks that can still reach it
+        are scored in full; the other queries are scored against all chunks that share a term.
+        """
+        key, rare = self.key, F.col("df") * RARE <= F.lit(self.n)
+        top = self.postings.join(_bounded(keep(wanted.where(~rare).select("term").distinct(), "common")), "term").groupBy("term").agg(F.max(self.part()).alias("part"))
+        most = wanted.join(top, "term", "left").withColumn("most", F.col("times") * F.col("idf") * F.coalesce("part", F.lit(0.0)))
+        # bounds hold only where no part of a score is negative
+        bounds = most.groupBy("query_id").agg(F.sum("most").alias("u"), F.min("idf").alias("least"))
+        some = keep(among(self.scores(wanted.where(rare))), "rare")
+        kth = top_k(some, k, key).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth")).join(bounds, "query_id").where("kth > u + 1e-6 and least >= 0")
+        kth = keep(kth, "kth")
+        pairs = keep(some.join(_bounded(kth), "query_id").where("score + u + 1e-6 >= kth").select("query_id", key), "pairs")
+        full = self.scores(wanted.join(_bounded(kth.select("query_id")), "query_id", "left_semi"), pairs)
+        return full.unionByName(among(self.scores(keep(wanted.join(_bounded(kth.select("query_id")), "query_id", "left_anti"), "open"))))
+
+    def _filled(self, best: DataFrame, few: DataFrame, wanted: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+        """The best with chunks that score 0 for the few queries that fewer than k chunks share a term with (or
+        score below 0): such a chunk is among the first by key, after those that the query has met, whose number is small."""
+        key = self.key
+        met = self.postings.join(_bounded(wanted.join(_bounded(few), "query_id", "left_semi").select("query_id", "term")), "term").select("query_id", key).distinct()
+        most = k + (met.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+        whole = self.postings.where("lead").select(key) if allowed is None else allowed.select(key).distinct()
+        first = whole.orderBy(key).limit(most)
+        none = few.join(F.broadcast(first), F.lit(True)).join(met, ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
+        out, _ = stored(top_k(best.drop("rank").unionByName(none.select("query_id", key, "score")), k, key).select("query_id", key, "score", "rank"), "best")
+        return out
 
 
 def top_k(scores: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id") -> DataFrame:
@@ -63,25 +146,29 @@ def top_k(scores: DataFrame, k: int, key: str = "doc_id", query_key: str = "quer
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", project: Column | None = None, **names: str) -> DataFrame:
-    """Top k by BM25; a project filter applies after scoring, so the statistics stay global."""
-    scores = bm25_scores(queries, chunks, key=key, **names)
-    if project is not None:
-        scores = scores.join(chunks.where(project).select(key), key, "left_semi")
-    return top_k(scores, k, key)
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", project: Column | None = None, text: str = "text") -> DataFrame:
+    """Top k by BM25 of queries (query_id, query); a project filter applies after scoring."""
+    index = BM25Index(chunks, key, text)
+    out = index.search(queries, k, None if project is None else chunks.where(project))
+    index.drop()
+    return out
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding") -> DataFrame:
+def dense_search(
+    queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding", allowed: Column | None = None
+) -> DataFrame:
     """Top k by cosine similarity, rounded to nine decimals; a zero vector is as far from all.
 
-    Exact search of a query set against all vectors in blocks: a block of at most
-    ``BLOCK_QUERIES`` queries goes to every task, which keeps k candidates a query.
+    ``allowed`` filters before the search.  Exact search of a query set against all vectors: a
+    block of at most ``BLOCK_BYTES`` of queries goes to every task, which keeps the k best of each
+    query over all its batches and emits them once.
     """
     spark = vectors.sparkSession
-    wanted = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).orderBy("q")
+    wanted = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null").orderBy("q")
     schema = "query_id long, id long, score double"
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    out, block = None, []
+    rows = vectors if allowed is None else vectors.where(allowed)
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    out, block, held = None, [], 0
 
     def unit(x: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -92,23 +179,28 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            best, who = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-                have = batch.column(0).to_numpy()
-                scores = np.round(q @ x.T, 9) + 0.0
-                for i in range(len(ids)):
-                    best = np.lexsort((have, -scores[i]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(have[best]), pa.array(scores[i][best])], names=["query_id", "id", "score"])
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    x = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                    have = np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))
+                    best = np.hstack([best, np.round(q @ x.T, 9) + 0.0])
+                    who = np.hstack([who, have])
+                    if best.shape[1] > k:
+                        order = np.lexsort((who, -best), axis=1)[:, :k]
+                        best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
+            if best.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(who.ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
 
         return rows.mapInArrow(run, schema)
 
     for row in wanted.toLocalIterator():
         block.append(row)
-        if len(block) == BLOCK_QUERIES:
+        held += 8 * len(row.v) + 100
+        if held >= BLOCK_BYTES:
             out = scan(block) if out is None else out.unionByName(scan(block))
-            block = []
+            block, held = [], 0
     if block or out is None:
         part = scan(block) if block else spark.createDataFrame([], schema)
         out = part if out is None else out.unionByName(part)
@@ -129,28 +221,65 @@ def pool_size(k: int) -> int:
     return max(20, 5 * k)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 4, mode: str = "hybrid", key: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """Top k chunks of each query in a mode; queries have query_id, query and a vector."""
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, k: int = 4, mode: str = "hybrid", key: str = "doc_id", vector: str = "embedding", text: str = "text",
+    project: str | None = None, corpus_version: str | None = None, rrf_k: int = RRF_K, index: BM25Index | None = None,
+) -> DataFrame:
+    """Top k chunks of each query in a mode; queries have query_id, query and a vector.
+
+    ``project`` filters the vectors before their search and the BM25 scores after it;
+    ``corpus_version`` keeps vectors of another version out, so that a stale table shows as
+    missing answers instead of wrong ones.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {MODES}")
     pool = k if mode != "hybrid" else pool_size(k)
-    dense = dense_search(queries, chunks, pool, key, vector, query_vector=vector) if mode != "bm25" else None
-    lexical = bm25_search(queries, chunks, pool, key) if mode != "dense" else None
-    return (dense or lexical) if mode != "hybrid" else rrf(dense, lexical, k, key)
+    own = F.lit(True) if project is None else F.col("project") == project
+    current = own if corpus_version is None else own & (F.col("corpus_version") == corpus_version)
+    dense = dense_search(queries, chunks, pool, key, vector, query_vector=vector, allowed=current) if mode != "bm25" else None
+    if mode == "dense":
+        return dense
+    made = index or BM25Index(chunks, key, text)
+    lexical = made.search(queries, pool, None if project is None else chunks.where(own))
+    if index is None:
+        made.drop()
+    return lexical if mode == "bm25" else rrf(dense, lexical, k, key, rrf_k)
+
+
+def retrieve_modes(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", vector: str = "embedding", text: str = "text") -> DataFrame:
+    """mode, query_id, key and rank of the top k in every mode, each list of candidates made once."""
+    pool = pool_size(k)
+    index = BM25Index(chunks, key, text)
+    dense, _ = stored(dense_search(queries, chunks, pool, key, vector, query_vector=vector), "dense")
+    lexical = index.search(queries, pool)
+    index.drop()
+    lists = {"dense": dense.where(F.col("rank") <= k), "bm25": lexical.where(F.col("rank") <= k), "hybrid": rrf(dense, lexical, k, key)}
+    parts = [lists[m].select(F.lit(m).alias("mode"), "query_id", key, "rank") for m in MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def hash_vector(text: Column, width: int = 8) -> Column:
-    """A stand-in embedding without a model: centred bytes of the SHA-256 of the text."""
+    """A stand-in embedding without a model: the first bytes of the SHA-256 of the text, of length 1, as floats."""
     digest = F.sha2(text.cast("binary"), 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double"))
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x)).cast("float").cast("double")
+    return F.transform(raw, lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
+
+
+def hit_rates(ranked: DataFrame, expected: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Hit rate at k by mode, and by columns of the questions such as project and type: ranked (mode,
+    query_id, doc, rank) against expected (query_id, doc and those columns); a question without a hit is a miss."""
+    found = ranked.where(F.col("rank") <= k).join(expected, ["query_id", "doc"], "left_semi").select("mode", "query_id").distinct().withColumn("hit", F.lit(1))
+    asked = expected.select("query_id", *by).distinct().join(F.broadcast(ranked.select("mode").distinct()), F.lit(True))  # three modes
+    both = asked.join(found, ["mode", "query_id"], "left").groupBy("mode", *by)
+    hits = F.coalesce(F.sum("hit"), F.lit(0))
+    return both.agg(F.count(F.lit(1)).alias("queries"), hits.alias("hits"), (hits / F.count(F.lit(1))).alias("hit_rate"))
 
 
-def hit_rates(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
-    """Hit rate at k by mode: ranked (mode, query_id, doc, rank) against expected (query_id, doc)."""
-    found = ranked.where(F.col("rank") <= k).join(expected, ["query_id", "doc"], "left_semi").select("mode", "query_id").distinct()
-    asked = ranked.select("mode").distinct().join(F.broadcast(expected.agg(F.count_distinct("query_id").alias("queries"))), F.lit(True))
-    hits = found.groupBy("mode").agg(F.count(F.lit(1)).alias("hits"))
-    return asked.join(hits, "mode", "left").select("mode", "queries", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) / F.col("queries")).alias("hit_rate"))
+def disagreements(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
+    """Questions that some modes hit and others miss, with the modes that hit, in order."""
+    found = ranked.where(F.col("rank") <= k).join(expected, ["query_id", "doc"], "left_semi").groupBy("query_id")
+    return found.agg(F.array_sort(F.collect_set("mode")).alias("hit_by")).where(F.size("hit_by") < len(MODES))
 
 
 def mode_table(ranked: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import exact_sum
+from ..tables import drop, stored
 from .staging import latest_spans
 
 SPAN_CAP = 500
-MAX_DEPTH = 64
 
 
 def capped(spans: DataFrame, cap: int = SPAN_CAP) -> DataFrame:
@@ -42,25 +42,31 @@ def trace_totals(spans: DataFrame) -> DataFrame:
 
 
 def depths(spans: DataFrame) -> DataFrame:
-    """trace_id, span_id and depth (roots have 0) by a recursive query over parent links."""
+    """trace_id, span_id and depth (roots have 0) of every span that hangs on a root, at any depth.
+
+    Each span knows an ancestor and how far it is; a round gives it that ancestor's ancestor, so the
+    distance doubles and n levels take log2(n) rounds.  Spans whose parents form a circle hang on no root.
+    """
     spark = spans.sparkSession
-    name = f"placed_{abs(hash(spans)) % 10**9}"
-    placed(spans).select("trace_id", "span_id", "parent_span_id", "is_root").createOrReplaceTempView(name)
-    return spark.sql(
-        f"""
-        with recursive walk (trace_id, span_id, depth) max recursion level {MAX_DEPTH} as (
-          select trace_id, span_id, 0 from {name} where is_root
-          union all
-          select c.trace_id, c.span_id, w.depth + 1 from walk w join {name} c on c.trace_id = w.trace_id and c.parent_span_id = w.span_id and not c.is_root
-        ) select trace_id, span_id, depth from walk
-        """
-    )
+    parent = F.when(~F.col("is_root"), F.col("parent_span_id"))
+    state, path = stored(placed(spans).select("trace_id", "span_id", parent.alias("up"), F.when(F.col("is_root"), 0).otherwise(1).cast("long").alias("far")), "depths")
+    left = state.where("up is not null").count()
+    for _ in range(left.bit_length() + 1):
+        if not left:
+            break
+        a = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        turned, new_path = stored(state.join(a, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "depths")
+        drop(spark, path)
+        state, path = turned, new_path
+        left = state.where("up is not null").count()
+    return state.where("up is null").select("trace_id", "span_id", F.col("far").cast("int").alias("depth"))
 
 
 def get_trace(spans: DataFrame, trace_id: str, cap: int = SPAN_CAP) -> dict[str, Any]:
     """One trace as nested spans with totals, or ``error``; never an empty tree.  At most ``cap`` rows are fetched."""
     try:
-        rows = placed(spans.where(F.col("trace_id") == F.lit(trace_id)), cap).orderBy("ts", "span_id").collect()
+        own = spans.sparkSession.sql("select * from {spans} where trace_id = :trace_id", args={"trace_id": trace_id}, spans=spans)
+        rows = placed(own, cap).orderBy("ts", "span_id").collect()
     except Exception as failure:  # the contract: a store failure is a result
         return {"error": f"trace store failed: {failure}"}
     if not rows:

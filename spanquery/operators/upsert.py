@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,29 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
     return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming.select(existing.columns))
 
 
+def upsert_changed(existing: DataFrame, incoming: DataFrame, keys: list[str], compared: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The merged table, in which an incoming row that changes nothing leaves the old one as it is, and
+    the rows that were written: keys and change, inserted or updated."""
+    written = classify(existing, incoming, keys, compared).where("change in ('inserted', 'updated')")
+    return upsert(existing, incoming.join(written.select(*keys), keys, "left_semi"), keys), written
+
+
+def insert_returning(table: DataFrame, rows: DataFrame, order: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The table with new rows under the next ids, in the order of ``order``, and those rows with their
+    ids.  ``rows`` is what one run writes: its ids are dealt out by one running number."""
+    last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("last"))
+    numbered = rows.withColumn("__turn", F.row_number().over(Window.orderBy(order))).join(F.broadcast(last), F.lit(True))
+    made = numbered.withColumn(key, (F.col("last") + F.col("__turn")).cast(table.schema[key].dataType)).select(table.columns)
+    return table.unionByName(made), made
+
+
+def finish(runs: DataFrame, run: int, total_cost_usd: float, at: Column | None = None) -> DataFrame:
+    """Runs with one marked as finished."""
+    own = F.col("id") == run
+    stamp = (F.current_timestamp() if at is None else at).cast(runs.schema["finished_at"].dataType)
+    return runs.withColumns({"finished_at": F.when(own, stamp).otherwise(F.col("finished_at")), "total_cost_usd": F.when(own, F.lit(total_cost_usd)).otherwise(F.col("total_cost_usd"))})
+
+
 def missing_and_stale(existing: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Ids to add (missing) and to delete (stale)."""
     a, b = existing.select(key).distinct(), wanted.select(key).distinct()

@@ -223,14 +223,22 @@ q as (select item_id as query_id, term, count(*) as times from (select item_id,
 scored as (
   select query_id, doc_id, cast(sum(cast(times * idf * tf * 2.5 / (tf + cast(1.5 as double) * (cast(0.25 as double) + cast(0.75 as double) * dl / avgdl)) as decimal(28,9))) as double) as score
   from tf join q using (term) join idf using (term), facts group by all),
-bm25 as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored)"""
+every_pair as (select item_id as query_id, documents.doc_id, coalesce(score, 0) as score from benchmark cross join documents left join scored on query_id = item_id and scored.doc_id = documents.doc_id where {bm25}),
+bm25 as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from every_pair)"""
 
-HASHED = """dv as (select doc_id, list_transform(range(0, 8), lambda i: cast(cast(concat('0x', substr(sha256(text), i * 2 + 1, 2)) as int) as double) - 127.5) as v from documents),
-qv as (select item_id as query_id, list_transform(range(0, 8), lambda i: cast(cast(concat('0x', substr(sha256(text), i * 2 + 1, 2)) as int) as double) - 127.5) as v from benchmark),
+
+_UNIT = "list_transform(raw, lambda x: cast(cast(x / cast(cast(sqrt(list_dot_product(raw, raw)) as float) as double) as float) as double))"
+_BYTES = "list_transform(range(0, 8), lambda i: cast(cast(concat('0x', substr(sha256(text), i * 2 + 1, 2)) as int) as double))"
+HASHED = f"""dv as (select doc_id, {_UNIT} as v from (select doc_id, {_BYTES} as raw from documents where {{dense}})),
+qv as (select item_id as query_id, {_UNIT} as v from (select item_id, {_BYTES} as raw from benchmark)),
 dscored as (select query_id, doc_id, round(list_dot_product(dv.v, qv.v) / sqrt(list_dot_product(dv.v, dv.v)) / sqrt(list_dot_product(qv.v, qv.v)), 9) as score from dv, qv),
 dense as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from dscored)"""
 
 
+def _lists(dense: str = "true", bm25: str = "true") -> tuple[str, str]:
+    return BM25.format(bm25=bm25), HASHED.format(dense=dense)
+
+
 def _fused(pool: int) -> str:
     return f"""fused as (
   select query_id, doc_id, round(coalesce(1.0::double / (60 + d.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0), 12) as score, d.rank as d, b.rank as b
@@ -238,6 +246,12 @@ def _fused(pool: int) -> str:
 hybrid as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, d asc nulls last, b asc nulls last, doc_id) as rank from fused)"""
 
 
+_WIDE = """wide as (select *, hybrid is not distinct from bm25 as hybrid_is_bm25 from (select query_id,
+  string_agg(cast(doc_id as varchar), ',' order by rank) filter (where mode = 'dense') as dense, string_agg(cast(doc_id as varchar), ',' order by rank) filter (where mode = 'bm25') as bm25,
+  string_agg(cast(doc_id as varchar), ',' order by rank) filter (where mode = 'hybrid') as hybrid from ranked group by query_id))"""
+_HITS = """hitq as (select distinct mode, query_id from ranked r join documents d on d.doc_id = r.doc_id join benchmark b on b.item_id = r.query_id where contains(d.text, b.text)),
+asked as (select mode, item_id as query_id, case when length(text) >= 200 then 'long' else 'short' end as type from benchmark, (select unnest(['dense', 'bm25', 'hybrid']) as mode)),
+judged as (select a.*, h.query_id is not null as hit from asked a left join hitq h on h.mode = a.mode and h.query_id = a.query_id)"""
 _RANKED = """ranked as (select 'dense' as mode, query_id, doc_id, rank from dense where rank <= 5 union all select 'bm25', query_id, doc_id, rank from bm25 where rank <= 5
   union all select 'hybrid', query_id, doc_id, rank from hybrid where rank <= 5)"""
 
@@ -256,28 +270,39 @@ def _index_quantile(column: str, q: float) -> str:
 
 
 def _metrics(source: str) -> str:
-    return f"""select count(*) as rows, count(*) filter (where error is not null) as errors, count(*) filter (where error is null and not judge_parse_ok) as parse_failures,
-  avg(cast(hit_at_k as int)) filter (where error is null and hit_source <> 'n/a') as hit_at_k_rate, avg(cast(citation_ok as int)) filter (where error is null) as citation_rate,
-  avg(faithfulness) filter (where error is null) as faithfulness_mean, avg(answer_quality) filter (where error is null) as answer_quality_mean,
-  avg(answer_len_tokens) filter (where error is null) as answer_len_mean, {_index_quantile("case when error is null then latency_ms end", 0.5)} as latency_p50_ms,
-  {_index_quantile("case when error is null then latency_ms end", 0.95)} as latency_p95_ms,
-  cast(sum(case when error is null then cast(cost_usd as decimal(18,6)) end) as double) as cost_usd from {source}"""
-
-
-def _gate() -> str:
-    gated = ("hit_at_k_rate", "faithfulness_mean", "answer_quality_mean")
-    floors = "case metric when 'hit_at_k_rate' then 0.05 else 0.3 end"
+    ok, asked = "error is null", "error is null and hit_source <> 'n/a'"
+    length = "case when answer_len_tokens <> 0 then answer_len_tokens end"
+    return f"""select count(*) as rows, count(*) filter (where error is not null) as errors, count(*) filter (where not judge_parse_ok) as parse_failures,
+  avg(faithfulness) filter (where {ok}) as faithfulness_mean, avg(answer_quality) filter (where {ok}) as answer_quality_mean,
+  avg(cast(coalesce(hit_at_k, false) as int)) filter (where {asked}) as hit_at_5_rate, avg(cast(hit_at_k as int)) filter (where {asked}) as hit_at_5_given_search,
+  avg(cast(coalesce(citation_ok, false) as int)) filter (where {ok}) as citation_ok_rate,
+  cast(sum(case when {ok} then cast(cost_usd as decimal(18,6)) end) as double) / nullif(count(case when {ok} then cost_usd end), 0) as mean_cost_usd,
+  {_index_quantile("case when error is null then latency_ms end", 0.5)} as p50_latency_ms, {_index_quantile("case when error is null then latency_ms end", 0.95)} as p95_latency_ms,
+  round(corr({length}, answer_quality) filter (where {ok}), 9) as length_r_quality, round(corr({length}, faithfulness) filter (where {ok}), 9) as length_r_faithfulness,
+  coalesce({total("cost_usd")}, 0) as total_cost_usd from {source}"""
+
+
+def _gate(baseline_runs: tuple[str, ...]) -> str:
+    """Floors for two runs, declared thresholds for one and for what has no floor."""
+    floors = "case metric when 'faithfulness_mean' then cast(0.2 as double) when 'hit_at_5_rate' then cast(0.08 as double) end"
+    declared = "case metric when 'faithfulness_mean' then cast(0.3 as double) when 'hit_at_5_rate' then cast(0.1 as double) else cast(0 as double) end"
+    gated = ("faithfulness_mean", "hit_at_5_rate", "citation_ok_rate")
     long = " union all ".join(f"select r, '{m}' as metric, {m} as value from runs" for m in gated)
+    runs = " union all ".join(f"select {i} as r, * from ({_metrics(w)})" for i, w in enumerate([*(f"results where {w}" for w in baseline_runs), "results"]))
+    n = len(baseline_runs)
+    limit = f"coalesce(greatest(2 * abs(max(value) - min(value)) / sqrt(2), {floors}), {declared})" if n == 2 else declared
+    if n == 2:
+        limit = f"case when {floors} is null then {declared} else {limit} end"
     return over(
-        RESULTS, f"runs as (select 0 as r, * from ({_metrics('results where doc_id % 2 = 0')}) union all select 1, * from ({_metrics('results where doc_id % 2 = 1')})"
-        f" union all select 2, * from ({_metrics('results')}))", f"long as ({long})",
-        f"base as (select metric, avg(value) as mean, greatest(2 * stddev_samp(value), cast({floors} as double)) as threshold from long where r < 2 group by metric)",
-        body="""select metric, round(mean, 9) as mean, round(threshold, 9) as threshold, round(value, 9) as current, round(value - mean, 9) as delta,
-        case when value is null then 'missing' when value - mean < -threshold then 'regressed' when value - mean > threshold then 'improved' else 'ok' end as verdict
-        from base join long using (metric) where r = 2""",
+        RESULTS, f"runs as ({runs})", f"long as ({long})", f"base as (select metric, avg(value) as mean, {limit} as threshold from long where r < {n} group by metric)",
+        body=f"""select metric, round(mean, 9) as mean, round(threshold, 9) as threshold, round(value, 9) as current, round(value - mean, 9) as delta,
+        case when value is null or mean is null then 'missing' when value - mean < -threshold then 'regressed' else 'ok' end as verdict from base join long using (metric) where r = {n}""",
     )
 
 
+_STORED_RUN = """stored_run as (select unnest(['id', 'judge_model', 'dataset_version', 'corpus_version', 'total_cost_usd', 'prompt_version', 'n']) as name,
+  unnest([cast(n_nationkey as varchar), 'judge', 'v1', n_name, '0.5', version, (select cast(count(*) as varchar) from labels)]) as value
+  from nation left join versions on prompt_version_id = n_nationkey % 7 where n_nationkey = (select max(n_nationkey) from nation where n_nationkey % 4 <> 0))"""
 _PAIRS = "pairs as (select faithfulness as a, answer_quality as b from results where faithfulness is not null and answer_quality is not null)"
 
 
@@ -289,6 +314,25 @@ def _kappa(kind: str) -> str:
   (select count(*) as total, least(min(a), min(b)) as lo, greatest(max(a), max(b)) as hi from pairs))"""
 
 
+_CLOSED = "a.window_end <= (select max(ts) from spans) - interval '30 seconds'"
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&"))
+_TEXT = "regexp_replace(x, '<[^>]*>', '', 'g')"
+for _code, _sign in _ENTITIES:
+    _TEXT = f"replace({_TEXT}, '{_code}', '{_sign}')"
+_BARE = _STRIP.format(_TEXT)
+PAGES = f"""cut as (
+  select page_id, case when strpos(html, '<h1>') > 0 then substr(html, 1, strpos(html, '<h1>') - 1) else html end as front, regexp_extract(html, '<h1>([^<]*)', 1) as title,
+         case when strpos(html, '</h1>') > 0 then split_part(substr(html, strpos(html, '</h1>') + 5), '</article>', 1) else '' end as rest from pages
+), sections as (
+  select page_id, cast(row_number() over (partition by page_id order by place) - 1 as int) as position, section, body from (
+    select page_id, 0 as place, '(intro)' as section, array_to_string(list_filter(list_transform(regexp_extract_all(front, '<li>(.*?)</li>', 1), lambda x: {_BARE}), lambda x: x <> ''), ' ') as body from cut
+    union all
+    select page_id, 1, list_transform([title], lambda x: {_BARE})[1], array_to_string(list_filter(list_transform(string_split(rest, '<p>')[2:], lambda y: list_transform([split_part(y, '</p>', 1)], lambda x: {_BARE})[1]), lambda x: x <> ''), ' ') from cut
+  ) where body <> ''
+)"""
+
 ORACLES: dict[str, str] = {
     "stg_trace_events": spans(
         """select trace_id, span_id, parent_span_id, session_id, event_type, model, prompt_tokens, completion_tokens, latency_ms, cost_usd, status, ts, ts_day,
@@ -323,17 +367,26 @@ ORACLES: dict[str, str] = {
         MODEL_COSTS,
     ),
     "agg_vs_raw": spans(
-        """select a.window_start, a.event_type, a.model, a.event_count as streamed_count, coalesce(r.n, 0) as recomputed_count from agg_model_5m a
+        f"""select a.window_start, a.event_type, a.model, a.event_count as streamed_count, coalesce(r.n, 0) as recomputed_count from agg_model_5m a
         left join (select time_bucket(interval '5 minutes', ts) as w, event_type, model, count(*) as n from spans group by all) r
-        on r.w = a.window_start and r.event_type = a.event_type and r.model is not distinct from a.model""",
+        on r.w = a.window_start and r.event_type = a.event_type and r.model is not distinct from a.model where {_CLOSED}""",
         AGG,
     ),
     "streamed_overcount": spans(
-        """select * from (select a.window_start, a.event_type, a.model, a.event_count as streamed_count, (select count(*) from spans r where r.ts >= a.window_start
-        and r.ts < a.window_end and r.event_type = a.event_type and r.model is not distinct from a.model) as recomputed_count from agg_model_5m a)
-        where streamed_count > recomputed_count""",
+        f"""select * from (select a.window_start, a.event_type, a.model, a.event_count * case when a.event_type = 'TOOL_CALL' then 2 else 1 end as streamed_count,
+        (select count(*) from spans r where r.ts >= a.window_start and r.ts < a.window_end and r.event_type = a.event_type and r.model is not distinct from a.model) as recomputed_count
+        from agg_model_5m a where {_CLOSED}) where streamed_count > recomputed_count""",
         AGG,
     ),
+    "stream_dedup": spans("select event_type, count(*) as spans, count(*) as ids from spans group by event_type"),
+    "hot_compact": spans("select event_type, count(*) as spans from spans group by event_type"),
+    "latest_n": spans("select span_id, trace_id, event_type, ts from spans order by ts desc, span_id limit 25"),
+    "deleted_errors": spans("select ts_day, count(*) as spans from spans where status <> 'error' group by ts_day"),
+    "cdc_landing": "select case c_custkey % 10 when 0 then 'op t' when 1 then 'landed d' when 2 then 'malformed' when 3 then 'bad timestamp' else 'landed c' end as outcome, count(*) as n from customer group by 1",
+    "upsert_changed": f"""with o as (select *, o_orderkey as k from orders)
+        select 'merged' as what, count(*) as n, {total("o_totalprice + case when k % 5 <> 0 and k % 3 = 0 then 1 else 0 end")} as total from o where k % 7 <> 0 or k % 5 <> 0
+        union all select case when k % 7 = 0 then 'inserted' else 'updated' end, count(*), null from o where k % 5 <> 0 and (k % 7 = 0 or k % 3 = 0) group by 1""",
+    "insert_returning": "select cast((select max(n_nationkey) from nation) + row_number() over (order by r_name) as bigint) as id, r_name as name from region",
     "marts_reconcile": spans(_COUNTS, *ALL_MARTS),
     "p95_ge_avg": spans(
         """select * from (select 'fct_model_costs' as mart, event_day, latency_p95_ms, latency_avg_ms from fct_model_costs
@@ -373,24 +426,35 @@ ORACLES: dict[str, str] = {
     ),
     "content_hash_skip": "select doc_id, sha256(text) as content_hash, case when doc_id % 4 = 0 then 'ingest' else 'skip' end as action from documents",
     "chunk_windows": over(CHUNKS, body="select doc_id, cast(chunk_index as int) as chunk_index, chunk_id, sha1(text) as text_sha1 from chunks"),
+    "html_sections": over(PAGES, body="select * from sections"),
+    "html_chunks": over(
+        PAGES, """windowed as (select page_id, position, section, i, substr(body, i * 1400 + 1, 1600) as text from (
+          select *, unnest(range(0, case when length(body) <= 1600 then 1 else cast(ceil(length(body) / 1400) as int) end)) as i from sections)),
+        numbered as (select *, cast(row_number() over (partition by page_id order by position, i) - 1 as int) as chunk_index from windowed)""",
+        body="select page_id, chunk_index, section, text, substr(sha1(concat_ws(':', cast(page_id as varchar), cast(chunk_index as varchar))), 1, 16) as chunk_id from numbered",
+    ),
     "corpus_inventory": over(CHUNKS, body="select lang as project, source as source_path, count(*) as chunks from chunks join documents using (doc_id) group by lang, source"),
-    "bm25_topk": over(BM25, body="select query_id, doc_id, round(score, 6) as score, cast(rank as int) as rank from bm25 where rank <= 5"),
+    "bm25_topk": over(BM25.format(bm25="true"), body="select query_id, doc_id, round(score, 6) as score, cast(rank as int) as rank from bm25 where rank <= 5"),
     "dense_topk": """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
         s as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(v.e, q.e) / sqrt(list_dot_product(v.e, v.e)) / sqrt(list_dot_product(q.e, q.e)), 9) as score
         from v, v q where q.vec_id % 100 = 0)
         select query_id, vec_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""",
-    "rrf_fusion": over(BM25, HASHED, _fused(20), body="select query_id, doc_id, score, cast(rank as int) as rank from hybrid where rank <= 4"),
+    "rrf_fusion": over(*_lists(), _fused(20), body="select query_id, doc_id, score, cast(rank as int) as rank from hybrid where rank <= 4"),
+    "retrieve_project": over(
+        *_lists("lang = 'en' and doc_id % 10 <> 0", "lang = 'en'"), _fused(20), body="select query_id, doc_id, score, cast(rank as int) as rank from hybrid where rank <= 4"
+    ),
     "retrieval_ab": over(
-        BM25, HASHED, _fused(25), _RANKED,
-        body="""select mode, queries, coalesce(hits, 0) as hits, coalesce(hits, 0) / queries as hit_rate from (select unnest(['dense', 'bm25', 'hybrid']) as mode),
-        (select count(*) as queries from benchmark) left join (select mode as m, count(distinct query_id) as hits from ranked r join documents d on d.doc_id = r.doc_id
-        join benchmark b on b.item_id = r.query_id where contains(d.text, b.text) group by mode) on m = mode""",
+        *_lists(), _fused(25), _RANKED, _HITS,
+        body="""select mode, count(*) as queries, count(*) filter (where hit) as hits, count(*) filter (where hit) / count(*) as hit_rate, 'all' as type from judged group by mode
+        union all select mode, count(*), count(*) filter (where hit), count(*) filter (where hit) / count(*), type from judged group by mode, type""",
     ),
-    "retrieval_modes": over(
-        BM25, HASHED, _fused(25), _RANKED,
-        body="""select *, hybrid is not distinct from bm25 as hybrid_is_bm25 from (select query_id,
-        string_agg(cast(doc_id as varchar), ',' order by rank) filter (where mode = 'dense') as dense, string_agg(cast(doc_id as varchar), ',' order by rank) filter (where mode = 'bm25') as bm25,
-        string_agg(cast(doc_id as varchar), ',' order by rank) filter (where mode = 'hybrid') as hybrid from ranked group by query_id)""",
+    "retrieval_disagreements": over(
+        *_lists(), _fused(25), _RANKED, _HITS, body="select query_id, string_agg(mode, ',' order by mode) as hit_by from hitq group by query_id having count(*) < 3"
+    ),
+    "retrieval_modes": over(*_lists(), _fused(25), _RANKED, _WIDE, body="select * from wide"),
+    "retrieval_diagnose": over(
+        *_lists(), _fused(25), _RANKED, _WIDE,
+        body="""select dense_empty, hybrid_is_bm25, not (dense_empty or hybrid_is_bm25) as ok from (select bool_and(dense is null) as dense_empty, bool_and(hybrid_is_bm25) as hybrid_is_bm25 from wide)""",
     ),
     "eval_hit_at_k": spans(
         """select key, hit_at_k, any_call_hit from (select distinct session_id as key from spans) left join (
@@ -398,8 +462,40 @@ ORACLES: dict[str, str] = {
           select session_id, row_number() over (partition by session_id order by ts, span_id) as rn, starts_with(tool_name, 'tool_1') or starts_with(tool_name, 'vi') as hit
           from spans where event_type in ('RETRIEVAL', 'TOOL_CALL')) group by session_id) on k = key"""
     ),
+    "eval_citation": r"""with t as (
+          select page_id, trim(regexp_replace(lower(html), '\s+', ' ', 'g')) as hay, list_last(string_split(url, '/')) as base,
+                 regexp_replace(list_last(string_split(url, '/')), '\.[^.]*$', '') as stem, trim(string_split(url, '/')[3]) as leaf from pages
+        ), named as (
+          select page_id, hay, unnest(list_concat([lower(base), lower(stem), lower(leaf)], string_split(lower(replace(stem, '-', '_')), '_'))) as w from t
+        )
+        select page_id, coalesce(bool_or(length(w) >= 4 and contains(hay, w) and w not in ('index', 'docs', 'doc', 'overview', 'intro', 'common', 'config', 'configuration', 'content',
+          'the', 'and', 'with', 'from', 'into')), false) as citation_ok from named group by page_id""",
+    "eval_runs": over(
+        CHANGES, VERSIONS,
+        body="""select n_nationkey as id, version as prompt_version, 'judge' as judge_model, n_nationkey = (select max(n_nationkey) from nation where n_nationkey % 4 <> 0) as latest
+        from nation left join versions on prompt_version_id = n_nationkey % 7""",
+    ),
+    "eval_stored_run": over(CHANGES, VERSIONS, _STORED_RUN, body="select * from stored_run"),
+    "eval_drift": over(
+        CHANGES, VERSIONS, _STORED_RUN,
+        body="""select coalesce(b.name, r.name) as name, b.value as baseline, r.value as current
+        from (values ('dataset_version', 'v1'), ('corpus_version', 'now'), ('judge_model', 'judge'), ('n', '25')) as b(name, value)
+        full join (select * from stored_run where name in ('dataset_version', 'corpus_version', 'prompt_version', 'judge_model', 'n')) r on r.name = b.name where b.value is distinct from r.value""",
+    ),
+    "eval_judge": """select doc_id, case when ok then cast(1 + doc_id % 6 as int) end as score, case when ok then 'because of ' || doc_id end as rationale
+        from (select doc_id, doc_id % 13 <> 0 and doc_id % 6 <> 5 and (doc_id % 3 = 0 or doc_id % 11 <> 0) as ok from labels)""",
+    "eval_render": """select doc_id // 50 as prompt, cast(count(*) as int) as chunks, cast(least(count(*), 8) + 1 as int) as shown, count(*) > 8 as more
+        from documents where doc_id % 50 < 10 and text is not null group by 1""",
+    "eval_strata": """with r as (select lang, source, cast(n_chars > 500 as varchar) as size, doc_id % 4 = 0 as ci from documents)
+        select axis, value, ci, count(*) as n from (select 'project' as axis, lang as value, ci from r union all select 'type', source, ci from r union all select 'difficulty', size, ci from r)
+        where value is not null group by all""",
+    "json_functions": """select doc_id, case when doc_id % 3 = 0 then '{"a":1.5,"b":{"x":[true,null],"y":1},"c":"' || lang || '"}' else '{"a":' || doc_id || ',"b":{"x":[true,null],"y":1}}' end as merged,
+        cast(cast(concat('0x', substr(sha1(cast(doc_id as varchar)), 1, 16)) as ubigint) as varchar) as number, substr(j, 1, 18) as joined, 1 + doc_id % 12 > 10 or length(j) > 18 as cut,
+        (doc_id % 2 = 0) || ',' || doc_id as attributes
+        from (select *, array_to_string(list_transform(range(1, least(1 + doc_id % 12, 7) + 1), lambda n: 'd' || (n % 7)), ',') as j from documents)""",
     "eval_rates": over(RESULTS, body=_metrics("results")),
-    "eval_gate": _gate(),
+    "eval_gate": _gate(("doc_id % 2 = 0", "doc_id % 2 = 1")),
+    "eval_gate_single": _gate(("doc_id % 2 = 0",)),
     "eval_index_percentiles": spans(f"select event_type, {_index_quantile('latency_ms', 0.5)} as p50, {_index_quantile('latency_ms', 0.95)} as p95 from spans group by event_type"),
     "percentiles_exact": "select l_returnflag, " + ", ".join(f"quantile_disc(l_extendedprice, {q}) as p{int(q * 100)}" for q in (0.5, 0.95, 0.99)) + ", count(*) as n from lineitem group by l_returnflag",
     "eval_pearson": "select round(corr(quality, toxic), 9) as r, cast(null as double) as constant, count(*) as n from labels",
@@ -427,4 +523,5 @@ ORACLES: dict[str, str] = {
     ),
     "lineage_edges": """select * from (values ('spans', 'agg_model_5m'), ('agg_model_5m', 'stg_agg_model_5m'), ('prompt_versions', 'stg_prompt_versions'), ('spans', 'fct_sessions'),
         ('spans', 'fct_model_costs'), ('spans', 'fct_tool_reliability'), ('spans', 'fct_cost_by_prompt'), ('stg_prompt_versions', 'fct_cost_by_prompt')) as t(input, output)""",
+    "lineage_of_job": "select * from (values ('spans', 'agg_model_5m'), ('prompt_versions', 'agg_model_5m'), ('spans', 'archive.trace_events')) as t(input, output)",
 }

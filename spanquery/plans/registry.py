@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -69,6 +70,19 @@ def edges(models: dict[str, Model] = MODELS) -> list[tuple[str, str]]:
     return [(i, m.name) for m in models.values() for i in m.inputs]
 
 
+def edges_of_sql(statement: str) -> list[tuple[str, str]]:
+    """(input, output) pairs of an INSERT INTO ... SELECT job, read from its text: tables that it names after
+    FROM and JOIN, but for the names that it gives to subqueries."""
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", " ", statement, flags=re.S)
+    made = {name.lower() for name in re.findall(r"(?:\bwith|,)\s+(\w+)\s+as\s*\(", bare, re.I)}
+    pairs = []
+    for part in bare.split(";"):
+        if out := re.search(r"\binsert\s+(?:into|overwrite)\s+(?:table\s+)?`?([\w.]+)`?", part, re.I):
+            names = re.findall(r"\b(?:from|join)\s+(?:table\s*\(\s*\w+\s*\(\s*table\s+)?`?([\w.]+)`?", part, re.I)
+            pairs += [(n, out[1]) for n in dict.fromkeys(names) if n.lower() not in made]
+    return pairs
+
+
 def run_event(job: str, models: dict[str, Model] = MODELS, namespace: str = "spanquery", when: dt.datetime | None = None, kind: str = "COMPLETE") -> dict:
     """An OpenLineage run event of one model."""
     if job not in models:

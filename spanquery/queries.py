@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import scalars, stats
 from .operators import chunking, evals, marts, metrics, quality, retrieval, staging, trace, upsert
 from .plans import registry, verify
 from .sources import cdc
-from .sources.spans import as_contract, spans_from_events, table
+from .sources.spans import as_contract, delete_spans, latest, spans_from_events, table, write_archive
 from .streaming import jobs
+from .tables import new_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +23,24 @@ AS_OF = dt.datetime(2024, 1, 31)
 START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
 
 
+_archives: dict[tuple[str, str], tuple[str, T.StructType]] = {}
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans_from_events(table(spark, sf_dir, "events"))
+    """The span archive of a folder: derived from its events once in an application, then read by day and column."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _archives:
+        made = spans_from_events(table(spark, sf_dir, "events"))
+        path = new_folder(spark, "archive")
+        write_archive(made, path)
+        _archives[key] = path, T.StructType([f for f in made.schema if f.name != "ts_day"] + [T.StructField("ts_day", T.DateType())])
+    path, schema = _archives[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def _archive_path(spark: SparkSession, sf_dir: str) -> str:
+    spans(spark, sf_dir)
+    return _archives[spark.sparkContext.applicationId, sf_dir][0]
 
 
 def models(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
@@ -69,12 +86,50 @@ def latest_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_vs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = spans(spark, sf_dir)
-    return quality.overcounts(staging.aggregate_5m(source), source)
+    """What a stream counted in each window that it has closed, against a count of the archive."""
+    return quality.overcounts(_streamed(spark, spans(spark, sf_dir)), spans(spark, sf_dir))
 
 
 def streamed_overcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg_vs_raw(spark, sf_dir).where("streamed_count > recomputed_count")
+    """The same for a stream in which every tool call came twice: the windows that count too much."""
+    return quality.overcounts(_streamed(spark, replayed(spark, sf_dir)), spans(spark, sf_dir)).where("streamed_count > recomputed_count")
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by type out of a stream in which every tool call came twice, with replays dropped."""
+    folder = new_folder(spark, "stream")
+    jobs.raw_archive(jobs.deduplicated(_stream_of(spark, replayed(spark, sf_dir), folder)), f"{folder}/out", f"{folder}/ckpt", {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("span_id").alias("ids"))
+
+
+def hot_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.compact(replayed(spark, sf_dir)).groupBy("event_type").agg(F.count(F.lit(1)).alias("spans"))
+
+
+def latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest(spans(spark, sf_dir), 25).select("span_id", "trace_id", "event_type", "ts")
+
+
+def deleted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the archive without its failed spans, by day."""
+    left = delete_spans(spark, _archive_path(spark, sf_dir), F.col("status") == "error", new_folder(spark, "kept"))
+    return left.groupBy(F.col("ts_day").cast("date").alias("ts_day")).agg(F.count(F.lit(1)).alias("spans"))
+
+
+def cdc_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as change envelopes, some of them no rows to land, drained from a stream: rows by what became of them."""
+    folder = new_folder(spark, "cdc")
+    i = F.col("c_custkey")
+    row = F.struct(i.alias("id"), F.col("c_name").alias("name"), F.lit("v1").alias("version"), F.when(i % 10 == 3, "no time").otherwise("2026-01-01T02:00:00+02:00").alias("created_at"))
+    source = F.struct(i.alias("lsn"), F.lit(1).alias("txId"), F.lit("true").alias("snapshot"), F.lit(1000).alias("ts_ms"))
+    op = F.when(i % 10 == 0, "t").when(i % 10 == 1, "d").otherwise("c")
+    envelope = F.to_json(F.struct(op.alias("op"), F.when(i % 10 == 1, row).alias("before"), F.when(i % 10 != 1, row).alias("after"), source.alias("source"), F.lit(2000).alias("ts_ms")))
+    value = F.when(i % 10 == 2, F.left(envelope, F.lit(3))).otherwise(envelope)
+    raw = table(spark, sf_dir, "customer").select(value.alias("value"), F.lit(0).alias("kafka_partition"), i.cast("long").alias("kafka_offset"), F.lit("2026-01-01").cast("timestamp").alias("ingest_ts"))
+    raw.write.parquet(f"{folder}/in")
+    seen = cdc.land(spark.readStream.schema(raw.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/ckpt")
+    landed = spark.read.parquet(f"{folder}/out").groupBy("op").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("landed "), "op").alias("outcome"), "n")
+    return landed.unionByName(spark.createDataFrame([(k, n) for k, n in seen.items() if k != "landed"], "outcome string, n long"))
 
 
 def marts_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +178,21 @@ def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.classify(existing, incoming, ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
+def upsert_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merge with what it wrote: total price after it and rows written."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    incoming = orders.where("o_orderkey % 5 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    merged, written = upsert.upsert_changed(orders.where("o_orderkey % 7 <> 0"), incoming, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
+    total = merged.agg(F.count(F.lit(1)).alias("n"), stats.exact_sum("o_totalprice").alias("total")).select(F.lit("merged").alias("what"), "n", "total")
+    return total.unionByName(written.groupBy(F.col("change").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total")))
+
+
+def insert_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as new rows of the nations' table: the ids that they get."""
+    held = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    return upsert.insert_returning(held, table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), "name")[1]
+
+
 def missing_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.chunk_windows(table(spark, sf_dir, "documents"))
     held = chunking.chunk_windows(table(spark, sf_dir, "documents"), max_chars=1400)
@@ -148,7 +218,7 @@ def html_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.chunk_windows(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    chunks = chunking.chunk_windows(table(spark, sf_dir, "documents"), keep=("lang", "source"))
     return chunking.corpus_inventory(chunks.select(F.col("lang").alias("project"), F.col("source").alias("source_path")))
 
 
@@ -174,22 +244,36 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), 4, "hybrid")
 
 
+def retrieve_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the documents of one language, vectors of another corpus version kept out."""
+    chunks = _chunks(spark, sf_dir).withColumns({"project": F.col("lang"), "corpus_version": F.when(F.col("doc_id") % 10 == 0, "old").otherwise("now")})
+    return retrieval.retrieve(_questions(spark, sf_dir), chunks, 4, "hybrid", project="en", corpus_version="now")
+
+
 def _ranked(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    questions, chunks = _questions(spark, sf_dir), _chunks(spark, sf_dir)
-    parts = [retrieval.retrieve(questions, chunks, k, m).select(F.lit(m).alias("mode"), "query_id", F.col("doc_id").alias("doc"), "rank") for m in retrieval.MODES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ranked = retrieval.retrieve_modes(_questions(spark, sf_dir), _chunks(spark, sf_dir), k)
+    return ranked.select("mode", "query_id", F.col("doc_id").alias("doc"), "rank")
 
 
-def retrieval_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hit rates by mode; a document that holds a question's text is a right answer."""
+def _right(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """Questions with their type and, of the documents found, those that hold the question's text."""
     docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir)
-    ranked = _ranked(spark, sf_dir)
     met = ranked.select("query_id", "doc").distinct().join(asked.select("query_id", "query"), "query_id")
     right = met.join(docs, F.col("doc") == F.col("doc_id")).where(F.contains("text", F.col("query"))).select("query_id", "doc")
-    found = ranked.where("rank <= 5").join(right, ["query_id", "doc"], "left_semi").select("mode", "query_id").distinct()
-    hits = found.groupBy("mode").agg(F.count(F.lit(1)).alias("hits"))
-    modes = spark.createDataFrame([(m,) for m in retrieval.MODES], "mode string").join(asked.agg(F.count(F.lit(1)).alias("queries")), F.lit(True))
-    return modes.join(hits, "mode", "left").select("mode", "queries", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) / F.col("queries")).alias("hit_rate"))
+    return asked.select("query_id", F.when(F.length("query") >= 200, "long").otherwise("short").alias("type")).join(right, "query_id", "left")
+
+
+def retrieval_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit rates by mode and by type of question."""
+    ranked = stored(_ranked(spark, sf_dir), "ranked")[0]
+    right = _right(spark, sf_dir, ranked)
+    return retrieval.hit_rates(ranked, right, 5).withColumn("type", F.lit("all")).unionByName(retrieval.hit_rates(ranked, right, 5, ("type",)))
+
+
+def retrieval_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = stored(_ranked(spark, sf_dir), "ranked")[0]
+    found = retrieval.disagreements(ranked, _right(spark, sf_dir, ranked), 5)
+    return found.select("query_id", F.array_join("hit_by", ",").alias("hit_by"))
 
 
 def retrieval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,6 +306,81 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def eval_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page's text names its own address or the heading that goes with it."""
+    cited = F.array(F.struct(F.col("url").alias("source_path"), F.concat(F.lit("Pages > "), F.split("url", "/")[2]).alias("section_path")))
+    return table(spark, sf_dir, "pages").select("page_id", evals.citation_ok(F.col("html"), cited).alias("citation_ok"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation runs derived from nations: every fourth is not finished, some name no known version."""
+    i = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        i.cast("long").alias("id"), (i % 7).cast("long").alias("prompt_version_id"), F.lit("judge").alias("judge_model"), F.lit("v1").alias("dataset_version"), F.col("n_name").alias("corpus_version"),
+        F.when(i % 4 != 0, F.lit("2026-01-01").cast("timestamp_ntz")).alias("finished_at"), F.lit(0.5).alias("total_cost_usd"),
+    )
+
+
+def eval_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs with the version that they ran, and which is the latest finished."""
+    runs, versions = _runs(spark, sf_dir), staging.latest_versions(cdc.seed_changes(spark))
+    last = evals.latest_finished(runs).select("id", F.lit(True).alias("latest"))
+    return evals.with_prompt_version(runs, versions).join(F.broadcast(last), "id", "left").select("id", "prompt_version", "judge_model", F.coalesce("latest", F.lit(False)).alias("latest"))
+
+
+def eval_stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configuration of the latest finished run, read with its results."""
+    results = _results(spark, sf_dir).withColumn("eval_run_id", F.lit(23).cast("long"))
+    return evals.stored_run(_runs(spark, sf_dir), results, staging.latest_versions(cdc.seed_changes(spark)))[0]
+
+
+def eval_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pinned settings in which the latest run differs from a baseline's."""
+    base = spark.createDataFrame([("dataset_version", "v1"), ("corpus_version", "now"), ("judge_model", "judge"), ("n", "25"), ("notes", "x")], "name string, value string")
+    return evals.config_drift(base, eval_stored_run(spark, sf_dir))
+
+
+def eval_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges' replies made from labels, some of them unusable, as scores."""
+    i = F.col("doc_id")
+    body = F.concat(F.lit('{"score": '), (1 + i % 6).cast("string"), F.when(i % 3 == 0, ".0").when(i % 11 == 0, ".5").otherwise(""), F.lit(', "rationale": "because of '), i.cast("string"), F.lit('"}'))
+    reply = F.when(i % 13 == 0, "no score").when(i % 2 == 0, F.concat(F.lit('{"score": 1} so\n```json\n'), body, F.lit("\n```"))).otherwise(body)
+    scored = scalars.judge_scores(table(spark, sf_dir, "labels").select("doc_id", reply.alias("reply")))
+    return scored.select("doc_id", "judge.score", "judge.rationale")
+
+
+def eval_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of answers that each example is shown in, which a seed settles."""
+    return table(spark, sf_dir, "labels").select("doc_id", scalars.reference_first(7, F.col("doc_id").cast("string")).alias("reference_first"))
+
+
+def eval_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a language and source as passages of one prompt, by a digest."""
+    piece = F.struct("doc_id", F.col("source").alias("source_path"), F.col("lang").alias("section_path"), F.left("text", F.lit(1500)).alias("text"))
+    lists = table(spark, sf_dir, "documents").where("doc_id % 50 < 10 and text is not null").groupBy(F.floor(F.col("doc_id") / 50).alias("prompt")).agg(F.array_sort(F.collect_list(piece)).alias("c"))
+    text = scalars.render_passages(F.col("c"))
+    return lists.select("prompt", F.size("c").alias("chunks"), F.size(F.split(text, "<passage ")).alias("shown"), F.contains(text, F.lit("more were retrieved")).alias("more"))
+
+
+def eval_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("project"), F.col("source").alias("type"), (F.col("n_chars") > 500).cast("string").alias("difficulty"), (F.col("doc_id") % 4 == 0).alias("ci"))
+    return evals.stratification(rows)
+
+
+def json_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged and canonical JSON, ids as numbers, and bounded lists."""
+    i = F.col("doc_id")
+    left = F.concat(F.lit('{"b": {"y": 1, "x": [true, null]}, "a": '), i.cast("string"), F.lit("}"))
+    right = F.concat(F.lit('{"c": "'), F.col("lang"), F.lit('", "a": 1.5}'))
+    merged = scalars.merge_json(left, F.when(i % 3 == 0, right))
+    joined, cut = scalars.bounded_join(F.transform(F.sequence(F.lit(1), 1 + i % 12), lambda n: F.concat(F.lit("d"), (n % 7).cast("string"))), 10, 18)
+    flat = scalars.coerce_attributes(["toxic", "n", "none"], [i % 2 == 0, i, F.lit(None).cast("string")])
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", scalars.canonical_json(merged).alias("merged"), scalars.numeric_id(scalars.short_id(i.cast("string"))).alias("number"), joined.alias("joined"), cut.alias("cut"),
+        F.array_join(F.map_values(flat), ",").alias("attributes"),
+    )
+
+
 def eval_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.run_metrics(_results(spark, sf_dir))
 
@@ -234,14 +393,22 @@ def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "threshold", "current", "delta")], "verdict")
 
 
+def eval_gate_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One baseline run (even documents), which has declared thresholds, against the run over all."""
+    rows = _results(spark, sf_dir)
+    run = evals.long_metrics(evals.run_metrics(rows.where("doc_id % 2 = 0"))).withColumn("run", F.lit(0))
+    verdicts = evals.gate(evals.baseline(run), evals.long_metrics(evals.run_metrics(rows)))
+    return verdicts.select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "threshold", "current", "delta")], "verdict")
+
+
 def eval_index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(spark, sf_dir).groupBy("event_type").agg(stats.index_percentile("latency_ms", 0.5).alias("p50"), stats.index_percentile("latency_ms", 0.95).alias("p95"))
+    return stats.quantiles(spans(spark, sf_dir), ["event_type"], "latency_ms", {"p50": 0.5, "p95": 0.95}, stats.INDEX)
 
 
 def percentiles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        *[stats.nearest_rank("l_extendedprice", q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)], F.count(F.lit(1)).alias("n")
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    found = stats.quantiles(lines, ["l_returnflag"], "l_extendedprice", {f"p{int(q * 100)}": q for q in (0.5, 0.95, 0.99)}, stats.NEAREST_RANK)
+    return stats.with_quantiles(lines.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), found, ["l_returnflag"])
 
 
 def eval_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,22 +459,26 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", scalars.basename(F.col("url")).alias("basename"), scalars.stem(F.col("url")).alias("stem"))
 
 
-def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream_of(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """A stream over spans that are written to a folder first."""
+    as_contract(rows).withColumnRenamed("ts_epoch_ms", "ts").drop("attributes").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The five-minute windows that a stream over the spans has closed."""
-    from pyspark.sql.streaming import StreamingQuery
+    folder = new_folder(spark, "stream")
+    jobs.window_aggregates(_stream_of(spark, rows, folder), f"{folder}/out", f"{folder}/ckpt", {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
 
-    folder = stream_folder(spark)
-    as_contract(spans(spark, sf_dir)).withColumnRenamed("ts_epoch_ms", "ts").drop("attributes").write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    query: StreamingQuery = jobs.window_aggregates(source, f"{folder}/out", f"{folder}/ckpt", {"availableNow": True})
-    query.awaitTermination()
-    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
-    return spark.read.parquet(f"{folder}/out").withColumns(ntz)
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, spans(spark, sf_dir))
 
 
 def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of a stream by table and reason: spans with every twentieth message broken."""
-    folder = stream_folder(spark)
+    folder = new_folder(spark, "stream")
     messages = as_contract(spans(spark, sf_dir)).withColumn("ts_epoch_ms", F.unix_millis("ts_epoch_ms"))
     whole = F.to_json(F.struct(*messages.columns))
     sick = F.pmod(F.conv(F.substring("span_id", 1, 8), 16, 10).cast("long"), F.lit(20))
@@ -318,20 +489,22 @@ def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(spark.read.parquet(f"{folder}/bad").groupBy(F.col("error").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def stream_folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a local one in local mode only."""
-    import uuid
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(registry.edges(), "input string, output string")
+
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+#: A job's text, of which the lineage is read.
+JOB = """
+-- counts by window; 'insert into nothing select * from nowhere'
+insert into agg_model_5m
+with open_spans as (select * from spans where status <> 'from elsewhere')
+select window_start, count(*) from table(tumble(table open_spans, descriptor(ts), interval '5' minutes)) join `prompt_versions` p on p.version = prompt_version group by window_start;
+insert into archive.trace_events select * from spans
+"""
 
 
-def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(registry.edges(), "input string, output string")
+def lineage_of_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(registry.edges_of_sql(JOB), "input string, output string")
 
 
 QUERIES: dict[str, Query] = {
@@ -349,6 +522,11 @@ QUERIES: dict[str, Query] = {
     "busiest_session": lambda spark, sf_dir: verify.busiest_session(spans(spark, sf_dir)),
     "percentile_crosscheck": lambda spark, sf_dir: verify.percentile_crosscheck(spans(spark, sf_dir)),
     "agg_vs_raw": agg_vs_raw,
+    "stream_dedup": stream_dedup,
+    "hot_compact": hot_compact,
+    "latest_n": latest_n,
+    "deleted_errors": deleted_errors,
+    "cdc_landing": cdc_landing,
     "streamed_overcount": streamed_overcount,
     "marts_reconcile": marts_reconcile,
     "p95_ge_avg": p95_ge_avg,
@@ -360,6 +538,8 @@ QUERIES: dict[str, Query] = {
     "trace_depth": trace_depth,
     "cost_reprice": cost_reprice,
     "upsert_classify": upsert_classify,
+    "upsert_changed": upsert_changed,
+    "insert_returning": insert_returning,
     "missing_stale": missing_stale,
     "content_hash_skip": content_hash_skip,
     "chunk_windows": chunk_windows,
@@ -369,12 +549,24 @@ QUERIES: dict[str, Query] = {
     "bm25_topk": bm25_topk,
     "dense_topk": dense_topk,
     "rrf_fusion": rrf_fusion,
+    "retrieve_project": retrieve_project,
+    "retrieval_disagreements": retrieval_disagreements,
     "retrieval_ab": retrieval_ab,
     "retrieval_modes": retrieval_modes,
     "retrieval_diagnose": retrieval_diagnose,
     "eval_hit_at_k": eval_hit_at_k,
     "eval_rates": eval_rates,
     "eval_gate": eval_gate,
+    "eval_gate_single": eval_gate_single,
+    "eval_citation": eval_citation,
+    "eval_runs": eval_runs,
+    "eval_stored_run": eval_stored_run,
+    "eval_drift": eval_drift,
+    "eval_judge": eval_judge,
+    "eval_order": eval_order,
+    "eval_render": eval_render,
+    "eval_strata": eval_strata,
+    "json_functions": json_functions,
     "eval_index_percentiles": eval_index_percentiles,
     "percentiles_exact": percentiles_exact,
     "eval_pearson": eval_pearson,
@@ -389,4 +581,5 @@ QUERIES: dict[str, Query] = {
     "stream_windows": stream_windows,
     "stream_fan_out": stream_fan_out,
     "lineage_edges": lineage_edges,
+    "lineage_of_job": lineage_of_job,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import parse_timestamp
+from ..functions.scalars import bad_timestamp, parse_timestamp
 
 _ROW = "struct<id: bigint, name: string, version: string, template_text: string, params_json: string, created_at: string>"
 _ENVELOPE = f"struct<op: string, before: {_ROW}, after: {_ROW}, source: struct<lsn: bigint, txId: bigint, snapshot: string, ts_ms: bigint>, ts_ms: bigint>"
@@ -14,8 +14,8 @@ _ENVELOPE = f"struct<op: string, before: {_ROW}, after: {_ROW}, source: struct<l
 def parse_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
     """Change rows of JSON envelopes, with ``skipped``: null for a row to land, else why not.
 
-    Tombstones (null values), truncations and messages are skipped; a delete takes its row from
-    ``before``.  ``raw`` has kafka_partition, kafka_offset, ingest_ts and the envelope text.
+    Tombstones (null values), truncations and messages are skipped, as are rows whose created_at cannot
+    be read; a delete takes its row from ``before``.  ``raw`` has kafka_partition, kafka_offset, ingest_ts and the envelope text.
     """
     parsed = raw.withColumn("e", F.from_json(value, _ENVELOPE))
     row = F.when(F.col("e.op") == "d", F.col("e.before")).otherwise(F.col("e.after"))
@@ -25,6 +25,7 @@ def parse_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
         .when(F.col("e.op").isin("t", "m"), F.concat(F.lit("op "), F.col("e.op")))
         .when(~F.col("e.op").isin("c", "u", "d", "r"), "unknown op")
         .when(row.isNull() | row["id"].isNull(), "no row image")
+        .when(bad_timestamp(row["created_at"]), "bad timestamp")
     )
     return parsed.withColumn("r", row).select(
         F.col("e.op").alias("op"), F.col("e.source.lsn").alias("source_lsn"), F.col("e.source.txId").alias("source_tx_id"),
@@ -37,8 +38,9 @@ def parse_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
 def land(raw: DataFrame, path: str, checkpoint: str, value: str = "value") -> dict[str, int]:
     """Drain a stream of envelopes into a change table; rows per outcome.
 
-    The write of a micro-batch and its offsets are tied by the batch id, so a replayed batch
-    overwrites its own folder instead of appending twice.
+    The source's own option (files or offsets a trigger) bounds a batch.  The write of a micro-batch
+    and its offsets are tied by the batch id, so a replayed batch overwrites its own folder instead of
+    appending twice.
     """
     seen: dict[str, int] = {}
 
@@ -60,12 +62,12 @@ def changelog_columns() -> str:
 #: A snapshot of three versions, an update, a delete, and the cases that test the
 #: order of changes (a replay, a change without LSN, a tie, a version recreated under a new id).
 CHANGES = [
-    ("r", 1, "assistant", "v1", "You are a helpful assistant.", 1000, "first", 0),
-    ("r", 2, "assistant", "v2", "You are a helpful assistant with tools.", 1000, "true", 1),
-    ("r", 3, "assistant", "v3", "You are a documentation assistant.", 1000, "last", 2),
-    ("u", 2, "assistant", "v2", "You are a helpful assistant with tools. Cite sources.", 2000, None, 3),
-    ("d", 1, "assistant", "v1", "You are a helpful assistant.", 3000, None, 4),
-    ("u", 2, "assistant", "v2", "You are a helpful assistant with tools. Cite sources.", 2000, None, 3),
+    ("r", 1, "assistant", "v1", "Answer the question.", 1000, "first", 0),
+    ("r", 2, "assistant", "v2", "Answer with the tools at hand.", 1000, "true", 1),
+    ("r", 3, "assistant", "v3", "Answer from the manuals.", 1000, "last", 2),
+    ("u", 2, "assistant", "v2", "Answer with the tools at hand and name your sources.", 2000, None, 3),
+    ("d", 1, "assistant", "v1", "Answer the question.", 3000, None, 4),
+    ("u", 2, "assistant", "v2", "Answer with the tools at hand and name your sources.", 2000, None, 3),
     ("u", 3, "assistant", "v3", "A change without a log position.", None, None, 5),
     ("r", 4, "assistant", "v5", "Read by the snapshot.", 1500, "true", 7),
     ("u", 4, "assistant", "v5", "Updated at the same position.", 1500, None, 6),

@@ -57,21 +57,34 @@ def as_contract(spans: DataFrame) -> DataFrame:
 
 
 def write_archive(spans: DataFrame, path: str, mode: str = "append", max_records: int = 2_000_000) -> None:
-    """Day-partitioned Parquet, one shuffle by day and hash so that a large day is many files."""
-    day = F.to_date("ts_epoch_ms")
-    out = spans.withColumn("ts_day", day).repartition("ts_day", F.pmod(F.xxhash64("session_id"), F.lit(16)))
-    out = out.sortWithinPartitions("ts_day", "event_type", "model", "ts_epoch_ms")
+    """Parquet by day; one shuffle by ranges of time, so that a file holds a stretch of one day or of few and
+    a large day is many files.  Within a file, rows of a kind and model lie together."""
+    ts = "ts_epoch_ms" if "ts_epoch_ms" in spans.columns else "ts"
+    out = spans.withColumn("ts_day", F.to_date(ts)).repartitionByRange("ts_day", ts).sortWithinPartitions("ts_day", "event_type", "model", ts)
     out.write.mode(mode).option("maxRecordsPerFile", max_records).option("parquet.block.size", 8 << 20).partitionBy("ts_day").parquet(path)
 
 
-def read_archive(spark: SparkSession, path: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
-    """Spans with start <= time < end; the day predicate is derived, so whole partitions are pruned."""
-    out = spark.read.parquet(path)
+def between(spans: DataFrame, start: dt.datetime | None, end: dt.datetime | None, ts: str = "ts", closed: bool = True) -> DataFrame:
+    """Spans from ``start`` to ``end``, ``end`` included if ``closed``; whole days are ruled out by ``ts_day``, where there is one."""
+    kind, days = spans.schema[ts].dataType, "ts_day" in spans.columns
     if start is not None:
-        out = out.where((F.col("ts_day") >= F.lit(start.date())) & (F.col("ts_epoch_ms") >= F.lit(start)))
+        spans = spans.where(F.col(ts) >= F.lit(start).cast(kind))
+        spans = spans.where(F.col("ts_day") >= F.lit(start.date())) if days else spans
     if end is not None:
-        out = out.where((F.col("ts_day") <= F.lit(end.date())) & (F.col("ts_epoch_ms") < F.lit(end)))
-    return out
+        last = F.lit(end).cast(kind)
+        spans = spans.where(F.col(ts) <= last if closed else F.col(ts) < last)
+        spans = spans.where(F.col("ts_day") <= F.lit(end.date())) if days else spans
+    return spans
+
+
+def read_archive(spark: SparkSession, path: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+    """Spans with start <= time < end; the day predicate is derived, so whole partitions are pruned."""
+    return between(spark.read.parquet(path), start, end, "ts_epoch_ms", closed=False)
+
+
+def latest(spans: DataFrame, n: int, ts: str = "ts") -> DataFrame:
+    """The n latest spans, ties to the smaller id; the limit is the feature."""
+    return spans.orderBy(F.desc(ts), "span_id").limit(n)
 
 
 def expire(spark: SparkSession, path: str, as_of: dt.date, days: int = 7) -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.staging import aggregate_5m
 from ..schema import SPAN, SPAN_JSON
+from ..sources import avro
 
 WATERMARK = "30 seconds"
 CONFLUENT_HEADER = 5  # magic byte and schema id before the Avro body
@@ -24,16 +25,29 @@ def kafka_source(spark: SparkSession, brokers: str, topic: str, max_offsets: int
 
 
 def avro_body(messages: DataFrame) -> DataFrame:
-    """The Avro record of each message without the registry's header."""
-    return messages.withColumn("body", F.substring("value", CONFLUENT_HEADER + 1, F.lit(2**31 - 1)))
+    """The Avro record of each message without the registry's header; NULL where there is no such header."""
+    whole = (F.length("value") >= CONFLUENT_HEADER) & (F.substring("value", 1, F.lit(1)) == F.lit(b"\x00"))
+    return messages.withColumn("body", F.when(whole, F.substring("value", CONFLUENT_HEADER + 1, F.lit(2**31 - 1))))
+
+
+def decode_avro(messages: DataFrame, schema: dict) -> DataFrame:
+    """Spans of messages in the registry's Avro framing, in the form that ``decode`` gives.
+
+    Spark's Avro functions come in a package that may be absent, so records are read by
+    ``sources.avro``, batch by batch; what it cannot read is told in ``error``.
+    """
+    return decode(avro.to_json(avro_body(messages), schema, "body").withColumn("value", F.coalesce("json", F.when(F.col("value").isNotNull(), F.lit("{")))).drop("json", "body"))
 
 
 def file_source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Messages of text files as value, with the file as topic; stands in for the broker."""
-    reader = spark.readStream.format("text")
+    """Messages of text files as value, one a line, with the file as topic and the line as offset, so that
+    they tell a message apart; stands in for the broker, whose segments are as bounded as these files."""
+    reader = spark.readStream.format("text").option("wholetext", True)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path).select("value", F.col("_metadata.file_name").alias("topic"), F.lit(0).alias("partition"), F.col("_metadata.file_block_start").alias("offset"))
+    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
+    files = reader.load(path).select(F.col("_metadata.file_name").alias("topic"), F.posexplode(lines).alias("offset", "value"))
+    return files.select("value", "topic", F.lit(0).alias("partition"), F.col("offset").cast("long").alias("offset"))
 
 
 def decode(messages: DataFrame) -> DataFrame:
