@@ -1,5 +1,5 @@
 """Operators for preparing language-model training data, each a DataFrame -> DataFrame function.
 
-Nothing outside this subpackage imports it.  ``queries`` registers the ten operators and the
-corpus pipeline for the driver.
+Nothing else in the library imports this subpackage.  ``queries`` registers the ten operators; the
+corpus pipeline at the repository top is registered by the entry point.
 """

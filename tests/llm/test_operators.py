@@ -115,6 +115,94 @@ def test_toxicity_learns_a_pair():
     assert p[0] < 0.5 and p[1] < 0.5 and p[2] > 0.5
 
 
+def test_toxicity_learns_a_pair_without_marginal_effect():
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = (bool(x) for x in rng.random(2) < 0.5)
+        rows.append(np.array([1] * a + [2] * b + sorted({int(x) for x in rng.integers(3, 50, 5)})))
+        labels.append(float(a != b))
+    model = toxicity.fit_rows(8, rows, np.array(labels), epochs=30)
+    assert model.terms.tolist() == [1, 2]
+    p = model.scores(np.array([1, 2, 1, 2], dtype=np.uint64), np.array([0, 1, 2, 2]), 4)
+    assert p[0] > 0.9 and p[1] > 0.9 and p[2] < 0.1 and p[3] < 0.1
+    # the sum over pairs, term by term
+    f = model.factors
+    plain = model.bias + model.linear.sum() + f[0] @ f[1]
+    assert p[2] == pytest.approx(1 / (1 + math.exp(-plain)))
+
+
+def test_terms_are_words_and_prefixes():
+    data = np.frombuffer(b"Aa abcdefgh abcdefgh", dtype=np.uint8)
+    found, rows = toxicity.terms(data, np.array([0, 2, 2, 20]), 22)
+    assert np.bincount(rows, minlength=3).tolist() == [1, 0, 4]
+    again, _ = toxicity.terms(np.frombuffer(b"aA", dtype=np.uint8), np.array([0, 2]), 22)
+    assert found[0] == again[0]
+
+
+@pytest.mark.parametrize("repeated", [0, 200])
+def test_fits_are_bounded_on_repeated_keys(spark, monkeypatch, repeated):
+    rows = [(1, f"some words {i}", "en", "s", 0) for i in range(repeated)] + [(i, f"other words {i}", "fr", "s", 0) for i in range(2, 90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(1, 1, 1)] * 200 + [(i, 1, 0) for i in range(2, 90)], "doc_id long, quality int, toxic int")
+    sizes = []
+    fit = toxicity.fit_rows
+    monkeypatch.setattr(toxicity, "fit_rows", lambda bits, rows, y, **k: (sizes.append(len(y)), fit(bits, rows, y, **k))[1])
+    toxicity.fit(docs, labels, max_fit_rows=50)
+    learn = langid.fit_rows
+    monkeypatch.setattr(langid, "fit_rows", lambda x, names, **k: (sizes.append(len(names)), learn(x, names, **k))[1])
+    langid.fit(docs, max_fit_rows=50)
+    assert sizes == [50, 50]
+
+
+def test_language_by_hand():
+    text = "Ab ab".encode()
+    counts = langid.gram_counts(np.frombuffer(text, dtype=np.uint8), np.array([0, 0, 5]))
+    want = np.zeros(langid.BINS, dtype=int)
+    for width, factor in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+        for i in range(5 - width + 1):
+            code = width
+            for byte in b"ab ab"[i : i + width]:
+                code = (code << 8 | byte) & 0xFFFFFFFF
+            want[(code * factor & 0xFFFFFFFF) >> 20] += 1
+    assert counts[0].sum() == 0 and (counts[1] == want).all()
+    # decoding: the codeword of least weighted loss, and its lead
+    code = langid.code_matrix(3)
+    weights = np.array([[0.5, 0.3, 0.2], [0.2, 0.2, 0.6], [0.4, 0.4, 0.2]])
+    model = langid.CodeModel(["a", "b", "c"], code, np.eye(3), np.zeros(3), weights)
+    f = np.array([[2.0, -1.0, 0.5], [-1.0, -2.0, 3.0]])
+    best, share, lead = model.decode(f)
+    for row in range(2):
+        losses = [sum(weights[c, b] * math.log(1 + math.exp(-f[row, b] * code[c, b])) for b in range(3)) for c in range(3)]
+        order = sorted(range(3), key=losses.__getitem__)
+        assert best[row] == order[0] and lead[row] == pytest.approx(losses[order[1]] - losses[order[0]])
+        assert share[row] == pytest.approx(1 / sum(math.exp(-4 * (x - min(losses))) for x in losses))
+
+
+def test_loss_weights_come_from_rows_kept_out():
+    y = np.array([0] * 10 + [1] * 10)
+    right = np.ones((20, 2))
+    right[:5, 0] = 0  # the first bit is a coin about language 0
+    w = langid.loss_weights(right, y, 2)
+    assert w.sum(axis=1) == pytest.approx([1, 1]) and w[0, 0] < 0.1 < w[0, 1] and w[1, 0] == pytest.approx(0.5)
+    x = np.repeat(np.eye(2, 4, dtype=np.float32), 20, axis=0)
+    kept = []
+    fit = langid._classifiers
+    try:
+        langid._classifiers = lambda x, *a: (kept.append(len(x)), fit(x, *a))[1]
+        langid.fit_rows(x, ["a"] * 20 + ["b"] * 20)
+    finally:
+        langid._classifiers = fit
+    assert kept == [32]
+
+
+def test_language_of_long_texts_and_the_empty_name(spark):
+    rows = [(i, ("the and with " if i % 2 else "der und nicht ") * (1 if i % 7 else 30_000 if i == 7 else 50), "" if i % 2 else "de", "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("lang_pred", F.lit("clash"))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got == {i: "" if i % 2 else "de" for i in range(60)}
+
+
 def test_language(spark):
     rng = random.Random(3)
     stock = {"en": ["the", "and", "thing", "with"], "de": ["der", "und", "nicht", "straße"], "fr": ["le", "été", "dans", "que"]}
@@ -160,6 +248,16 @@ def test_sharding(spark, texts, shards):
     assert sharding.shard(docs.where("false"), shards).isEmpty()
 
 
+def test_sharding_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+    docs = make_docs(spark, ["same"] * 900 + [None] * 300 + ["x" * 100_000, ""] * 3 + [f"text {i}" for i in range(100)]).withColumns({"row": F.lit("clash"), "g": F.lit(1), "members": F.lit(2), "deal": F.lit(3)})
+    got = sharding.shard(docs, 7).collect()
+    counts = collections.Counter(r.shard for r in got)
+    assert len(got) == docs.count() and max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 7
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+    assert len({r.shard for r in got if r.linked == 900}) == 5  # as few as hold them: 187 a shard
+
+
 # 5
 
 
@@ -184,6 +282,19 @@ def test_token_counts(spark, texts):
         unigram.PrefixTrie({"a▁": -1.0})
 
 
+def test_token_counts_of_a_very_long_pretoken(monkeypatch):
+    monkeypatch.setattr(unigram, "MAX_NODES", 500)
+    scores = {"a": -1.0, "b": -1.5, "ab": -1.2, "aba": -2.0, "bb": -2.9}
+    trie = unigram.PrefixTrie(scores)
+    rng = random.Random(2)
+    for text in ("".join(rng.choice("abx") for _ in range(5000)), "ab" * 40, "".join(rng.choice("ab") for _ in range(3000))):
+        best = [(0.0, 0)]
+        for e in range(1, len(text) + 1):
+            options = [(best[e - 1][0] + trie.spelled, best[e - 1][1] - 1)] + [(best[e - n][0] + scores[text[e - n : e]], best[e - n][1] - 1) for n in (1, 2, 3) if n <= e and text[e - n : e] in scores]
+            best.append(max(options))
+        assert trie.count(text) == -best[-1][1] and len(trie.best) <= 500
+
+
 # 6
 
 
@@ -274,13 +385,36 @@ def test_neighbours_of_each_size(spark):
     assert got == {0: [1, 2], 1: [4, 3], 2: [4, 3], 3: [4, 2], 4: [3, 2], 10: [11, 12], 11: [12, 10], 12: [11, 10]}
 
 
+def test_recall_of_the_registered_search(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    by = collections.defaultdict(set)
+    for r in registered.op7_cross_polytope(spark, folder).collect():
+        by[r.query_id].add(r.vec_id)
+    hits = 0
+    asked = [i for i in ids if i % 20 == 0]
+    for q in asked:
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -np.inf
+        hits += len(by[q] & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_neighbours_under_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.5, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in neighbours.search(vectors, F.lit(True), k=5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+
+
 # 8
 
 
 def test_url_rules(spark):
     urls = [
         None, "", "no scheme", "http://EXAMPLE.com/en/x", "http://www.example.com/en/x", "http://a.www.example.com/en/", "http://example.com", "http://example.com/?q=/en/", "http://x.net/es/1",
-        "http://net/fr/", "http://x.org/en/", "http://badexample.com/en/", "http:///path", "http://a.com#/x", "ftp://u@h.com:21/", "http://example.com/en", "://",
+        "http://net/fr/", "http://net/fr/", "http://" + "a." * 5000 + "net/es/" + "x" * 50_000, "http://x.org/en/", "http://badexample.com/en/", "http:///path", "http://a.com#/x", "ftp://u@h.com:21/", "http://example.com/en", "://",
     ]
     pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id int, url string, verdict string")
     rules = urlfilter.rule_table(spark, urlfilter.RULES)
@@ -338,6 +472,47 @@ def test_decontamination(spark, texts):
     assert decontam.search(docs, bench.where("false")).isEmpty() and decontam.search(docs.where("false"), bench).isEmpty()
 
 
+def test_decontamination_beside_names_of_its_own(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item, "x")], "item_id int, text string, doc_id string")
+    docs = spark.createDataFrame([(1, "a " * 50_000 + item, 1, "h"), (2, item.rsplit(" ", 1)[0], 1, "h"), (3, " ".join(item.split()[:20]), 1, "h")], "doc_id long, text string, n_shingles int, h string").withColumns({"w": F.lit(1), "least": F.lit(2), "item_id": F.lit("y")})
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in decontam.search(docs, bench).collect()} == {(1, 1, 26), (2, 1, 25)}
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 9, 16, 17, 33])
+def test_size_classes_lose_nothing(spark, n):
+    """A document with just as much of an item as it takes, and no more words than that."""
+    item = [f"w{i}" for i in range(n + 4)]
+    need = (n * 80 + 99) // 100
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    docs = spark.createDataFrame([(1, " ".join(item[: need + 4])), (2, " ".join(item[: need + 3]))], "doc_id long, text string")
+    assert {r.doc_id for r in decontam.search(docs, bench).collect()} == {1}
+
+
+def test_jaccard_links_across_rows_without_a_key(spark):
+    run = lambda at: " ".join(f"w{i}" for i in range(at, at + 60))
+    docs = spark.createDataFrame([(1, run(0)), (None, run(5)), (2, run(10)), (3, run(100)), (None, run(200)), (None, run(203))], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.link_components(docs).collect())
+    assert got == [(0, 0), (0, 0), (0, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def test_ranks_tell_frequent_shingles_from_many_rare_ones():
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(5000, 1 << 12).astype(float)
+    counts[:3] += (700, 3000, 60_000)
+    rank, ways = jaccard.ranks(counts)
+    assert rank[3:].max() < rank[0] < rank[1] < rank[2] and ways[rank[0]] == 1 and 10 <= ways[rank[2]] <= 20
+
+
+def test_jaccard_with_every_shingle_hot(spark, monkeypatch, texts):
+    docs = make_docs(spark, [*texts, *["same old words in here again"] * 30])
+    want = sorted(map(tuple, jaccard.link_components(docs).collect()))
+    ranks = jaccard.ranks
+    monkeypatch.setattr(jaccard, "ranks", lambda counts: (ranks(counts)[0], np.full(256, 3)))
+    assert sorted(map(tuple, jaccard.link_components(docs).collect())) == want
+
+
 def test_jaccard(spark, texts):
     chain = [" ".join(f"c{j}" for j in range(i, i + 60)) for i in range(0, 40, 4)]
     docs = make_docs(spark, [*texts, *chain, *["same old words in here again"] * 30], [(None, "lonely words", None, None, 0), (8, texts[8], None, None, 0)])
