@@ -19,6 +19,7 @@ DECLARED = {"faithfulness_mean": 0.30, "hit_at_5_rate": 0.10, "citation_ok_rate"
 PINNED = ("dataset_version", "corpus_version", "prompt_version", "judge_model", "n")
 MAX_PARSE_FAILURES = 2
 CI_SUBSET = 25
+NOT_IN_CORPUS = "(not in the corpus)"
 
 
 def prefix_hit(paths: Column, prefixes: Column) -> Column:
@@ -174,18 +175,23 @@ def distinct_passages(passages: DataFrame, key: str = "key") -> DataFrame:
 
 
 def golden_violations(golden: DataFrame, projects: tuple[str, ...], types: tuple[str, ...], difficulties: tuple[str, ...]) -> DataFrame:
-    """key and rule of everything wrong in a golden set."""
+    """key and rule of everything wrong in a golden set; a rule whose column is missing is left out."""
     sources = F.coalesce("expected_sources", F.array().cast("array<string>"))
     under = F.exists(sources, lambda s: F.col("written_from").startswith(s))
     rules = {
         "key": ~F.coalesce(F.col("key").rlike(KEY_PATTERN), F.lit(False)),
+        "key of another project": ~F.startswith(F.col("key"), F.concat(F.col("project"), F.lit("-"))),
         "project": ~F.col("project").isin(*projects),
         "type": ~F.col("type").isin(*types),
         "difficulty": ~F.col("difficulty").isin(*difficulties),
         "answerable": F.col("answerable") != (F.size(sources) > 0),
         "written_from": F.col("written_from").isNotNull() & F.col("answerable") & ~under,
         "blank question": F.coalesce(F.length(F.trim("question")), F.lit(0)) == 0,
+        "blank written_from": F.coalesce(F.length(F.trim("written_from")), F.lit(0)) == 0,
+        "unanswerable": ~F.col("answerable") & (F.col("written_from") != NOT_IN_CORPUS),
     }
+    if "expected_answer" in golden.columns:
+        rules["blank expected_answer"] = F.coalesce(F.length(F.trim("expected_answer")), F.lit(0)) == 0
     w = Window.partitionBy("key")
     checks = [F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items()] + [F.when(F.col("__n") > 1, F.lit("duplicate key"))]
     out = golden.withColumn("__n", F.count(F.lit(1)).over(w)).select("key", F.explode(F.array_compact(F.array(*checks))).alias("rule"))
@@ -204,6 +210,12 @@ def unresolved_sources(golden: DataFrame, corpus: DataFrame) -> DataFrame:
     return wanted.select("key", "prefix").join(found.select("key", "prefix"), ["key", "prefix"], "left_anti")
 
 
+def unwritten_sources(golden: DataFrame, corpus: DataFrame) -> DataFrame:
+    """key and path of answerable examples that were written from a file that the corpus does not have."""
+    wanted = golden.where("answerable").select("key", F.substring_index("written_from", "#", 1).alias("source_path"))
+    return wanted.join(corpus.select("source_path").distinct(), "source_path", "left_anti").select("key", "source_path")
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows taken round-robin over the strata, each in a seeded order; the sampling is the feature.
     No stratum gives more than n, which is said before the ranks are used, so that they stop there."""

@@ -71,11 +71,7 @@ def get_trace(spans: DataFrame, trace_id: str, cap: int = SPAN_CAP) -> dict[str,
         return {"error": f"trace store failed: {failure}"}
     if not rows:
         return {"error": f"no trace {trace_id!r}"}
-    nodes = {r.span_id: r.asDict() | {"children": []} for r in rows}
-    roots = []
-    for r in rows:
-        node = nodes[r.span_id]
-        (roots if node.pop("is_root") else nodes[r.parent_span_id]["children"]).append(node)
+    roots = _nested(rows)
     total = lambda c: sum(getattr(r, c) or 0 for r in rows)
     return {
         "trace_id": trace_id,
@@ -91,6 +87,21 @@ def get_trace(spans: DataFrame, trace_id: str, cap: int = SPAN_CAP) -> dict[str,
     }
 
 
+def _nested(rows: list) -> list[dict[str, Any]]:
+    """Spans with their children below them; a span whose parent is not among them is a root."""
+    nodes = {r.span_id: {k: v for k, v in r.asDict().items() if k != "is_root"} | {"children": []} for r in rows}
+    roots = []
+    for r in rows:
+        parent = nodes.get(r.parent_span_id)
+        (roots if parent is None or r.parent_span_id == r.span_id else parent["children"]).append(nodes[r.span_id])
+    return roots
+
+
+def lines_of(rows: list) -> list[str]:
+    """A line a span, indented by level."""
+    return tree_lines({"spans": _nested(rows)})
+
+
 def tree_lines(trace: dict[str, Any]) -> list[str]:
     """A line a span, indented by level."""
     out: list[str] = []

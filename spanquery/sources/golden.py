@@ -10,8 +10,6 @@ GOLDEN = (
     "key string, project string, question string, expected_answer string, expected_sources array<string>, written_from string, difficulty string, "
     "type string, ci boolean, answerable boolean, tags array<string>"
 )
-NOT_IN_CORPUS = "(not in the corpus)"  # fixed value
-
 
 def _parsed(text: str) -> dict:
     try:

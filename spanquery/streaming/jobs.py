@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.staging import aggregate_5m
+from ..operators.trace import SPAN_CAP, lines_of
 from ..schema import SPAN, SPAN_JSON
 from ..sources import avro
 
@@ -143,6 +146,21 @@ def fan_out(decoded: DataFrame, good: str, bad: str, checkpoint: str, trigger: d
     return decoded.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def print_trees(spans: DataFrame, checkpoint: str, say: Callable[[str], None] = print, cap: int = SPAN_CAP, trigger: dict | None = None) -> StreamingQuery:
+    """Say each batch's traces as they come, a line a span, indented below the parents that came with it.
+    It is for looking on: of a batch, the ``cap`` latest spans are shown and the rest only counted."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        n = batch.count()
+        rows = batch.orderBy(F.desc("ts"), "span_id").limit(cap).select("trace_id", "span_id", "parent_span_id", "event_type", "status", "latency_ms", "ts").collect()
+        for line in lines_of(sorted(rows, key=lambda r: (r.trace_id, r.ts, r.span_id))):
+            say(line)
+        if n > len(rows):
+            say(f"... and {n - len(rows)} more")
+
+    return spans.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 def supervise(start, attempts: int = 60, wait_s: float = 10.0) -> StreamingQuery:
     """Run ``start()`` to its end, restarting a failed query from its checkpoint."""
     import time

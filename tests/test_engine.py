@@ -351,7 +351,9 @@ def test_golden_files(spark, tmp_path):
     golden = golden_files.load_golden(spark, str(tmp_path), "1")
     assert golden.count() == 2 and golden.first().question == "When?" and golden.where("answerable").count() == 1
     found = {(r.key, r.rule) for r in evals.golden_violations(golden, ("sea",), ("fact",), ("easy",)).collect()}
-    assert found == {("sea-x", "key"), ("sea-x", "answerable")}
+    assert found == {("sea-x", "key"), ("sea-x", "answerable"), ("sea-x", "unanswerable")}
+    corpus = spark.createDataFrame([("docs/tide.md",), ("docs/x.md",)], "source_path string")
+    assert evals.unwritten_sources(golden, corpus).isEmpty() and [r.key for r in evals.unwritten_sources(golden, corpus.where("source_path = 'docs/x.md'")).collect()] == ["sea-tide-001"]
     assert evals.ci_subset_problem(golden, 2) is None and "exactly 25" in evals.ci_subset_problem(golden)
     with pytest.raises(ValueError):
         golden_files.load_golden(spark, str(tmp_path), "2")
@@ -363,7 +365,7 @@ def test_golden_rules(spark):
     ]
     golden = spark.createDataFrame(rows, "key string, project string, question string, expected_sources array<string>, written_from string, difficulty string, type string, answerable boolean, ci boolean")
     got = {(r.key, r.rule) for r in evals.golden_violations(golden, ("kafka",), ("fact",), ("easy",)).collect()}
-    assert got == {("bad key", "key"), ("bad key", "answerable"), ("bad key", "blank question")}
+    assert got == {("bad key", r) for r in ("key", "key of another project", "answerable", "blank question", "blank written_from")}
     corpus = spark.createDataFrame([("docs/a/b.md",), ("docs/c.md",)], "source_path string")
     assert evals.unresolved_sources(golden, corpus).count() == 0
     assert evals.unresolved_sources(golden.withColumn("expected_sources", F.array(F.lit("docs/zz"))), corpus).count() == 2
@@ -515,6 +517,17 @@ def test_supervised_query_restarts(spark):
         jobs.supervise(Query, 2, 0)
 
 
+def test_live_trees(spark, tmp_path):
+    span(spark, ("t", "child", "root", "ok", 2, None), ("t", "root", None, "ok", 1, None), ("u", "lone", "gone", "error", 3, None)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    said = []
+    source = spark.readStream.schema(COLUMNS).parquet(str(tmp_path / "in"))
+    jobs.print_trees(source, str(tmp_path / "a"), said.append, trigger={"availableNow": True}).awaitTermination()
+    assert [line.split(" ms")[0] for line in said] == ["AGENT_STEP root ok 1.0", "  AGENT_STEP child ok 1.0", "AGENT_STEP lone error 1.0"]
+    said.clear()
+    jobs.print_trees(source, str(tmp_path / "b"), said.append, 1, {"availableNow": True}).awaitTermination()
+    assert said[0].startswith("AGENT_STEP lone") and said[1:] == ["... and 2 more"]
+
+
 def test_empty_sink_with_progress_is_refused(spark, tmp_path):
     for name in ("offsets", "commits"):
         (tmp_path / "ckpt" / name).mkdir(parents=True)
