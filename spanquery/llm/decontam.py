@@ -108,7 +108,8 @@ def search(
         return spark.createDataFrame([], empty).selectExpr(
             "doc_id", f"cast(null as {types[0]}) item_id", "0 n_shingles", "0 n_shared", "cast(0 as double) containment"
         )
-    source = source.withColumn("w", words(F.col("t"))).where(F.size("w") > 0)
+    # a generator of one row, so that the words are split once and not again for each use
+    source = source.select("doc_id", F.explode(F.array(words(F.col("t")))).alias("w")).where(F.size("w") > 0)
     runs = F.flatten(F.array(*[shingle_hashes(F.col("w"), k) for k in widths]))
     # a document has at most as many shingles as words
     probes = source.select("doc_id", F.size("w").alias("most"), F.explode(runs).alias("h"))
