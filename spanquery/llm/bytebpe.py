@@ -30,6 +30,7 @@ from .textkit import _byte_values, span_hashes
 from .workers import released
 
 CACHE_BYTES = 16 << 20
+LIST_BYTES = 1 << 17
 CHUNK = 1 << 20  # bytes of text whose pre-tokens are told apart at a time
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -316,10 +317,15 @@ class ChunkEncoder:
         pieces = [raw[a:b] for a, b in zip(cuts[first].tolist(), cuts[first + 1].tolist(), strict=True)]
         found = [cache.get(piece) for piece in pieces]
         new = [i for i, ids in enumerate(found) if ids is None]
-        if new:
-            flat, offsets = self.bpe.encode_pieces([pieces[i] for i in new])
+        ends = np.cumsum([len(pieces[i]) for i in new])
+        at = 0
+        while at < len(new):
+            # a linked list of Python numbers for so many bytes at a time, or for one longer pre-token
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LIST_BYTES, side="right")))
+            some, at = new[at:to], to
+            flat, offsets = self.bpe.encode_pieces([pieces[i] for i in some])
             flat = flat.astype(np.int32)
-            for i, a, b in zip(new, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for i, a, b in zip(some, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 found[i] = flat[a:b].tobytes()
                 if len(pieces[i]) <= 64:
                     cache[pieces[i]] = found[i]

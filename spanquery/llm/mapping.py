@@ -14,16 +14,18 @@ from .textkit import CHUNK_BYTES, chunks
 from .workers import released
 
 BATCH_ROWS = 1_000
-_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 4 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
-def lower_batches(spark: SparkSession) -> str:
-    """Arrow batches of at most ``BATCH_ROWS`` rows from here on, for a session that the caller owns; what it
-    was before.  Texts and sets are long, and the default of ten thousand rows holds tens of megabytes in
+def lower_batches(spark: SparkSession) -> dict[str, str]:
+    """Arrow batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` from here on, for a session that the
+    caller owns; what they were before.  Texts and sets are long, and the default of ten thousand rows holds tens of megabytes in
     every task, once on each side of the pipe."""
-    before = spark.conf.get(_BATCHES)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+    before = {name: spark.conf.get(name) for name in _LIMITS}
+    for name, most in _LIMITS.items():
+        if not 0 < int(before[name].rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
     return before
 
 
@@ -34,7 +36,8 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        spark.conf.set(_BATCHES, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 ChunkFunction = Callable[[np.ndarray, np.ndarray], list[pa.Array]]

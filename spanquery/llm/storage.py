@@ -21,10 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write a table as Parquet and read it back, which cuts its lineage; also its path."""
+    """Write a table as Parquet and read it back, which cuts its lineage; also its path.  Most of what is
+    stored are hashes, which no codec makes smaller, so there is none, nor its buffers beside the heap."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "none").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
