@@ -20,6 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from spanquery.llm import bytebpe, decontam, jaccard, langid, toxicity
 from spanquery.llm.mapping import lower_batches, small_batches
 from spanquery.llm.storage import drop, shared_folder
+from spanquery.llm.workers import shrink_heaps
+
+
+def _prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and heaps without what the stage before has left."""
+    lower_batches(spark)
+    shrink_heaps(spark)
 
 
 def _filtered(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -30,7 +37,7 @@ def _filtered(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> Data
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose toxicity score is below 0.5."""
-    lower_batches(spark)
+    _prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, learn=toxicity.remainder("k", 5) != 0)
     return _filtered(docs, lambda renamed: toxicity.score(renamed, model, "in_text", "toxic").where("toxic < 0.5"))
@@ -38,24 +45,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a language that the decoder settles on: neither ``und`` nor ambiguous."""
-    lower_batches(spark)
+    _prepare(spark)
     model = langid.fit(docs, learn=langid.remainder("k", 4) != 2)
     return _filtered(docs, lambda renamed: langid.predict(renamed, model, "in_text").where("lang_pred <> 'und' and not ambiguous"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group linked by a 5-gram Jaccard similarity of 0.8."""
+    _prepare(spark)
     return jaccard.first_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that contain less than 0.8 of the 5-grams of every benchmark item."""
+    _prepare(spark)
     return decontam.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE token counts and digests."""
-    lower_batches(spark)
+    _prepare(spark)
     return bytebpe.token_digests(docs)
 
 
