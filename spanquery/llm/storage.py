@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..tables import drop, new_folder, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = getattr(shared_folder, "own", None)
-        if folder is None:
-            folder = shared_folder.own = tempfile.mkdtemp(prefix="spanquery-")
-    return folder
+__all__ = ["drop", "shared_folder", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table as Parquet and read it back, which cuts its lineage; also its path.  Most of what is
     stored are hashes, which no codec makes smaller, so there is none, nor its buffers beside the heap."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.option("compression", "none").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a stored table."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
