@@ -29,7 +29,7 @@ from .mapping import gather, list_array, map_text
 from .textkit import _byte_values, span_hashes
 from .workers import released
 
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 48 << 20
 LIST_BYTES = 1 << 17
 CHUNK = 1 << 20  # bytes of text whose pre-tokens are told apart at a time
 
