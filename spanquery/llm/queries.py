@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontam, jaccard, langid, neighbours, ngramlm, sharding, toxicity, unigram, urlfilter
+from . import bytebpe, decontam, jaccard, langid, mining, neighbours, ngramlm, repeats, sharding, toxicity, unigram, urlfilter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"))
 
 
+def op11_pca_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.embedding_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.kept_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bloom_lm": op1_bloom_lm,
@@ -66,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_pca_negatives": op11_pca_negatives,
+        "op12_debruijn_dedup": op12_debruijn_dedup,
+        "op13_residue_whitening": op13_residue_whitening,
     }
 
 

@@ -178,3 +178,21 @@ def per_row_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values[bounds[i]:bounds[i+1]] for each row; an empty range is 0."""
     acc = np.concatenate([np.zeros(1, dtype=values.dtype), np.cumsum(values)])
     return acc[bounds[1:]] - acc[bounds[:-1]]
+
+
+def exact_word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word as it is written."""
+    if not len(starts):
+        return np.zeros(0, dtype=_U)
+    return span_hashes(_WORD_VALUES[data], starts, ends)
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words, a space after each, and where each begins (and the last ends)."""
+    lengths = ends - starts + 1
+    at = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths)])
+    out = np.full(int(at[-1]), 0x20, dtype=np.uint8)
+    within = np.ones(len(out), dtype=bool)
+    within[at[1:] - 1] = False
+    out[within] = data[np.repeat(starts - at[:-1], lengths - 1) + np.flatnonzero(within)] if len(starts) else out[within]
+    return out, at
