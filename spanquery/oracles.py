@@ -525,3 +525,102 @@ ORACLES: dict[str, str] = {
         ('spans', 'fct_model_costs'), ('spans', 'fct_tool_reliability'), ('spans', 'fct_cost_by_prompt'), ('stg_prompt_versions', 'fct_cost_by_prompt')) as t(input, output)""",
     "lineage_of_job": "select * from (values ('spans', 'agg_model_5m'), ('prompt_versions', 'agg_model_5m'), ('spans', 'archive.trace_events')) as t(input, output)",
 }
+
+# over time
+
+_COSTS = f"count(*) as spans, count(*) filter (where status = 'error') as errors, {total('cost_usd')} as cost_usd, max(latency_ms) as latency_max_ms"
+_MARK = "(select max(ts) - interval '30 seconds' from spans)"
+_SESSIONS_6H = f"""select session_id, min(ts) as session_start, max(ts) + interval '6 hours' as session_end, {_COSTS}
+  from (select *, sum(begins) over (partition by session_id order by ts, span_id) as part
+        from (select *, case when ts <= lag(ts) over (partition by session_id order by ts, span_id) + interval '6 hours' then 0 else 1 end as begins from spans))
+  group by session_id, part"""
+_HOPS = f"""select window_start, window_start + interval '1 hour' as window_end, event_type, {_COSTS}
+  from (select *, unnest(generate_series(time_bucket(interval '15 minutes', ts) - interval '45 minutes', time_bucket(interval '15 minutes', ts), interval '15 minutes')) as window_start from spans)
+  group by window_start, event_type"""
+_SETS = "grouping sets ((event_type, model, status), (event_type, model), (event_type, status), (model, status), (event_type), (model), (status), ())"
+
+
+def _grain(*columns: str) -> str:
+    """The columns of a row's grouping set, joined by commas."""
+    return "concat_ws(',', " + ", ".join(f"case when grouping({c}) = 0 then '{c}' end" for c in columns) + ") as grain"
+
+
+_WRONG = """case p_partkey % 5 when 0 then name when 1 then left(name, place - 1) || substr(name, place + 1) when 2 then left(name, place - 1) || substr(name, place + 1) || 'x'
+  when 3 then left(name, place) || '~' || substr(name, place + 2) else '???' || name end"""
+_MULTISETS = """l as (select event_type, model, status, tool_name, prompt_version from spans),
+r as (select * from l where status <> 'error' union all select * from l where status <> 'error' and event_type = 'LLM_CALL')"""
+_FED = """fed as (select *, least(third + case when cast(concat('0x', substr(span_id, 1, 8)) as bigint) % 20 = 0 then 1 else 0 end, 2) as delivery
+  from (select *, cast(substr(session_id, 2) as int) % 4 as source, least(date_diff('day', date '2024-01-01', ts_day) // 10, 2) as third from spans) where source <> 3 or third = 0
+), greatest_ts as (
+  select d.delivery, f.source, max(f.ts) as greatest from (select distinct delivery from fed) d join fed f on f.delivery <= d.delivery group by all
+  having max(f.delivery) = d.delivery
+), mark as (
+  select delivery, max(min(greatest) - interval '30 seconds') over (order by delivery) as mark from greatest_ts group by delivery
+), told as (
+  select f.*, m.mark as passed, coalesce(time_bucket(interval '5 minutes', ts) + interval '5 minutes' <= m.mark, false) as late from fed f left join mark m on m.delivery = f.delivery - 1
+)"""
+
+ORACLES |= {
+    "asof_prompt_version": spans(
+        """select l.span_id, l.ts, r.prompt_version, r.ts as since from (from spans where event_type = 'TOOL_CALL') l
+        asof left join (from spans where prompt_version is not null) r on l.session_id = r.session_id and l.ts >= r.ts"""
+    ),
+    "asof_price": spans(
+        """select span_id, model as name, ts, case when near then usd_per_mtok end as usd_per_mtok, case when near then since end as since from (
+          select l.*, r.*, r.since >= l.ts - interval '6 hours' as near from (from spans where event_type = 'LLM_CALL') l
+          asof left join (select case when p_partkey % 2 = 0 then 'model-small' else 'model-large' end as name, timestamp '2024-01-01' + p_partkey * interval '17 minutes' as since,
+                                 p_retailprice as usd_per_mtok from part) r on l.model = r.name and l.ts >= r.since)"""
+    ),
+    "asof_next_call": spans(
+        """select l.span_id, case when r.ts <= l.ts + interval '2 days' then r.span_id end as next_call, case when r.ts <= l.ts + interval '2 days' then r.ts end as next_ts
+        from (from spans where event_type = 'RETRIEVAL') l asof left join (from spans where event_type = 'LLM_CALL') r on l.session_id = r.session_id and l.ts < r.ts"""
+    ),
+    "span_gaps": spans(
+        """select session_id, count(gap) as gaps, max(gap) as longest_us, cast(sum(gap) as bigint) as total_us
+        from (select session_id, date_diff('microsecond', lag(ts) over (partition by session_id order by ts, span_id), ts) as gap from spans) group by session_id"""
+    ),
+    "rolling_error_rate": spans(
+        """select span_id, count(*) over w as calls, count(*) filter (where status = 'error') over w as errors from spans where event_type = 'TOOL_CALL'
+        window w as (partition by tool_name order by ts range between interval '1 hour' preceding and current row)"""
+    ),
+    "agent_sessions": spans(_SESSIONS_6H),
+    "hopping_windows": spans(_HOPS),
+    "cumulating_windows": spans(
+        f"""select cast(ts_day as timestamp) as window_start, window_end, event_type, {_COSTS} from (select *, unnest(generate_series(date_trunc('hour', ts) + interval '1 hour',
+          cast(ts_day as timestamp) + interval '1 day', interval '1 hour')) as window_end from spans) group by ts_day, window_end, event_type"""
+    ),
+    "span_cube": spans(f"select {_grain('event_type', 'model', 'status')}, event_type, model, status, {_COSTS} from spans group by {_SETS}"),
+    "span_rollup": spans(f"select {_grain('ts_day', 'event_type', 'tool_name')}, ts_day, event_type, tool_name, {_COSTS} from spans group by rollup (ts_day, event_type, tool_name)"),
+    "distinct_sketches": spans("select event_type, count(distinct trace_id) as traces, true as close from spans where ts_day >= date '2024-01-04' and ts_day < date '2024-01-18' group by event_type"),
+    "nearest_names": f"""with p as (select p_partkey, p_name || ' ' || p_type as name, cast(p_partkey % 11 + 1 as int) as place from part), told as (select p_partkey, {_WRONG} as told from p),
+        known as (select distinct name from p), met as (select told, name, levenshtein(told, name) as far from (select distinct told from told) cross join known),
+        best as (select told, min(row(far, name)) as best from met where far <= 2 group by told)
+        select p_partkey, best[2] as nearest, cast(best[1] as int) as distance from told left join best using (told)""",
+    "archive_difference": spans(
+        """select event_type, status, cast(sum(greatest(a - b, 0)) as bigint) as only_left, cast(sum(greatest(b - a, 0)) as bigint) as only_right, cast(sum(least(a, b)) as bigint) as both,
+        count(*) as distinct_rows from (select event_type, model, status, tool_name, prompt_version, sum(side) as a, sum(1 - side) as b
+          from (select *, 1 as side from l union all select *, 0 from r) group by all) group by event_type, status""",
+        _MULTISETS,
+    ),
+    "archive_except_all": spans("select * from l except all select * from r", _MULTISETS),
+    "archive_intersect_all": spans("select * from l intersect all select * from r", _MULTISETS),
+    "stream_parent_child": spans(
+        """select l.span_id as root_id, r.span_id, r.ts from (from spans where parent_span_id is null) l
+        left join spans r on r.parent_span_id = l.span_id and r.ts between l.ts and l.ts + interval '2 hours'
+        where r.span_id is not null or l.ts + interval '2 hours' < (select least(max(ts) filter (where parent_span_id is null), max(ts) filter (where parent_span_id is not null)) - interval '30 seconds' from spans)"""
+    ),
+    "stream_sessions": spans(f"select * from ({_SESSIONS_6H}) where session_end <= {_MARK}"),
+    "stream_hops": spans(f"select * from ({_HOPS}) where window_end <= {_MARK}"),
+    "stream_closed_traces": spans(
+        """select trace_id, case when bool_or(parent_span_id is null) then 'root' else 'silence' end as reason, count(*) as spans, count(*) filter (where status = 'error') as errors,
+          min(ts) as first_ts, max(ts) as last_ts from fed group by trace_id
+        having bool_or(parent_span_id is null) or max(ts) + interval '1 hour' <= (select max(ts) - interval '30 seconds' from fed)""",
+        "fed as (select * from spans where not (parent_span_id is null and status = 'error'))",
+    ),
+    "stream_partition_windows": spans(
+        f"""select * from (select time_bucket(interval '5 minutes', ts) as window_start, time_bucket(interval '5 minutes', ts) + interval '5 minutes' as window_end, event_type, {_COSTS}
+        from told where not late group by all) where window_end <= (select max(mark) from mark)""",
+        _FED,
+    ),
+    "stream_late_rows": spans("select span_id, ts, passed as watermark, delivery from told where late", _FED),
+}

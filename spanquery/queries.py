@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import over_time
 from .functions import scalars, stats
+from .inputs import archive, spans, stream_of
 from .operators import chunking, evals, marts, metrics, quality, retrieval, staging, trace, upsert
 from .plans import registry, verify
 from .sources import cdc
-from .sources.spans import as_contract, delete_spans, latest, spans_from_events, table, write_archive
+from .sources.spans import as_contract, delete_spans, latest, table
 from .streaming import jobs
 from .tables import new_folder, stored
 
@@ -23,26 +24,6 @@ AS_OF = dt.datetime(2024, 1, 31)
 START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
 
 
-_archives: dict[tuple[str, str], tuple[str, T.StructType]] = {}
-
-
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The span archive of a folder: derived from its events once in an application, then read by day and column."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _archives:
-        made = spans_from_events(table(spark, sf_dir, "events"))
-        path = new_folder(spark, "archive")
-        write_archive(made, path)
-        _archives[key] = path, T.StructType([f for f in made.schema if f.name != "ts_day"] + [T.StructField("ts_day", T.DateType())])
-    path, schema = _archives[key]
-    return spark.read.schema(schema).parquet(path)
-
-
-def _archive_path(spark: SparkSession, sf_dir: str) -> str:
-    spans(spark, sf_dir)
-    return _archives[spark.sparkContext.applicationId, sf_dir][0]
-
-
 def models(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return registry.build({"spans": spans(spark, sf_dir), "prompt_versions": cdc.seed_changes(spark)}, list(names))
 
@@ -98,7 +79,7 @@ def streamed_overcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans by type out of a stream in which every tool call came twice, with replays dropped."""
     folder = new_folder(spark, "stream")
-    jobs.raw_archive(jobs.deduplicated(_stream_of(spark, replayed(spark, sf_dir), folder)), f"{folder}/out", f"{folder}/ckpt", {"availableNow": True}).awaitTermination()
+    jobs.raw_archive(jobs.deduplicated(stream_of(spark, replayed(spark, sf_dir), folder)), f"{folder}/out", f"{folder}/ckpt", {"availableNow": True}).awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("span_id").alias("ids"))
 
 
@@ -112,7 +93,7 @@ def latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deleted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the archive without its failed spans, by day."""
-    left = delete_spans(spark, _archive_path(spark, sf_dir), F.col("status") == "error", new_folder(spark, "kept"))
+    left = delete_spans(spark, archive(spark, sf_dir)[0], F.col("status") == "error", new_folder(spark, "kept"))
     return left.groupBy(F.col("ts_day").cast("date").alias("ts_day")).agg(F.count(F.lit(1)).alias("spans"))
 
 
@@ -459,16 +440,10 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", scalars.basename(F.col("url")).alias("basename"), scalars.stem(F.col("url")).alias("stem"))
 
 
-def _stream_of(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
-    """A stream over spans that are written to a folder first."""
-    as_contract(rows).withColumnRenamed("ts_epoch_ms", "ts").drop("attributes").write.parquet(f"{folder}/in")
-    return spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-
-
 def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The five-minute windows that a stream over the spans has closed."""
     folder = new_folder(spark, "stream")
-    jobs.window_aggregates(_stream_of(spark, rows, folder), f"{folder}/out", f"{folder}/ckpt", {"availableNow": True}).awaitTermination()
+    jobs.window_aggregates(stream_of(spark, rows, folder), f"{folder}/out", f"{folder}/ckpt", {"availableNow": True}).awaitTermination()
     return spark.read.parquet(f"{folder}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
@@ -582,4 +557,5 @@ QUERIES: dict[str, Query] = {
     "stream_fan_out": stream_fan_out,
     "lineage_edges": lineage_edges,
     "lineage_of_job": lineage_of_job,
+    **over_time.QUERIES,
 }

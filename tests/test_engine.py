@@ -10,7 +10,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from spanquery import queries, schema
+from spanquery import inputs, queries, schema
 from spanquery.functions import scalars, stats
 from spanquery.operators import chunking, evals, labels, marts, metrics, quality, retrieval, staging, tools, trace, upsert
 from spanquery.plans import probe, registry, verify
@@ -538,7 +538,7 @@ def test_empty_sink_with_progress_is_refused(spark, tmp_path):
 
 
 def test_panels_read_days_that_they_need(spark):
-    path = queries._archive_path(spark, "/root/testdata/sf0.001")
+    path = inputs.archive(spark, "/root/testdata/sf0.001")[0]
     frame = metrics.panel_frame(queries.spans(spark, "/root/testdata/sf0.001"), "spans", dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 4))
     plan = frame._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(ts_day" in plan and "PushedFilters: [IsNotNull(ts)" in plan and "ReadSchema: struct<span_id:string,ts:timestamp_ntz>" in plan and path
