@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .operators.retrieval import BM25Index
 from .sources.spans import as_contract, spans_from_events, table, write_archive
 from .tables import drop, new_folder
 
 _archives: dict[tuple[str, str], tuple[str, T.StructType, int]] = {}
+_indexes: dict[tuple[str, str], tuple[BM25Index, int]] = {}
 
 
 def _state(spark: SparkSession, path: str) -> int:
@@ -32,10 +35,22 @@ def archive(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
     return _archives[key][:2]
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> BM25Index:
+    """The search index of a folder's documents, with their language as project; kept as the archive is."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, f"{sf_dir}/documents.parquet")
+    if key in _indexes and _indexes[key][1] != state:
+        _indexes.pop(key)[0].drop()
+    if key not in _indexes:
+        docs = table(spark, sf_dir, "documents").withColumn("project", F.col("lang"))
+        _indexes[key] = BM25Index(docs, keep=["project"]), state
+    return _indexes[key][0]
+
+
 def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
-    """Drop the archive of a folder, or of all folders that this application has read."""
-    for key in [k for k in _archives if k[0] == spark.sparkContext.applicationId and sf_dir in (None, k[1])]:
-        drop(spark, _archives.pop(key)[0])
+    """Drop the archive and the index of a folder, or of all folders that this application has read."""
+    for held, release in ((_archives, lambda x: drop(spark, x[0])), (_indexes, lambda x: x[0].drop())):
+        for key in [k for k in held if k[0] == spark.sparkContext.applicationId and sf_dir in (None, k[1])]:
+            release(held.pop(key))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Retrieval: BM25, cosine nearest neighbours, rank fusion, and comparisons of modes.
 
-All searches take a set of queries at once.  The queries are the stated small side: their size is
-checked before they are broadcast, and larger sets run in blocks or by shuffles.
+All searches take a set of queries at once and compare each with all rows.  The queries go to every task in blocks of
+bounded size, one scan a block; a task keeps the k best of each query, so only those are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import tokens
 from ..tables import drop, stored
@@ -20,9 +25,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 MODES = ("dense", "bm25", "hybrid")
 BLOCK_BYTES = 32 << 20  # of the query vectors that one scan compares with
-BROADCAST_ROWS = 500_000  # of query terms and candidates, about 100 bytes each
-DIRECT_HITS = 50_000_000  # postings times queries that are added up without choosing candidates first
-RARE = 50  # terms in fewer than one chunk in so many decide who can be among the best
+BROADCAST_ROWS = 500_000  # of query terms that the driver reads at once, about 100 bytes each
+QUERY_ROWS, QUERY_TERMS = 4096, 250_000  # of the queries that one scan of the index answers
+INDEX_ROWS = 1024  # chunks that are tokenised at a time
+SCORES = 1 << 20  # scores that a task has in hand
 
 
 def _decimal_sum(c: Column) -> Column:
@@ -30,114 +36,168 @@ def _decimal_sum(c: Column) -> Column:
     return F.sum(c.cast("decimal(28,9)")).cast("double")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _in_blocks(spark: SparkSession, blocks: Iterator, scan: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """The union of ``scan`` over blocks of queries, each sent to every task.  If there are several, what a block
+    has found is stored and its broadcast given up before the next, so that one at a time is held."""
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return scan(spark.sparkContext.broadcast(first))
+    out = None
+    for block in chain([first, second], blocks):
+        shared = spark.sparkContext.broadcast(block)
+        part = stored(scan(shared), "found")[0]
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def term_postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, key, tf and dl (all tokens of the chunk), from one scan; a chunk without tokens is one row with
-    a null term.  ``lead`` is true in one row of each chunk."""
-    counted = chunks.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    rows = counted.select(key, F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term"))
-    return rows.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min(F.coalesce("pos", F.lit(0))) == 0).alias("lead"))
+class Best:
+    """The k best ids of each query over the batches of a task; ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.queries = k, queries
+        self.held: tuple[np.ndarray, ...] | None = None  # query, score, id
+        self.last = np.full(queries, -np.inf)  # the k-th score
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: a row an id, a column a query."""
+        row, query = np.nonzero(scores >= self.last)
+        new = [query, scores[row, query], ids[row]]
+        if len(row) > 4 * self.k * self.queries:  # first leave what a column's k best leave behind
+            kth = min(self.k, len(scores))
+            floor = np.partition(scores, len(scores) - kth, axis=0)[len(scores) - kth]
+            kept = new[1] >= floor[query]
+            new = [c[kept] for c in new]
+        held = [np.concatenate(c) for c in zip(self.held, new, strict=True)] if self.held else new
+        _, place = np.unique(held[2], return_inverse=True)
+        order = np.lexsort((place, -held[1], held[0]))
+        begins = np.searchsorted(held[0][order], held[0][order], side="left")
+        order = order[np.arange(len(order)) - begins < self.k]
+        self.held = tuple(c[order] for c in held)
+        full = np.bincount(self.held[0], minlength=self.queries) == self.k
+        ends = np.searchsorted(self.held[0], np.arange(self.queries), side="right") - 1
+        self.last[full] = self.held[1][ends[full]]
+
+
+def indexed(chunks: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """A row a chunk: key, ``keep``, dl (all its tokens) and its distinct terms with their counts, by one scan
+    that shuffles nothing."""
+    rows = chunks.select(F.col(key), *keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("dl long, terms array<string>, tfs array<int>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, INDEX_ROWS):
+                part = batch.slice(at, INDEX_ROWS)
+                lists = pc.split_pattern_regex(part.column(part.num_columns - 1), "[^a-z0-9]+")
+                owner, words = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+                some = pc.not_equal(words, "")
+                owner, words = owner[some.to_numpy(zero_copy_only=False)], words.filter(some).dictionary_encode()
+                size = max(1, len(words.dictionary))
+                pairs, counts = np.unique(owner.astype(np.int64) * size + words.indices.to_numpy(), return_counts=True)
+                bounds = pa.array(np.searchsorted(pairs, np.arange(part.num_rows + 1) * size).astype(np.int32))
+                terms = pa.ListArray.from_arrays(bounds, words.dictionary.take(pa.array(pairs % size)))
+                tfs = pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int32)))
+                dl = pa.array(np.bincount(owner, minlength=part.num_rows))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], dl, terms, tfs], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 class BM25Index:
-    """Postings and term table of a corpus, stored; built by one scan of the texts.
+    """Term counts of each chunk and the table of terms, stored; built by one scan of the texts, for any number of searches.
 
     Lengths count all tokens and chunks without tokens are part of the average.  A negative idf
-    becomes EPSILON times the mean idf of all terms.
+    becomes EPSILON times the mean idf of all terms.  ``keep`` are columns that a search may filter by.
     """
 
-    def __init__(self, chunks: DataFrame, key: str = "doc_id", text: str = "text"):
+    def __init__(self, chunks: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()):
         self.key, self.spark = key, chunks.sparkSession
-        self.postings, path = stored(term_postings(chunks, key, text), "postings")
+        self.rows, path = stored(indexed(chunks, key, text, keep), "index")
         self.paths = [path]
-        facts = self.postings.agg(F.count_if("lead").alias("n"), F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))), F.lit(0)).alias("tokens")).first()
+        facts = self.rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         self.n, self.avgdl = facts.n, facts.tokens / max(facts.n, 1)
-        terms = self.postings.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms = self.rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         raw, path = stored(terms.withColumn("raw", F.ln(F.lit(self.n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "terms")
         self.paths.append(path)
         mean = raw.agg((_decimal_sum(F.col("raw")) / F.count(F.lit(1))).alias("mean")).first().mean
         self.terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
 
-    def part(self) -> Column:
-        """What the term frequency gives, before the idf."""
-        return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.nullif(F.lit(self.avgdl), F.lit(0.0))))
-
     def drop(self) -> None:
         for path in self.paths:
             drop(self.spark, path)
 
     def wanted(self, queries: DataFrame, query_key: str = "query_id", query_text: str = "query") -> DataFrame:
-        """query_id, term, times, df and idf of the queries' known terms; repeated terms count repeatedly."""
-        asked = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term"))
-        return asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(self.terms, "term")
-
-    def scores(self, wanted: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-        """query_id, key and score by the wanted terms, of all chunks that have any, or of the given pairs alone."""
-        hits = self.postings.join(_bounded(wanted.select("query_id", "term", "times", "idf")), "term")
-        if pairs is not None:
-            hits = hits.join(_bounded(pairs.select("query_id", self.key)), ["query_id", self.key], "left_semi")
-        return hits.groupBy("query_id", self.key).agg(_decimal_sum(F.col("times") * F.col("idf") * self.part()).alias("score"))
-
-    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, term and weight of the queries' terms, null where the corpus does not have it; repeated terms count repeatedly."""
+        asked = queries.select(F.col(query_key).alias("query_id"), F.explode_outer(tokens(F.col(query_text))).alias("term"))
+        asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(self.terms, "term", "left")
+        return asked.select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+
+    def _blocks(self, queries: DataFrame) -> Iterator[tuple]:
+        """ids of queries and, for their known terms, the term, the queries that have it and its weight in them."""
+        rows = self.wanted(queries).orderBy("query_id")
+        some = rows.limit(BROADCAST_ROWS + 1).collect()
+        source = iter(some) if len(some) <= BROADCAST_ROWS else rows.toLocalIterator()
+        ids: list = []
+        terms: list[tuple] = []
+
+        def block() -> tuple:
+            names = sorted({t for _, t, _ in terms})
+            place = {t: i for i, t in enumerate(names)}
+            ordered = sorted((place[t], q, w) for q, t, w in terms)
+            which = np.array([o[0] for o in ordered], dtype=np.int64)
+            return list(ids), names, np.searchsorted(which, np.arange(len(names) + 1)), np.array([o[1] for o in ordered], dtype=np.int64), np.array([o[2] for o in ordered], dtype=float)
+
+        for r in source:
+            if not ids or r.query_id != ids[-1]:
+                if len(ids) >= QUERY_ROWS or len(terms) >= QUERY_TERMS:
+                    yield block()
+                    ids, terms = [], []
+                ids.append(r.query_id)
+            if r.weight is not None:
+                terms.append((len(ids) - 1, r.term, r.weight))
+        yield block()
+
+    def search(self, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
         """The k best of each query with their rank; chunks that share no term score 0 and come by key.
-        ``allowed`` (key) filters after scoring, so that the statistics stay global."""
-        paths: list[str] = []
-
-        def keep(df: DataFrame, name: str) -> DataFrame:
-            out, path = stored(df, name)
-            paths.append(path)
-            return out
-
-        def among(scores: DataFrame) -> DataFrame:
-            return scores if allowed is None else scores.join(allowed.select(self.key), self.key, "left_semi")
-
-        wanted = keep(self.wanted(queries), "wanted")
-        hits = wanted.agg(F.sum("df")).first()[0] or 0
-        scores = among(self.scores(wanted)) if hits <= DIRECT_HITS else self._candidates(wanted, k, among, keep)
-        best, path = stored(top_k(scores, k, self.key).select("query_id", self.key, "score", "rank"), "best")
-        enough = best.where("score >= 0").groupBy("query_id").count().where(F.col("count") >= k)
-        few = queries.select("query_id").distinct().join(enough, "query_id", "left_anti")
-        if not few.isEmpty():
-            paths.append(path)
-            best = self._filled(best, keep(few, "few"), wanted, k, allowed)
-        for old in paths:
-            drop(self.spark, old)
-        return best
-
-    def _candidates(self, wanted: DataFrame, k: int, among: Callable, keep: Callable) -> DataFrame:
-        """Scores of all chunks that can be among the k best, and of others at times.
-
-        Rare terms decide first: with u the most that a query's common terms can add, a chunk
-        without rare terms scores u at most, and one with them at most u more than by them alone.
-        Where the k-th best by rare terms alone is above u, only chunks that can still reach it
-        are scored in full; the other queries are scored against all chunks that share a term.
+
+        ``allowed``, by columns that the index keeps, filters what is ranked; the statistics stay global.  Every task adds up
+        its chunks' scores, in integers so that no order matters, and emits the k best of each query once: one scan, whatever the
+        queries have in common with the corpus, and no shuffle but of k rows a query and task.
         """
-        key, rare = self.key, F.col("df") * RARE <= F.lit(self.n)
-        top = self.postings.join(_bounded(keep(wanted.where(~rare).select("term").distinct(), "common")), "term").groupBy("term").agg(F.max(self.part()).alias("part"))
-        most = wanted.join(top, "term", "left").withColumn("most", F.col("times") * F.col("idf") * F.coalesce("part", F.lit(0.0)))
-        # bounds hold only where no part of a score is negative
-        bounds = most.groupBy("query_id").agg(F.sum("most").alias("u"), F.min("idf").alias("least"))
-        some = keep(among(self.scores(wanted.where(rare))), "rare")
-        kth = top_k(some, k, key).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth")).join(bounds, "query_id").where("kth > u + 1e-6 and least >= 0")
-        kth = keep(kth, "kth")
-        pairs = keep(some.join(_bounded(kth), "query_id").where("score + u + 1e-6 >= kth").select("query_id", key), "pairs")
-        full = self.scores(wanted.join(_bounded(kth.select("query_id")), "query_id", "left_semi"), pairs)
-        return full.unionByName(among(self.scores(keep(wanted.join(_bounded(kth.select("query_id")), "query_id", "left_anti"), "open"))))
-
-    def _filled(self, best: DataFrame, few: DataFrame, wanted: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
-        """The best with chunks that score 0 for the few queries that fewer than k chunks share a term with (or
-        score below 0): such a chunk is among the first by key, after those that the query has met, whose number is small."""
-        key = self.key
-        met = self.postings.join(_bounded(wanted.join(_bounded(few), "query_id", "left_semi").select("query_id", "term")), "term").select("query_id", key).distinct()
-        most = k + (met.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
-        whole = self.postings.where("lead").select(key) if allowed is None else allowed.select(key).distinct()
-        first = whole.orderBy(key).limit(most)
-        none = few.join(F.broadcast(first), F.lit(True)).join(met, ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
-        out, _ = stored(top_k(best.drop("rank").unionByName(none.select("query_id", key, "score")), k, key).select("query_id", key, "score", "rank"), "best")
-        return out
+        rows = self.rows if allowed is None else self.rows.where(allowed)
+        kinds = {"query_id": queries.schema["query_id"].dataType, self.key: self.rows.schema[self.key].dataType, "score": T.DoubleType()}
+        schema, avgdl = T.StructType([T.StructField(n, t) for n, t in kinds.items()]), self.avgdl
+
+        def scan(shared: Broadcast) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                asked, names, bounds, query, weight = shared.value
+                terms, best = pa.array(names, type=pa.string()), Best(len(asked), k)
+                step = max(1, SCORES // max(1, len(asked)))
+                for batch in batches:
+                    for at in range(0, batch.num_rows, step):
+                        part = batch.slice(at, step)
+                        found = pc.index_in(part.column(2).flatten(), value_set=terms)
+                        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                        term = pc.fill_null(found, 0).to_numpy()[known]
+                        owner = pc.list_parent_indices(part.column(2)).to_numpy()[known]
+                        tf, dl = part.column(3).flatten().to_numpy()[known].astype(float), part.column(1).to_numpy()[owner]
+                        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (avgdl or 1.0)))
+                        times = bounds[term + 1] - bounds[term]
+                        hit = np.repeat(np.arange(len(term)), times)
+                        place = np.repeat(bounds[term] - np.cumsum(times) + times, times) + np.arange(len(hit))
+                        # billionths, whose sums are exact in doubles
+                        points = np.rint(weight[place] * share[hit] * 1e9)
+                        cells = np.bincount(owner[hit] * len(asked) + query[place], weights=points, minlength=part.num_rows * len(asked))
+                        best.add(cells.reshape(part.num_rows, len(asked)), part.column(0).to_numpy(zero_copy_only=False))
+                if best.held:
+                    columns = [pa.array([asked[i] for i in best.held[0]]), pa.array(best.held[2]), pa.array(best.held[1] / 1e9)]
+                    yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, to_arrow_schema(schema).types, strict=True)], names=schema.names)
+
+            return rows.select(self.key, "dl", "terms", "tfs").mapInArrow(run, schema)
+
+        return top_k(_in_blocks(self.spark, self._blocks(queries.where("query_id is not null")), scan), k, self.key)
 
 
 def top_k(scores: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id") -> DataFrame:
@@ -147,11 +207,9 @@ def top_k(scores: DataFrame, k: int, key: str = "doc_id", query_key: str = "quer
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", project: Column | None = None, text: str = "text") -> DataFrame:
-    """Top k by BM25 of queries (query_id, query); a project filter applies after scoring."""
-    index = BM25Index(chunks, key, text)
-    out = index.search(queries, k, None if project is None else chunks.where(project))
-    index.drop()
-    return out
+    """Top k by BM25 of queries (query_id, query); a project filter applies after scoring.  For more than one search, keep a ``BM25Index``."""
+    marked = chunks.withColumn("__allowed", F.lit(True) if project is None else F.coalesce(project, F.lit(False)))
+    return BM25Index(marked, key, text, ["__allowed"]).search(queries, k, F.col("__allowed"))
 
 
 def dense_search(
@@ -159,52 +217,43 @@ def dense_search(
 ) -> DataFrame:
     """Top k by cosine similarity, rounded to nine decimals; a zero vector is as far from all.
 
-    ``allowed`` filters before the search.  Exact search of a query set against all vectors: a
-    block of at most ``BLOCK_BYTES`` of queries goes to every task, which keeps the k best of each
-    query over all its batches and emits them once.
+    ``allowed`` filters before the search.  Exact search of a query set against all vectors, in blocks of at most ``BLOCK_BYTES`` of queries.
     """
-    spark = vectors.sparkSession
     wanted = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null").orderBy("q")
     schema = "query_id long, id long, score double"
     rows = vectors if allowed is None else vectors.where(allowed)
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    out, block, held = None, [], 0
 
     def unit(x: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return x / np.where(norm == 0, 1, norm)
 
-    def scan(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r.q for r in block]), unit(np.array([r.v for r in block], dtype=float))))
-
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        block, held = [], 0
+        for row in wanted.toLocalIterator():
+            block.append(row)
+            held += 8 * len(row.v) + 100
+            if held >= BLOCK_BYTES:
+                yield np.array([r.q for r in block]), unit(np.array([r.v for r in block], dtype=float))
+                block, held = [], 0
+        yield np.array([r.q for r in block], dtype=np.int64), unit(np.array([r.v for r in block], dtype=float).reshape(len(block), len(block[0].v) if block else 0))
+
+    def scan(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best, who = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
+            best = Best(len(ids), k)
+            step = max(1, SCORES // max(1, len(ids)))
+            for batch in batches if len(ids) else ():
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     x = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
-                    have = np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))
-                    best = np.hstack([best, np.round(q @ x.T, 9) + 0.0])
-                    who = np.hstack([who, have])
-                    if best.shape[1] > k:
-                        order = np.lexsort((who, -best), axis=1)[:, :k]
-                        best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
-            if best.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(who.ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
+                    best.add(np.round(x @ q.T, 9) + 0.0, part.column(0).to_numpy())
+            if best.held:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.held[0]]), pa.array(best.held[2]), pa.array(best.held[1])], names=["query_id", "id", "score"])
 
         return rows.mapInArrow(run, schema)
 
-    for row in wanted.toLocalIterator():
-        block.append(row)
-        held += 8 * len(row.v) + 100
-        if held >= BLOCK_BYTES:
-            out = scan(block) if out is None else out.unionByName(scan(block))
-            block, held = [], 0
-    if block or out is None:
-        part = scan(block) if block else spark.createDataFrame([], schema)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out.withColumnRenamed("id", key), k, key)
+    return top_k(_in_blocks(vectors.sparkSession, blocks(), scan).withColumnRenamed("id", key), k, key)
 
 
 def rrf(dense: DataFrame, bm25: DataFrame, k: int, key: str = "doc_id", constant: int = RRF_K) -> DataFrame:
@@ -239,31 +288,37 @@ def retrieve(
     dense = dense_search(queries, chunks, pool, key, vector, query_vector=vector, allowed=current) if mode != "bm25" else None
     if mode == "dense":
         return dense
-    made = index or BM25Index(chunks, key, text)
-    lexical = made.search(queries, pool, None if project is None else chunks.where(own))
-    if index is None:
-        made.drop()
+    made = index or BM25Index(chunks, key, text, [] if project is None else ["project"])
+    lexical = made.search(queries, pool, None if project is None else own)
     return lexical if mode == "bm25" else rrf(dense, lexical, k, key, rrf_k)
 
 
-def retrieve_modes(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", vector: str = "embedding", text: str = "text") -> DataFrame:
+def retrieve_modes(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", vector: str = "embedding", text: str = "text", index: BM25Index | None = None) -> DataFrame:
     """mode, query_id, key and rank of the top k in every mode, each list of candidates made once."""
     pool = pool_size(k)
-    index = BM25Index(chunks, key, text)
     dense, _ = stored(dense_search(queries, chunks, pool, key, vector, query_vector=vector), "dense")
-    lexical = index.search(queries, pool)
-    index.drop()
+    lexical, _ = stored((index or BM25Index(chunks, key, text)).search(queries, pool), "lexical")
     lists = {"dense": dense.where(F.col("rank") <= k), "bm25": lexical.where(F.col("rank") <= k), "hybrid": rrf(dense, lexical, k, key)}
     parts = [lists[m].select(F.lit(m).alias("mode"), "query_id", key, "rank") for m in MODES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hash_vector(text: Column, width: int = 8) -> Column:
     """A stand-in embedding without a model: the first bytes of the SHA-256 of the text, of length 1, as floats."""
-    digest = F.sha2(text.cast("binary"), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x)).cast("float").cast("double")
-    return F.transform(raw, lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
+
+    def unit(raw: Column) -> Column:
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x)).cast("float").cast("double")
+        return _let(norm, lambda n: F.transform(raw, lambda x: (x / F.when(n == 0, 1.0).otherwise(n)).cast("float")))
+
+    def numbers(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double"))
+
+    return _let(_let(F.sha2(text.cast("binary"), 256), numbers), unit)
 
 
 def hit_rates(ranked: DataFrame, expected: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import over_time
 from .functions import scalars, stats
-from .inputs import archive, spans, stream_of
+from .inputs import archive, search_index, spans, stream_of
 from .operators import chunking, evals, marts, metrics, quality, retrieval, staging, trace, upsert
 from .plans import registry, verify
 from .sources import cdc
@@ -212,7 +212,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.bm25_search(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), 5)
+    out = search_index(spark, sf_dir).search(_questions(spark, sf_dir), 5)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -222,17 +222,17 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), 4, "hybrid")
+    return retrieval.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), 4, "hybrid", index=search_index(spark, sf_dir))
 
 
 def retrieve_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the documents of one language, vectors of another corpus version kept out."""
     chunks = _chunks(spark, sf_dir).withColumns({"project": F.col("lang"), "corpus_version": F.when(F.col("doc_id") % 10 == 0, "old").otherwise("now")})
-    return retrieval.retrieve(_questions(spark, sf_dir), chunks, 4, "hybrid", project="en", corpus_version="now")
+    return retrieval.retrieve(_questions(spark, sf_dir), chunks, 4, "hybrid", project="en", corpus_version="now", index=search_index(spark, sf_dir))
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    ranked = retrieval.retrieve_modes(_questions(spark, sf_dir), _chunks(spark, sf_dir), k)
+    ranked = retrieval.retrieve_modes(_questions(spark, sf_dir), _chunks(spark, sf_dir), k, index=search_index(spark, sf_dir))
     return ranked.select("mode", "query_id", F.col("doc_id").alias("doc"), "rank")
 
 

@@ -1,10 +1,12 @@
 """Hand-computed cases of the engine's operators."""
 
+import collections
 import datetime as dt
 import hashlib
 import json
 import math
 import random
+import re
 import struct
 
 import pytest
@@ -91,15 +93,63 @@ def test_bm25_finds_the_matching_text(spark):
     assert {(r.doc_id, r.score) for r in retrieval.bm25_search(asked, chunks, 5, project=F.col("doc_id") == 3).collect()} == {(3, 0.0)}
 
 
-def test_bm25_by_candidates_is_the_same(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+def bm25_by_hand(chunks, asked, k):
+    """Scores in billionths, as the search rounds them."""
+    docs = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in chunks}
+    df = collections.Counter(w for t in docs.values() for w in set(t))
+    mean = sum(map(len, docs.values())) / len(docs)
+    raw = {w: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    out = []
+    for q, text in asked:
+        scores = {i: 0 for i in docs}
+        for w, times in collections.Counter(re.findall("[a-z0-9]+", (text or "").lower())).items():
+            for i, t in docs.items():
+                if w in t:
+                    tf = t.count(w)
+                    scores[i] += round(times * idf[w] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / mean)) * 1e9)
+        out += [(q, i, x, n + 1) for n, (i, x) in enumerate(sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_bm25_by_hand(spark, monkeypatch, small):
+    """Awkward texts, ties, queries without a known word; and the same in many blocks of queries, chunks and scores."""
+    if small:
+        for name, value in {"QUERY_ROWS": 2, "QUERY_TERMS": 3, "INDEX_ROWS": 5, "SCORES": 7, "BROADCAST_ROWS": 4}.items():
+            monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(1)
+    chunks = [(i, " ".join(rng.choice(["the", "Cat", "a-b", "x1", "É", "zebra", "log_line", "K"]) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    chunks += [(100, None), (101, ""), (102, "!?"), (103, chunks[3][1]), (-5, chunks[3][1]), (104, "rare")]
+    asked = [(1, "the cat"), (2, "rare rare zebra"), (3, "unknown"), (4, None), (5, ""), (6, "log line x1 a b k"), (7, "the cat")]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in chunks], "doc_id long, text string, dl int, terms int").repartition(3)
+    got = retrieval.bm25_search(spark.createDataFrame(asked, "query_id int, query string"), frame, 4)
+    assert got.columns == ["query_id", "doc_id", "score", "rank"]
+    assert sorted((r.query_id, r.doc_id, round(r.score * 1e9), r.rank) for r in got.collect()) == bm25_by_hand(chunks, asked, 4)
+    assert retrieval.bm25_search(spark.createDataFrame(asked, "query_id int, query string").where("false"), frame, 4).isEmpty() and retrieval.bm25_search(spark.createDataFrame(asked, "query_id int, query string"), frame.where("false"), 4).isEmpty()
+
+
+def test_bm25_shuffles_no_postings(spark):
+    """One index for many searches, by ids that are strings, too; a search exchanges only what tasks have found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.format_string("c%05d", "doc_id"))
+    index = retrieval.BM25Index(docs, keep=["lang"])
     asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    read = lambda: sorted(map(tuple, retrieval.bm25_search(asked, docs, 3).collect()))
+    found = index.search(asked, 3)
+    assert found.count() == 3 * asked.count() and found._jdf.queryExecution().toString().count("Join") == 0
+    some = index.search(asked, 3, F.col("lang") == "en").join(docs, "doc_id")
+    assert {r.lang for r in some.collect()} == {"en"}
+    index.drop()
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    read = lambda: sorted(map(tuple, retrieval.dense_search(asked, vectors, 3).collect()))
     whole = read()
-    monkeypatch.setattr(retrieval, "DIRECT_HITS", 0)
-    for rare in (retrieval.RARE, 5):
-        monkeypatch.setattr(retrieval, "RARE", rare)
-        assert read() == whole
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(retrieval, "SCORES", 50)
+    assert read() == whole and len(whole) == 3 * asked.where("embedding is not null").count()
+    assert retrieval.dense_search(asked.where("false"), vectors, 3).isEmpty()
 
 
 def test_retrieval_filters(spark):
