@@ -533,7 +533,7 @@ def test_freshness_probe():
 def test_tool_calls(spark):
     for tool, arguments in (("nothing", {}), ("search_docs", {}), ("search_docs", {"query": "x", "k": 51}), ("search_docs", {"query": "x", "k": True}), ("search_docs", {"query": "x", "mode": "psychic"}), ("search_docs", {"query": ""}), ("get_trace", {"trace_id": "t", "more": 1}), ("query_metrics", {"metric": "error_rate"}), ("query_metrics", {"metric": "error_rate", "window": "9m"})):
         assert "error" in tools.dispatch(tool, arguments, None, None, None)
-    chunks = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string").withColumn("embedding", retrieval.hash_vector(F.col("text")))
+    chunks = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "g h i")], "doc_id long, text string")  # of two chunks, a term of one has an idf of 0.withColumn("embedding", retrieval.hash_vector(F.col("text")))
     got = tools.dispatch("search_docs", {"query": "d e f", "k": 1, "mode": "bm25"}, spark, None, chunks)
     assert [r["doc_id"] for r in got["results"]] == [2] and got["k"] == 1
     df = span(spark, ("t'; --", "a", None, "ok", 1, 0.5))
