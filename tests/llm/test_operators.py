@@ -349,20 +349,21 @@ def test_neighbours(spark):
     assert few.count() == 6
 
 
-@pytest.mark.parametrize("case", ["lognormal", "one long", "two lengths", "tiny", "tiny, no head"])
+@pytest.mark.parametrize("case", ["lognormal", "one long", "two lengths", "equal", "tiny", "no head"])
 def test_neighbours_of_unequal_lengths(spark, monkeypatch, case):
-    """Recall with the parameters of the query, and nobody short."""
+    """Recall with the parameters of the query, with and without the longest entries, and nobody short."""
     rng = np.random.default_rng(8)
     n = 30 if case.startswith("tiny") else 2000
     x = rng.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    if case == "lognormal":
+    if case in ("lognormal", "no head"):
         x *= np.exp(rng.normal(size=(n, 1)))
     if case == "one long":
         x[7] *= 100
     if case == "two lengths":
         x[::2] *= 2
-    monkeypatch.setattr(neighbours, "HEAD", 0 if case == "tiny, no head" else 200, raising=False)
+    if case == "no head":
+        monkeypatch.setattr(neighbours, "HEAD", 0)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     by = collections.defaultdict(set)
     for r in neighbours.search(vectors, F.col("vec_id") % (n // 15) == 0).collect():
@@ -373,7 +374,7 @@ def test_neighbours_of_unequal_lengths(spark, monkeypatch, case):
         s[q] = -np.inf
         assert len(by[q]) == 20
         hits += len(by[q] & set(np.argsort(-s)[:20].tolist()))
-    assert hits >= (1 if n == 30 and case == "tiny" else 0.9) * 20 * len(range(0, n, n // 15))
+    assert hits >= 0.9 * 20 * len(range(0, n, n // 15))
 
 
 def test_neighbours_of_each_size(spark):
@@ -385,8 +386,12 @@ def test_neighbours_of_each_size(spark):
     assert got == {0: [1, 2], 1: [4, 3], 2: [4, 3], 3: [4, 2], 4: [3, 2], 10: [11, 12], 11: [12, 10], 12: [11, 10]}
 
 
-def test_recall_of_the_registered_search(spark):
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("head", [True, False])
+def test_recall_of_the_registered_search(spark, monkeypatch, head):
+    """The buckets answer: vectors of one length have no longest entries, and without them the recall is the same."""
+    folder = "/root/testdata/sf0.1"
+    if not head:
+        monkeypatch.setattr(neighbours, "HEAD", 0)
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     by = collections.defaultdict(set)
@@ -398,7 +403,31 @@ def test_recall_of_the_registered_search(spark):
         s = x @ x[np.flatnonzero(ids == q)[0]]
         s[ids == q] = -np.inf
         hits += len(by[q] & set(ids[np.argsort(-s)[:20]].tolist()))
-    assert hits >= 0.9 * 20 * len(asked)
+    assert 0.95 * 20 * len(asked) <= hits < 20 * len(asked)  # below 1: not by comparing everything
+
+
+@pytest.mark.parametrize("dims", [64, 128, 256])
+def test_probes_follow_the_dimensions(dims):
+    """Random directions, the worst there is: what the sample asks for holds in the table."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, dims))
+    signs = neighbours.rotations(dims, neighbours.TABLES)
+    probes = neighbours.fitted_probes(x[:2000], x[:100], np.zeros(2000, dtype=bool), signs, 20)
+    y = neighbours.directions(x)
+    buckets = np.stack([neighbours.axes(neighbours.rotate(y, s), 1)[:, 0] for s in signs], axis=1)
+    asked = np.stack([neighbours.axes(neighbours.rotate(y[:100], s), probes) for s in signs], axis=1)
+    query, entry, score = neighbours.bucket_search(x, buckets, x[:100], asked, 20)
+    exact = x[:100] @ x.T
+    assert np.allclose(score, exact[query, entry])
+    best = np.argsort(-exact, axis=1)[:, :20]
+    hits = sum(len(set(entry[query == i]) & set(best[i])) for i in range(100))
+    assert hits >= 0.95 * 2000 and probes < 2 * dims
+
+
+def test_few_probes_do_for_data_with_structure():
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 1, 64)) + rng.normal(size=(40, 50, 64)) * 0.2).reshape(-1, 64)
+    assert neighbours.fitted_probes(x, x[::20], np.zeros(len(x), dtype=bool), neighbours.rotations(64, neighbours.TABLES), 20) <= 2
 
 
 def test_neighbours_under_repeated_ids(spark):
