@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .mapping import set_aside
 from .storage import drop, stored
 
 WIDTH = 5
@@ -136,7 +137,14 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose own text contains no test item, whatever their keys: null and repeated ones are told apart by text."""
+    """The rows whose own text contains no test item, whatever their keys: null and repeated ones are told apart by text.
+    All columns are kept, whatever their names."""
+    docs, (key, text), restored = set_aside(docs, key, text)
+    return restored(_clean_rows(docs, items, key, text))
+
+
+def _clean_rows(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
+    """The same for documents whose columns clash with none here."""
     again, _ = stored(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "again")
     if again.isEmpty() and docs.where(F.col(key).isNull()).isEmpty():
         return clean(docs, items, key, text).select(docs.columns)

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .mapping import ChunkFunction, map_text, small_batches
+from .mapping import ChunkFunction, map_text, set_aside, small_batches
 from .storage import drop, stored
 from .textkit import chunks, distinct_per_row, mix64, per_row_sum, shingles, word_hashes, word_spans
 from .workers import released
@@ -494,7 +494,13 @@ def _nodes(docs: DataFrame, text: str, out: str, salt: int) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, one of the smallest key, null keys last; rows without words stay."""
+    """One row of each component, one of the smallest key, null keys last; rows without words stay.  All columns are kept, whatever their names."""
+    docs, (key, text), restored = set_aside(docs, key, text)
+    return restored(_first_of_each(docs, key, text))
+
+
+def _first_of_each(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same for documents whose columns clash with none here."""
     # texts stand in for null keys; should two have one number, it is a repeated key like any other
     keyed = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), _stand_in(text)))
     found, salt = _linked_rows(keyed, "__id", text, WIDTH, PERCENT)

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textkit import CHUNK_BYTES, chunks
@@ -40,6 +41,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """The rows under column names of their own, the new names of ``names``, and a function that gives the rows left
+    their names back: what an operator adds can then clash with none of them."""
+    new = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    old = [F.col(f"`{c}`").alias(n) for c, n in new.items()]
+
+    def restored(left: DataFrame) -> DataFrame:
+        return left.select(*[F.col(n).alias(c) for c, n in new.items()])
+
+    return docs.select(*old), [new[c] for c in names], restored
+
+
 ChunkFunction = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
 
 

@@ -67,3 +67,17 @@ def test_stages_decide_by_row(spark):
     assert all(len(kept & pair) == 1 for pair in ({1, 2}, {5, 6}, {7, 8}, {10, 11}))
     clean = corpus_pipeline.drop_benchmark_leaks(spark, docs, FOLDER)
     assert clean.columns == docs.columns and sorted(r.n_chars for r in clean.collect()) == [k for k in range(len(rows)) if k not in (17, 18, 19, 21)]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    long = [" ".join(f"{c}{j}" for j in range(40)) for c in "abcd"]
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("text is not null").first().text
+    rows = [(1, long[0]), (1, long[1]), (2, long[0]), (None, long[2]), (None, f"{long[2]} more"), (3, None), (3, item), (4, f"{item} {long[3]}")]
+    names = ["__id", "__node", "__first", "__own", "__text", "node", "root", "h", "at", "kind", "n", "w", "t", "in_0", "in_1", "item_id", "component_id", "most", "part", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", k, *[f"{c} {k}" for c in names]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    for stage, gone in ((corpus_pipeline.drop_near_duplicates, [{0, 2}, {3, 4}]), (corpus_pipeline.drop_benchmark_leaks, [{6}, {7}])):
+        left = stage(spark, docs, FOLDER)
+        assert left.columns == docs.columns
+        kept = {r.n_chars: r for r in left.collect()}
+        assert all(r[c] == f"{c} {k}" for k, r in kept.items() for c in names)
+        assert {0, 1, 2, 3, 4, 5, 6, 7} - set(kept) <= set().union(*gone) and all(len(set(kept) & g) == len(g) - 1 for g in gone)
