@@ -17,8 +17,9 @@ def exact_sum(c: Column | str) -> Column:
 
 
 def rounded(c: Column, digits: int) -> Column:
-    """A double rounded half up as a decimal, so that its last bits don't decide a tie."""
-    return F.round(c.cast("decimal(28,9)"), digits).cast("double")
+    """A double rounded half up as a decimal, so that its last bits don't decide a tie; infinite ones, NaN and those
+    too large for a decimal stay as they are."""
+    return F.when(F.abs(c) < 1e18, F.round(c.cast("decimal(28,9)"), digits).cast("double")).otherwise(c)
 
 
 def exact_mean(c: Column | str) -> Column:
@@ -40,16 +41,18 @@ INTERPOLATED, NEAREST_RANK, INDEX = "interpolated", "nearest rank", "index"
 
 
 def _band(value: Column) -> Column:
-    """Sixteen bands for each doubling of a number, in the order of the numbers."""
-    size = F.floor(F.log2(F.abs(value)) * 16).cast("int") + 20_000
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(0)
+    """Sixteen bands for each doubling of a number, in the order of the numbers; infinite ones and NaN, which is
+    greater than any, have bands of their own."""
+    size = F.when(F.abs(value) == float("inf"), 50_000).otherwise(F.floor(F.least(F.log2(F.abs(value)), F.lit(1100.0)) * 16).cast("int") + 20_000)
+    return F.when(F.isnan(value), 60_000).when(value > 0, size).when(value < 0, -size).otherwise(0)
 
 
 def quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], kind: str = INTERPOLATED) -> DataFrame:
     """keys and a column for each name of ``wanted`` (name: share), exact, without any group in one buffer.
 
     Equal values are counted first.  The counts of bands of values say in which band each wanted
-    rank lies; only the values of such a band are then put in order.  A group without values has no row.
+    rank lies; only the values of such a band are then put in order.  A group without values has no row.  Infinite values
+    and NaN count as values, NaN as the greatest; between neighbours of which one is infinite lies the infinite one.
     """
     x = F.col(column).cast("double")
     counts = df.where(x.isNotNull()).groupBy(*keys, _band(x).alias("__band"), x.alias("__x")).agg(F.count(F.lit(1)).alias("__n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import KEY_PATTERN, approx_tokens, basename, collapse, stem
-from ..functions.stats import exact_mean, exact_sum, index_percentile, pearson, rate
+from ..functions.stats import INDEX, exact_mean, exact_sum, pearson, quantiles, rate, with_quantiles
 
 #: Words of a path that identify nothing; what is gated, its floors for two runs and its
 #: thresholds for one; what must be equal for runs to be compared.
@@ -68,15 +68,15 @@ def run_metrics(results: DataFrame) -> DataFrame:
     hit = F.when(ok & ~F.col("hit_source").eqNullSafe("n/a"), F.struct("hit_at_k"))
     searched = hit["hit_at_k"]
     length = F.when(ok & (F.col("answer_len_tokens") != 0), F.col("answer_len_tokens"))
-    return results.agg(
+    facts = results.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("errors"), F.count_if(F.col("judge_parse_ok") == F.lit(False)).alias("parse_failures"),
         F.avg(only("faithfulness")).alias("faithfulness_mean"), F.avg(only("answer_quality")).alias("answer_quality_mean"),
         rate(F.when(hit.isNotNull(), F.coalesce(searched, F.lit(False))), None).alias("hit_at_5_rate"), rate(searched, None).alias("hit_at_5_given_search"),
         rate(F.when(ok, F.coalesce("citation_ok", F.lit(False))), None).alias("citation_ok_rate"), exact_mean(only("cost_usd")).alias("mean_cost_usd"),
-        index_percentile(only("latency_ms"), 0.5).alias("p50_latency_ms"), index_percentile(only("latency_ms"), 0.95).alias("p95_latency_ms"),
         F.round(pearson(length, only("answer_quality")), 9).alias("length_r_quality"), F.round(pearson(length, only("faithfulness")), 9).alias("length_r_faithfulness"),
         F.coalesce(exact_sum("cost_usd"), F.lit(0.0)).alias("total_cost_usd"),
     )
+    return with_quantiles(facts, quantiles(results.where(ok), [], "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}, INDEX), [])
 
 
 def long_metrics(metrics: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 
 def classify(existing: DataFrame, incoming: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """Keys with change: inserted, updated, unchanged, or orphan (only in ``existing``)."""
@@ -30,11 +32,15 @@ def upsert_changed(existing: DataFrame, incoming: DataFrame, keys: list[str], co
 
 
 def insert_returning(table: DataFrame, rows: DataFrame, order: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """The table with new rows under the next ids, in the order of ``order``, and those rows with their
-    ids.  ``rows`` is what one run writes: its ids are dealt out by one running number."""
+    """The table with new rows under the next ids, in the order of ``order``, and those rows with their ids.
+
+    The rows are sorted over all tasks and stored with the task's number; what the tasks before have is added to a row's place in its own."""
     last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("last"))
-    numbered = rows.withColumn("__turn", F.row_number().over(Window.orderBy(order))).join(F.broadcast(last), F.lit(True))
-    made = numbered.withColumn(key, (F.col("last") + F.col("__turn")).cast(table.schema[key].dataType)).select(table.columns)
+    sorted_, _ = stored(rows.orderBy(order).withColumn("__task", F.spark_partition_id()), "returning")
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    starts = sorted_.groupBy("__task").agg(F.count(F.lit(1)).alias("__n")).select("__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    numbered = sorted_.withColumn("__turn", F.row_number().over(Window.partitionBy("__task").orderBy(order))).join(starts, "__task").join(F.broadcast(last), F.lit(True))
+    made = numbered.withColumn(key, (F.col("last") + F.col("__from") + F.col("__turn")).cast(table.schema[key].dataType)).select(table.columns)
     return table.unionByName(made), made
 
 

@@ -338,7 +338,9 @@ ORACLES: dict[str, str] = {
         """select trace_id, span_id, parent_span_id, session_id, event_type, model, prompt_tokens, completion_tokens, latency_ms, cost_usd, status, ts, ts_day,
         tool_name as span_name, tool_name, error_class, prompt_version, status <> 'ok' as is_error from spans"""
     ),
-    "stg_prompt_versions": over(CHANGES, VERSIONS, body="select * from versions"),
+    "stg_prompt_versions": spans(
+        "select versions.*, coalesce(calls, 0) as calls from versions left join (select prompt_version, count(*) as calls from spans where prompt_version is not null group by 1) on prompt_version = version", CHANGES, VERSIONS
+    ),
     "agg_model_5m": spans("select * from agg_model_5m", AGG),
     "stg_agg_model_5m": spans("select *, cast(window_start as date) as window_day, latency_sum_ms / nullif(event_count, 0) as latency_avg_ms from agg_model_5m", AGG),
     "fct_sessions": spans("select * from fct_sessions", SESSIONS),
@@ -521,9 +523,17 @@ ORACLES: dict[str, str] = {
         """select kind, count(*) as n from (select case cast(concat('0x', substr(span_id, 1, 8)) as bigint) % 20 when 0 then 'malformed JSON' when 1 then 'missing status' else 'span' end as kind
         from spans) group by kind"""
     ),
-    "lineage_edges": """select * from (values ('spans', 'agg_model_5m'), ('agg_model_5m', 'stg_agg_model_5m'), ('prompt_versions', 'stg_prompt_versions'), ('spans', 'fct_sessions'),
-        ('spans', 'fct_model_costs'), ('spans', 'fct_tool_reliability'), ('spans', 'fct_cost_by_prompt'), ('stg_prompt_versions', 'fct_cost_by_prompt')) as t(input, output)""",
-    "lineage_of_job": "select * from (values ('spans', 'agg_model_5m'), ('prompt_versions', 'agg_model_5m'), ('spans', 'archive.trace_events')) as t(input, output)",
+    "lineage_edges": spans(
+        """select * from (values ('spans', 'agg_model_5m'), ('agg_model_5m', 'stg_agg_model_5m'), ('prompt_versions', 'stg_prompt_versions'), ('spans', 'fct_sessions'),
+        ('spans', 'fct_model_costs'), ('spans', 'fct_tool_reliability'), ('spans', 'fct_cost_by_prompt'), ('stg_prompt_versions', 'fct_cost_by_prompt')) as t(input, output) join (
+          select 'agg_model_5m' as output, count(*) as output_rows from agg_model_5m union all select 'stg_agg_model_5m', count(*) from agg_model_5m union all select 'stg_prompt_versions', count(*) from versions
+          union all select 'fct_sessions', count(*) from fct_sessions union all select 'fct_model_costs', count(*) from fct_model_costs
+          union all select 'fct_tool_reliability', count(*) from fct_tool_reliability union all select 'fct_cost_by_prompt', count(*) from fct_cost_by_prompt) using (output)""",
+        *ALL_MARTS,
+        AGG,
+    ),
+    "lineage_of_job": """select n_name as job, unnest(['spans_' || n_regionkey, 'prompts', 'spans_' || n_regionkey]) as input,
+        unnest(['agg_' || n_nationkey, 'agg_' || n_nationkey, 'archive.' || lower(n_name)]) as output from nation""",
 }
 
 # over time
@@ -624,3 +634,46 @@ ORACLES |= {
     ),
     "stream_late_rows": spans("select span_id, ts, passed as watermark, delivery from told where late", _FED),
 }
+
+# The coins of the seed 7 and the names NATION_0 to NATION_24.
+_COINS = [True, True, False, True, False, False, True, True, False, True, False, False, False, True, True, False, True, True, False, False, False, True, False, False, True]
+_WITH_BAD = """real as (select * from spans), bad as (select * replace (repeat('0', 29) || 'bad' as span_id, -1.0::double as cost_usd) from real where event_type = 'LLM_CALL' order by real.span_id limit 1),
+both_states as (select 'injected' as state, * from real union all select 'injected', * from bad union all select 'reverted', * from real)"""
+_COST_CHECK = "select state, '{mart}' as suite, '{column} in [0, ]' as check, 'blocking' as severity, count(*) filter (where c < 0) as observed, count(*) filter (where c < 0) = 0 as ok from (select state, coalesce(" + total("cost_usd") + ", 0) as c from both_states {where} group by state, {by}) group by state"
+
+ORACLES |= {
+    "eval_order_examples": "select n_name, [" + ", ".join(str(c).lower() for c in _COINS) + "][n_nationkey + 1] as reference_first from nation",
+    "quality_injected": spans(
+        " union all ".join(
+            _COST_CHECK.format(mart=mart, column=column, by=by, where=where)
+            for mart, column, by, where in (
+                ("fct_sessions", "total_cost_usd", "session_id", ""), ("fct_model_costs", "cost_usd", "ts_day, model", "where event_type = 'LLM_CALL'"), ("fct_cost_by_prompt", "cost_usd", "ts_day, prompt_version", "where event_type = 'LLM_CALL'"),
+            )
+        ),
+        _WITH_BAD,
+    ),
+    "quality_of_lines": """with f as (select count(*) as n, count(*) filter (where not l_discount between 0 and 0.05) as d, count(*) filter (where not l_extendedprice / l_quantity between 900 and 950) as p,
+          count(*) filter (where l_shipdate is null) as s, count(*) filter (where l_returnflag not in ('A', 'N')) as r from lineitem),
+        u as (select count(*) as u3 from (select 1 from lineitem group by l_orderkey, l_partkey, l_suppkey having count(*) > 1)), v as (select count(*) as u1 from (select 1 from lineitem group by l_orderkey having count(*) > 1))
+        select 'lineitem' as suite, * from (
+          select 'unique l_orderkey, l_partkey, l_suppkey' as check, 'blocking' as severity, u3 as observed, u3 = 0 as ok from u union all select 'unique l_orderkey', 'warn', u1, u1 = 0 from v
+          union all select 'l_discount in [0, 0.05]', 'warn', d, d = 0 from f union all select 'rows >= 10', 'blocking', n, n >= 10 from f union all select 'price of a unit is plausible', 'blocking', p, p = 0 from f
+          union all select 'l_shipdate not null', 'blocking', s, s <= n * 0.1 from f union all select 'l_returnflag one of A, N', 'blocking', r, r = 0 from f)""",
+    "counts_match": """select "left", "right", case when "left" = "right" then 'MATCH' else 'MISMATCH' end as verdict, other from (
+        select count(*) as "left", count(*) as "right", 'events' as other from events union all select count(*), count(*) filter (where event_type <> 'error'), 'events without errors' from events)""",
+    "archive_between": spans(
+        """select event_type, count(*) as spans, count(*) filter (where tool_name is not null) as with_attributes
+        from spans where ts >= timestamp '2024-01-05 06:00:00' and ts < timestamp '2024-01-12' group by event_type"""
+    ),
+    "archive_expired": spans("select ts_day, count(*) as spans from spans where ts_day >= date '2024-01-24' group by ts_day"),
+    "stream_archive": spans("select ts_day, count(*) as spans, count(*) as ids from spans group by ts_day"),
+    "upsert_plain": """with new as (select c_custkey * 2 as c_custkey, 'new ' || c_mktsegment as c_mktsegment from customer where c_custkey % 3 = 0),
+        after as (select c_custkey, c_mktsegment from customer where c_custkey not in (select c_custkey from new) union all select * from new)
+        select c_mktsegment, count(*) as n, cast(sum(c_custkey) as bigint) as keys from after group by c_mktsegment""",
+    "markdown_sections": """select p_partkey, 0 as position, '(intro)' as section, p_name as body from part union all select p_partkey, 1, p_brand, p_type from part
+        union all select p_partkey, 2, p_brand || ' > Size', 'size ' || p_size from part union all select p_partkey, 3, p_brand || ' > Size > Deep', 'deep' from part""",
+    "label_sheet": """select eval_result_id, printf('key-%05d', eval_result_id) as example_key, 'why ' || eval_result_id as question, '[]' as retrieved_sources, 'as ' || eval_result_id * 7 as answer,
+        cast(null as varchar) as human_faithfulness, cast(null as varchar) as human_notes from (
+          select doc_id as eval_result_id, row_number() over (partition by doc_id % 3 order by md5('11:' || doc_id), doc_id) as turn, doc_id % 3 as type from labels)
+        order by turn, type limit 30""",
+}

@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import marts, staging
 
@@ -83,6 +85,17 @@ def edges_of_sql(statement: str) -> list[tuple[str, str]]:
     return pairs
 
 
+def lineage(jobs: DataFrame, name: str = "job", text: str = "statement") -> DataFrame:
+    """job, input and output of each edge that the jobs' texts name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(n, i, o) for n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, o in edges_of_sql(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(3)], names=["job", "input", "output"])
+
+    return jobs.select(F.col(name).cast("string"), F.col(text).cast("string")).mapInArrow(run, "job string, input string, output string")
+
+
 def run_event(job: str, models: dict[str, Model] = MODELS, namespace: str = "spanquery", when: dt.datetime | None = None, kind: str = "COMPLETE") -> dict:
     """An OpenLineage run event of one model."""
     if job not in models:

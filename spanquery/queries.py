@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import over_time
 from .functions import scalars, stats
-from .inputs import archive, search_index, spans, stream_of
-from .operators import chunking, evals, marts, metrics, quality, retrieval, staging, trace, upsert
+from .inputs import archive, search_index, spans, stream_of, write_messages
+from .operators import chunking, evals, labels, marts, metrics, quality, retrieval, staging, trace, upsert
 from .plans import registry, verify
 from .sources import cdc
-from .sources.spans import as_contract, delete_spans, latest, table
+from .sources.spans import BAD_ID, as_contract, delete_spans, expire, latest, read_archive, table, with_bad_row, write_archive
 from .streaming import jobs
 from .tables import new_folder, stored
 
@@ -45,9 +46,10 @@ def stg_trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stg_prompt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.latest_versions(cdc.seed_changes(spark)).select(
-        "prompt_version_id", "prompt_name", "version", "template_text", "last_op", "is_deleted", "last_source_lsn", "last_kafka_offset"
-    )
+    """The latest state of each version id, with the number of calls that name its version."""
+    used = spans(spark, sf_dir).where("prompt_version is not null").groupBy(F.col("prompt_version").alias("version")).agg(F.count(F.lit(1)).alias("calls"))
+    rows = staging.latest_versions(cdc.seed_changes(spark)).join(used, "version", "left")
+    return rows.select("prompt_version_id", "prompt_name", "version", "template_text", "last_op", "is_deleted", "last_source_lsn", "last_kafka_offset", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,21 +467,103 @@ def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(registry.edges(), "input string, output string")
+    """What each model is made from, and how many rows it has."""
+    made = models(spark, sf_dir, *registry.MODELS)
+    sizes = [frame.agg(F.count(F.lit(1)).alias("output_rows")).select(F.lit(name).alias("output"), "output_rows") for name, frame in made.items()]
+    return spark.createDataFrame(registry.edges(), "input string, output string").join(reduce(DataFrame.unionByName, sizes), "output").select("input", "output", "output_rows")
+
+
+def lineage_of_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that jobs' texts name; each nation has a job of two statements, with comments, quoted text and names of subqueries."""
+    text = F.format_string(
+        "-- %1$s; 'insert into nothing select * from nowhere'\ninsert into agg_%2$d\nwith open_rows as (select * from spans_%3$d where status <> 'from elsewhere')\n"
+        "select window_start, count(*) from table(tumble(table open_rows, descriptor(ts), interval '5' minutes)) join `prompts` p on p.id = k group by 1;\n"
+        "insert overwrite archive.%1$s select * from spans_%3$d",
+        F.lower("n_name"), F.col("n_nationkey").cast("int"), F.col("n_regionkey").cast("int"),
+    )
+    return registry.lineage(table(spark, sf_dir, "nation").select(F.col("n_name").alias("job"), text.alias("statement")))
 
 
-#: A job's text, of which the lineage is read.
-JOB = """
--- counts by window; 'insert into nothing select * from nowhere'
-insert into agg_model_5m
-with open_spans as (select * from spans where status <> 'from elsewhere')
-select window_start, count(*) from table(tumble(table open_spans, descriptor(ts), interval '5' minutes)) join `prompt_versions` p on p.version = prompt_version group by window_start;
-insert into archive.trace_events select * from spans
-"""
+def eval_order_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same coins for examples that nations name."""
+    return table(spark, sf_dir, "nation").select("n_name", scalars.reference_first(7, F.col("n_name")).alias("reference_first"))
 
 
-def lineage_of_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(registry.edges_of_sql(JOB), "input string, output string")
+def quality_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of cost over an archive with an impossible span, and over the same when it has been taken out again."""
+    folder, bad = new_folder(spark, "injected"), new_folder(spark, "reverted")
+    write_archive(with_bad_row(spans(spark, sf_dir)), folder)
+    states = {"injected": spark.read.parquet(folder), "reverted": delete_spans(spark, folder, F.col("span_id") == BAD_ID, bad)}
+    reports = []
+    for state, rows in states.items():
+        made = registry.build({"spans": rows, "prompt_versions": cdc.seed_changes(spark)}, ["fct_sessions", "fct_model_costs", "fct_tool_reliability", "fct_cost_by_prompt"])
+        reports.append(quality.gate(made, START).where("check like '%cost_usd in %'").withColumn("state", F.lit(state)))
+    return reports[0].unionByName(reports[1])
+
+
+def quality_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniqueness of a combination, expressions and pairs of columns, over order lines."""
+    checks = [
+        quality.unique("l_orderkey", "l_partkey", "l_suppkey"), quality.unique("l_orderkey", severity=quality.WARN), quality.between("l_discount", 0, 0.05, quality.WARN), quality.rows_at_least(10),
+        quality.expression("price of a unit is plausible", "l_extendedprice / l_quantity between 900 and 950"), quality.not_null("l_shipdate", mostly=0.9), quality.one_of("l_returnflag", ("A", "N")),
+    ]
+    return quality.run_suite(table(spark, sf_dir, "lineitem"), "lineitem", checks)
+
+
+def counts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the archive against those of the events that it was made from, and against those without failures."""
+    rows, events = spans(spark, sf_dir), table(spark, sf_dir, "events")
+    parts = [verify.same_counts(rows, other).withColumn("other", F.lit(name)) for name, other in (("events", events), ("events without errors", events.where("event_type <> 'error'")))]
+    return parts[0].unionByName(parts[1])
+
+
+def archive_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by type from one time up to another that is not included, read from an archive in the contract's form."""
+    path = new_folder(spark, "contract")
+    write_archive(as_contract(spans(spark, sf_dir)), path)
+    found = read_archive(spark, path, START + dt.timedelta(days=4, hours=6), START + dt.timedelta(days=11))
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.size("attributes") > 1).alias("with_attributes"))
+
+
+def archive_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that an archive keeps when those of more than a week ago have been dropped."""
+    path = new_folder(spark, "expiring")
+    write_archive(spans(spark, sf_dir), path)
+    expire(spark, path, END.date(), 7)
+    return spark.read.parquet(path).groupBy(F.col("ts_day").cast("date").alias("ts_day")).agg(F.count(F.lit(1)).alias("spans"))
+
+
+def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by day in an archive that a stream has written in three runs, each of which went on from the last one's checkpoint."""
+    folder, rows = new_folder(spark, "stream"), spans(spark, sf_dir)
+    for n in range(3):
+        write_messages(rows.where(F.pmod(F.xxhash64("trace_id"), F.lit(3)) == n), f"{folder}/in")
+        stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+        jobs.raw_archive(stream, f"{folder}/out", f"{folder}/ckpt", {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy(F.col("ts_day").cast("date").alias("ts_day")).agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("span_id").alias("ids"))
+
+
+def upsert_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by segment after rows of new segments were written over some of them and others were added."""
+    held = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    new = held.where("c_custkey % 3 = 0").select((F.col("c_custkey") * 2).alias("c_custkey"), F.concat(F.lit("new "), "c_mktsegment").alias("c_mktsegment"))
+    return upsert.upsert(held, new, ["c_custkey"]).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of Markdown made from parts: an introduction, nested headings, one without a body, and one that skips a level."""
+    text = F.format_string("%s\n# %s\n\n%s\n## Size\nsize %d\n#### Deep\ndeep\n# End\n\n## %s\n", "p_name", "p_brand", "p_type", F.col("p_size").cast("int"), "p_type")
+    return chunking.sections(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "markdown", "p_partkey", "text")
+
+
+def label_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet that people grade: 30 answers over the types, and what is left blank; the sample is the feature."""
+    i = F.col("doc_id")
+    answers = table(spark, sf_dir, "labels").select(
+        i.alias("eval_result_id"), F.format_string("key-%05d", i).alias("example_key"), F.concat(F.lit("why "), i.cast("string")).alias("question"), F.lit("[]").alias("retrieved_sources"),
+        F.concat(F.lit("as "), (i * 7).cast("string")).alias("answer"), (i % 3).alias("type"),
+    )
+    return labels.label_sheet(answers, "type", 30, 11)
 
 
 QUERIES: dict[str, Query] = {
@@ -539,7 +623,17 @@ QUERIES: dict[str, Query] = {
     "eval_drift": eval_drift,
     "eval_judge": eval_judge,
     "eval_order": eval_order,
+    "eval_order_examples": eval_order_examples,
     "eval_render": eval_render,
+    "label_sheet": label_sheet,
+    "quality_injected": quality_injected,
+    "quality_of_lines": quality_of_lines,
+    "counts_match": counts_match,
+    "archive_between": archive_between,
+    "archive_expired": archive_expired,
+    "stream_archive": stream_archive,
+    "upsert_plain": upsert_plain,
+    "markdown_sections": markdown_sections,
     "eval_strata": eval_strata,
     "json_functions": json_functions,
     "eval_index_percentiles": eval_index_percentiles,

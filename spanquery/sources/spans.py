@@ -108,6 +108,15 @@ def delete_spans(spark: SparkSession, path: str, condition: Column, out: str) ->
     return spark.read.parquet(out)
 
 
+BAD_ID = "0" * 29 + "bad"
+
+
+def with_bad_row(spans: DataFrame, cost_usd: float = -1.0) -> DataFrame:
+    """Spans and an impossible one, a model call of a negative cost, by which a gate is seen to go red; ``delete_spans`` takes it out again."""
+    model = spans.where("event_type = 'LLM_CALL'").orderBy("span_id").limit(1)
+    return spans.unionByName(model.withColumns({"span_id": F.lit(BAD_ID), "cost_usd": F.lit(cost_usd)}))
+
+
 def synthetic(spark: SparkSession, turns: int, seed: int = 42, start: str = "2026-01-01 00:00:00", error_percent: int = 8) -> DataFrame:
     """Seeded spans: a good turn is a step, a retrieval and a model call; a failed one a step and a tool call."""
     draw = lambda salt, n: F.pmod(F.xxhash64("turn", F.lit(seed), F.lit(salt)), F.lit(n))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,14 +45,34 @@ def decode_avro(messages: DataFrame, schema: dict) -> DataFrame:
 
 
 def file_source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Messages of text files as value, one a line, with the file as topic and the line as offset, so that
-    they tell a message apart; stands in for the broker, whose segments are as bounded as these files."""
-    reader = spark.readStream.format("text").option("wholetext", True)
+    """Messages of text files, one a line, with the file as topic; stands in for the broker.
+
+    A file of any size is read in splits by many tasks.  A message's offset is where its split begins plus its place in
+    the split: greater for later lines of a file, and never the same for two, as a line has a byte at least.
+    """
+    reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
-    files = reader.load(path).select(F.col("_metadata.file_name").alias("topic"), F.posexplode(lines).alias("offset", "value"))
-    return files.select("value", "topic", F.lit(0).alias("partition"), F.col("offset").cast("long").alias("offset"))
+    lines = reader.load(path).select("value", F.col("_metadata.file_name").alias("topic"), F.col("_metadata.file_block_start").alias("offset"))
+    return lines.mapInArrow(_numbered, "value string, topic string, offset long").select("value", "topic", F.lit(0).alias("partition"), "offset")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (value, topic, start of the split) with their place in the split added to its start; the rows of a split come in order."""
+    last, seen = None, 0
+    for batch in batches:
+        starts = batch.column(2).to_numpy()
+        topics = batch.column(1).dictionary_encode()
+        codes = topics.indices.to_numpy()
+        new = np.ones(len(starts), dtype=bool)
+        new[1:] = (starts[1:] != starts[:-1]) | (codes[1:] != codes[:-1])
+        first = np.flatnonzero(new)
+        place = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
+        if len(starts):
+            if last == (batch.column(1)[0].as_py(), starts[0]):
+                place[: first[1] if len(first) > 1 else None] += seen
+            last, seen = (batch.column(1)[len(starts) - 1].as_py(), starts[-1]), int(place[-1]) + 1
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts + place)], names=["value", "topic", "offset"])
 
 
 def decode(messages: DataFrame) -> DataFrame:

@@ -656,3 +656,79 @@ def test_empty_spans_give_empty_marts(spark):
     made = registry.build({"spans": none, "prompt_versions": cdc.seed_changes(spark)})
     assert all(f.isEmpty() for n, f in made.items() if n != "stg_prompt_versions")
     assert not quality.passed(quality.gate(made, T0))
+
+
+def test_quantiles_of_infinite_values_and_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", v) for v in (1.0, 2.0, inf, -inf, 5e-324, -1e308)] + [("b", v) for v in (1.0, nan, 2.0)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in stats.quantiles(df, ["g"], "v", {"low": 0.0, "mid": 0.5, "high": 1.0}, stats.NEAREST_RANK).collect()}
+    assert set(got) == {"a", "b"} and (got["a"].low, got["a"].mid, got["a"].high) == (-inf, 5e-324, inf)
+    assert got["b"].low == 1.0 and got["b"].mid == 2.0 and math.isnan(got["b"].high)
+    between = stats.quantiles(df.where("g = 'a'"), [], "v", {"p": 0.9}, stats.INTERPOLATED).select("p", stats.rounded(F.col("p"), 3).alias("r")).first()
+    assert between.p == between.r == inf
+    slow = span(spark, ("t", "a", None, "ok", 1, 0.5)).withColumn("latency_ms", F.lit(inf)).withColumns({"model": F.lit("m"), "ts_day": F.to_date("ts")})
+    assert metrics.metric_frame(slow, "p95_latency", "1h", "none", T0 + dt.timedelta(minutes=1)).first().p95_ms == inf
+
+
+def test_run_metrics_without_rows(spark):
+    rows = spark.createDataFrame([], "hit_at_k boolean, citation_ok boolean, faithfulness int, answer_quality int, answer_len_tokens int, latency_ms double, cost_usd double, hit_source string, error string, judge_parse_ok boolean")
+    row = evals.run_metrics(rows).first()
+    assert (row.rows, row.p50_latency_ms, row.total_cost_usd) == (0, None, 0.0)
+
+
+def test_ids_are_dealt_out_by_many_tasks(spark):
+    new = spark.range(5000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("name")).repartition(6)
+    table, made = upsert.insert_returning(spark.createDataFrame([(41, "x")], "id long, name string"), new, "name")
+    assert [r.id for r in made.orderBy("name").collect()] == list(range(42, 5042)) and table.count() == 5001
+    assert upsert.insert_returning(spark.createDataFrame([(41, "x")], "id long, name string"), new.where("false"), "name")[1].isEmpty()
+
+
+def test_lines_of_large_files_have_offsets(spark, tmp_path):
+    """Files cut into splits, with empty lines: every line once, offsets in the order of the lines."""
+    for f in ("a", "b"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f).write_text("\n".join("" if i % 50 == 49 else f"{f}{i:05d}" for i in range(3000)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        query = jobs.file_source(spark, str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len({(r.topic, r.offset) for r in rows}) == len(rows) == 6000
+    for f in ("a", "b"):
+        told = [r.value for r in sorted(rows, key=lambda r: r.offset) if r.topic == f]
+        assert told == ["" if i % 50 == 49 else f"{f}{i:05d}" for i in range(3000)]
+
+
+class Reader:
+    """Stands in for a reader of a connector that is absent: what it was told."""
+
+    def __init__(self):
+        self.told = {}
+
+    def format(self, name):
+        self.told["format"] = name
+        return self
+
+    def option(self, name, value):
+        self.told[name] = value
+        return self
+
+    def options(self, **values):
+        self.told |= values
+        return self
+
+    def load(self):
+        return self.told
+
+
+def test_connectors_are_told_their_bounds(spark):
+    class Session:
+        read, readStream = Reader(), Reader()
+
+    assert jobs.kafka_source(Session, "b:1", "t", 500) == {"format": "kafka", "kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "earliest", "maxOffsetsPerTrigger": 500}
+    told = documents.read_jdbc(Session, "jdbc:x", "runs", "id", 1, 900, 4, user="u")
+    assert told == {"format": "jdbc", "url": "jdbc:x", "dbtable": "runs", "partitionColumn": "id", "lowerBound": 1, "upperBound": 900, "numPartitions": 4, "user": "u"}
