@@ -7,19 +7,20 @@ without a join: level 1 encodes the listed keys, level 2 the unlisted keys of th
 level 1 lets through, level 3 the listed keys that level 2 lets through, and so on until a
 level lets nothing wrong through.  The longest listed candidate decides.
 
-The filters are literals of the plan, one a level.  Their size follows the listed keys and the few
-other keys that level 1 lets through; ``MAX_BITS`` bounds a level, about 1.4 million listed keys, and
-more raises ``ValueError`` before any page is judged.
+Level 1 lets through sqrt(1/2) listed / unlisted of the unlisted keys, which makes the sum of all levels least, and each
+level after it a half.  The filters are literals of the plan, one a level; ``MAX_BITS`` bounds a level, with a thousand
+unlisted keys to each listed one about 4.4 million listed keys, and more raises ``ValueError`` before any page is judged.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and fits no rule; a
 url without rule gets ``default``; a rule listed with both verdicts blocks; rule hosts are
 lower-cased; rules with a null host or path, or another verdict, are ignored; pages that repeat are
-judged one by one; a very long url is taken whole; an empty table gives an empty result; input
+judged one by one; of two rules of one length that fit a url, the greater text decides; a very long url is taken whole; an empty table gives an empty result; input
 columns named as the new ones are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,7 @@ from pyspark.sql import functions as F
 
 from .storage import drop, stored
 
-FIRST_HASHES = 4
-FIRST_BITS = 48  # a listed key; lets one other key in about 25,000 through
+MAX_HASHES = 24
 MAX_BITS = 1 << 26
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,18 +67,16 @@ def positions(key: Column, bits: int, hashes: int, salt: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(1000 * salt + j)), F.lit(bits).cast("bigint")) for j in range(hashes)]
 
 
-def build_level(keys: DataFrame, salt: int, hashes: int, bits_per_key: float) -> Level | None:
-    """A filter of the distinct ``key`` values, or None for no keys."""
-    n = keys.count()
-    if not n:
-        return None
-    bits = 64 * (int(n * bits_per_key) // 64 + 1)
+def build_level(keys: DataFrame, n: int, salt: int, rate: float) -> Level:
+    """A filter of ``n`` distinct ``key`` values that lets about ``rate`` of other keys through."""
+    hashes = min(MAX_HASHES, max(1, round(-math.log2(rate))))
+    bits = math.ceil(n * hashes / math.log(2))
     if bits > MAX_BITS:
         raise ValueError(f"{n} keys need {bits} bits; a level has {MAX_BITS} at most")
     at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes, salt))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("w"))
     found = {r.i: r.w for r in words.collect()}  # at most MAX_BITS / 64 rows
-    return Level([found.get(i, 0) for i in range(bits // 64)], bits, hashes, salt)
+    return Level([found.get(i, 0) for i in range(-(-bits // 64))], bits, hashes, salt)
 
 
 @dataclass(frozen=True)
@@ -97,13 +95,15 @@ def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 1, max_lev
     """Cascade that tells ``listed`` keys from the other keys of ``universe`` (both: distinct ``key``)."""
     levels: list[Level] = []
     inside, outside = listed, universe.join(listed, "key", "left_anti")
+    n, others = inside.count(), outside.count()
+    rate = min(0.5, math.sqrt(0.5) * n / max(others, 1))
     for depth in range(max_levels):
-        first = depth == 0
-        level = build_level(inside, salt * 100 + depth, FIRST_HASHES if first else 1, FIRST_BITS if first else 1.44)
-        if level is None:
+        if not n:
             return Cascade(levels)
+        level = build_level(inside, n, salt * 100 + depth, rate if depth == 0 else 0.5)
         levels.append(level)
         inside, outside = outside.where(level.holds(F.col("key"))), inside
+        n = inside.count()
     raise ValueError("the cascade does not end; keys must be distinct")
 
 

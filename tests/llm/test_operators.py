@@ -464,14 +464,23 @@ def test_url_rules(spark):
     assert {r.verdict for r in urlfilter.judge(pages, rules.where("false")).collect()} == {"allow"}
 
 
-def test_cascade_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "FIRST_BITS", 2)  # many false positives, many levels
+@pytest.mark.parametrize("share", [2, 5, 300])
+def test_cascade_is_exact(spark, share):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
-    listed = keys.where("xxhash64(key) % 5 = 0")
+    listed = keys.where(f"pmod(xxhash64(key), {share}) = 0")
     cascade = urlfilter.build_cascade(listed, keys)
     assert len(cascade.levels) > 2
     told = keys.where(cascade.listed(F.col("key")))
     assert told.exceptAll(listed).isEmpty() and listed.exceptAll(told).isEmpty()
+    assert urlfilter.build_cascade(keys.where("false"), keys).levels == [] and len(urlfilter.build_cascade(listed, listed).levels) == 1
+
+
+def test_cascades_of_the_registered_query(spark, monkeypatch):
+    """Levels after the first take part on the given tables."""
+    built, build = [], urlfilter.build_cascade
+    monkeypatch.setattr(urlfilter, "build_cascade", lambda *a, **k: built.append(build(*a, **k)) or built[-1])
+    registered.op8_url_filter(spark, "/root/testdata/sf0.01")
+    assert len(built) == 2 and sum(len(c.levels) for c in built) > 2
 
 
 # 9 and 10
