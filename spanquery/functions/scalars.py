@@ -107,18 +107,20 @@ MAX_RATIONALE = 400
 MAX_PASSAGES, MAX_PASSAGE_CHARS = 8, 1200
 
 
-def _objects(text: str) -> list[str]:
-    """The outermost balanced braces of a text."""
-    found, level, begin = [], 0, 0
-    for m in re.finditer(r"[{}]", text):
-        if m[0] == "{":
-            if not level:
-                begin = m.start()
-            level += 1
-        elif level:
-            level -= 1
-            if not level:
-                found.append(text[begin : m.end()])
+_DECODER = json.JSONDecoder()
+_SCORES = frozenset(range(1, 6))
+
+
+def last_object(text: str) -> dict:
+    """The last JSON object that begins at a brace of a text and lies in no other; empty where there is none."""
+    found: dict = {}
+    at = text.find("{")
+    while at >= 0:
+        try:
+            found, at = _DECODER.raw_decode(text, at)
+        except ValueError:
+            at += 1
+        at = text.find("{", at)
     return found
 
 
@@ -128,21 +130,12 @@ def parse_judge_reply(reply: str | None) -> tuple[int | None, str | None]:
     The last object counts that is JSON, among fenced blocks if there are any.  The score must be a
     whole number from 1 to 5, 3.0 included, and the rationale must not be blank.
     """
-    none = None, None
-    for raw in reversed(_FENCED.findall(reply or "") or _objects(reply or "")):
-        try:
-            found = json.loads(raw)
-        except ValueError:
-            continue
-        break
-    else:
-        return none
-    score, rationale = found.get("score"), found.get("rationale")
-    if isinstance(score, bool) or not isinstance(score, int | float) or score != score // 1 or not 1 <= score <= 5:
-        return none
-    if not isinstance(rationale, str) or not rationale.strip():
-        return none
-    return int(score), rationale.strip()[:MAX_RATIONALE]
+    text = reply or ""
+    told = last_object("\n".join(_FENCED.findall(text)) or text)
+    score, rationale = told.get("score"), told.get("rationale")
+    why = rationale.strip()[:MAX_RATIONALE] if isinstance(rationale, str) else ""
+    whole = type(score) in (int, float) and score in _SCORES  # a boolean is no number here
+    return (int(score), why) if whole and why else (None, None)
 
 
 def judge_scores(replies: DataFrame, column: str = "reply", out: str = "judge") -> DataFrame:

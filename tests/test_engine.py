@@ -429,6 +429,9 @@ def test_judge_reply(spark):
     assert scalars.parse_judge_reply('{"score": 2, "rationale": "' + "x" * 500 + '"}') == (2, "x" * 400)
     bad = [None, "", "no json", '{"score": 6, "rationale": "x"}', '{"score": 3.5, "rationale": "x"}', '{"score": true, "rationale": "x"}', '{"score": 4, "rationale": " "}', '{"rationale": "x"}', '{"score": "4", "rationale": "x"}']
     assert all(scalars.parse_judge_reply(b) == (None, None) for b in bad)
+    assert scalars.parse_judge_reply('{not json {"score": 2, "rationale": "in {braces}"} } {') == (2, "in {braces}")
+    assert scalars.parse_judge_reply('```json\n{"score": 5, "rationale": "a"}\n``` then {"score": 1, "rationale": "b"}') == (5, "a")
+    assert scalars.last_object("[] {} {") == {} and scalars.parse_judge_reply('{"score": NaN, "rationale": "x"}') == (None, None)
     df = spark.createDataFrame([(good,), (None,)], "reply string")
     assert [tuple(r.judge) for r in scalars.judge_scores(df).collect()] == [(4, "fine  text"), (None, None)]
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
