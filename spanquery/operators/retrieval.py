@@ -209,7 +209,10 @@ def top_k(scores: DataFrame, k: int, key: str = "doc_id", query_key: str = "quer
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", project: Column | None = None, text: str = "text") -> DataFrame:
     """Top k by BM25 of queries (query_id, query); a project filter applies after scoring.  For more than one search, keep a ``BM25Index``."""
     marked = chunks.withColumn("__allowed", F.lit(True) if project is None else F.coalesce(project, F.lit(False)))
-    return BM25Index(marked, key, text, ["__allowed"]).search(queries, k, F.col("__allowed"))
+    index = BM25Index(marked, key, text, ["__allowed"])
+    found, _ = stored(index.search(queries, k, F.col("__allowed")), "best")
+    index.drop()
+    return found
 
 
 def dense_search(
@@ -290,6 +293,9 @@ def retrieve(
         return dense
     made = index or BM25Index(chunks, key, text, [] if project is None else ["project"])
     lexical = made.search(queries, pool, None if project is None else own)
+    if index is None:
+        lexical, _ = stored(lexical, "best")
+        made.drop()
     return lexical if mode == "bm25" else rrf(dense, lexical, k, key, rrf_k)
 
 
