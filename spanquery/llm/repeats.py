@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import drop, stored
@@ -215,6 +215,33 @@ def spans(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str =
     return found.join(ids, "key").join(sources, "source_key").select("doc_id", "start", "n_words", "source_id", "source_start")
 
 
+def long_spans(docs: DataFrame, least: int = 50, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Repeated spans of ``least`` words or more, whole: doc_id, start, n_words, source_id, source_start and ``same``.
+
+    Paths of a document that follow one another, there and at their source, are one span.  Its words are then read again
+    at both coordinates, and ``same`` says whether these are the same (by SHA-256 of the words).
+    """
+    rows, _ = _keyed(docs, key, text)
+    occurrences, _ = _occurrences(rows, width)
+    found = _copies(occurrences).withColumn("line", F.col("source_start") - F.col("start"))
+    lines = Window.partitionBy("key", "source_key", "line").orderBy("start")
+    begins = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("n")).over(lines), F.lit(True))
+    parts = found.withColumn("begins", begins.cast("int")).withColumn("part", F.sum("begins").over(lines))
+    whole = parts.groupBy("key", "source_key", "line", "part").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) + (width - 1)).alias("until"))
+    whole = whole.select("key", "source_key", "start", (F.col("start") + F.col("line")).alias("source_start"), (F.col("until") - F.col("start")).alias("n_words")).where(F.col("n_words") >= least)
+    whole, _ = stored(whole, "spans")
+    words = rows.select("key", "doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"))
+
+    def read(side: str, start: str) -> DataFrame:
+        """The words of each span at one of its coordinates, by a digest."""
+        told = whole.join(words, whole[side] == words["key"]).select(whole["key"], "source_key", "start", "source_start", "n_words", "doc_id", "words")
+        spoken = F.sha2(F.concat_ws(" ", F.slice("words", (F.col(start) + 1).cast("int"), F.col("n_words").cast("int"))), 256)
+        return told.select("key", "source_key", "start", "source_start", "n_words", F.col("doc_id").alias(f"{side}_id"), spoken.alias(f"{side}_words"))
+
+    both = read("key", "start").join(read("source_key", "source_start"), ["key", "source_key", "start", "source_start", "n_words"])
+    return both.select(F.col("key_id").alias("doc_id"), "start", "n_words", F.col("source_key_id").alias("source_id"), "source_start", (F.col("key_words") == F.col("source_key_words")).alias("same"))
+
+
 def without_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by spaces) of each document: the words of
     every window that has begun earlier go, as judged on the input."""

@@ -137,6 +137,18 @@ def test_repeats_by_hand(spark):
     assert repeats.without_repeats(frame.where("false")).isEmpty()
 
 
+def test_long_spans_are_whole_and_verified(spark):
+    """A passage that two others cut into paths is one span again; copies below the bound are none."""
+    line = lambda c, n: [f"{c}{i}" for i in range(n)]
+    long = line("p", 90)
+    rows = [(1, line("a", 30) + long + line("b", 5)), (2, line("c", 7) + long), (3, line("d", 4) + long[20:50] + line("e", 30)), (4, long[:40] + line("f", 9)), (5, line("g", 60) + line("g", 60)), (6, line("p", 3)), (7, None)]
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.n_words, r.source_id, r.source_start, r.same) for r in repeats.long_spans(docs, 40).collect()}
+    assert got == {(2, 7, 90, 1, 30, True), (4, 0, 40, 1, 30, True), (5, 60, 60, 5, 0, True)}
+    assert {(r.doc_id, r.n_words) for r in repeats.long_spans(docs, 20).collect()} == {(2, 90), (3, 30), (4, 40), (5, 60)}
+    assert repeats.spans(docs).where("doc_id = 2").count() > 1  # as paths
+
+
 def test_repeats_with_full_bitmaps(spark, monkeypatch):
     """A bitmap that holds everything makes more paths, and the same result."""
     texts = awkward_texts()[4:30]
