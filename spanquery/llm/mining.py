@@ -212,18 +212,17 @@ def search(entries: pd.DataFrame, queries: pd.DataFrame, dims: int, turn: np.nda
     for i, (f, c) in enumerate(zip(queries["floors"], queries["caps"], strict=True)):
         floors[i, : len(f)], caps[i, : len(c)] = f, c
     bands = Bands(floors, caps, k)
-    for s in range(0, len(x), ROW_BLOCK):
-        part = slice(s, s + ROW_BLOCK)
-        rows, near = Side(x[part], turn, cuts), label[part]
-        for a in range(0, len(own), ANCHOR_BLOCK):
-            which = np.arange(a, min(a + ANCHOR_BLOCK, len(own)))
-            if same:  # both are in order of label
-                if own_label[which[-1]] < near[0] or own_label[which[0]] > near[-1]:
-                    continue
-                barred = own_label[which][:, None] != near[None, :]
-            else:
-                barred = own_label[which][:, None] == near[None, :]
-            compare(anchors, own, rows, ids[part], at[part], barred, bands, which, cuts, share)
+    # both are in order of label: a label's anchors meet its rows alone, or all anchors all rows
+    names = np.unique(own_label) if same else [None]
+    edges = [(*np.searchsorted(own_label, [n, n + 1]), *np.searchsorted(label, [n, n + 1])) if same else (0, len(own), 0, len(x)) for n in names]
+    for first, last, begin, end in edges:
+        for s in range(begin, end, ROW_BLOCK):
+            part = slice(s, min(s + ROW_BLOCK, end))
+            rows = Side(x[part], turn, cuts)
+            for a in range(first, last, ANCHOR_BLOCK):
+                which = np.arange(a, min(a + ANCHOR_BLOCK, last))
+                barred = None if same else own_label[which][:, None] == label[part][None, :]
+                compare(anchors, own, rows, ids[part], at[part], barred, bands, which, cuts, share)
     query, score, id_, _ = bands.held
     return pd.DataFrame({"anchor": own[query // width], "band": query % width, "id": id_, "score": score})
 
