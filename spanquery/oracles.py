@@ -632,7 +632,7 @@ ORACLES |= {
         from told where not late group by all) where window_end <= (select max(mark) from mark)""",
         _FED,
     ),
-    "stream_late_rows": spans("select span_id, ts, passed as watermark, delivery from told where late", _FED),
+    "stream_late_rows": spans("select span_id, ts, passed as watermark, cast(delivery as int) as delivery from told where late", _FED),
 }
 
 # The coins of the seed 7 and the names NATION_0 to NATION_24.
