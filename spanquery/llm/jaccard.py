@@ -3,11 +3,13 @@
 Two documents link when the Jaccard similarity of their sets of word shingles is at least
 ``percent``.  Equal sets are one node from the start.  Nodes meet through a prefix index: with
 the shingles of a set in a global order, rare ones first, two sets that link share one of their
-first n - ceil(percent * n) + 1 shingles.  The order comes from a counter sketch of fixed size,
-summed over all documents: a counter that holds only rare shingles is about the mean, with a spread
-of its square root, and what stands out from that by ever more is ever later in the order.  So
-frequent passages stay out of the prefixes while they are frequent against the square root of the
-shingles a counter, not against their number.
+first n - ceil(percent * n) + 1 shingles.  The order comes from a counter sketch, summed over all
+documents, whose size follows the bytes of text: a counter that holds only rare shingles is about the
+mean, with a spread of its square root, and what stands out from that by ever more is ever later in the
+order.  So frequent passages stay out of the prefixes while they are frequent against the square root of
+the shingles a counter, not against their number: some ten documents up to 8 GB of text, and beyond that,
+where a task's counters stay at 64 MB, the square root of the words over 2^24 (800 at 10^13 words).  The
+order decides the work, never the result.
 
 Two kinds of skipping keep large groups of similar sets from costing all their pairs:
 
@@ -54,7 +56,8 @@ from .workers import released
 
 WIDTH = 5
 PERCENT = 80
-SKETCH_BITS = 20
+LEAST_BITS, MOST_BITS = 20, 24  # of the number of a counter; the most that a task holds are 64 MB
+COUNTER_BYTES = 512  # of text for each counter in between
 BLOCK = 128
 BROADCAST_ROWS = 200_000
 HOT_ROWS = 4096  # documents with a shingle, by the sketch, for each group that it is dealt to
@@ -90,14 +93,28 @@ def _text_column(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(number.alias("doc_id"), F.coalesce(number, _stand_in(text)).alias("at"), F.col(text).cast("string").alias("text"))
 
 
-def _scan(docs: DataFrame, width: int, salt: int) -> DataFrame:
+def sketch_bits(size: int) -> int:
+    """Bits of a counter's number for so many bytes of text."""
+    return min(MOST_BITS, max(LEAST_BITS, (size // COUNTER_BYTES).bit_length()))
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as they need, of 1, 2 and 4."""
+    return counts.astype(f"<u{1 if (most := int(counts.max())) < 1 << 8 else 2 if most < 1 << 16 else 4}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // _SKETCH_ROWS}")
+
+
+def _scan(docs: DataFrame, width: int, salt: int, bits: int) -> DataFrame:
     """Rows of kind 0: a document's set size and signatures; of kind 1: counters of a task."""
     schema = "kind int, doc_id long, at long, n int, node long, check long, block int, counts binary"
     fields = [("kind", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("check", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.schema(fields)
-        counters = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        counters = np.zeros(1 << bits, dtype=np.uint32)
         waiting: list[np.ndarray] = []
 
         def count() -> None:
@@ -110,7 +127,7 @@ def _scan(docs: DataFrame, width: int, salt: int) -> DataFrame:
             for at, data, offsets in chunks(batch.column(2)):
                 m = len(offsets) - 1
                 found, bounds = chunk_sets(data, offsets, width)
-                waiting.append((found >> _U(64 - SKETCH_BITS)).astype(np.int32))
+                waiting.append((found >> _U(64 - bits)).astype(np.int32))
                 if sum(map(len, waiting)) > _FLUSH:
                     count()
                 one, two = signatures(found, bounds, salt)
@@ -137,7 +154,7 @@ def _scan(docs: DataFrame, width: int, salt: int) -> DataFrame:
                 pa.array(np.ones(k, dtype=np.int32)),
                 *(pa.nulls(k, f[1]) for f in fields[1:6]),
                 pa.array(used, type=pa.int32()),
-                pa.array([rows[i].astype("<u4").tobytes() for i in used], type=pa.binary()),
+                pa.array([_narrow(rows[i]) for i in used], type=pa.binary()),
             ],
             schema=names,
         )
@@ -145,35 +162,44 @@ def _scan(docs: DataFrame, width: int, salt: int) -> DataFrame:
     return docs.mapInArrow(released(run), schema)
 
 
-def _order(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The rank of each counter, 2^SKETCH_BITS bytes whatever the input, and the groups to deal a shingle of each rank to."""
+def _order(scan: DataFrame, bits: int, keep: Keep) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each counter, a byte for each, and the groups to deal a shingle of each rank to."""
+    spark = scan.sparkSession
 
-    def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
-        for part in rows:
+        for part in parts:
             for block, counts in zip(part["block"], part["counts"], strict=True):
                 have = sums.setdefault(int(block), np.zeros(_SKETCH_ROWS, dtype=np.uint64))
-                have += np.frombuffer(counts, dtype="<u4")
-        yield pd.DataFrame({"block": list(sums), "counts": [x.tobytes() for x in sums.values()]})
-
-    def total(a: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(_SKETCH_ROWS, dtype=np.uint64)
-        for counts in a["counts"]:
-            out += np.frombuffer(counts, dtype=np.uint64)
-        return pd.DataFrame({"block": [int(a["block"].iloc[0])], "counts": [out.tobytes()]})
-
-    parts = scan.where("kind = 1").select("block", "counts").mapInPandas(released(add), "block int, counts binary")
-    counts = np.zeros(1 << SKETCH_BITS)
-    for row in parts.groupBy("block").applyInPandas(total, "block int, counts binary").collect():
-        counts[row.block * _SKETCH_ROWS : (row.block + 1) * _SKETCH_ROWS] = np.frombuffer(bytes(row.counts), dtype=np.uint64)
-    return ranks(counts)
-
-
-def ranks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                have += _wide(counts)
+        for block, counts in sums.items():
+            yield pd.DataFrame({"block": [block], "usual": [float(np.median(counts))], "counts": [counts.tobytes()]})
+
+    schema = "block int, usual double, counts binary"
+    # sums of what each task reads, of a share of the tasks, and of all: nowhere more than the counters themselves
+    sums = scan.where("kind = 1").select("block", "counts").mapInPandas(released(add), schema)
+    ways = max(1, round(spark.sparkContext.defaultParallelism**0.5))
+    sums = sums.withColumn("way", F.pmod(F.spark_partition_id(), F.lit(ways))).repartition("block", "way").mapInPandas(released(add), schema)
+    sums = keep(sums.repartition("block").mapInPandas(released(add), schema), "sketch")
+    # shingles fall on blocks by their hash, so the blocks' medians lie around that of all; untouched blocks have 0
+    blocks = (1 << bits) // _SKETCH_ROWS
+    medians = [r.usual for r in sums.select("usual").collect()]  # 2^MOST_BITS / _SKETCH_ROWS rows at most
+    usual = float(np.median(medians + [0.0] * (blocks - len(medians))))
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"block": part["block"], "rank": [ranks(_wide(x), usual)[0].tobytes() for x in part["counts"]]})
+
+    rank = np.zeros(1 << bits, dtype=np.uint8)
+    for row in sums.select("block", "counts").mapInPandas(released(place), "block int, rank binary").toLocalIterator():
+        rank[row.block * _SKETCH_ROWS : (row.block + 1) * _SKETCH_ROWS] = np.frombuffer(bytes(row["rank"]), dtype=np.uint8)
+    return rank, ranks(np.zeros(0), usual)[1]
+
+
+def ranks(counts: np.ndarray, usual: float) -> tuple[np.ndarray, np.ndarray]:
     """How far each counter stands out from the usual ones, on a log scale, and the groups of each rank."""
-    usual = float(np.median(counts))
     spread = max(1.0, usual**0.5)
-    above = np.maximum(counts - usual, 0) / spread
+    above = np.maximum(counts.astype(float) - usual, 0) / spread
     rank = np.minimum(255, np.round(8 * np.log2(1 + above))).astype(np.uint8)
     held = spread * (2 ** (np.arange(256) / 8) - 1)
     return rank, np.maximum(1, np.ceil(held / HOT_ROWS)).astype(np.int64)
@@ -181,10 +207,11 @@ def ranks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int, percent: int, salt: int) -> DataFrame:
     """Index entries: token, part (-1, or the group that a hot token's entry is dealt to), node and pos, the place of the token in the set's order."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # 16 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, ways = shared.value
+        unused = _U(64 - (len(rank).bit_length() - 1))
         seen: set[int] = set()
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
@@ -194,7 +221,7 @@ def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int,
                 node, _ = signatures(found, bounds, salt)
                 n = np.diff(bounds)
                 rows = np.repeat(np.arange(len(n)), n)
-                weight = rank[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+                weight = rank[(found >> unused).astype(np.int64)]
                 turn = np.lexsort((found, weight, rows))
                 found, weight = found[turn], weight[turn]
                 if len(seen) > 100_000:
@@ -360,8 +387,9 @@ def _keeper(paths: list[str]) -> Keep:
 def _met(docs: DataFrame, key: str, text: str, width: int, percent: int, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame, Verifier, int]:
     """Rows with their nodes, entries of shared tokens, pairs compared with pivots, what verifies others, and the salt."""
     source = _text_column(docs, key, text)
+    bits = sketch_bits(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     for salt in range(8):
-        scan = keep(_scan(source, width, salt), "scan")
+        scan = keep(_scan(source, width, salt, bits), "scan")
         rows = scan.where("kind = 0").select("doc_id", "at", "n", "node", "check")
         # two different sets with one 64-bit node id: practically never; then take another salt
         nodes = rows.where("node is not null").groupBy("node").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("check").alias("x"), F.max("check").alias("y"))
@@ -372,7 +400,7 @@ def _met(docs: DataFrame, key: str, text: str, width: int, percent: int, keep: K
         raise RuntimeError("set signatures keep clashing")
     repeated = not rows.groupBy("at").count().where("count > 1").isEmpty()
     w = Window.partitionBy("token", "part")
-    lists = _prefixes(source, _order(scan), width, percent, salt).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)})
+    lists = _prefixes(source, _order(scan, bits, keep), width, percent, salt).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)})
     # what is left are tokens that different sets share, and hot ones; copies in several tasks go
     shared, path = stored(lists.where("part >= 0 or lo <> hi").dropDuplicates(["token", "part", "node", "pos"]).select("token", "node", "pos"), "shared")
     # the most central set of a list is the one that shares most of its prefix

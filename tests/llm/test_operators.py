@@ -539,7 +539,7 @@ def test_ranks_tell_frequent_shingles_from_many_rare_ones():
     rng = np.random.default_rng(1)
     counts = rng.poisson(5000, 1 << 12).astype(float)
     counts[:3] += (700, 3000, 60_000)
-    rank, ways = jaccard.ranks(counts)
+    rank, ways = jaccard.ranks(counts, float(np.median(counts)))
     assert rank[3:].max() < rank[0] < rank[1] < rank[2] and ways[rank[0]] == 1 and 10 <= ways[rank[2]] <= 20
 
 
@@ -547,10 +547,42 @@ def test_jaccard_with_every_shingle_hot(spark, monkeypatch, texts):
     docs = make_docs(spark, [*texts, *["same old words in here again"] * 30])
     want = sorted(map(tuple, jaccard.link_components(docs).collect()))
     ranks = jaccard.ranks
-    monkeypatch.setattr(jaccard, "ranks", lambda counts: (ranks(counts)[0], np.full(256, 3)))
+    monkeypatch.setattr(jaccard, "ranks", lambda counts, usual: (ranks(counts, usual)[0], np.full(256, 3)))
     assert sorted(map(tuple, jaccard.link_components(docs).collect())) == want
 
 
+def test_jaccard_sketch_follows_the_text():
+    assert [jaccard.sketch_bits(n) for n in (0, 500 << 20, 2 << 30, 8 << 30, 1 << 47)] == [20, 20, 23, 24, 24]
+    for most, bytes_each in ((255, 1), (256, 2), (1 << 16, 4)):
+        counts = np.zeros(jaccard._SKETCH_ROWS, dtype=np.uint32)
+        counts[5] = most
+        raw = jaccard._narrow(counts)
+        assert len(raw) == bytes_each * len(counts) and (jaccard._wide(raw) == counts).all()
+
+
+@pytest.mark.parametrize("bits", [14, 22])
+def test_jaccard_under_sketches_of_other_sizes(spark, monkeypatch, texts, bits):
+    chain = [" ".join(f"c{j}" for j in range(i, i + 60)) for i in range(0, 40, 4)]
+    docs = make_docs(spark, [*texts, *chain, *["same old words in here again"] * 30])
+    want = sorted(map(tuple, jaccard.link_components(docs).collect()))
+    monkeypatch.setattr(jaccard, "sketch_bits", lambda size: bits)
+    assert sorted(map(tuple, jaccard.link_components(docs).collect())) == want
+
+
+def test_jaccard_order_is_that_of_the_counts(spark):
+    docs = make_docs(spark, [" ".join(f"w{(i * j) % 97}" for j in range(60)) for i in range(200)]).repartition(5)
+    source, kept = jaccard._text_column(docs, "doc_id", "text"), []
+    rank, _ = jaccard._order(jaccard._scan(source, 1, 0, 14), 14, jaccard._keeper(kept))
+    counts = np.zeros(1 << 14)
+    for r in docs.collect():
+        data = np.frombuffer(r.text.encode(), dtype=np.uint8)
+        found, _ = jaccard.chunk_sets(data, np.array([0, len(data)]), 1)
+        np.add.at(counts, (found >> np.uint64(50)).astype(np.int64), 1)
+    assert (rank == jaccard.ranks(counts, float(np.median(counts)))[0]).all() and rank.max() > 0
+    for path in kept:
+        jaccard.drop(spark, path)
+
+
 def test_jaccard(spark, texts):
     chain = [" ".join(f"c{j}" for j in range(i, i + 60)) for i in range(0, 40, 4)]
     docs = make_docs(spark, [*texts, *chain, *["same old words in here again"] * 30], [(None, "lonely words", None, None, 0), (8, texts[8], None, None, 0)])
