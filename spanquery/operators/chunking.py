@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -128,14 +130,23 @@ def _parsed(text: str) -> _Page:
     return page
 
 
-def html_sections(text: str) -> list[tuple[str, str]]:
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
+
+
+def _closed_references(text: str) -> str:
+    """The page with each ampersand escaped that begins no reference with a semicolon."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + m[0][1:], text)
+
+
+def html_sections(text: str, open_references: bool = True) -> list[tuple[str, str]]:
     """(section, body) of an HTML page.
 
     A page that carries its content as a template in a script is that template, its first.  An
     element's text is its stripped pieces put together; elements inside others count again, after
-    them; a section's elements are joined by spaces.
+    them; a section's elements are joined by spaces.  References such as ``&amp`` are read without their
+    semicolon, too, as HTML has it; without ``open_references`` they are text, as in a page cut off inside one.
     """
-    page = _parsed(text)
+    page = _parsed(text if open_references else _closed_references(text))
     if page.template is not None:
         page = _parsed(page.template)
     stack: list[str] = []
@@ -151,9 +162,9 @@ def html_sections(text: str) -> list[tuple[str, str]]:
     return [(name, body) for name, parts in found if (body := " ".join(parts).strip())]
 
 
-def _section_lists(docs: DataFrame, fmt: str, key: str, text: str) -> DataFrame:
+def _section_lists(docs: DataFrame, fmt: str, key: str, text: str, open_references: bool) -> DataFrame:
     """key and s, the sections of each document in order."""
-    split = {"markdown": markdown_sections, "html": html_sections}[fmt]
+    split = {"markdown": markdown_sections, "html": partial(html_sections, open_references=open_references)}[fmt]
     kind = docs.schema[key].dataType.simpleString()
     shape = pa.list_(pa.struct([("section", pa.string()), ("body", pa.string())]))
 
@@ -168,14 +179,16 @@ def _section_lists(docs: DataFrame, fmt: str, key: str, text: str) -> DataFrame:
     return out.withColumnRenamed("key", key)
 
 
-def sections(docs: DataFrame, fmt: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sections(docs: DataFrame, fmt: str, key: str = "doc_id", text: str = "text", open_references: bool = True) -> DataFrame:
     """key, position, section and body of each section; ``fmt`` is markdown or html."""
-    return _section_lists(docs, fmt, key, text).select(key, F.posexplode("s").alias("position", "x")).select(key, "position", "x.section", "x.body")
+    return _section_lists(docs, fmt, key, text, open_references).select(key, F.posexplode("s").alias("position", "x")).select(key, "position", "x.section", "x.body")
 
 
-def chunk_documents(docs: DataFrame, fmt: str, key: str = "doc_id", text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+def chunk_documents(
+    docs: DataFrame, fmt: str, key: str = "doc_id", text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP, open_references: bool = True
+) -> DataFrame:
     """Chunks with a running index and id within each document, which stays in one piece until then."""
-    lists = _section_lists(docs, fmt, key, text)
+    lists = _section_lists(docs, fmt, key, text, open_references)
     cut = F.transform("s", lambda x: F.transform(windows(x["body"], max_chars, overlap), lambda t: F.struct(x["section"].alias("section"), t.alias("text"))))
     out = lists.select(key, F.posexplode(F.flatten(cut)).alias("chunk_index", "c"))
     return out.select(key, "chunk_index", "c.section", "c.text", short_id(F.col(key).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"))

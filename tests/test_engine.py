@@ -9,10 +9,11 @@ import random
 import re
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from spanquery import inputs, queries, schema
+from spanquery import inputs, oracles, queries, schema
 from spanquery.functions import scalars, stats
 from spanquery.operators import chunking, evals, labels, marts, metrics, quality, retrieval, staging, tools, trace, upsert
 from spanquery.plans import probe, registry, verify
@@ -202,6 +203,26 @@ def test_html_sections():
     assert chunking.html_sections(sample) == [("Manual", "About it."), ("Manual > Parts", "First. Second."), ("Manual > Use > daily.limit", "Hours.")]
 
 
+def test_references_without_a_semicolon(spark):
+    page = "<h1>a &amp;&amp</h1><p>b &lt;&l</p><p>&ampx; &#38; &#38 &</p>"
+    assert chunking.html_sections(page) == [("a &&", "b <&l &x; & & &")]
+    assert chunking.html_sections(page, open_references=False) == [("a &&amp", "b <&l &ampx; & &#38 &")]
+    template = f'<script type="text/x-handlebars-template">{page}</script>'
+    assert chunking.html_sections(template, open_references=False) == [("a &&amp", "b <&l &ampx; & &#38 &")]
+
+
+@pytest.mark.parametrize("name", ["html_sections"])
+def test_pages_cut_off_in_a_reference(spark, tmp_path, name):
+    page = "<html><head><title>x</title></head><body><ul><li>Home</li></ul><article><h1>{}</h1><p>b &amp; c</p></article></body></html>"
+    rows = [(1, page.format("a &amp;&amp")), (2, page.format("a &amp;&lt")), (3, page.format("a &amp;&am")), (4, page.format("a &amp; b"))]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.sql(oracles.ORACLES[name])
+    got = queries.QUERIES[name](spark, str(tmp_path)).select(want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and got
+
+
 def test_trace_tree(spark):
     df = span(spark, ("t", "child", "root", "ok", 2, 0.5), ("t", "root", None, "ok", 1, None), ("t", "leaf", "child", "degraded", 3, 0.25), ("t", "lost", "gone", "error", 4, 0.0), ("t", "leaf", "child", "degraded", 3, 0.25))
     got = trace.get_trace(df, "t")
