@@ -7,7 +7,7 @@ bounded size, one scan a block; a task keeps the k best of each query, so only t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ BLOCK_BYTES = 32 << 20  # of the query vectors that one scan compares with
 BROADCAST_ROWS = 500_000  # of query terms that the driver reads at once, about 100 bytes each
 QUERY_ROWS, QUERY_TERMS = 4096, 250_000  # of the queries that one scan of the index answers
 INDEX_ROWS = 1024  # chunks that are tokenised at a time
-SCORES = 1 << 20  # scores that a task has in hand
+SCORES = 1 << 18  # scores that a task has in hand
+HITS = 1 << 18  # terms of chunks met with queries at a time, some tens of bytes each
 
 
 def _decimal_sum(c: Column) -> Column:
@@ -105,6 +106,21 @@ def indexed(chunks: DataFrame, key: str = "doc_id", text: str = "text", keep: Se
     return rows.mapInArrow(run, schema)
 
 
+def summed_points(chunks: int, queries: int, owner: np.ndarray, term: np.ndarray, share: np.ndarray, bounds: np.ndarray, query: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Billionths of score, a row a chunk and a column a query, from the chunks' known terms (``owner``, ``term``, ``share``)
+    and the queries of each term (``bounds``, ``query``, ``weight``).  Sums of whole numbers are exact in doubles, so terms
+    meet their queries ``HITS`` at a time, however many queries have them."""
+    cells = np.zeros(chunks * queries)
+    ends = np.cumsum(bounds[term + 1] - bounds[term])
+    cuts = np.searchsorted(ends, np.arange(HITS, int(ends[-1]) if len(ends) else 0, HITS), side="right")
+    for a, b in pairwise([0, *np.unique(cuts).tolist(), len(term)]):
+        times = bounds[term[a:b] + 1] - bounds[term[a:b]]
+        hit = np.repeat(np.arange(a, b), times)
+        place = np.repeat(bounds[term[a:b]] - np.cumsum(times) + times, times) + np.arange(len(hit))
+        cells += np.bincount(owner[hit] * queries + query[place], weights=np.rint(weight[place] * share[hit] * 1e9), minlength=len(cells))
+    return cells.reshape(chunks, queries)
+
+
 class BM25Index:
     """Term counts of each chunk and the table of terms, stored; built by one scan of the texts, for any number of searches.
 
@@ -174,7 +190,7 @@ class BM25Index:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 asked, names, bounds, query, weight = shared.value
                 terms, best = pa.array(names, type=pa.string()), Best(len(asked), k)
-                step = max(1, SCORES // max(1, len(asked)))
+                step = min(INDEX_ROWS, max(1, SCORES // max(1, len(asked))))
                 for batch in batches:
                     for at in range(0, batch.num_rows, step):
                         part = batch.slice(at, step)
@@ -184,13 +200,8 @@ class BM25Index:
                         owner = pc.list_parent_indices(part.column(2)).to_numpy()[known]
                         tf, dl = part.column(3).flatten().to_numpy()[known].astype(float), part.column(1).to_numpy()[owner]
                         share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (avgdl or 1.0)))
-                        times = bounds[term + 1] - bounds[term]
-                        hit = np.repeat(np.arange(len(term)), times)
-                        place = np.repeat(bounds[term] - np.cumsum(times) + times, times) + np.arange(len(hit))
-                        # billionths, whose sums are exact in doubles
-                        points = np.rint(weight[place] * share[hit] * 1e9)
-                        cells = np.bincount(owner[hit] * len(asked) + query[place], weights=points, minlength=part.num_rows * len(asked))
-                        best.add(cells.reshape(part.num_rows, len(asked)), part.column(0).to_numpy(zero_copy_only=False))
+                        cells = summed_points(part.num_rows, len(asked), owner, term, share, bounds, query, weight)
+                        best.add(cells, part.column(0).to_numpy(zero_copy_only=False))
                 if best.held:
                     columns = [pa.array([asked[i] for i in best.held[0]]), pa.array(best.held[2]), pa.array(best.held[1] / 1e9)]
                     yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, to_arrow_schema(schema).types, strict=True)], names=schema.names)

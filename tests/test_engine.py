@@ -8,8 +8,10 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,35 @@ def test_dense_search_and_bad_mode(spark):
         retrieval.retrieve(v, v, mode="psychic")
 
 
+def test_terms_of_many_queries_meet_them_in_parts():
+    chunks, queries, per_chunk, known = 1000, 200, 40, 50
+    rng = np.random.default_rng(5)
+    owner, term = np.repeat(np.arange(chunks), per_chunk), rng.integers(0, known, chunks * per_chunk)
+    share, bounds = rng.random(len(term)) * 2, np.arange(known + 1) * queries  # each term is in every query
+    query, weight = np.tile(np.arange(queries), known), rng.random(known * queries) * 8
+    tracemalloc.start()
+    got = retrieval.summed_points(chunks, queries, owner, term, share, bounds, query, weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # eight million meetings; a column of them would be 64 MB
+    want, table = np.zeros((chunks, queries)), weight.reshape(known, queries)
+    np.add.at(want, owner, np.rint(table[term] * share[:, None] * 1e9))
+    assert (got == want).all()
+    nothing = np.zeros(0, dtype=int)
+    assert (retrieval.summed_points(2, 3, nothing, nothing, np.zeros(0), np.zeros(1, dtype=int), nothing, np.zeros(0)) == 0).all()
+
+
+def test_bm25_is_the_same_in_any_parts(spark, monkeypatch):
+    words = "a b c d e f".split()
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 6] for j in range(1, 4 + i % 3))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(q, " ".join(words[q % 3 :])) for q in range(7)], "query_id long, query string")
+    found = lambda: sorted(map(tuple, retrieval.bm25_search(asked, docs, 4).collect()))
+    want = found()
+    monkeypatch.setattr(retrieval, "HITS", 5)
+    monkeypatch.setattr(retrieval, "SCORES", 30)
+    assert found() == want and len(want) == 28
+
+
 def test_windows_and_sections(spark):
     df = spark.createDataFrame([(1, "x" * 3500), (2, "y" * 1600), (3, ""), (4, None)], "doc_id int, text string")
     got = {(r.doc_id, r.chunk_index): len(r.text) for r in chunking.chunk_windows(df).collect()}
