@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,31 +56,64 @@ def hopping_windows(rows: DataFrame, keys: Sequence[str], ts: str, size: str, sl
 
 
 TRACE = "trace_id string, reason string, spans long, errors long, first_ts timestamp, last_ts timestamp"
+BUCKETS = 4096  # of traces, each with one state
+_OPEN = ("spans", "errors", "first", "last", "due")
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max  # for rows without a time
+
+
+def _gathered(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One row a trace of rows that are traces so far or spans."""
+    at, ids = pd.factorize(rows["trace_id"], use_na_sentinel=False)
+    out = {"trace_id": np.asarray(ids, dtype=object)}
+    for name, ufunc, start in (("spans", np.add, 0), ("errors", np.add, 0), ("first", np.minimum, _MOST), ("last", np.maximum, _LEAST), ("due", np.maximum, _LEAST), ("roots", np.add, 0), ("fresh", np.maximum, 0)):
+        out[name] = np.full(len(ids), start, dtype=np.int64)
+        ufunc.at(out[name], at, rows[name])
+    return out
 
 
 def closed_traces(spans: DataFrame, silence: str = "1 hour", delay: str = WATERMARK) -> DataFrame:
     """A row for each trace that has ended: by its root, which is emitted last (``root``), or because nothing came for
-    so long (``silence``).  What comes after the end opens the trace again, to be closed by silence.  The state of a trace is four numbers."""
+    so long (``silence``).  What comes after the end opens the trace again, to be closed by silence.
+
+    Traces are dealt to ``BUCKETS`` by their id and go to Python by bucket, so that no call is for one trace alone.  The state of a
+    bucket is its open traces, five numbers each; it wakes up when the first of them is due.
+    """
     quiet = micros_of(silence) // 1000
 
     def close(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spans, errors, first, last = state.get if state.exists else (0, 0, None, None)
-        ended = state.hasTimedOut
-        reason = "silence" if ended else "root"
+        now = state.getCurrentWatermarkMs()
+        ids, *numbers = state.get if state.exists else [[]] * (1 + len(_OPEN))
+        held = {"trace_id": np.array(ids, dtype=object)} | {n: np.array(v, dtype=np.int64) for n, v in zip(_OPEN, numbers, strict=True)}
+        held["roots"] = held["fresh"] = np.zeros(len(ids), dtype=np.int64)
         for part in filter(len, parts):  # a timeout brings an empty one
-            spans, errors = spans + len(part), errors + int((part["status"] == "error").sum())
-            low, high = (int(t.value) // 1000 for t in (part["ts"].min(), part["ts"].max()))  # microseconds
-            first, last = low if first is None else min(first, low), high if last is None else max(last, high)
-            ended = ended or bool(part["parent_span_id"].isna().any())
-        if ended:
+            one, at = np.ones(len(part), dtype=np.int64), part["at"].isna().to_numpy()
+            low, high = (part["at"].fillna(0).to_numpy(dtype=np.int64).copy() for _ in range(2))
+            low[at], high[at] = _MOST, _LEAST
+            new = {"trace_id": part["trace_id"].to_numpy(dtype=object), "spans": one, "errors": part["error"].to_numpy(dtype=np.int64), "first": low, "last": high, "due": 0 * one + _LEAST, "roots": part["root"].to_numpy(dtype=np.int64), "fresh": one}
+            held = _gathered({n: np.concatenate([held[n], v]) for n, v in new.items()})
+        held["due"] = np.where(held["fresh"] > 0, np.maximum(held["last"] // 1000 + quiet, now + 1), held["due"])
+        ended = (held["roots"] > 0) | (held["due"] < now)
+        left = {n: held[n][~ended].tolist() for n in ("trace_id", *_OPEN)}
+        if left["due"]:
+            state.update(tuple(left.values()))
+            state.setTimeoutTimestamp(max(min(left["due"]), now + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"trace_id": [key[0]], "reason": [reason], "spans": [spans], "errors": [errors], "first_ts": [pd.Timestamp(first, unit="us")], "last_ts": [pd.Timestamp(last, unit="us")]})
-        else:
-            state.update((spans, errors, first, last))
-            state.setTimeoutTimestamp(max(last // 1000 + quiet, state.getCurrentWatermarkMs() + 1))
-
-    kept = spans.withWatermark("ts", delay).select("trace_id", "parent_span_id", "status", "ts")
-    return kept.groupBy("trace_id").applyInPandasWithState(close, TRACE, "spans long, errors long, first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+        if ended.any():
+            done = {n: v[ended] for n, v in held.items()}
+            times = {n: pd.array(done[n], dtype="Int64") for n in ("first", "last")}
+            for v in times.values():
+                v[done["last"] == _LEAST] = pd.NA
+            yield pd.DataFrame({"trace_id": done["trace_id"], "reason": np.where(done["roots"] > 0, "root", "silence"), "spans": done["spans"], "errors": done["errors"], **times})
+
+    kept = spans.withWatermark("ts", delay)
+    kept = kept.select(
+        F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).cast("int").alias("bucket"), "trace_id", F.col("parent_span_id").isNull().alias("root"),
+        F.coalesce(F.col("status") == "error", F.lit(False)).alias("error"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ts",
+    )
+    open_ = "trace_id array<string>, " + ", ".join(f"{n} array<long>" for n in _OPEN)
+    out = kept.groupBy("bucket").applyInPandasWithState(close, "trace_id string, reason string, spans long, errors long, first long, last long", open_, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("trace_id", "reason", "spans", "errors", F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros("last").alias("last_ts"))
 
 
 def _at(time: dt.datetime, kind: T.DataType) -> Column:

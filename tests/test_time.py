@@ -250,6 +250,27 @@ def test_traces_close_by_root_and_by_silence(spark, tmp_path):
     assert run() == sorted([*done, ("c", "silence", 1, 0, at(40), at(40)), ("f", "root", 1, 0, at(200), at(200))])
 
 
+def test_state_of_traces_is_a_row_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 8, raising=False)
+    feed = Feed(spark, tmp_path / "in", "trace_id string, parent_span_id string, status string, ts timestamp")
+
+    def run(rows):
+        feed.write(rows)
+        job = stateful.append(stateful.closed_traces(feed.stream(), "30 minutes", "1 minute"), str(tmp_path / "out"), str(tmp_path / "ckpt"), NOW)
+        job.awaitTermination()
+        found = spark.read.schema(stateful.TRACE).parquet(str(tmp_path / "out")).collect()
+        return sorted((r.trace_id or "", r.reason, r.spans, r.errors, r.first_ts, r.last_ts) for r in found), job.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    done, held = run([(f"t{i:03}", "x", "error" if i % 2 else None, at(i % 7)) for i in range(200)] + [(None, "x", "ok", at(2)), (None, None, "ok", at(1))])
+    assert done == [("", "root", 2, 0, at(1), at(2))] and 0 < held <= 8
+    # half of them come again and end, by their roots or later; the others have been silent by then
+    done, held = run([(f"t{i:03}", None if i < 50 else "x", "ok", at(20)) for i in range(100)] + [("u", "x", "ok", at(39))])
+    want = [(f"t{i:03}", "root", 2, i % 2, at(i % 7), at(20)) for i in range(50)] + [(f"t{i:03}", "silence", 1, i % 2, at(i % 7), at(i % 7)) for i in range(100, 200)]
+    assert done == sorted([("", "root", 2, 0, at(1), at(2)), *want]) and 0 < held <= 8
+    want += [(f"t{i:03}", "silence", 2, i % 2, at(i % 7), at(20)) for i in range(50, 100)] + [("u", "silence", 1, 0, at(39), at(39)), ("v", "root", 1, 0, at(500), at(500))]
+    assert run([("v", None, "ok", at(500))]) == (sorted([("", "root", 2, 0, at(1), at(2)), *want]), 0)
+
+
 def test_partitions_have_watermarks_of_their_own(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", "p int, id string, ts timestamp")
     out, ckpt, n = str(tmp_path / "out"), str(tmp_path / "ckpt"), {"n": ("count", None)}
