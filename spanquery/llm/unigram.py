@@ -33,6 +33,7 @@ from .textkit import _byte_values, per_row_sum, span_hashes
 
 SPACE = "▁"
 MAX_NODES = 400_000
+MAX_KNOWN, KNOWN_BYTES = 400_000, 64  # pre-tokens whose counts are at hand, and the longest of them
 CHUNK = 1 << 20  # bytes of text whose pre-tokens are told apart at a time
 
 
@@ -59,35 +60,67 @@ class PrefixTrie:
         for piece in scores:
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError(f"piece {piece!r} crosses a pre-token border")
-        self.scores = scores
         self.longest = max(map(len, scores), default=0)
         self.spelled = min(scores.values(), default=0.0) - 10.0
+        self.known: dict[bytes, int] = {}
+        #: What pieces end with, with the score of a whole piece.
+        self.ends: dict[str, float | None] = dict.fromkeys(p[i:] for p in scores for i in range(1, len(p)))
+        self.ends.update(scores)
         self.clear()
 
+    def restart(self) -> None:
+        """Forget the walk of the pre-token before."""
+        self.last, self.nodes, self.sums, self.numbers = "", [0], [0.0], [0]
+
     def clear(self) -> None:
+        self.restart()
         self.children: dict[tuple[int, str], int] = {}
         self.best = [0.0]
         self.tokens = [0]
 
+    def counts(self, pretokens: list[bytes]) -> np.ndarray:
+        """``count`` of each UTF-8 pre-token; short ones that a chunk before had are looked up as a whole."""
+        known = self.known
+        out = [known.get(p, -1) for p in pretokens]
+        new = [(pretokens[i].decode("utf-8", "replace").replace(" ", SPACE), i) for i, n in enumerate(out) if n < 0]
+        new.sort()
+        for text, i in new:
+            out[i] = n = self.count(text)
+            if len(pretokens[i]) <= KNOWN_BYTES:
+                if len(known) >= MAX_KNOWN:
+                    known.clear()
+                known[pretokens[i]] = n
+        return np.array(out, dtype=np.int64)
+
     def count(self, pretoken: str) -> int:
         """Number of tokens of the best segmentation; the fewest among equal scores.
 
         The scores of the last prefixes, as far back as a piece reaches, are at hand in two short
-        lists; what goes beyond a full trie is computed from them and not inserted.
+        lists; what goes beyond a full trie is computed from them and not inserted.  The walk starts where
+        this pre-token parts from the one before, so that pre-tokens in order share it, too.
         """
         if len(self.best) >= MAX_NODES:
             self.clear()
-        children, best, tokens, scores = self.children, self.best, self.tokens, self.scores
-        node, behind = 0, 0
-        sums, numbers = [0.0], [0]
-        for i, c in enumerate(pretoken):
-            child = children.get((node, c), -1)
+        children, best, tokens, ends = self.children, self.best, self.tokens, self.ends
+        nodes, sums, numbers = self.nodes, self.sums, self.numbers
+        at = 0
+        for x, y in zip(self.last, pretoken, strict=False):
+            if x != y:
+                break
+            at += 1
+        del nodes[at + 1 :], sums[at + 1 :], numbers[at + 1 :]
+        self.last, node, behind, most = pretoken, nodes[at], 0, 4 * self.longest + 64
+        for i in range(at, len(pretoken)):
+            c = pretoken[i]
+            child = children.get((node, c), -1) if node >= 0 else -1
             if child >= 0:
                 top, n = best[child], tokens[child]
             else:
-                top, n = sums[-1] + self.spelled, numbers[-1] + len(c.encode("utf-8", "replace"))
-                for j in range(max(0, i + 1 - self.longest), i + 1):
-                    score = scores.get(pretoken[j : i + 1])
+                top, n = sums[-1] + self.spelled, numbers[-1] + (1 if c < "\x80" else len(c.encode("utf-8", "replace")))
+                for j in range(i, -1, -1):
+                    score = ends.get(pretoken[j : i + 1], False)
+                    if score is False:  # no piece ends so
+                        break
                     if score is not None:
                         total = sums[j - behind] + score
                         if total > top or total == top and numbers[j - behind] + 1 < n:
@@ -100,13 +133,20 @@ class PrefixTrie:
             node = child
             sums.append(top)
             numbers.append(n)
-            if len(sums) > 4 * self.longest + 64:
+            if not behind:
+                nodes.append(node)
+            if len(sums) > most:
                 behind += len(sums) - self.longest - 1
                 del sums[: -self.longest - 1], numbers[: -self.longest - 1]
-        return numbers[-1]
+        total = numbers[-1]
+        if behind:
+            self.restart()
+        return total
 
 
 _values = _byte_values(0x7E1E)
+
+
 def chunk_counts(trie: PrefixTrie, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Token count of each row."""
     if not len(data):
@@ -123,13 +163,9 @@ def chunk_counts(trie: PrefixTrie, data: np.ndarray, offsets: np.ndarray) -> np.
     h = span_hashes(_values[data], cuts[:-1], cuts[1:])
     h[lead] ^= np.uint64(0x9E3779B97F4A7C15)
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    raw, counts = data.tobytes(), np.zeros(len(first), dtype=np.int64)
-    texts = []
-    for a, b, dummy in zip(cuts[first].tolist(), cuts[first + 1].tolist(), lead[first].tolist(), strict=True):
-        texts.append(SPACE * dummy + raw[a:b].decode("utf-8", "replace").replace(" ", SPACE))
-    for i in sorted(range(len(texts)), key=texts.__getitem__):
-        counts[i] = trie.count(texts[i])
-    return per_row_sum(counts[which], np.searchsorted(cuts[:-1], offsets))
+    raw = data.tobytes()
+    told = [b" " * dummy + raw[a:b] for a, b, dummy in zip(cuts[first].tolist(), cuts[first + 1].tolist(), lead[first].tolist(), strict=True)]
+    return per_row_sum(trie.counts(told)[which], np.searchsorted(cuts[:-1], offsets))
 
 
 def token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens", model_file: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -282,6 +282,32 @@ def test_token_counts(spark, texts):
         unigram.PrefixTrie({"a▁": -1.0})
 
 
+def test_pretokens_are_walked_once(monkeypatch):
+    scores = {"a": -1.0, "b": -2.0, "ab": -2.5, "ba": -3.0, "abb": -3.0, "▁": -1.5, "▁a": -2.0, "éa": -2.0}
+    rng, walked = random.Random(3), []
+    texts = ["".join(rng.choice("aabbé ") for _ in range(rng.choice((3, 8, 200)))) for _ in range(300)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
+    count = unigram.PrefixTrie.count
+    monkeypatch.setattr(unigram.PrefixTrie, "count", lambda self, p: walked.append(p) or count(self, p))
+    trie = unigram.PrefixTrie(scores)
+    got = unigram.chunk_counts(trie, data, offsets)
+    first = len(walked)
+    assert (unigram.chunk_counts(trie, data, offsets) == got).all()
+    assert all(len(p.encode()) > unigram.KNOWN_BYTES for p in walked[first:])  # only the longest again
+    monkeypatch.setattr(unigram, "MAX_KNOWN", 5)
+    monkeypatch.setattr(unigram, "MAX_NODES", 40)
+    assert (unigram.chunk_counts(unigram.PrefixTrie(scores), data, offsets) == got).all()
+    for p in set(walked):  # each in a walk of its own
+        best = [(0.0, 0)]
+        for i in range(1, len(p) + 1):
+            ways = [(best[i - 1][0] + min(scores.values()) - 10, -best[i - 1][1] - len(p[i - 1].encode()))]
+            ways += [(best[j][0] + scores[p[j:i]], -best[j][1] - 1) for j in range(max(0, i - 3), i) if p[j:i] in scores]
+            score, n = max(ways)
+            best.append((score, -n))
+        assert count(trie, p) == best[-1][1]
+
+
 def test_token_counts_of_a_very_long_pretoken(monkeypatch):
     monkeypatch.setattr(unigram, "MAX_NODES", 500)
     scores = {"a": -1.0, "b": -1.5, "ab": -1.2, "aba": -2.0, "bb": -2.9}
