@@ -8,8 +8,8 @@ that.  A text whose second-best codeword is within ``margin`` of the best is fla
 Up to six languages get the exhaustive code of 2^(k-1)-1 bits, more get pseudo-random balanced columns.
 
 The classifiers are fitted on the driver from at most ``max_fit_rows`` rows (those of smallest
-``xxhash64(doc_id)``), of which only n-gram counts are fetched; scoring is one pass without a
-shuffle and without any other input than the text.
+``xxhash64(doc_id)``), of which only the n-gram counts that are not zero are fetched and kept; scoring is one
+pass without a shuffle and without any other input than the text.
 
 Defined cases: null, empty and letterless texts get ``und`` with score 0; nothing learned means
 ``und`` for all; one language learned means that language with score 1; null languages are not
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,44 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / total, dtype=np.float32, casting="unsafe")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The bins of a row that are not zero, two bytes each, and then their counts, four bytes each."""
+    bins = np.flatnonzero(counts)
+    return bins.astype("<u2").tobytes() + counts[bins].astype("<u4").tobytes()
+
+
+class PackedRows:
+    """Features of rows of ``packed`` counts, kept as those that are not zero; an index gives dense rows."""
+
+    def __init__(self, bins: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        self.bins, self.values, self.starts, self.ends = bins, values, starts, ends
+        self.shape = (len(starts), BINS)
+
+    @classmethod
+    def read(cls, column: pa.ChunkedArray, order: np.ndarray) -> PackedRows:
+        ends = np.cumsum([column[i].as_buffer().size // 6 for i in order])
+        starts = np.concatenate([[0], ends[:-1]])
+        bins, values = np.empty(ends[-1], dtype=np.uint16), np.empty(ends[-1], dtype=np.float32)
+        for i, a, b in zip(order, starts, ends, strict=True):
+            raw = column[i].as_buffer().to_pybytes()
+            bins[a:b] = np.frombuffer(raw, dtype="<u2", count=b - a)
+            values[a:b] = features(np.frombuffer(raw[2 * (b - a) :], dtype="<u4")[None])[0]
+        return cls(bins, values, starts, ends)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def part(self, pick: np.ndarray) -> PackedRows:
+        return PackedRows(self.bins, self.values, self.starts[pick], self.ends[pick])
+
+    def __getitem__(self, pick: np.ndarray) -> np.ndarray:
+        starts, ends = self.starts[pick], self.ends[pick]
+        out = np.zeros((len(starts), BINS), dtype=np.float32)
+        for row, a, b in zip(out, starts, ends, strict=True):
+            row[self.bins[a:b]] = self.values[a:b]
+        return out
+
+
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a letter of any script."""
     low = data | 0x20
@@ -120,7 +159,7 @@ class CodeModel:
         return best, 1 / share.sum(axis=1), lead
 
 
-def _classifiers(x: np.ndarray, y: np.ndarray, code: np.ndarray, epochs: int, batch: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+def _classifiers(x: np.ndarray | PackedRows, y: np.ndarray, code: np.ndarray, epochs: int, batch: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of one logistic classifier a bit, all bits at once, by mini-batch Adam; languages count alike."""
     k, bits = code.shape
     w, b = np.zeros((x.shape[1], bits), dtype=np.float32), np.zeros(bits, dtype=np.float32)
@@ -133,10 +172,10 @@ def _classifiers(x: np.ndarray, y: np.ndarray, code: np.ndarray, epochs: int, ba
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             pick = order[at : at + batch]
-            t = target[pick]
-            slope = -t / (1 + np.exp(np.clip((x[pick] @ w + b) * t, -40, 40))) * weight[pick, None] / len(pick)
+            rows, t = x[pick], target[pick]
+            slope = -t / (1 + np.exp(np.clip((rows @ w + b) * t, -40, 40))) * weight[pick, None] / len(pick)
             step += 1
-            for p, g, m, v in ((w, x[pick].T @ slope + 1e-5 * w, *state[:2]), (b, slope.sum(axis=0), *state[2:])):
+            for p, g, m, v in ((w, rows.T @ slope + 1e-5 * w, *state[:2]), (b, slope.sum(axis=0), *state[2:])):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -152,7 +191,7 @@ def loss_weights(right: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     return odds / odds.sum(axis=1, keepdims=True)
 
 
-def fit_rows(x: np.ndarray, languages: list[str], epochs: int = 25, batch: int = 128, rate: float = 0.03) -> CodeModel | None:
+def fit_rows(x: np.ndarray | PackedRows, languages: list[str], epochs: int = 25, batch: int = 128, rate: float = 0.03) -> CodeModel | None:
     """Fit the classifiers on all rows but every ``KEEP_OUT``-th of each language, which tell how far each
     bit is to be trusted about each language."""
     if not len(languages):
@@ -167,7 +206,8 @@ def fit_rows(x: np.ndarray, languages: list[str], epochs: int = 25, batch: int =
     for c in range(len(names)):
         turn[y == c] = np.arange((y == c).sum())
     kept = turn % KEEP_OUT == KEEP_OUT - 1
-    w, b = _classifiers(x[~kept], y[~kept], code, epochs, batch, rate)
+    fitted = x.part(~kept) if isinstance(x, PackedRows) else x[~kept]
+    w, b = _classifiers(fitted, y[~kept], code, epochs, batch, rate)
     right = ((x[kept] @ w + b) * code[y[kept]] > 0).astype(float)
     return CodeModel(names, code, w, b, loss_weights(right, y[kept], len(names)))
 
@@ -194,21 +234,18 @@ def fit(
             out = []
             for at in range(0, len(offsets) - 1, 64):
                 part = offsets[at : at + 65]
-                counts = gram_counts(data[part[0] : part[-1]], part - part[0]).astype(np.uint32)
-                out += [row.tobytes() for row in counts]
+                out += [packed(row) for row in gram_counts(data[part[0] : part[-1]], part - part[0])]
             return [pa.array(out, type=pa.binary())]
 
         return chunk
 
     settle()
-    got = map_text(sample, "text", start, [T.StructField("counts", T.BinaryType(), False)], keep=["k", "lang"]).toPandas()
-    got = got.sort_values(["k", "lang", "counts"])
-    if not len(got):
+    got = map_text(sample, "text", start, [T.StructField("counts", T.BinaryType(), False)], keep=["k", "lang"]).toArrow()
+    if not got.num_rows:
         return None
-    names = got["lang"].tolist()
-    x = np.empty((len(got), BINS), dtype=np.float32)
-    for i, raw in enumerate(got["counts"]):
-        x[i] = features(np.frombuffer(raw, dtype=np.uint32)[None])[0]
+    order = pc.sort_indices(got, sort_keys=[(c, "ascending") for c in ("k", "lang", "counts")]).to_pylist()
+    names = got["lang"].take(order).to_pylist()
+    x = PackedRows.read(got["counts"], order)
     del got
     release()
     model = fit_rows(x, names)

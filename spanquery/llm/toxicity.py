@@ -22,6 +22,7 @@ result; an input column named as the new one is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .mapping import gather, list_array, map_text
+from .mapping import list_array, map_text
 from .sampling import first_keys, remainder
 from .textkit import _WORD_VALUES, distinct_per_row, lowered, span_hashes, word_spans
 from .workers import release, settle
 
 PREFIXES = (4, 5, 6)
 MAX_FIT_ROWS = 20_000
+BLOCK_ROWS = 1024  # of the fit, looked at together
 PAIR_TERMS, PAIR_Z, MAX_PAIRED = 1024, 12.0, 256  # half a million pairs are looked at
 
 
@@ -79,16 +81,39 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(s, -40, 40)))
 
 
-def _occurrences(flat: np.ndarray, toxic: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _blocks(bounds: np.ndarray) -> Iterator[tuple[int, int, slice, np.ndarray]]:
+    """First row and end of each block of rows, where its terms are, and how many each row has: what is made
+    of terms beside the terms themselves is of one block."""
+    n = len(bounds) - 1
+    for at in range(0, n, BLOCK_ROWS):
+        to = min(at + BLOCK_ROWS, n)
+        yield at, to, slice(bounds[at], bounds[to]), np.diff(bounds[at : to + 1])
+
+
+def _occurrences(flat: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms that occur in three rows or more, in how many, and in how many of label 1."""
-    seen = np.bincount(flat, minlength=1 << bits)
+    seen, positive = np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.int32)
+    for at, to, where, sizes in _blocks(bounds):
+        block = flat[where]
+        seen += np.bincount(block, minlength=1 << bits)
+        positive += np.bincount(block[np.repeat(labels[at:to] > 0, sizes)], minlength=1 << bits)
     known = np.flatnonzero(seen >= 3)
-    seen = seen[known].astype(np.float64)
-    return known, seen, np.bincount(flat[toxic], minlength=1 << bits)[known]
+    return known, seen[known].astype(np.float64), positive[known]
+
+
+def _only(flat: np.ndarray, bounds: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ``where`` of the terms that have one, and where each row's begin and the last end."""
+    parts, counts = [np.zeros(0, dtype=where.dtype)], [np.zeros(1, dtype=np.int64)]
+    for at, to, inside, sizes in _blocks(bounds):
+        term = where[flat[inside]]
+        hit = term >= 0
+        parts.append(term[hit])
+        counts.append(np.bincount(np.repeat(np.arange(to - at), sizes)[hit], minlength=to - at))
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
 
 
 def paired_terms(
-    flat: np.ndarray, owner: np.ndarray, labels: np.ndarray, known: np.ndarray, seen: np.ndarray, bits: int, candidates: int = PAIR_TERMS, min_z: float = PAIR_Z
+    flat: np.ndarray, bounds: np.ndarray, labels: np.ndarray, known: np.ndarray, seen: np.ndarray, bits: int, candidates: int = PAIR_TERMS, min_z: float = PAIR_Z
 ) -> np.ndarray:
     """Terms that tell labels apart only together with another: those of pairs, among the ``candidates`` terms
     of most variance, whose joint rows depart from what the two terms' own shares of label 1 let expect."""
@@ -98,18 +123,15 @@ def paired_terms(
     few = np.sort(known[few[np.lexsort((few, -variance[few]))[:candidates]]])
     where = np.full(1 << bits, -1, dtype=np.int16)
     where[few] = np.arange(len(few))
-    term = where[flat]
-    hit = term >= 0
-    rows, term = owner[hit], term[hit]
-    del hit, where
     m = len(few)
     both, positive = np.zeros((m, m), dtype=np.float32), np.zeros((m, m), dtype=np.float32)
-    for at in range(0, n, 1024):
-        a, b = np.searchsorted(rows, (at, at + 1024))
-        x = np.zeros((min(1024, n - at), m), dtype=np.float32)
-        x[rows[a:b] - at, term[a:b]] = 1
+    for at, to, inside, sizes in _blocks(bounds):
+        term = where[flat[inside]]
+        hit = term >= 0
+        x = np.zeros((to - at, m), dtype=np.float32)
+        x[np.repeat(np.arange(to - at), sizes)[hit], term[hit]] = 1
         both += x.T @ x
-        positive += x.T @ (x * labels[at : at + 1024, None].astype(np.float32))
+        positive += x.T @ (x * labels[at:to, None].astype(np.float32))
     alone = np.diag(positive) / np.maximum(np.diag(both), 1)
     # log odds of two terms add up where they act apart
     odds = np.log(np.clip(alone, 1e-3, 1 - 1e-3) / (1 - np.clip(alone, 1e-3, 1 - 1e-3)))
@@ -144,19 +166,17 @@ def fit_rows(
     if not 0 < share < 1:
         return FactorizationMachine(bits, 40.0 if share else -40.0, none, np.zeros(0), np.zeros((0, rank)))
     flat, bounds = rows if isinstance(rows, tuple) else (np.concatenate(rows).astype(np.int32, copy=False), np.cumsum([0, *map(len, rows)]))
-    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
     # tables of all buckets are large: what is kept is of the terms that occur at least three times
-    known, seen, positive = _occurrences(flat, (labels > 0)[owner], bits)
+    known, seen, positive = _occurrences(flat, bounds, labels, bits)
     expected = seen * share
     z = np.abs(positive - expected) / np.sqrt(expected * (1 - share) + 0.5)
     picked = np.flatnonzero(z >= min_z)
     picked = picked[np.lexsort((picked, -z[picked]))[:max_terms]]
-    chosen = np.union1d(known[picked], paired_terms(flat, owner, labels, known, seen, bits)[:MAX_PAIRED]).astype(np.int64)
+    chosen = np.union1d(known[picked], paired_terms(flat, bounds, labels, known, seen, bits)[:MAX_PAIRED]).astype(np.int64)
     where = np.full(1 << bits, -1, dtype=np.int32)
     where[chosen] = np.arange(len(chosen))
-    term = where[flat]
-    owner, term = owner[term >= 0], term[term >= 0]
-    bounds = np.searchsorted(owner, np.arange(n + 1))
+    term, bounds = _only(flat, bounds, where)
+    del where
     rng = np.random.default_rng(seed)
     m = len(chosen)
     theta = [np.array([np.log(share / (1 - share))]), np.zeros(m), rng.normal(0, 0.01, (m, rank))]
@@ -189,6 +209,23 @@ def fit_rows(
     return FactorizationMachine(bits, float(theta[0][0]), chosen.astype(np.uint64), theta[1], theta[2])
 
 
+def in_order(lists: list[pa.ListArray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all rows in the order given, and where each row's begin and the last end; the lists are
+    taken out one by one, so that each can go when it has been copied."""
+    sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(np.diff(part.offsets.to_numpy()) for part in lists)])
+    bounds = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
+    to = np.empty(len(order), dtype=np.int64)
+    to[order] = bounds[:-1]
+    flat, row = np.empty(bounds[-1], dtype=np.int32), 0
+    while lists:
+        part = lists.pop(0)
+        values, offsets = part.values.to_numpy(), part.offsets.to_numpy()
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            flat[to[row] : to[row] + b - a] = values[a:b]
+            row += 1
+    return flat, bounds
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -222,11 +259,11 @@ def fit(
     got = map_text(sample, "text", start, [T.StructField("terms", T.ArrayType(T.IntegerType(), False), False)], keep=["k", "y", "print"]).toArrow()
     y = got["y"].to_numpy().astype(float)
     order = np.lexsort((got["print"].to_numpy(), y, got["k"].to_numpy()))
-    lists = got["terms"].combine_chunks()
-    flat, ends = gather(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), order)
-    del got, lists
+    lists = got["terms"].chunks
+    del got
+    rows = in_order(lists, order)
     release()
-    model = fit_rows(bits, (flat, np.concatenate([[0], ends]).astype(np.int64)), y[order])
+    model = fit_rows(bits, rows, y[order])
     release()
     return model
 

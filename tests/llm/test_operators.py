@@ -4,9 +4,11 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,55 @@ def test_fits_are_bounded_on_repeated_keys(spark, monkeypatch, repeated):
     assert sizes == [50, 50]
 
 
+def _peak_mb(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_fit_keeps_counts_that_are_not_zero(spark):
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 4, (40, langid.BINS)) * (rng.random((40, langid.BINS)) < 0.05)
+    counts[7] = 0
+    column = pa.chunked_array([pa.array([langid.packed(c) for c in part], type=pa.binary()) for part in (counts[:9], counts[9:])])
+    order = rng.permutation(40).tolist()
+    rows = langid.PackedRows.read(column, order)
+    dense = langid.features(counts[order])
+    pick = np.arange(40) % 3 == 0
+    assert len(rows) == 40 and (rows[np.arange(40)] == dense).all() and (rows.part(pick)[np.array([2, 0])] == dense[pick][[2, 0]]).all()
+    names = ["a", "b"] * 20
+    a, b = langid.fit_rows(rows, names), langid.fit_rows(dense, names)
+    assert (a.weights == b.weights).all() and (a.bias == b.bias).all() and (a.trust == b.trust).all()
+    # 2,000 dense rows are 33 MB, held several times over before
+    docs = spark.createDataFrame([(i, f"the and {i}" if i % 2 else f"der und {i}", "en" if i % 2 else "de", "s", 9) for i in range(2_000)], DOCS)
+    model, peak = _peak_mb(lambda: langid.fit(docs))
+    assert model.languages == ["de", "en"] and peak < 16
+
+
+def test_toxicity_fit_looks_at_blocks_of_rows():
+    rng = np.random.default_rng(6)
+    n, bits = 6_000, 9
+    present = rng.random((n, 1 << bits)) < 0.9
+    labels = (rng.random(n) < 0.3).astype(float)
+    present[:, 3] = labels > 0
+    flat, bounds = np.nonzero(present)[1].astype(np.int32), np.concatenate([[0], np.cumsum(present.sum(axis=1))])
+    # 11 MB of terms, and beside them several times as much before
+    model, peak = _peak_mb(lambda: toxicity.fit_rows(bits, (flat, bounds), labels, epochs=1))
+    assert 3 in model.terms and peak < 25
+    known, seen, positive = toxicity._occurrences(flat, bounds, labels, bits)
+    counts = present.sum(axis=0)
+    assert (known == np.flatnonzero(counts >= 3)).all() and (seen == counts[known]).all() and (positive == present[labels > 0].sum(axis=0)[known]).all()
+    where = np.full(1 << bits, -1, dtype=np.int32)
+    where[[3, 9]] = [0, 1]
+    term, ends = toxicity._only(flat, bounds, where)
+    assert (term == np.nonzero(present[:, [3, 9]])[1]).all() and (np.diff(ends) == present[:, [3, 9]].sum(axis=1)).all()
+    lists = [pa.array([[1, 2], [], [3]], type=pa.list_(pa.int32())), pa.array([[9], [4], [5, 6]], type=pa.list_(pa.int32())).slice(1)]
+    flat, ends = toxicity.in_order(lists, np.array([4, 1, 0, 3, 2]))
+    assert flat.tolist() == [5, 6, 1, 2, 4, 3] and ends.tolist() == [0, 2, 2, 4, 5, 6] and not lists
+
+
 def test_language_by_hand():
     text = "Ab ab".encode()
     counts = langid.gram_counts(np.frombuffer(text, dtype=np.uint8), np.array([0, 0, 5]))
